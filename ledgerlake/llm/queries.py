@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding
+from . import lines, packing, quality, sharding
 from .common import documents, unsigned_crc32
+from .oracles import ORACLES as ORACLES
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,10 +24,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=40)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return lines.drop_frequent(docs, min_docs=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rules = quality.ordered(quality.RULES, quality.estimate(docs))
+    return quality.judge(docs, rules, measures=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), columns=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_line_dedup": op3_line_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
-
-#: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
