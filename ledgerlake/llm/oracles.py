@@ -37,4 +37,17 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, CAST(n
 FROM y
 """
 
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP, "op10_quality_rules": QUALITY_RULES}
+SUBSTRING_DEDUP = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+w AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS win FROM d, unnest(range(1, len(words) - 48)) AS t(i)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM w) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM f, unnest(range(50)) AS s(k)),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+m AS (SELECT p.*, g.pos IS NOT NULL AS hit FROM p LEFT JOIN gone g USING (doc_id, pos)),
+r AS (SELECT doc_id, count(*) AS n_words, CAST(count(*) FILTER (hit) AS BIGINT) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT hit), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP, "op7_substring_dedup": SUBSTRING_DEDUP, "op10_quality_rules": QUALITY_RULES}
