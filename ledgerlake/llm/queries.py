@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality, sharding, substrings
+from . import lines, packing, quality, sharding, simhash, substrings
 from .common import documents, unsigned_crc32
 from .oracles import ORACLES as ORACLES
 
@@ -34,6 +34,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(docs, window=50).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), width=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rules = quality.ordered(quality.RULES, quality.estimate(docs))
@@ -45,5 +50,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
