@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality, sharding, simhash, substrings
+from . import byte_bpe, lines, packing, quality, sharding, simhash, substrings, wavelet
 from .common import documents, unsigned_crc32
 from .oracles import ORACLES as ORACLES
 
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -29,6 +31,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_frequent(docs, min_docs=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(documents(spark, sf_dir), BYTE_RANKS)
+    decoded = byte_bpe.decode(encoded, BYTE_RANKS)
+    return decoded.select("doc_id", "n_tokens", F.sha2("decimals", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = wavelet.write(documents(spark, sf_dir), BYTE_VOCABULARY, end_id=2)
+    return wavelet.read(files).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), unsigned_crc32(F.col("ids")).alias("ids_crc32"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return substrings.removed(docs, window=50).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -49,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_wavelet_matrix": op6_wavelet_matrix,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,

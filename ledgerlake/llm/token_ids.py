@@ -10,6 +10,7 @@ import os
 import re
 import unicodedata
 from array import array
+from functools import cache
 
 from .common import PieceCache
 
@@ -89,3 +90,9 @@ class TokenIds:
         self.cache.trim()
         known, cut = self.cache.__getitem__, self.cut
         return [b"".join(map(known, cut(t))) + tail for t in texts]
+
+
+@cache
+def token_ids_of(path: str, cut) -> TokenIds:
+    """One encoder for all tasks that a worker runs, so that its cache stays warm."""
+    return TokenIds(path, cut)
