@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lines, packing, quality, sharding, simhash, substrings, wavelet
+from . import byte_bpe, flac, lines, packing, quality, sharding, simhash, substrings, wavelet
 from .common import documents, unsigned_crc32
 from .oracles import ORACLES as ORACLES
 
@@ -37,6 +37,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("decimals", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = flac.decode(flac.encode(documents(spark, sf_dir)))
+    return decoded.select(
+        "doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"),
+        unsigned_crc32(F.substring("pcm", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature", "block_starts", "error",
+    )
+
+
 def op6_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = wavelet.write(documents(spark, sf_dir), BYTE_VOCABULARY, end_id=2)
     return wavelet.read(files).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), unsigned_crc32(F.col("ids")).alias("ids_crc32"))
@@ -63,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_flac_media": op5_flac_media,
     "op6_wavelet_matrix": op6_wavelet_matrix,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
