@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import free_name, map_blocks, stored
 from .components import components
 
-#: Fingerprints that a shard of the tree should own; most points of the sample that fits the tree.
-SHARD, SAMPLE = 4096, 8192
+#: Shards of the tree at least, and fingerprints that one should own at most (a shard is searched in memory, 8 bytes a point).
+SHARDS, SHARD = 16, 65536
+#: Most points of the sample that fits the tree.
+SAMPLE = 8192
 #: Fingerprints that are compared with each other directly, at a leaf of the tree in memory.
 LEAF = 256
 SEED = 42
@@ -184,10 +186,11 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b), a > b, of distinct fingerprints (column fingerprint); their components are those of all pairs within radius."""
     n = prints.count()
     sample = np.zeros(0, np.uint64)
-    if n > SHARD:
+    own = min(SHARD, max(LEAF, n // SHARDS))
+    if n > own:
         rows = prints.sample(min(0.25, 1.2 * SAMPLE / n), 11).limit(SAMPLE).collect()
         sample = np.array([r.fingerprint for r in rows], np.int64).view(np.uint64)
-    tree = Tree(sample, max(8, len(sample) * SHARD // max(n, 1)), np.random.default_rng(0))
+    tree = Tree(sample, max(8, len(sample) * own // max(n, 1)), np.random.default_rng(0))
 
     def route(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
