@@ -9,6 +9,12 @@ leaves open. So each pair meets in exactly one shard of the tree, and each shard
 searched by a smaller tree in memory. A shard returns no pairs but a star for each
 group that it joins; groups that shards share are merged by ``components``.
 
+A radius that covers texts of similarity 0.8 leaves no bound that could prune: their
+64-bit fingerprints differ in up to 17 bits, those of unrelated texts in 32 +- 4. For
+that, ``similar_groups`` takes 256 bits and meets pairs in bands, keys of bits drawn at
+random, as many as make a pair at the radius meet with 99 %; what meets is compared in
+full, and grouped as above.
+
 With 64 bits and unrelated texts distances crowd around 32, and about a third of
 the outer rows visit the inner side of each node. See README for what that means at
 scale.
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, map_blocks, stored
 from .components import components
+from .words import mixed
 
 #: Shards of the tree at least, and fingerprints that one should own at most (a shard is searched in memory, 8 bytes a point).
 SHARDS, SHARD = 16, 65536
@@ -41,8 +48,11 @@ LEAF = 256
 SEED = 42
 
 
-def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
-    """64-bit SimHash of shingles of width words, lower-cased (A-Z) and joined by spaces."""
+def fingerprints_of(texts: list[bytes], width: int, parts: int = 1) -> np.ndarray:
+    """64-bit SimHash of shingles of width words, lower-cased (A-Z) and joined by spaces.
+
+    parts > 1: so many columns, the later ones from scrambled hashes.
+    """
     slices, counts = [], []
     for text in texts:
         words = text.lower().split()
@@ -54,15 +64,16 @@ def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
         counts.append(len(slices[-1]))
     counts = np.array(counts)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(slices), repeat(SEED)), np.uint64, int(counts.sum()))
-    out = np.zeros(len(texts), np.uint64)
-    if len(hashes):
-        full = np.flatnonzero(counts)
-        starts = (np.cumsum(counts) - counts)[full]
+    out = np.zeros((len(texts), parts), np.uint64)
+    full = np.flatnonzero(counts)
+    starts = (np.cumsum(counts) - counts)[full]
+    for part in range(parts if len(full) else 0):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         most = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little")
-        out[full] = most.view(np.uint64).ravel()
-    return out
+        out[full, part] = most.view(np.uint64).ravel()
+        hashes = mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
+    return out if parts > 1 else out[:, 0]
 
 
 def fingerprints(docs: DataFrame, width: int = 4, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -224,3 +235,97 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     """(doc_id, fingerprint, component_id) of every row."""
     prints = stored(fingerprints(docs, width), "prints")
     return grouped(prints, radius)
+
+
+#: 64-bit parts of a wide fingerprint; bits in which two may differ, about those of Jaccard similarity 0.8 less one standard deviation.
+PARTS, WIDE_RADIUS = 4, 48
+#: Fingerprints that a band's key should hold on average; share of the pairs at the radius that should meet.
+BUCKET, MEET = 256, 0.99
+_wide = [f"f{i}" for i in range(PARTS)]
+
+
+def bands_for(n: int, radius: int) -> np.ndarray:
+    """Bits of each band's key, drawn at random: about n / BUCKET keys a band, and bands enough for MEET."""
+    total = 64 * PARTS
+    width = max(4, (max(n, 1) // BUCKET).bit_length())
+    agree = (1 - radius / total) ** width
+    bands = int(np.ceil(np.log(1 - MEET) / np.log(1 - agree)))
+    rng = np.random.default_rng(5)
+    return np.stack([rng.choice(total, width, replace=False) for _ in range(bands)])
+
+
+def _compared(keys: np.ndarray, points: np.ndarray, radius: int) -> np.ndarray:
+    """For each row, sorted by key, the place of its group's first; rows of a key are compared with each other."""
+    groups = Groups(len(keys))
+    ends = np.searchsorted(keys, keys, side="right")
+    first, step = np.arange(len(keys)), 1
+    while len(first := first[first + step < ends[first]]):
+        near = np.bitwise_count(points[first] ^ points[first + step]).sum(axis=1) <= radius
+        if near.any():
+            groups.join(first[near], first[near] + step)
+        step += 1
+    return groups.root
+
+
+def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """Edges (a, b), a > b, of nodes (node, f0..) whose fingerprints are within radius and meet in a band."""
+    bands = bands_for(prints.count(), radius)
+
+    def deal(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.column_stack([np.asarray(batch.column(f)) for f in _wide]).view(np.uint64)
+            bits = np.unpackbits(points.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            for i, places in enumerate(bands):
+                key = (bits[:, places] << np.arange(len(places))).sum(axis=1) + (i << len(places))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", *batch.schema.names])
+
+    def search(batches) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < 1 << 16:
+                    continue
+            if not held:
+                break
+            table = pa.Table.from_batches(held)
+            keys = table.column("key").to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1])) if batch is not None else len(keys)  # the last key may go on
+            held = table.slice(whole).combine_chunks().to_batches() if whole < len(keys) else []
+            points = np.column_stack([table.column(f).to_numpy() for f in _wide])[:whole].view(np.uint64)
+            root = _compared(keys[:whole], points, radius)
+            node = table.column("node").to_numpy()
+            tied = np.flatnonzero(root != np.arange(whole))
+            a, b = node[tied], node[root[tied]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            if batch is None:
+                break
+
+    columns = ", ".join(f"{f} long" for f in ["key", "node", *_wide])
+    dealt = prints.select("node", *_wide).mapInArrow(deal, columns).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(search, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, th, component): groups of rows by similarity of wide fingerprints; th is the text's hash."""
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+
+    def work(blocks) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks:
+            prints = fingerprints_of(texts, width, PARTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *map(pa.array, prints.T)], names=["doc_id", "th", *_wide])
+
+    prints = stored(map_blocks(keyed, ", ".join(f"{c} long" for c in ["doc_id", "th", *_wide]), work).withColumn("node", F.xxhash64(*_wide)), "prints")
+    roots = components(wide_links(prints.groupBy("node").agg(*(F.first(f).alias(f) for f in _wide)), radius))
+    return prints.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("component"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """docs with one row of each group of similar texts, that of the smallest doc_id (null last), then text hash; rows without words all stay."""
+    th = free_name(docs.columns, "text_hash")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    first = similar_groups(docs.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), width, radius).groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__doc"), F.col("m.th").alias("__th"))
+    keyed = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    chosen = keyed.join(first, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col(th) == F.col("__th")), "left_semi").dropDuplicates(["doc_id", th])
+    wordless = keyed.where(~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
+    return chosen.unionByName(wordless).select(*docs.columns)
