@@ -11,9 +11,9 @@ group that it joins; groups that shards share are merged by ``components``.
 
 A radius that covers texts of similarity 0.8 leaves no bound that could prune: their
 64-bit fingerprints differ in up to 17 bits, those of unrelated texts in 32 +- 4. For
-that, ``similar_groups`` takes 256 bits and meets pairs in bands, keys of bits drawn at
-random, as many as make a pair at the radius meet with 99 %; what meets is compared in
-full, and grouped as above.
+that, ``similar_groups`` takes 1024 bits and meets pairs in bands, keys of bits drawn at
+random, as many as make a pair at similarity 0.8 meet with 99 %; what meets is compared
+in 256 bits, what is near in all bits, and grouped as above.
 
 With 64 bits and unrelated texts distances crowd around 32, and about a third of
 the outer rows visit the inner side of each node. See README for what that means at
@@ -48,11 +48,8 @@ LEAF = 256
 SEED = 42
 
 
-def fingerprints_of(texts: list[bytes], width: int, parts: int = 1) -> np.ndarray:
-    """64-bit SimHash of shingles of width words, lower-cased (A-Z) and joined by spaces.
-
-    parts > 1: so many columns, the later ones from scrambled hashes.
-    """
+def shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each text's shingles of width words, lower-cased (A-Z) and joined by spaces; their counts."""
     slices, counts = [], []
     for text in texts:
         words = text.lower().split()
@@ -63,17 +60,55 @@ def fingerprints_of(texts: list[bytes], width: int, parts: int = 1) -> np.ndarra
             slices.append([joined[a : b - 1] for a, b in zip([0, *ends], ends[width - 1 :])])
         counts.append(len(slices[-1]))
     counts = np.array(counts)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(slices), repeat(SEED)), np.uint64, int(counts.sum()))
-    out = np.zeros((len(texts), parts), np.uint64)
-    full = np.flatnonzero(counts)
-    starts = (np.cumsum(counts) - counts)[full]
-    for part in range(parts if len(full) else 0):
+    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(slices), repeat(SEED)), np.uint64, int(counts.sum())), counts
+
+
+def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
+    """64-bit SimHash of the shingles of each text."""
+    hashes, counts = shingle_hashes(texts, width)
+    out = np.zeros(len(texts), np.uint64)
+    if len(hashes):
+        full = np.flatnonzero(counts)
+        starts = (np.cumsum(counts) - counts)[full]
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         most = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little")
-        out[full, part] = most.view(np.uint64).ravel()
+        out[full] = most.view(np.uint64).ravel()
+    return out
+
+
+def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A word of the bits that most hashes of each text have; counts are positive.
+
+    Eight bits at a time are spread to the bytes of a word and summed there, over
+    stretches of at most 255 hashes.
+    """
+    pieces = -(-counts // 255)
+    first = np.cumsum(pieces) - pieces
+    starts = np.repeat((np.cumsum(counts) - counts) - 255 * first, pieces) + 255 * np.arange(int(pieces.sum()))
+    out = np.zeros(len(counts), np.uint64)
+    for j in range(8):
+        lanes = np.add.reduceat(hashes >> np.uint64(j) & np.uint64(0x0101010101010101), starts)
+        ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+        for lane in range(8):
+            out |= (2 * ones[:, lane] > counts).astype(np.uint64) << np.uint64(8 * lane + j)
+    return out
+
+
+def wide_fingerprints_of(texts: list[bytes], width: int, parts: int) -> list[bytes]:
+    """SimHash of 64 * parts bits of the distinct shingles; parts after the first are of scrambled hashes. No words: zero bits."""
+    hashes, counts = shingle_hashes(texts, width)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    order = np.lexsort((hashes, owner))
+    hashes = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, counts = hashes[new], np.bincount(owner[new], minlength=len(texts))
+    out, full = np.zeros((len(texts), parts), np.uint64), np.flatnonzero(counts)
+    for part in range(parts if len(full) else 0):
+        out[full, part] = _majority(hashes, counts[full])
         hashes = mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
-    return out if parts > 1 else out[:, 0]
+    return [row.tobytes() for row in out]
 
 
 def fingerprints(docs: DataFrame, width: int = 4, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -237,44 +272,51 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return grouped(prints, radius)
 
 
-#: 64-bit parts of a wide fingerprint; bits in which two may differ, about those of Jaccard similarity 0.8 less one standard deviation.
-PARTS, WIDE_RADIUS = 4, 48
-#: Fingerprints that a band's key should hold on average; share of the pairs at the radius that should meet.
+#: 64-bit words of a wide fingerprint, and of its head, from which bands are drawn.
+WORDS, HEAD = 16, 4
+#: Share of bits in which texts of Jaccard similarity 0.8 differ: arccos(2 * 0.8 / 1.8) / pi = 0.1515, and one
+#: standard deviation of 1024 bits.
+SPREAD = 0.165
+#: Fingerprints that a band's key should hold on average; share of the pairs at SPREAD that should meet.
 BUCKET, MEET = 256, 0.99
-_wide = [f"f{i}" for i in range(PARTS)]
 
 
-def bands_for(n: int, radius: int) -> np.ndarray:
+def bands_for(n: int) -> np.ndarray:
     """Bits of each band's key, drawn at random: about n / BUCKET keys a band, and bands enough for MEET."""
-    total = 64 * PARTS
     width = max(4, (max(n, 1) // BUCKET).bit_length())
-    agree = (1 - radius / total) ** width
-    bands = int(np.ceil(np.log(1 - MEET) / np.log(1 - agree)))
+    bands = int(np.ceil(np.log(1 - MEET) / np.log(1 - (1 - 1.15 * SPREAD) ** width)))
     rng = np.random.default_rng(5)
-    return np.stack([rng.choice(total, width, replace=False) for _ in range(bands)])
+    return np.stack([rng.choice(64 * HEAD, width, replace=False) for _ in range(bands)])
+
 
+def _words(column: pa.Array) -> np.ndarray:
+    """Rows of a binary column of equal sizes as rows of 64-bit words."""
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, np.uint64).reshape(len(column), -1)
 
-def _compared(keys: np.ndarray, points: np.ndarray, radius: int) -> np.ndarray:
-    """For each row, sorted by key, the place of its group's first; rows of a key are compared with each other."""
+
+def _compared(keys: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """For each row, sorted by key, the place of its group's first; rows of a key are compared, first by their heads."""
     groups = Groups(len(keys))
     ends = np.searchsorted(keys, keys, side="right")
+    coarse, fine = 64 * HEAD * 1.4 * SPREAD, 64 * points.shape[1] * SPREAD
     first, step = np.arange(len(keys)), 1
     while len(first := first[first + step < ends[first]]):
-        near = np.bitwise_count(points[first] ^ points[first + step]).sum(axis=1) <= radius
-        if near.any():
-            groups.join(first[near], first[near] + step)
+        near = first[np.bitwise_count(points[first, :HEAD] ^ points[first + step, :HEAD]).sum(axis=1) <= coarse]
+        near = near[np.bitwise_count(points[near] ^ points[near + step]).sum(axis=1) <= fine]
+        if len(near):
+            groups.join(near, near + step)
         step += 1
     return groups.root
 
 
-def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Edges (a, b), a > b, of nodes (node, f0..) whose fingerprints are within radius and meet in a band."""
-    bands = bands_for(prints.count(), radius)
+def _in_bands(prints: DataFrame, bands: np.ndarray) -> DataFrame:
+    """Edges (a, b), a > b, of nodes (node, print) that share a band's key and differ in at most SPREAD of their bits."""
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = np.column_stack([np.asarray(batch.column(f)) for f in _wide]).view(np.uint64)
-            bits = np.unpackbits(points.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            heads = np.ascontiguousarray(_words(batch.column("print"))[:, :HEAD])
+            bits = np.unpackbits(heads.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
             for i, places in enumerate(bands):
                 key = (bits[:, places] << np.arange(len(places))).sum(axis=1) + (i << len(places))
                 yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", *batch.schema.names])
@@ -284,48 +326,56 @@ def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
         for batch in chain(batches, [None]):
             if batch is not None:
                 held.append(batch)
-                if sum(b.num_rows for b in held) < 1 << 16:
+                if sum(b.num_rows for b in held) < 1 << 15:
                     continue
             if not held:
                 break
             table = pa.Table.from_batches(held)
             keys = table.column("key").to_numpy()
             whole = int(np.searchsorted(keys, keys[-1])) if batch is not None else len(keys)  # the last key may go on
-            held = table.slice(whole).combine_chunks().to_batches() if whole < len(keys) else []
-            points = np.column_stack([table.column(f).to_numpy() for f in _wide])[:whole].view(np.uint64)
-            root = _compared(keys[:whole], points, radius)
-            node = table.column("node").to_numpy()
-            tied = np.flatnonzero(root != np.arange(whole))
-            a, b = node[tied], node[root[tied]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            held = table.slice(whole).to_batches() if whole < len(keys) else []
+            if whole:
+                root = _compared(keys[:whole], _words(table.column("print").slice(0, whole)))
+                node, tied = table.column("node").to_numpy(), np.flatnonzero(root != np.arange(whole))
+                a, b = node[tied], node[root[tied]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
             if batch is None:
                 break
 
-    columns = ", ".join(f"{f} long" for f in ["key", "node", *_wide])
-    dealt = prints.select("node", *_wide).mapInArrow(deal, columns).repartition("key").sortWithinPartitions("key")
+    dealt = prints.select("node", "print").mapInArrow(deal, "key long, node long, print binary").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+def wide_links(prints: DataFrame) -> DataFrame:
+    """Edges of distinct prints: heads alone find the few that have a neighbour, these are compared in full."""
+    bands = bands_for(prints.count())
+    heads = prints.select("node", F.substring("print", 1, 8 * HEAD).alias("print"))
+    near = _in_bands(heads, bands)
+    touched = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    return _in_bands(prints.join(stored(touched, "touched"), "node", "left_semi"), bands)
+
+
+def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, th, component): groups of rows by similarity of wide fingerprints; th is the text's hash."""
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
 
     def work(blocks) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks:
-            prints = fingerprints_of(texts, width, PARTS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *map(pa.array, prints.T)], names=["doc_id", "th", *_wide])
+            prints = wide_fingerprints_of(texts, width, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(prints, pa.binary())], names=["doc_id", "th", "print"])
 
-    prints = stored(map_blocks(keyed, ", ".join(f"{c} long" for c in ["doc_id", "th", *_wide]), work).withColumn("node", F.xxhash64(*_wide)), "prints")
-    roots = components(wide_links(prints.groupBy("node").agg(*(F.first(f).alias(f) for f in _wide)), radius))
+    prints = stored(map_blocks(keyed, "doc_id long, th long, print binary", work).withColumn("node", F.xxhash64("print")), "prints")
+    distinct = stored(prints.groupBy("node").agg(F.min("print").alias("print")), "prints-distinct")
+    roots = components(wide_links(distinct))
     return prints.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("component"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs with one row of each group of similar texts, that of the smallest doc_id (null last), then text hash; rows without words all stay."""
     th = free_name(docs.columns, "text_hash")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    first = similar_groups(docs.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), width, radius).groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__doc"), F.col("m.th").alias("__th"))
+    worded = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    first = similar_groups(docs.where(worded), width).groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__doc"), F.col("m.th").alias("__th"))
     keyed = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
-    chosen = keyed.join(first, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col(th) == F.col("__th")), "left_semi").dropDuplicates(["doc_id", th])
-    wordless = keyed.where(~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
-    return chosen.unionByName(wordless).select(*docs.columns)
+    chosen = keyed.where(worded).join(first, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col(th) == F.col("__th")), "left_semi").dropDuplicates(["doc_id", th])
+    return chosen.unionByName(keyed.where(~worded)).select(*docs.columns)
