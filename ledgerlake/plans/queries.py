@@ -1,0 +1,151 @@
+"""Registered queries: each applies an operator to a ledger over the given tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.ranges import range_start
+from ..operators import cache, dashboard, pricing, sessions
+from ..sources import catalogue
+from ..sources.ledger import NOW, devices, ledger
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+MONTH, WEEK, LAST_30 = (range_start(x, NOW) for x in ("month", "7d", "30d"))
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger, priced."""
+    return pricing.priced(ledger(spark, sf_dir), catalogue.validated(catalogue.rules(spark)))
+
+
+@query
+def ledger_rows(spark, sf_dir):
+    return ledger(spark, sf_dir)
+
+
+@query
+def dashboard_headline(spark, sf_dir):
+    return dashboard.headline(valued(spark, sf_dir), NOW, name="30d")
+
+
+@query
+def dashboard_trend(spark, sf_dir):
+    return dashboard.trend(ledger(spark, sf_dir), LAST_30)
+
+
+@query
+def dashboard_runtime_trend(spark, sf_dir):
+    return dashboard.trend(ledger(spark, sf_dir), LAST_30, only_runtime=True)
+
+
+@query
+def dashboard_layers(spark, sf_dir):
+    return dashboard.layers(ledger(spark, sf_dir), LAST_30)
+
+
+@query
+def breakdown_by_provider(spark, sf_dir):
+    return dashboard.breakdown(valued(spark, sf_dir), "provider", LAST_30)
+
+
+@query
+def breakdown_by_model(spark, sf_dir):
+    return dashboard.breakdown(valued(spark, sf_dir), "model", LAST_30)
+
+
+@query
+def breakdown_by_project(spark, sf_dir):
+    return dashboard.breakdown(valued(spark, sf_dir), "project_name", LAST_30)
+
+
+@query
+def breakdown_by_device(spark, sf_dir):
+    return dashboard.breakdown_devices(ledger(spark, sf_dir), devices(spark, sf_dir), LAST_30)
+
+
+@query
+def dashboard_insights(spark, sf_dir):
+    return dashboard.insights(ledger(spark, sf_dir), NOW, WEEK)
+
+
+@query
+def provider_ticker(spark, sf_dir):
+    return dashboard.ticker(ledger(spark, sf_dir), NOW)
+
+
+@query
+def price_scenarios(spark, sf_dir):
+    return dashboard.scenarios(valued(spark, sf_dir), LAST_30)
+
+
+@query
+def tracking_status(spark, sf_dir):
+    return dashboard.tracking_status(ledger(spark, sf_dir))
+
+
+@query
+def daily_rollup(spark, sf_dir):
+    return dashboard.daily_rollup(valued(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query
+def priced_events(spark, sf_dir):
+    return valued(spark, sf_dir).select("id", "model", "estimated_api_value_usd_micros", "pricing_status")
+
+
+@query
+def repriced_events(spark, sf_dir):
+    return pricing.repriced(ledger(spark, sf_dir), catalogue.rules(spark)).select("id", "estimated_api_value_usd_micros", "pricing_status", "sync_status")
+
+
+@query
+def price_rules(spark, sf_dir):
+    """Rules that price at least one event, and how many."""
+    ruled = pricing.with_rule(ledger(spark, sf_dir), catalogue.rules(spark)).where("rule IS NOT NULL")
+    return ruled.groupBy("provider", F.when(F.col("rule.exact"), F.col("model")).otherwise(F.lit("*")).alias("exact_model"), F.col("rule.effective_from").alias("effective_from"), F.col("rule.min_input").alias("min_input")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def session_list(spark, sf_dir):
+    return sessions.sessions(valued(spark, sf_dir), devices(spark, sf_dir), LAST_30)
+
+
+@query
+def session_search(spark, sf_dir):
+    return sessions.sessions(valued(spark, sf_dir), devices(spark, sf_dir), WEEK, search="Sonnet")
+
+
+@query
+def session_page(spark, sf_dir):
+    found = sessions.sessions(valued(spark, sf_dir), devices(spark, sf_dir), LAST_30)
+    return sessions.page(found, "value").select("place", "session_key", "total_tokens", "value_usd_micros", "has_more", "relative_tokens", sessions.age_group(NOW).alias("age_group"))
+
+
+@query
+def session_stats(spark, sf_dir):
+    return sessions.stats(sessions.sessions(valued(spark, sf_dir), devices(spark, sf_dir), WEEK))
+
+
+@query
+def cache_report(spark, sf_dir):
+    return cache.report(ledger(spark, sf_dir), catalogue.rules(spark), LAST_30)
+
+
+@query
+def cache_by_session(spark, sf_dir):
+    return cache.by_session(ledger(spark, sf_dir), catalogue.rules(spark))
+
+
+@query
+def cache_providers(spark, sf_dir):
+    return cache.providers(ledger(spark, sf_dir), WEEK)
