@@ -1,0 +1,106 @@
+"""Reconciliation of legacy rows with their replacements, health of collectors, and validity of rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.columns import hashed
+
+SHAPE = ["native_session_id", "occurred_at", "input_tokens", "cached_input_tokens", "cache_write_tokens", "output_tokens", "reasoning_tokens"]
+
+
+def by_hints(events: DataFrame, hints: DataFrame) -> DataFrame:
+    """events with active legacy rows superseded by the replacement a hint proves, if that is in the ledger."""
+    proven = hints.where("legacy_event_id <> replacement_event_id").join(events.select(F.col("id").alias("replacement_event_id")), "replacement_event_id", "left_semi")
+    one = proven.groupBy("legacy_event_id").agg(F.min("replacement_event_id").alias("_by"))
+    rows = events.join(one, events["id"] == one["legacy_event_id"], "left")
+    return rows.withColumn("superseded_by_event_id", F.coalesce("superseded_by_event_id", "_by")).select(*events.columns)
+
+
+def by_shape(legacy: DataFrame, turns: DataFrame) -> DataFrame:
+    """(legacy_event_id, replacement_event_id): legacy rows whose exact shape is unique, with the first turn of that shape."""
+    unique = legacy.groupBy(*SHAPE).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("legacy_event_id")).where("n = 1")
+    totals = turns.groupBy("turn_id", "native_session_id", "occurred_at").agg(*(F.sum(c).alias(c) for c in SHAPE[2:]), F.max("id").alias("last_id"))
+    first = totals.groupBy(*SHAPE).agg(F.min_by("last_id", "turn_id").alias("replacement_event_id"))
+    return unique.join(first, SHAPE).select("legacy_event_id", "replacement_event_id")
+
+
+def unreconciled(events: DataFrame, is_legacy: Column) -> DataFrame:
+    """Legacy rows that nothing supersedes, by provider."""
+    return events.where(is_legacy & F.col("superseded_by_event_id").isNull()).groupBy("provider").agg(F.count(F.lit(1)).alias("unreconciled"))
+
+
+def provider_summary(events: DataFrame) -> DataFrame:
+    """Rows, sessions, turns, tokens, cache use and native cost of each provider's active measured rows."""
+    turn = F.concat("native_session_id", F.lit(":"), F.substring_index("native_event_id", ":model:", 1))
+    rows = events.where((F.col("measurement_kind") == "measured") & F.col("superseded_by_event_id").isNull())
+    return rows.groupBy("provider").agg(
+        F.count(F.lit(1)).alias("records"), F.countDistinct("native_session_id").alias("sessions"), F.countDistinct(turn).alias("turns"), F.sum("total_tokens").alias("tokens"),
+        F.sum("cached_input_tokens").alias("cache_read"), F.sum("cache_write_tokens").alias("cache_write"), F.sum("native_cost_usd_ticks").alias("native_cost_usd_ticks"), F.max("occurred_at").alias("last_usage"),
+    )
+
+
+def with_all_providers(summary: DataFrame, providers: list[str]) -> DataFrame:
+    """summary with zero rows for the providers it lacks."""
+    spark = summary.sparkSession
+    listed = spark.createDataFrame([(p,) for p in providers], "provider string")
+    counts = [c for c, t in summary.dtypes if t == "bigint"]
+    return listed.join(summary, "provider", "left").fillna(0, counts)
+
+
+def health(diagnostics: DataFrame) -> DataFrame:
+    """error before warning before healthy, for each provider, with the first 20 diagnostics counted."""
+    rank = F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0)
+    rows = diagnostics.groupBy("provider").agg(F.max(rank).alias("r"), F.count(F.lit(1)).alias("n"))
+    return rows.select("provider", F.element_at(F.array(*map(F.lit, ("healthy", "warning", "error"))), F.col("r") + 1).alias("health"), F.least("n", F.lit(20)).alias("shown"))
+
+
+def first_diagnostics(diagnostics: DataFrame, top: int = 20) -> DataFrame:
+    order = Window.partitionBy("provider").orderBy("path", "line", "code")
+    return diagnostics.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
+def rules() -> dict[str, Column]:
+    """Domain checks of a ledger row; true where the row breaks one."""
+    counters = [c for c in ("input_tokens", "cached_input_tokens", "cache_write_tokens", "output_tokens", "reasoning_tokens", "total_tokens")]
+    return {
+        "negative_counter": F.least(*counters) < 0,
+        "unknown_source_type": ~F.col("source_type").isin("local_cli", "browser", "api", "manual"),
+        "unknown_pricing_status": ~F.col("pricing_status").isin("available", "unavailable", "partial"),
+        "unknown_kind": ~F.col("measurement_kind").isin("measured", "estimated", "activity_only"),
+        "odd_id": F.length("id") != 64,
+        "write_under_split": F.col("cache_write_tokens") < F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens"),
+        "reasoning_over_output": F.col("reasoning_tokens") > F.col("output_tokens"),
+        "identity": F.col("id") != hashed(F.col("provider"), F.col("native_session_id"), F.col("native_event_id")),
+    }
+
+
+def validity(events: DataFrame) -> DataFrame:
+    """(rule, rows): how many rows break each rule, in one pass."""
+    checks = rules()
+    counts = events.agg(*(F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in checks.items()))
+    return counts.unpivot([], list(checks), "rule", "rows")
+
+
+def quarantine(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid rows, and the others with the rules they break."""
+    broken = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules().items())), lambda x: x.isNotNull())
+    rows = events.withColumn("broken", broken)
+    return rows.where(F.size("broken") == 0).drop("broken"), rows.where(F.size("broken") > 0)
+
+
+def identity_conflicts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming revisions that disagree with the stored row about who they are, or whose row is superseded."""
+    same = ["provider", "source", "source_type", "native_session_id", "native_event_id", "device_id", "measurement_kind"]
+    s = stored.select("id", *(F.col(c).alias(f"s_{c}") for c in same), F.col("superseded_by_event_id").alias("s_by"))
+    rows = incoming.join(s, "id")
+    differs = F.lit(False)
+    for c in same:
+        differs |= ~F.col(c).eqNullSafe(F.col(f"s_{c}"))
+    return rows.where(differs | F.col("s_by").isNotNull()).select(*incoming.columns)
+
+
+def of_account(events: DataFrame, account: str) -> DataFrame:
+    """One tenant's rows; every multi-tenant read goes through this filter."""
+    return events.where(F.col("account_id") == account)

@@ -161,3 +161,107 @@ FROM (SELECT *, date_diff('day', CAST(last_activity_at AS DATE), DATE '{NOW.date
     "cache_by_session": f"WITH {_CACHE} {_cache_finish('provider, source, native_session_id', 'GROUP BY provider, source, native_session_id', 'true')}",
     "cache_providers": f"WITH {LEDGER} SELECT DISTINCT provider FROM layered WHERE canon AND occurred_at >= {ts(WEEK)}",
 }
+
+_K = "provider, window_key, device_id"
+_SEC = lambda a, b: f"(epoch_us({b}) - epoch_us({a})) // 1000000"
+
+READINGS = """
+q0 AS (SELECT user_id % 5 AS w, ts + INTERVAL 945 DAY AS observed_at, event_id, CAST(floor(value * 3) AS BIGINT) AS used FROM events),
+q1 AS (SELECT *, CAST(observed_at AS DATE) AS day, CAST(least(10000, sum(used) OVER (PARTITION BY w, CAST(observed_at AS DATE) ORDER BY observed_at, event_id)) AS BIGINT) AS utilization_bps FROM q0),
+q2 AS (SELECT q1.*, day + CAST(x AS INT) AS seen FROM q1, (VALUES (0), (1)) t(x) WHERE x = 0 OR w = 4),
+readings AS (SELECT 'claude' AS provider, 'w' || w AS window_key, 'day-' || strftime(seen, '%Y%m%d') AS device_id, observed_at, observed_at AS updated_at, utilization_bps,
+  CASE WHEN w < 4 THEN CAST(seen AS TIMESTAMP) END AS period_starts_at, CASE WHEN w < 4 THEN CAST(seen AS TIMESTAMP) + INTERVAL 1 DAY END AS resets_at, CAST(seen AS TIMESTAMP) AS looked_from, w FROM q2)"""
+
+PACE = f"""{READINGS},
+w0 AS (SELECT *, looked_from + CASE WHEN w = 4 THEN INTERVAL 3 HOUR ELSE INTERVAL 18 HOUR END AS seen_at FROM readings),
+windows AS (SELECT {_K}, CASE w WHEN 0 THEN 'rolling' WHEN 1 THEN 'weekly' WHEN 2 THEN 'product' WHEN 3 THEN 'other' ELSE 'monthly' END AS kind, arg_max(utilization_bps, observed_at) AS utilization_bps,
+  seen_at AS observed_at, period_starts_at, resets_at, day(seen_at) % 7 = 0 AS refresh_stale FROM w0 WHERE observed_at <= seen_at AND observed_at >= looked_from - INTERVAL 3 HOUR GROUP BY {_K}, w, seen_at, period_starts_at, resets_at),
+l0 AS (SELECT r.*, v.observed_at AS now, row_number() OVER (PARTITION BY {_K} ORDER BY r.observed_at DESC) AS rn FROM readings r JOIN windows v USING ({_K})
+  WHERE r.period_starts_at IS NOT DISTINCT FROM v.period_starts_at AND r.resets_at IS NOT DISTINCT FROM v.resets_at AND r.observed_at BETWEEN coalesce(v.period_starts_at, v.observed_at - INTERVAL 6 HOUR) AND v.observed_at),
+l1 AS (SELECT *, lag(utilization_bps) OVER (PARTITION BY {_K} ORDER BY observed_at) - utilization_bps > 500 AS dropped FROM l0 WHERE rn <= 512),
+l2 AS (SELECT *, sum(CASE WHEN dropped THEN 1 ELSE 0 END) OVER (PARTITION BY {_K} ORDER BY observed_at) AS part FROM l1),
+l3 AS (SELECT *, epoch_us(observed_at) // 1000000 AS t, {_SEC('observed_at', 'now')} AS age FROM l2 QUALIFY part = max(part) OVER (PARTITION BY {_K})),
+l4 AS (SELECT *, count(*) FILTER (age <= 3600) OVER g >= 3 AND max(t) FILTER (age <= 3600) OVER g - min(t) FILTER (age <= 3600) OVER g >= 600 AS enough FROM l3 WINDOW g AS (PARTITION BY {_K})),
+l5 AS (SELECT * FROM l4 WHERE CASE WHEN enough THEN age <= 3600 ELSE age <= 21600 END),
+smp AS (SELECT *, max(utilization_bps) OVER o AS high, utilization_bps - lag(utilization_bps) OVER o AS step FROM l5 WINDOW o AS (PARTITION BY {_K} ORDER BY observed_at)),
+facts AS (SELECT {_K}, count(*) AS samples, max(t) - min(t) AS span_seconds, count(step) AS pairs, count(*) FILTER (step >= -50) AS mono FROM smp GROUP BY {_K}),
+pr AS (SELECT a.provider, a.window_key, a.device_id, (b.high - a.high) * 3600 // (b.t - a.t) AS s FROM smp a JOIN smp b ON a.provider = b.provider AND a.window_key = b.window_key AND a.device_id = b.device_id AND a.t < b.t),
+pn AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY s) AS i, count(*) OVER (PARTITION BY {_K}) AS n FROM pr),
+slp AS (SELECT {_K}, greatest(0, CASE WHEN min(n) % 2 = 1 THEN sum(s) FILTER (i = n // 2 + 1) ELSE sum(s) FILTER (i IN (n // 2, n // 2 + 1)) // 2 END) AS slope FROM pn GROUP BY {_K}),
+p0 AS (SELECT v.*, coalesce(samples, 0) AS samples, coalesce(span_seconds, 0) AS span_seconds, CASE WHEN pairs > 0 THEN mono * 100 // pairs ELSE 0 END AS monotone_percent,
+  kind IN ('rolling', 'weekly', 'monthly') AS cap, coalesce(samples, 0) >= 3 AND coalesce(span_seconds, 0) >= 600 AS enough, slope FROM windows v LEFT JOIN facts USING ({_K}) LEFT JOIN slp USING ({_K})),
+p1 AS (SELECT *, CASE WHEN NOT enough THEN 'insufficient' WHEN refresh_stale OR samples < 4 OR span_seconds < 1800 THEN 'low' WHEN samples >= 7 AND span_seconds >= 3600 AND monotone_percent >= 80 THEN 'high' ELSE 'medium' END AS confidence,
+  CASE WHEN enough THEN slope END AS burn FROM p0),
+p2 AS (SELECT *, CASE WHEN cap AND NOT refresh_stale AND confidence IN ('medium', 'high') AND utilization_bps < 10000 AND burn > 0 THEN (10000 - utilization_bps) * 3600 // burn END AS togo FROM p1),
+p3 AS (SELECT *, CASE WHEN resets_at IS NOT NULL OR togo <= CASE kind WHEN 'rolling' THEN 86400 WHEN 'weekly' THEN 691200 ELSE 2764800 END THEN observed_at + to_seconds(togo) END AS projected_full_at FROM p2),
+paced AS (SELECT {_K}, kind, utilization_bps, observed_at, samples, CAST(span_seconds AS BIGINT) AS span_seconds, CAST(monotone_percent AS BIGINT) AS monotone_percent, confidence, CAST(burn AS BIGINT) AS burn_bps_per_hour,
+  CAST(CASE WHEN cap AND enough AND {_SEC('period_starts_at', 'observed_at')} >= 600 THEN utilization_bps * 3600 // ({_SEC('period_starts_at', 'observed_at')}) END AS BIGINT) AS average_bps_per_hour, projected_full_at,
+  coalesce(projected_full_at < resets_at, false) AS before_reset,
+  CASE WHEN NOT cap THEN 'informational' WHEN utilization_bps >= 10000 THEN 'limit_reached' WHEN NOT enough THEN 'gathering' WHEN refresh_stale THEN 'stale' WHEN burn = 0 THEN 'no_recent_change' ELSE 'active' END AS status FROM p3)"""
+
+_AUTH = "total_tokens DESC, output_tokens DESC, model IS NOT NULL DESC, project_name IS NOT NULL DESC, occurred_at DESC"
+_HOUR = "epoch_us(occurred_at) // 3600000000"
+_hourly = lambda where: f"SELECT device_id, model AS model_id, {_HOUR} AS hour, sum(input_tokens) AS p, sum(output_tokens) AS c, sum(cached_input_tokens) AS d, count(*) AS r FROM ledger WHERE provider = 'omlx' AND model IS NOT NULL AND {where} GROUP BY 1, 2, 3 HAVING sum(cached_input_tokens) <= sum(input_tokens)"  # noqa: E731, E501
+_SHAPE = "native_session_id, occurred_at, input_tokens, cached_input_tokens, cache_write_tokens, output_tokens, reasoning_tokens"
+
+POLLS = """
+e0 AS (SELECT 'device-' || user_id % 25 AS device_id, 'omlx' AS provider, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts, event_id) AS n FROM events),
+polls AS (SELECT device_id, provider, TIMESTAMP '2026-09-01' + to_seconds(n * 100 + k % 50) AS observed_at, CASE event_type WHEN 'error' THEN 'unavailable' WHEN 'signup' THEN 'not_detected' ELSE 'healthy' END AS status,
+  [{'id': 'a' || k % 3, 'on': k % 3 <> 1}, {'id': 'b' || k % 4, 'on': k % 4 <> 1}] AS models FROM e0),
+models AS (SELECT device_id, provider, observed_at, unnest(models, recursive := true) FROM polls WHERE status = 'healthy'),
+pl AS (SELECT *, lag(status) OVER o AS before, lag(observed_at) OVER o AS before_at FROM polls WINDOW o AS (PARTITION BY device_id, provider ORDER BY observed_at)),
+loaded AS (SELECT * FROM models WHERE "on"),
+trans AS (SELECT device_id, provider, observed_at, 'server_online' AS state, NULL AS model FROM pl WHERE status = 'healthy' AND NOT coalesce(before = 'healthy' AND epoch_us(observed_at) - epoch_us(before_at) <= 120000000, false)
+  UNION ALL SELECT device_id, provider, observed_at, 'server_unavailable', NULL FROM pl WHERE status = 'unavailable' AND before = 'healthy'
+  UNION ALL SELECT DISTINCT p.device_id, p.provider, p.observed_at, 'model_loaded', l.id FROM pl p JOIN loaded l USING (device_id, provider, observed_at) WHERE NOT EXISTS (SELECT 1 FROM loaded b WHERE b.device_id = p.device_id AND b.observed_at = p.before_at AND b.id = l.id)
+  UNION ALL SELECT DISTINCT p.device_id, p.provider, p.observed_at, 'model_unloaded', b.id FROM pl p JOIN loaded b ON b.device_id = p.device_id AND b.observed_at = p.before_at WHERE p.status = 'healthy' AND NOT EXISTS (SELECT 1 FROM loaded l WHERE l.device_id = p.device_id AND l.observed_at = p.observed_at AND l.id = b.id))"""
+
+_bucket = "epoch_us(observed_at) // 300000000"
+_epoch = lambda c: f"coalesce(CAST(epoch_us({c}) // 1000000 AS VARCHAR), '0')"
+
+ORACLES |= {
+    "quota_pace": f"WITH {PACE} SELECT * FROM paced",
+    "quota_at_risk": f"WITH {PACE} SELECT window_key, device_id, status, projected_full_at FROM paced WHERE status = 'limit_reached' OR (status = 'active' AND before_reset)",
+    "quota_latest": f"WITH {READINGS} SELECT provider, window_key, device_id, observed_at, utilization_bps FROM readings QUALIFY row_number() OVER (PARTITION BY provider, window_key ORDER BY observed_at DESC, updated_at DESC, device_id DESC) = 1",
+    "quota_buckets": f"""WITH {READINGS}, b AS (SELECT *, {_bucket} AS bucket, window_key || ':' || {_epoch('period_starts_at')} || ':' || {_epoch('resets_at')} AS shape FROM readings WHERE w < 4
+  QUALIFY row_number() OVER (PARTITION BY {_K}, {_bucket}, period_starts_at, resets_at ORDER BY observed_at DESC) = 1),
+g AS (SELECT provider, device_id, bucket, string_agg(DISTINCT shape, '|' ORDER BY shape) AS shapes FROM b GROUP BY ALL),
+s AS (SELECT b.*, sha256(concat_ws('|', provider, device_id, CAST(bucket AS VARCHAR), shapes)) AS snapshot_id FROM b JOIN g USING (provider, device_id, bucket))
+SELECT snapshot_id, sha256(snapshot_id || '|' || window_key) AS row_id, window_key, device_id, bucket, utilization_bps FROM s""",
+    "merge_replay": f"WITH {LEDGER} SELECT id, provider, total_tokens, sync_status FROM ledger",
+    "merge_revisions": f"""WITH r AS (SELECT sha256('claude' || chr(31) || l_orderkey || chr(31) || 'line:' || l_linenumber) AS id, CAST(l_shipdate AS TIMESTAMP) AS occurred_at, CASE WHEN l_suppkey % 10 = 0 THEN NULL ELSE 'm' END AS model,
+  CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE 'p' END AS project_name, CAST(l_quantity AS BIGINT) AS output_tokens, CAST(floor(l_extendedprice) AS BIGINT) AS total_tokens, l_suppkey % 2 AS half FROM lineitem),
+o AS (SELECT id, total_tokens, output_tokens, occurred_at, half, row_number() OVER (PARTITION BY id ORDER BY {_AUTH}, half) AS rn FROM r)
+SELECT id, total_tokens, output_tokens, occurred_at, CASE WHEN half = 1 THEN 'pending' ELSE 'synced' END AS sync_status FROM o WHERE rn = 1""",
+    "merge_cache_write": f"""WITH {LEDGER} SELECT id, CASE WHEN provider = 'codex' THEN greatest(cache_write_tokens, cache_write_tokens + total_tokens % 3 - 1) ELSE cache_write_tokens END AS cache_write_tokens,
+  CASE WHEN provider = 'codex' AND total_tokens % 3 = 2 THEN 'pending' ELSE sync_status END AS sync_status FROM ledger""",
+    "merge_hourly": f"""WITH {LEDGER}, s AS ({_hourly("measurement_kind <> 'estimated'")}), n AS ({_hourly("sync_status = 'synced'")}),
+j AS (SELECT device_id, model_id, hour, s.p AS sp, s.c AS sc, s.d AS sd, s.r AS sr, n.p, n.c, n.d, n.r, s.p IS NULL OR coalesce(n.p >= s.p AND n.c >= s.c AND n.d >= s.d, false) AS take FROM s FULL JOIN n USING (device_id, model_id, hour))
+SELECT device_id, model_id, hour, {_I('CASE WHEN take THEN p ELSE sp END')} AS prompt_tokens, {_I('CASE WHEN take THEN c ELSE sc END')} AS completion_tokens, {_I('CASE WHEN take THEN d ELSE sd END')} AS cached_tokens, greatest(sr, r) AS requests FROM j""",
+    "merge_remote": f"""WITH {LEDGER} SELECT id, CASE WHEN total_tokens % 5 = 2 AND project_name IS DISTINCT FROM 'Project-3' THEN total_tokens + 1 ELSE total_tokens END AS total_tokens, device_id, project_name FROM ledger""",
+    "pending_batches": f"""WITH {LEDGER}, p AS (SELECT *, (row_number() OVER (PARTITION BY account_id ORDER BY created_at, id) - 1) // 250 AS batch FROM ledger WHERE sync_status IN ('pending', 'error'))
+SELECT account_id, batch, count(*) AS rows, min(created_at) AS oldest, {_I('sum(total_tokens)')} AS tokens FROM p GROUP BY 1, 2""",
+    "acknowledged_rows": f"WITH {LEDGER} SELECT provider, CASE WHEN sync_status = 'error' AND provider <> 'grok' THEN 'synced' ELSE sync_status END AS sync_status, count(*) AS rows FROM ledger GROUP BY 1, 2",
+    "pulled_rows": f"WITH {LEDGER} SELECT account_id, count(*) AS rows, max(updated_at) AS cursor FROM ledger WHERE updated_at > {ts(WEEK)} AND updated_at <= {ts(NOW)} GROUP BY 1",
+    "reconcile_shapes": f"""WITH {LEDGER}, g AS (SELECT * FROM ledger WHERE provider = 'grok' AND measurement_kind = 'measured'),
+u AS (SELECT {_SHAPE}, min('old-' || id) AS legacy_event_id FROM g WHERE native_cost_usd_ticks IS NULL GROUP BY {_SHAPE} HAVING count(*) = 1),
+t AS (SELECT {_SHAPE}, arg_min(id, native_event_id) AS replacement_event_id FROM g GROUP BY {_SHAPE}) SELECT legacy_event_id, replacement_event_id FROM u JOIN t USING ({_SHAPE})""",
+    "reconcile_hints": f"""WITH {LEDGER} SELECT a.id, coalesce(a.superseded_by_event_id, b.id) AS superseded_by_event_id FROM ledger a
+  LEFT JOIN ledger b ON b.native_event_id = 'event:' || (CAST(split_part(a.native_event_id, ':', 2) AS BIGINT) + 6) WHERE a.provider = 'claude'""",
+    "provider_summary": f"""WITH {LEDGER}, p(provider) AS (VALUES ('codex'), ('claude'), ('grok'), ('gemini')),
+s AS (SELECT provider, count(*) AS records, count(DISTINCT native_session_id) AS sessions, count(DISTINCT native_session_id || native_event_id) AS turns, sum(total_tokens) AS tokens, sum(cached_input_tokens) AS cache_read,
+  sum(cache_write_tokens) AS cache_write, sum(native_cost_usd_ticks) AS native, max(occurred_at) AS last_usage FROM layered WHERE canon AND provider <> 'gemini' GROUP BY provider)
+SELECT provider, coalesce(records, 0) AS records, coalesce(sessions, 0) AS sessions, coalesce(turns, 0) AS turns, {_I('coalesce(tokens, 0)')} AS tokens, {_I('coalesce(cache_read, 0)')} AS cache_read,
+  {_I('coalesce(cache_write, 0)')} AS cache_write, {_I('coalesce(native, 0)')} AS native_cost_usd_ticks, last_usage FROM p LEFT JOIN s USING (provider)""",
+    "ledger_validity": f"""WITH {LEDGER}, v AS (SELECT count(*) FILTER (total_tokens % 97 = 1) AS r, count(*) FILTER (total_tokens % 89 = 1) AS i FROM ledger)
+SELECT unnest(['negative_counter', 'unknown_source_type', 'unknown_pricing_status', 'unknown_kind', 'odd_id', 'write_under_split', 'reasoning_over_output', 'identity']) AS rule, unnest([0, 0, 0, 0, 0, 0, r, i]) AS rows FROM v""",
+    "account_totals": f"WITH {LEDGER} SELECT account_id, provider, count(*) AS rows, {_I('sum(total_tokens)')} AS tokens FROM ledger WHERE account_id = 'account-1' GROUP BY 1, 2",
+    "runtime_transitions": f"WITH {POLLS} SELECT * FROM trans",
+    "runtime_first_seen": f"""WITH {POLLS} SELECT device_id, provider, id AS model, min(observed_at) AS first_seen, max(observed_at) AS last_seen, max(observed_at) FILTER ("on") AS last_loaded FROM models GROUP BY 1, 2, 3""",
+    "runtime_counts": f"""WITH {POLLS}, f AS (SELECT * FROM polls QUALIFY row_number() OVER (PARTITION BY device_id, provider ORDER BY observed_at DESC) = 1)
+SELECT device_id, count(*) FILTER (status = 'healthy') AS reachable, {_I("sum(CASE WHEN status = 'healthy' THEN len(list_filter(models, lambda m: m.on)) ELSE 0 END)")} AS loaded_models FROM f GROUP BY 1""",
+    "activity_page": f"""WITH {LEDGER}, {POLLS},
+a AS (SELECT id, occurred_at, provider, source, measurement_kind, total_tokens, friendly_name, layer FROM layered JOIN devices USING (device_id) WHERE superseded_by_event_id IS NULL
+  UNION ALL SELECT sha256(device_id || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|' || state || '|' || coalesce(model, '')), observed_at, provider, 'local_' || state, 'runtime_status', 0, friendly_name, 'runtime' FROM trans JOIN devices USING (device_id))
+SELECT id, provider, source, measurement_kind, total_tokens, friendly_name, layer FROM a ORDER BY occurred_at DESC, id DESC LIMIT 500""",
+}

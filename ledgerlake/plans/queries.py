@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranges import range_start
-from ..operators import cache, dashboard, pricing, sessions
-from ..sources import catalogue
+from ..operators import cache, dashboard, merge, pricing, quota, reconcile, runtime, sessions
+from ..sources import catalogue, derived
 from ..sources.ledger import NOW, devices, ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,139 @@ def cache_by_session(spark, sf_dir):
 @query
 def cache_providers(spark, sf_dir):
     return cache.providers(ledger(spark, sf_dir), WEEK)
+
+
+@query
+def quota_pace(spark, sf_dir):
+    readings = derived.quota_readings(spark, sf_dir)
+    return quota.pace(readings, derived.quota_windows(readings))
+
+
+@query
+def quota_at_risk(spark, sf_dir):
+    readings = derived.quota_readings(spark, sf_dir)
+    return quota.at_risk(quota.pace(readings, derived.quota_windows(readings))).select("window_key", "device_id", "status", "projected_full_at")
+
+
+@query
+def quota_latest(spark, sf_dir):
+    return quota.latest(derived.quota_readings(spark, sf_dir)).select("provider", "window_key", "device_id", "observed_at", "utilization_bps")
+
+
+@query
+def quota_buckets(spark, sf_dir):
+    return quota.bucketed(derived.quota_readings(spark, sf_dir).where("w < 4")).select("snapshot_id", "row_id", "window_key", "device_id", "bucket", "utilization_bps")
+
+
+@query
+def merge_replay(spark, sf_dir):
+    """Replaying the whole ledger over two thirds of it gives it once."""
+    events = ledger(spark, sf_dir)
+    stored = events.where("sync_status <> 'pending'")
+    return merge.insert_absent(stored, events.unionByName(events.where("sync_status = 'error'"))).select("id", "provider", "total_tokens", "sync_status")
+
+
+@query
+def merge_revisions(spark, sf_dir):
+    rows = derived.revisions(spark, sf_dir)
+    stored, incoming = (rows.where(F.col("half") == h).drop("half") for h in (0, 1))
+    once = merge.upsert_revisions(stored.limit(0), stored).withColumn("sync_status", F.lit("synced"))
+    return merge.upsert_revisions(once, incoming).select("id", "total_tokens", "output_tokens", "occurred_at", "sync_status")
+
+
+@query
+def merge_cache_write(spark, sf_dir):
+    events = ledger(spark, sf_dir)
+    larger = events.where("provider = 'codex'").select("id", (F.col("cache_write_tokens") + F.expr("total_tokens % 3 - 1")).alias("cache_write_tokens"))
+    return merge.raise_cache_write(events, larger).select("id", "cache_write_tokens", "sync_status")
+
+
+@query
+def merge_hourly(spark, sf_dir):
+    events = ledger(spark, sf_dir).where("provider = 'omlx' AND model IS NOT NULL")
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01', occurred_at)")
+    buckets = lambda rows: rows.groupBy("device_id", F.col("model").alias("model_id"), hour.alias("hour")).agg(
+        F.sum("input_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("completion_tokens"), F.sum("cached_input_tokens").alias("cached_tokens"), F.count(F.lit(1)).alias("requests")
+    )
+    return merge.merge_hourly(merge.valid_hourly(buckets(events.where("measurement_kind <> 'estimated'")), 600_000), merge.valid_hourly(buckets(events.where("sync_status = 'synced'")), 600_000))
+
+
+@query
+def merge_remote(spark, sf_dir):
+    events = ledger(spark, sf_dir)
+    remote = events.where("total_tokens % 5 < 3").withColumns({
+        "updated_at": F.expr("updated_at + make_dt_interval(0, 0, 0, total_tokens % 5 - 1)"), "total_tokens": F.col("total_tokens") + 1, "device_id": F.lit("elsewhere"),
+        "project_name": F.when(F.col("project_name") == "Project-3", "/home/x").otherwise(F.col("project_name")),
+    })
+    return merge.apply_remote(events, remote).select("id", "total_tokens", "device_id", "project_name")
+
+
+@query
+def pending_batches(spark, sf_dir):
+    return merge.pending(ledger(spark, sf_dir)).groupBy("account_id", "batch").agg(F.count(F.lit(1)).alias("rows"), F.min("created_at").alias("oldest"), F.sum("total_tokens").alias("tokens"))
+
+
+@query
+def acknowledged_rows(spark, sf_dir):
+    events = ledger(spark, sf_dir)
+    done = merge.acknowledged(events, events.where("sync_status = 'error' AND provider <> 'grok'"))
+    return done.groupBy("provider", "sync_status").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def pulled_rows(spark, sf_dir):
+    from_, to = (F.lit(t).cast("timestamp_ntz") for t in (WEEK, NOW))
+    return merge.pulled(ledger(spark, sf_dir), from_, to).groupBy("account_id").agg(F.count(F.lit(1)).alias("rows"), F.max("updated_at").alias("cursor"))
+
+
+@query
+def reconcile_shapes(spark, sf_dir):
+    events = ledger(spark, sf_dir).where("provider = 'grok' AND measurement_kind = 'measured'")
+    legacy = events.where("native_cost_usd_ticks IS NULL").withColumn("id", F.concat(F.lit("old-"), "id"))
+    return reconcile.by_shape(legacy, events.withColumn("turn_id", F.col("native_event_id")))
+
+
+@query
+def reconcile_hints(spark, sf_dir):
+    events = ledger(spark, sf_dir)
+    following = events.select(F.col("native_event_id").alias("n"), F.col("id").alias("replacement_event_id"))
+    number = F.substring_index("native_event_id", ":", -1).cast("long")
+    hints = events.where("provider = 'claude'").select(F.col("id").alias("legacy_event_id"), F.concat(F.lit("event:"), number + 6).alias("n")).join(following, "n")
+    return reconcile.by_hints(events, hints.select("legacy_event_id", "replacement_event_id")).where("provider = 'claude'").select("id", "superseded_by_event_id")
+
+
+@query
+def provider_summary(spark, sf_dir):
+    found = reconcile.provider_summary(ledger(spark, sf_dir).where("provider <> 'gemini'"))
+    return reconcile.with_all_providers(found, ["codex", "claude", "grok", "gemini"])
+
+
+@query
+def ledger_validity(spark, sf_dir):
+    return reconcile.validity(ledger(spark, sf_dir).withColumns({"reasoning_tokens": F.expr("if(total_tokens % 97 = 1, output_tokens + 1, reasoning_tokens)"), "provider": F.expr("if(total_tokens % 89 = 1, 'other', provider)")}))
+
+
+@query
+def account_totals(spark, sf_dir):
+    return reconcile.of_account(ledger(spark, sf_dir), "account-1").groupBy("account_id", "provider").agg(F.count(F.lit(1)).alias("rows"), F.sum("total_tokens").alias("tokens"))
+
+
+@query
+def runtime_transitions(spark, sf_dir):
+    return runtime.transitions(derived.polls(spark, sf_dir))
+
+
+@query
+def runtime_first_seen(spark, sf_dir):
+    return runtime.first_seen(derived.polls(spark, sf_dir))
+
+
+@query
+def runtime_counts(spark, sf_dir):
+    return runtime.counts(derived.polls(spark, sf_dir))
+
+
+@query
+def activity_page(spark, sf_dir):
+    seen = runtime.transitions(derived.polls(spark, sf_dir)).withColumn("id", F.sha2(F.concat_ws("|", "device_id", F.col("observed_at").cast("string"), "state", F.coalesce("model", F.lit(""))), 256))
+    return dashboard.activity_page(ledger(spark, sf_dir), devices(spark, sf_dir), seen, 500).select("id", "provider", "source", "measurement_kind", "total_tokens", "friendly_name", "layer")
