@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import activity, canonical, layer
 from ..functions.ranges import range_start
 
-_DEFENSIBLE = F.col("pricing_status").isin("available", "partial") & F.col("estimated_api_value_usd_micros").isNotNull()
+
+def defensible() -> Column:
+    """Rows whose value counts in sums."""
+    return F.col("pricing_status").isin("available", "partial") & F.col("estimated_api_value_usd_micros").isNotNull()
 
 
 def since(start: datetime | None) -> Column:
@@ -25,7 +28,7 @@ def _sum(column: str | Column, where: Column) -> Column:
 def headline(events: DataFrame, now: datetime, zone: str = "UTC", name: str = "month") -> DataFrame:
     """Counts, tokens of today, month and range, value and pricing coverage, in one scan."""
     counts, here = canonical(), canonical() & since(range_start(name, now, zone))
-    valued = here & _DEFENSIBLE
+    valued = here & defensible()
     row = events.agg(
         _sum("total_tokens", counts & since(range_start("today", now, zone))).alias("tokens_today"),
         _sum("total_tokens", counts & since(range_start("month", now, zone))).alias("tokens_month"),
@@ -65,7 +68,7 @@ def breakdown(events: DataFrame, by: str, start: datetime | None, top: int = 8)
     if by not in GROUPS:
         raise ValueError(f"no breakdown by {by}")
     rows = events.where(canonical() & since(start))
-    groups = rows.groupBy(F.coalesce(by, F.lit(GROUPS[by])).alias("name")).agg(F.sum("total_tokens").alias("tokens"), F.count(F.lit(1)).alias("events"), F.sum(F.when(_DEFENSIBLE, F.col("estimated_api_value_usd_micros"))).alias("value_usd_micros"))
+    groups = rows.groupBy(F.coalesce(by, F.lit(GROUPS[by])).alias("name")).agg(F.sum("total_tokens").alias("tokens"), F.count(F.lit(1)).alias("events"), F.sum(F.when(defensible(), F.col("estimated_api_value_usd_micros"))).alias("value_usd_micros"))
     return _top(groups, rows, top)
 
 
@@ -121,7 +124,7 @@ def ticker(events: DataFrame, now: datetime, zone: str = "UTC") -> DataFrame:
 
 def scenarios(events: DataFrame, start: datetime | None) -> DataFrame:
     """Value of the range at price multipliers from 1 to 10 in steps of a half."""
-    value = events.where(canonical() & since(start) & _DEFENSIBLE).agg(F.sum("estimated_api_value_usd_micros").alias("value"))
+    value = events.where(canonical() & since(start) & defensible()).agg(F.sum("estimated_api_value_usd_micros").alias("value"))
     steps = F.explode(F.sequence(F.lit(2), F.lit(20))).alias("halves")
     return value.select("value", steps).select((F.col("halves") / 2.0).alias("multiplier"), (F.col("value") * F.col("halves") / 2.0).alias("value_usd_micros"))
 
@@ -142,6 +145,6 @@ def daily_rollup(events: DataFrame) -> DataFrame:
     """Additive measures by day and dimension, from which the other reports can be served."""
     keys = [F.col("occurred_at").cast("date").alias("day"), "provider", "source", "model", "project_name", "device_id"]
     return events.where(canonical()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("events"), F.sum("total_tokens").alias("tokens"), F.sum(F.when(_DEFENSIBLE, F.col("estimated_api_value_usd_micros"))).alias("value_usd_micros"),
+        F.count(F.lit(1)).alias("events"), F.sum("total_tokens").alias("tokens"), F.sum(F.when(defensible(), F.col("estimated_api_value_usd_micros"))).alias("value_usd_micros"),
         F.count_if(F.col("pricing_status") == "available").alias("priced_events"),
     )
