@@ -203,9 +203,8 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        self.cache.trim()
         raw, offsets, stops = self.split(texts)
-        known, out, a = self.cache.__getitem__, [], 0
+        known, out, a = self.cache.lookup(), [], 0
         for b in stops.tolist():
             cuts = offsets[a : b + 1].tolist()
             out.append(b"".join([known(raw[x:y]) for x, y in zip(cuts, cuts[1:])]))

@@ -79,17 +79,10 @@ def map_blocks(
     return df.mapInArrow(run, schema)
 
 
-class PieceCache(dict):
-    """Values of text pieces, each made by make(piece) when first asked for.
-
-    Kept in two generations: pieces in use stay, those unused for a whole
-    generation go, so at most 2 * limit are held. trim() ends a generation that
-    is full; call it between blocks.
-    """
-
-    def __init__(self, make: Callable, limit: int = 400_000):
+class _Generation(dict):
+    def __init__(self, make: Callable, old: dict):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.old = make, old
 
     def __missing__(self, piece):
         value = self.old.get(piece)
@@ -98,10 +91,23 @@ class PieceCache(dict):
         self[piece] = value
         return value
 
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
+
+class PieceCache:
+    """Values of text pieces, each made by make(piece) when first asked for.
+
+    Kept in two generations: pieces in use stay, those unused for a whole
+    generation go, so at most 2 * limit are held. lookup() ends a generation that
+    is full; ask for it anew with each block.
+    """
+
+    def __init__(self, make: Callable, limit: int = 250_000):
+        self.make, self.limit, self.now = make, limit, _Generation(make, {})
+
+    def lookup(self) -> Callable:
+        if len(self.now) > self.limit:
+            self.now.old = {}
+            self.now = _Generation(self.make, self.now)
+        return self.now.__getitem__
 
 
 def unsigned_crc32(column: F.Column) -> F.Column:

@@ -87,8 +87,7 @@ class TokenIds:
 
     def encode(self, texts: list[bytes], end: int | None = None) -> list[bytes]:
         tail = b"" if end is None else array("I", [end]).tobytes()
-        self.cache.trim()
-        known, cut = self.cache.__getitem__, self.cut
+        known, cut = self.cache.lookup(), self.cut
         return [b"".join(map(known, cut(t))) + tail for t in texts]
 
 

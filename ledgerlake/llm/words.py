@@ -7,22 +7,16 @@ from itertools import chain
 import numpy as np
 import xxhash
 
-from .common import PieceCache
-
 
 class WordHashes:
     """64-bit hashes of the words (runs between ASCII white space) of blocks of texts."""
 
-    def __init__(self):
-        self.cache = PieceCache(xxhash.xxh3_64_intdigest)
-
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words, and the bounds of each text's words in them."""
-        self.cache.trim()
         words = [t.split() for t in texts]
         bounds = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(w) for w in words], out=bounds[1:])
-        return np.fromiter(map(self.cache.__getitem__, chain.from_iterable(words)), np.uint64, int(bounds[-1])), bounds
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(bounds[-1])), bounds
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
