@@ -351,7 +351,7 @@ def wide_links(prints: DataFrame) -> DataFrame:
     bands = bands_for(prints.count())
     heads = prints.select("node", F.substring("print", 1, 8 * HEAD).alias("print"))
     near = _in_bands(heads, bands)
-    touched = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    touched = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return _in_bands(prints.join(stored(touched, "touched"), "node", "left_semi"), bands)
 
 
