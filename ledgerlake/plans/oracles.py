@@ -265,3 +265,45 @@ a AS (SELECT id, occurred_at, provider, source, measurement_kind, total_tokens,
   UNION ALL SELECT sha256(device_id || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|' || state || '|' || coalesce(model, '')), observed_at, provider, 'local_' || state, 'runtime_status', 0, friendly_name, 'runtime' FROM trans JOIN devices USING (device_id))
 SELECT id, provider, source, measurement_kind, total_tokens, friendly_name, layer FROM a ORDER BY occurred_at DESC, id DESC LIMIT 500""",
 }
+
+_CODEX = "provider = 'codex' AND measurement_kind = 'measured'"
+_ONE = "canon AND provider = 'claude' AND native_session_id = '7-20260810'"
+
+ORACLES |= {
+    "scan_codex": f"""WITH {LEDGER}, c AS (SELECT *, split_part(native_event_id, ':', 2) AS n FROM ledger WHERE {_CODEX})
+SELECT sha256('codex' || chr(31) || native_session_id || chr(31) || 'ordinal:' || n) AS id, 'codex' AS provider, 'codex_cli' AS source, native_session_id, 'ordinal:' || n AS native_event_id, occurred_at,
+  last_value(model IGNORE NULLS) OVER o AS model, last_value(project_name IGNORE NULLS) OVER o AS project_name, input_tokens, cached_input_tokens, cache_write_tokens, CAST(0 AS BIGINT) AS cache_write_5m_tokens, CAST(0 AS BIGINT) AS cache_write_1h_tokens,
+  output_tokens, reasoning_tokens, total_tokens FROM c WINDOW o AS (PARTITION BY native_session_id ORDER BY occurred_at, native_event_id ROWS UNBOUNDED PRECEDING)""",
+    "scan_codex_diagnostics": f"WITH {LEDGER} SELECT 'codex' AS provider, 'warning' AS health, least(20, count(DISTINCT native_session_id)) AS shown FROM ledger WHERE {_CODEX}",
+    "scan_claude": """SELECT 'order-' || l_orderkey AS native_session_id, 'request:r' || l_linenumber AS native_event_id, CAST(l_shipdate AS TIMESTAMP) AS occurred_at, 'claude-' || l_suppkey % 3 AS model,
+  CAST(floor(l_extendedprice) AS BIGINT) AS input_tokens, CAST(l_quantity AS BIGINT) AS output_tokens, CAST(floor(l_extendedprice) AS BIGINT) + CAST(l_quantity AS BIGINT) AS total_tokens FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY floor(l_extendedprice) + l_quantity DESC, l_quantity DESC, l_shipdate DESC, l_suppkey) = 1""",
+    "runtime_inventory": """WITH p AS (SELECT *, p_brand || '-' || p_partkey // 10000 AS response_id FROM part)
+SELECT response_id, 'part-' || p_partkey AS model, p_partkey % 3 > 0 AS loaded, CAST(CASE WHEN p_partkey % 3 = 1 OR (p_partkey % 3 = 2 AND p_partkey % 2 = 0) THEN p_size END AS BIGINT) AS context_length, CAST(p_size AS BIGINT) AS size_bytes, p_type AS parameters
+  FROM p WHERE response_id IN (SELECT response_id FROM p GROUP BY 1 HAVING count(*) <= 512)""",
+    "quota_windows": """SELECT c_custkey AS response_id, 'five_hour' AS key, '5-hour' AS label, 'rolling' AS kind, NULL AS scope, CAST(round(c_custkey % 1000 / 8.0 * 100) AS INT) AS utilization_bps, TIMESTAMP '2026-09-06 04:00:00' AS resets_at FROM customer WHERE c_custkey % 1000 <= 800
+  UNION ALL SELECT c_custkey, 'weekly_model_' || c_nationkey, 'Model ' || c_nationkey, 'model_weekly', 'model_' || c_nationkey, CAST(c_custkey % 101 * 100 AS INT), NULL FROM customer""",
+    "billing_windows": """SELECT c_custkey AS response_id, 'monthly_credits' AS key, 'monthly' AS kind, CAST(c_custkey % 300 * 10000 // (c_custkey % 500 + 1) AS INT) AS utilization_bps, TIMESTAMP '2026-08-01' AS period_starts_at
+  FROM customer WHERE c_custkey % 300 <= c_custkey % 500 + 1""",
+    "extra_usage": """SELECT c_custkey AS response_id, c_custkey % 7 AS "limit", c_custkey % 5 AS used, CAST(NULL AS BIGINT) AS prepaid, c_custkey % 7 > 0 OR c_custkey % 5 > 0 AS enabled,
+  CASE WHEN c_custkey % 7 > 0 AND c_custkey % 5 <= c_custkey % 7 THEN c_custkey % 5 * 10000 // (c_custkey % 7) END AS utilization_bps FROM customer""",
+    "subscription_total": f"""WITH s AS (SELECT c_custkey * 37 % 20000 AS cents, c_custkey % 4 = 0 AS annual FROM customer WHERE c_nationkey % 3 <> 0)
+SELECT {_I('sum(cents)')} AS monthly_cents, {_I('sum(CASE WHEN annual THEN cents // 12 ELSE cents END)')} AS monthly_cents_spread, count(*) AS active FROM s""",
+    "refresh_state": """WITH a AS (SELECT o_orderpriority AS provider, o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS attempted_at, CASE WHEN o_orderkey % 5 = 0 THEN 'healthy' ELSE 'error' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN 9000 END AS wait FROM orders),
+b AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY attempted_at DESC, id DESC) AS back, sum(CASE WHEN status = 'healthy' THEN 1 ELSE 0 END) OVER (PARTITION BY provider ORDER BY attempted_at DESC, id DESC) AS ok FROM a),
+c AS (SELECT provider, count(*) FILTER (ok = 0) AS failures FROM b GROUP BY provider)
+SELECT provider, status, attempted_at, CAST(failures AS BIGINT) AS failures, CASE WHEN failures > 0 THEN CAST(least(86400, greatest(coalesce(wait, 0), least(3600, 300 * pow(2, least(failures - 1, 8))))) AS BIGINT) END AS wait_seconds FROM b JOIN c USING (provider) WHERE back = 1""",
+    "session_details": f"""WITH {LEDGER} SELECT provider, source, native_session_id, min(occurred_at) AS started_at, max(occurred_at) AS last_activity_at, count(*) AS events, {_I('sum(total_tokens)')} AS total_tokens, count(DISTINCT model) AS models,
+  count(DISTINCT friendly_name) AS device_names, count(*) FILTER (total_tokens > 0) AS relevant FROM layered JOIN devices USING (device_id) WHERE canon GROUP BY 1, 2, 3""",
+    "session_models": f"WITH {LEDGER} SELECT coalesce(model, 'Unknown model') AS model, {_I('sum(total_tokens)')} AS tokens, count(*) AS events FROM layered JOIN devices USING (device_id) WHERE {_ONE} GROUP BY 1",
+    "session_timeline": f"WITH {PRICED} SELECT id, occurred_at, model, total_tokens, estimated_api_value_usd_micros, pricing_status FROM priced JOIN devices USING (device_id) WHERE {_ONE} ORDER BY occurred_at, id LIMIT 100",
+    "cache_shown": f"""WITH {_CACHE}, x AS ({_cache_finish("provider || ':' || coalesce(model, 'Unknown model') AS label", 'GROUP BY label', _in30)})
+SELECT label, cache_read_tokens, cache_write_tokens, reuse_bps FROM x WHERE cache_read_tokens > 0 OR cache_write_tokens > 0 ORDER BY cache_read_tokens DESC, input_context_tokens DESC NULLS LAST, label LIMIT 6""",
+    "unreconciled_legacy": f"WITH {LEDGER} SELECT provider, count(*) AS unreconciled FROM ledger WHERE regexp_matches(native_event_id, '^event:[0-9]*[05]$') AND provider IN ('claude', 'grok') AND superseded_by_event_id IS NULL GROUP BY 1",
+    "quarantined": f"WITH {LEDGER} SELECT id, 'reasoning_over_output' AS broken FROM ledger WHERE total_tokens % 97 = 1",
+    "identity_conflicts": f"WITH {LEDGER} SELECT id, CASE WHEN total_tokens % 13 = 1 THEN 'device-x' ELSE device_id END AS device_id FROM ledger WHERE total_tokens % 13 = 1 OR superseded_by_event_id IS NOT NULL",
+    "day_summary": f"""WITH {LEDGER}, {POLLS}, u AS (SELECT occurred_at, total_tokens, measurement_kind FROM ledger UNION ALL SELECT observed_at, 0, 'runtime_status' FROM trans)
+SELECT strftime(occurred_at, '%Y-%m-%d') AS day, {_I("coalesce(sum(total_tokens) FILTER (measurement_kind = 'measured'), 0)")} AS tokens, count(*) FILTER (measurement_kind = 'activity_only') AS minutes, count(*) FILTER (measurement_kind = 'runtime_status') AS observations FROM u GROUP BY 1""",
+    "retained_observations": f"""WITH {POLLS}, r AS (SELECT * FROM trans WHERE observed_at >= {ts(NOW)} - INTERVAL 90 DAY QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observed_at DESC, provider, state, model NULLS FIRST) <= 10000)
+SELECT device_id, state, count(*) AS rows, min(observed_at) AS first FROM r GROUP BY 1, 2""",
+}

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import canonical
 from ..functions.ranges import range_start
 from ..operators import cache, dashboard, merge, pricing, quota, reconcile, runtime, sessions
-from ..sources import catalogue, derived
+from ..sources import catalogue, derived, logs, responses
 from ..sources.ledger import NOW, devices, ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,3 +286,106 @@ def runtime_counts(spark, sf_dir):
 def activity_page(spark, sf_dir):
     seen = runtime.transitions(derived.polls(spark, sf_dir)).withColumn("id", F.sha2(F.concat_ws("|", "device_id", F.col("observed_at").cast("string"), "state", F.coalesce("model", F.lit(""))), 256))
     return dashboard.activity_page(ledger(spark, sf_dir), devices(spark, sf_dir), seen, 500).select("id", "provider", "source", "measurement_kind", "total_tokens", "friendly_name", "layer")
+
+
+@query
+def scan_codex(spark, sf_dir):
+    return logs.codex(derived.codex_logs(spark, sf_dir))[0].drop("path", "line")
+
+
+@query
+def scan_codex_diagnostics(spark, sf_dir):
+    found = logs.codex(derived.codex_logs(spark, sf_dir))[1]
+    return reconcile.health(found)
+
+
+@query
+def scan_claude(spark, sf_dir):
+    events, _ = logs.claude(derived.claude_logs(spark, sf_dir))
+    return events.select("native_session_id", "native_event_id", "occurred_at", "model", "input_tokens", "output_tokens", "total_tokens")
+
+
+@query
+def runtime_inventory(spark, sf_dir):
+    return responses.models(derived.inventories(spark, sf_dir)).select("response_id", "model", "loaded", "context_length", "size_bytes", "parameters")
+
+
+@query
+def quota_windows(spark, sf_dir):
+    return responses.flat_and_dynamic_windows(derived.quota_responses(spark, sf_dir))
+
+
+@query
+def billing_windows(spark, sf_dir):
+    return responses.billing_windows(derived.billing_responses(spark, sf_dir)).select("response_id", "key", "kind", "utilization_bps", "period_starts_at")
+
+
+@query
+def extra_usage(spark, sf_dir):
+    return responses.extra_usage(derived.billing_responses(spark, sf_dir))
+
+
+@query
+def subscription_total(spark, sf_dir):
+    return dashboard.subscriptions_total(derived.subscriptions(spark, sf_dir))
+
+
+@query
+def refresh_state(spark, sf_dir):
+    return quota.refresh_state(derived.refresh_attempts(spark, sf_dir)).select("provider", "status", "attempted_at", "failures", "wait_seconds")
+
+
+@query
+def session_details(spark, sf_dir):
+    """Details of every session: what the list shows, with device names; hourly rows count."""
+    rows = ledger(spark, sf_dir).where(canonical()).join(devices(spark, sf_dir), "device_id")
+    return sessions.detail(rows).select(*sessions.KEYS, "started_at", "last_activity_at", "events", "total_tokens", "models", "device_names", "relevant")
+
+
+@query
+def session_models(spark, sf_dir):
+    """Models of the sessions of one user and day."""
+    rows = sessions.one(ledger(spark, sf_dir), devices(spark, sf_dir), ("claude", "claude_code", "7-20260810"))
+    return sessions.detail_models(rows)
+
+
+@query
+def session_timeline(spark, sf_dir):
+    rows = sessions.one(valued(spark, sf_dir), devices(spark, sf_dir), ("claude", "claude_code", "7-20260810"))
+    return sessions.timeline(rows)
+
+
+@query
+def cache_shown(spark, sf_dir):
+    return cache.shown(cache.report(ledger(spark, sf_dir), catalogue.rules(spark), LAST_30), "model").select("label", "cache_read_tokens", "cache_write_tokens", "reuse_bps")
+
+
+@query
+def unreconciled_legacy(spark, sf_dir):
+    return reconcile.unreconciled(ledger(spark, sf_dir), F.col("native_event_id").rlike("^event:[0-9]*[05]$") & F.col("provider").isin("claude", "grok"))
+
+
+@query
+def quarantined(spark, sf_dir):
+    odd = ledger(spark, sf_dir).withColumn("reasoning_tokens", F.expr("if(total_tokens % 97 = 1, output_tokens + 1, reasoning_tokens)"))
+    return reconcile.quarantine(odd)[1].select("id", F.array_join("broken", ",").alias("broken"))
+
+
+@query
+def identity_conflicts(spark, sf_dir):
+    events = ledger(spark, sf_dir)
+    changed = events.withColumn("device_id", F.expr("if(total_tokens % 13 = 1, 'device-x', device_id)"))
+    return reconcile.identity_conflicts(events, changed).select("id", "device_id")
+
+
+@query
+def day_summary(spark, sf_dir):
+    seen = runtime.transitions(derived.polls(spark, sf_dir)).withColumn("id", F.lit("x"))
+    usage = ledger(spark, sf_dir).select("occurred_at", "total_tokens", "measurement_kind")
+    both = usage.unionByName(seen.select(F.col("observed_at").alias("occurred_at"), F.lit(0).cast("long").alias("total_tokens"), F.lit("runtime_status").alias("measurement_kind")))
+    return dashboard.day_summary(both)
+
+
+@query
+def retained_observations(spark, sf_dir):
+    return runtime.retained(runtime.transitions(derived.polls(spark, sf_dir)), NOW).groupBy("device_id", "state").agg(F.count(F.lit(1)).alias("rows"), F.min("observed_at").alias("first"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hashed
-from .ledger import table
+from .ledger import NOW, PROVIDERS, ledger, table
 
 KINDS = ["rolling", "weekly", "product", "other", "monthly"]
 
@@ -61,3 +61,68 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("device-"), "device").alias("device_id"), F.lit("omlx").alias("provider"), F.expr("timestampadd(SECOND, cast(n * 100 + k % 50 as int), TIMESTAMP_NTZ '2026-09-01 00:00:00')").alias("observed_at"),
         F.expr("CASE event_type WHEN 'error' THEN 'unavailable' WHEN 'signup' THEN 'not_detected' ELSE 'healthy' END").alias("status"), F.array(model("a", 3), model("b", 4)).alias("models"),
     )
+
+
+def codex_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a session log for each codex session of the ledger, one line of context and one of usage per measured row."""
+    rows = ledger(spark, sf_dir).where("provider = 'codex' AND measurement_kind = 'measured'")
+    number = F.substring_index("native_event_id", ":", -1).cast("long")
+    turn = F.to_json(F.struct(F.lit("turn_context").alias("type"), F.struct(F.concat(F.lit("t"), number).alias("turn_id"), "model", F.concat(F.lit("/work/"), "project_name").alias("cwd")).alias("payload")))
+    usage = F.struct("input_tokens", "cached_input_tokens", F.col("cache_write_tokens").alias("cache_write_input_tokens"), "output_tokens", F.col("reasoning_tokens").alias("reasoning_output_tokens"), "total_tokens")
+    count = F.to_json(F.struct(
+        F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), number.alias("ordinal"), F.lit("event_msg").alias("type"),
+        F.struct(F.lit("token_count").alias("type"), F.struct(usage.alias("last_token_usage")).alias("info")).alias("payload"),
+    ))
+    lines = rows.groupBy("native_session_id").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "native_event_id", F.concat(turn, F.lit("\n"), count).alias("text")))).alias("l"))
+    meta = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("native_session_id").alias("id")).alias("payload")))
+    return lines.select(F.concat(F.lit("/logs/"), "native_session_id", F.lit(".jsonl")).alias("path"), F.concat(meta, F.lit("\n{broken\n"), F.array_join("l.text", "\n"), F.lit("\n")).alias("content"))
+
+
+def claude_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a log for each order of ``lineitem``, whose repeated lines are revisions of a request."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_shipdate").cast("timestamp_ntz").alias("at"), F.floor("l_extendedprice").cast("long").alias("input_tokens"), F.col("l_quantity").cast("long").alias("output_tokens")
+    )
+    line = F.to_json(F.struct(
+        F.lit("assistant").alias("type"), F.concat(F.lit("order-"), "l_orderkey").alias("sessionId"), F.concat(F.lit("r"), "l_linenumber").alias("requestId"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.struct(F.concat(F.lit("claude-"), F.col("l_suppkey") % 3).alias("model"), F.struct("input_tokens", "output_tokens").alias("usage")).alias("message"),
+    ))
+    lines = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "at", "input_tokens", "output_tokens", line.alias("text")))).alias("l"))
+    return lines.select(F.concat(F.lit("/logs/"), "l_orderkey", F.lit(".jsonl")).alias("path"), F.array_join("l.text", "\n").alias("content"))
+
+
+def inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response for every brand and ten thousand parts of ``part``, the parts being the models of a runtime."""
+    entry = F.struct(F.concat(F.lit("part-"), "p_partkey").alias("key"), F.col("p_size").cast("long").alias("size_bytes"), F.col("p_type").alias("params_string"), F.expr("transform(slice(array(1, 2), 1, cast(p_partkey % 3 as int)), i -> named_struct('id', cast(i as string), 'config', named_struct('context_length', p_size * if(p_partkey % 2 = 0, 1, i))))").alias("instances"))
+    rows = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("-"), F.expr("p_partkey div 10000")).alias("response_id"), entry.alias("e"))
+    body = F.to_json(F.struct(F.transform(F.collect_list("e"), lambda e: F.struct(e["key"].alias("key"), e["size_bytes"].alias("size_bytes"), e["params_string"].alias("params_string"), e["instances"].alias("loaded_instances"))).alias("models")))
+    return rows.groupBy("response_id").agg(body.alias("body")).select("response_id", F.lit("lmstudio").alias("provider"), "body", F.lit(NOW).cast("timestamp_ntz").alias("received_at"))
+
+
+def quota_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quota response for each customer: a flat window, and a list of limits by nation."""
+    body = F.to_json(F.struct(
+        F.struct((F.col("c_custkey") % 1000 / 8.0).alias("utilization"), F.lit("2026-09-06T04:00:00Z").alias("resets_at")).alias("five_hour"),
+        F.array(F.struct(F.concat(F.lit("model_"), F.col("c_nationkey")).alias("scope"), (F.col("c_custkey") % 101).cast("double").alias("utilization"))).alias("limits"),
+    ))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("response_id"), F.lit("claude").alias("provider"), body.alias("body"), F.lit(NOW).cast("timestamp_ntz").alias("received_at"))
+
+
+def billing_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A legacy billing response for each customer."""
+    cents = lambda c: F.struct(c.cast("long").alias("val"))
+    config = F.struct(cents(F.col("c_custkey") % 500 + 1).alias("monthlyLimit"), cents(F.col("c_custkey") % 300).alias("used"), F.lit("2026-08-01T00:00:00Z").alias("billingPeriodStart"), cents(F.col("c_custkey") % 7).alias("onDemandCap"), cents(F.col("c_custkey") % 5).alias("onDemandUsed"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("response_id"), F.lit("grok").alias("provider"), F.to_json(F.struct(config.alias("config"))).alias("body"), F.lit(NOW).cast("timestamp_ntz").alias("received_at"))
+
+
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscriptions over ``customer``."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.element_at(F.array(*map(F.lit, PROVIDERS)), (F.col("c_custkey") % 6 + 1).cast("int")).alias("provider"), (F.col("c_custkey") * 37 % 20_000).alias("price_cents"), F.expr("if(c_custkey % 4 = 0, 'annual', 'monthly')").alias("cadence"), (F.col("c_nationkey") % 3 != 0).alias("active"))
+
+
+def refresh_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of quota refreshes over ``orders``: a series per order priority."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("provider"), F.col("o_orderkey").alias("attempt_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("attempted_at"), F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'healthy' ELSE 'error' END").alias("status"),
+        F.expr("CASE WHEN o_orderkey % 11 = 0 THEN 9000 END").alias("retry_after_seconds"),
+    )
