@@ -31,6 +31,15 @@ def spaced_words_of(text: bytes) -> list[str]:
     return _spaced(text.decode())
 
 
+# What keeps a text from being cut at single spaces and line feeds alone: other white space, or two in a row.
+_UNEVEN = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+
+
+def evenly_spaced(text: bytes) -> bool:
+    """Whether white space is single spaces and line feeds only, so that each starts a piece."""
+    return not any(map(text.__contains__, _UNEVEN))
+
+
 #: Below this code point NFC changes nothing and letter and number classes are settled.
 _PLAIN = 0x250
 _beyond = re.compile(f"[^\0-{chr(_PLAIN - 1)}]").search
@@ -78,17 +87,34 @@ class TokenIds:
 
     def _make(self, piece: bytes | str) -> bytes:
         text = piece.decode() if isinstance(piece, bytes) else piece
+        if text is not piece and self.cut is not words_of and not text.startswith("\n"):
+            text = " " + text
         lower = text.lower() if self.cut is words_of else text
         if _beyond(lower):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if lower.isascii() and lower.isalpha():
             return array("I", [t.id for t in self.tokenize(lower)]).tobytes()
-        return array("I", [t.id for p in self.split(lower) for t in self.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return array("I", [t.id for p in self.split(lower) for t in self.tokenize(self._lettered(p))]).tobytes()
+
+    def _lettered(self, piece: str) -> str:
+        """The piece with a letter for each byte; printable ASCII but the space stands for itself."""
+        if piece.isascii() and piece.isprintable():
+            return self.letters[0x20] + piece[1:] if piece[0] == " " else piece
+        return piece.encode().decode("latin-1").translate(self.letters)
 
     def encode(self, texts: list[bytes], end: int | None = None) -> list[bytes]:
         tail = b"" if end is None else array("I", [end]).tobytes()
         known, cut = self.cache.lookup(), self.cut
-        return [b"".join(map(known, cut(t))) + tail for t in texts]
+        if cut is words_of:
+            return [b"".join(map(known, cut(t))) + tail for t in texts]
+        return [self._spaced(t, known) + tail for t in texts]
+
+    def _spaced(self, text: bytes, known) -> bytes:
+        """Ids of a text with white space kept. A piece of bytes stands for itself after a space, or after nothing if it starts with a line feed."""
+        if not evenly_spaced(text):
+            return b"".join(map(known, self.cut(text)))
+        first, *rest = text.replace(b"\n", b" \n").split(b" ")
+        return (known(first.decode()) if first else b"") + b"".join(map(known, rest))
 
 
 @cache

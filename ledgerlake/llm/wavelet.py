@@ -42,10 +42,11 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max(initial=0)).bit_length())
+        ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         width = -(-len(ids) // BLOCK) * BLOCK // 8
         planes, zeros, ranks = np.zeros((bits, width), np.uint8), np.zeros(bits, np.int64), np.zeros((bits, width * 8 // BLOCK + 1), np.uint32)
         for level in range(bits):
-            bit = ((ids >> np.uint32(bits - 1 - level)) & np.uint32(1)).astype(bool)
+            bit = (ids & ids.dtype.type(1 << bits - 1 - level)) != 0
             packed = np.packbits(bit, bitorder="little")
             planes[level, : len(packed)] = packed
             np.cumsum(np.bitwise_count(planes[level]).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32), out=ranks[level, 1:])
@@ -114,14 +115,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids: planes undone from the lowest up."""
-        low = np.zeros(self.length, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        low = np.zeros(self.length, kind)
         for level in reversed(range(self.bits)):
             bit = np.unpackbits(self.planes[level], count=self.length, bitorder="little").astype(bool)
-            out, z = np.empty(self.length, np.uint32), int(self.zeros[level])
+            out, z = np.empty(self.length, kind), int(self.zeros[level])
             out[~bit] = low[:z]
-            out[bit] = low[z:] | np.uint32(1 << (self.bits - 1 - level))
+            out[bit] = low[z:] | kind(1 << (self.bits - 1 - level))
             low = out
-        return low
+        return low.astype(np.uint32)
 
 
 def write_file(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
