@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,8 @@ def map_blocks(
     df: DataFrame, schema: str, work: Callable[[Iterator[tuple[pa.RecordBatch, list[bytes]]]], Iterator[pa.RecordBatch]], column: str = "text"
 ) -> DataFrame:
     """mapInArrow with work fed by text_blocks."""
+    # Python workers import this package from where the driver has it, unless they are told otherwise.
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(text_blocks(batches, column))
