@@ -290,7 +290,7 @@ def activity_page(spark, sf_dir):
 
 @query
 def scan_codex(spark, sf_dir):
-    return logs.codex(derived.codex_logs(spark, sf_dir))[0].drop("path", "line")
+    return logs.codex(derived.codex_logs(spark, sf_dir))[0].drop("path", "line", "native_cost_usd_ticks")
 
 
 @query

@@ -59,10 +59,10 @@ def _outcome(rows: DataFrame, ignored: Column) -> DataFrame:
     return rows.withColumn("outcome", code)
 
 
-def _events(rows: DataFrame, provider: str, source: str, counters: Columns, native_id: Column) -> DataFrame:
+def _events(rows: DataFrame, provider: str, source: str, counters: Columns, native_id: Column, native_cost: Column | None = None) -> DataFrame:
     """One row per native event id of a file, the first line kept."""
-    tokens = {k: v for k, v in counters.items()}
-    out = rows.where("outcome = 'event'").withColumns(tokens).withColumn("native_event_id", native_id)
+    cost = F.lit(None) if native_cost is None else native_cost
+    out = rows.where("outcome = 'event'").withColumns(counters | {"native_event_id": native_id, "native_cost_usd_ticks": cost.cast("long")})
     once = Window.partitionBy("path", "session", "native_event_id").orderBy("line")
     out = out.withColumn("_r", F.row_number().over(once)).where("_r = 1")
     total = F.when(F.col("total_tokens") > 0, F.col("total_tokens")).otherwise(F.col("input_tokens") + F.col("output_tokens"))
@@ -70,7 +70,7 @@ def _events(rows: DataFrame, provider: str, source: str, counters: Columns, nati
         hashed(F.lit(provider), F.col("session"), F.col("native_event_id")).alias("id"), F.lit(provider).alias("provider"), F.lit(source).alias("source"), F.col("session").alias("native_session_id"), "native_event_id",
         "occurred_at", safe_identifier(F.col("model")).alias("model"), project_name(F.col("cwd")).alias("project_name"), "input_tokens", "cached_input_tokens",
         F.greatest(F.col("cache_write_tokens"), F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")).alias("cache_write_tokens"), "cache_write_5m_tokens", "cache_write_1h_tokens", "output_tokens", "reasoning_tokens", total.alias("total_tokens"),
-        "path", "line",
+        "native_cost_usd_ticks", "path", "line",
     )
 
 
@@ -153,7 +153,10 @@ def grok(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = F.coalesce(F.map_entries(models), F.array().cast(f"array<struct<key:string,value:{shape}>>"))
     fallback = F.array(F.struct(_first(f"{update}.modelId", "$.params.modelId").alias("key"), whole.alias("value")))
     used = F.filter(F.when(F.size(entries) > 0, entries).otherwise(fallback), lambda e: F.coalesce(e["value"]["inputTokens"], F.lit(0)) + F.coalesce(e["value"]["outputTokens"], F.lit(0)) + F.coalesce(e["value"]["totalTokens"], F.lit(0)) > 0)
-    each = rows.where("outcome = 'event'").withColumn("e", F.explode(used)).withColumn("model", F.col("e.key"))
+    complete = lambda u: F.when(~F.coalesce(u["costIsPartial"], F.lit(False)) & (u["costUsdTicks"] >= 0), u["costUsdTicks"])
+    each = rows.where("outcome = 'event'").withColumns({"u": used, "top_cost": complete(whole)}).withColumn("e", F.explode("u")).withColumn("model", F.col("e.key"))
+    # A turn of one model has the whole turn's cost; that of several is not divided.
+    native_cost = F.coalesce(complete(F.col("e.value")), F.when(F.size("u") == 1, F.col("top_cost")))
     get = lambda f: F.greatest(F.coalesce(F.col(f"e.value.{f}"), F.lit(0)), F.lit(0))
     counters = {
         "input_tokens": get("inputTokens"), "cached_input_tokens": get("cachedReadTokens"), "cache_write_tokens": get("cacheCreationTokens"), "cache_write_5m_tokens": F.lit(0).cast("long"), "cache_write_1h_tokens": F.lit(0).cast("long"),
@@ -161,7 +164,7 @@ def grok(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     }
     turn = F.sha2(F.concat_ws(SEPARATOR, "session", F.coalesce("turn", F.concat(F.lit("line:"), F.col("line")))), 256)
     native = F.concat(F.lit("turn:"), turn, F.lit(":model:"), F.sha2(F.coalesce("model", F.lit("unknown-model")), 256))
-    return _events(each, "grok", "grok_build", counters, native), diagnostics(rows, "grok")
+    return _events(each, "grok", "grok_build", counters, native, native_cost), diagnostics(rows, "grok")
 
 
 def gemini(files: DataFrame) -> tuple[DataFrame, DataFrame]:
