@@ -49,10 +49,10 @@ def priced(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 def with_cache_impact(events: DataFrame, rules: DataFrame) -> DataFrame:
     """events with what caching saved (or cost) in micros, and its pricing; null where the row used no cache."""
-    known = {t: (t if i == 0 else t, r) for i, (t, r) in enumerate((("cached_input_tokens", "cached_rate"), (_W5, "write_5m_rate"), (_W1, "write_1h_rate")))}
-    saved = " + ".join(f"CASE WHEN {t} > 0 AND rule.{r} IS NOT NULL THEN {cost(t, 'rule.input_rate')} - {cost(t, f'rule.{r}')} ELSE 0 END" for t, r in known.values())
-    done = " + ".join(f"CASE WHEN {t} > 0 AND rule.{r} IS NOT NULL THEN {t} ELSE 0 END" for t, r in known.values())
-    missing = " + ".join(f"CASE WHEN {t} > 0 AND rule.{r} IS NULL THEN {t} ELSE 0 END" for t, r in known.values()) + f" + cache_write_tokens - {_W5} - {_W1}"
+    parts = [("cached_input_tokens", "cached_rate"), (_W5, "write_5m_rate"), (_W1, "write_1h_rate")]
+    saved = " + ".join(f"CASE WHEN {t} > 0 AND rule.{r} IS NOT NULL THEN {cost(t, 'rule.input_rate')} - {cost(t, f'rule.{r}')} ELSE 0 END" for t, r in parts)
+    done = " + ".join(f"CASE WHEN {t} > 0 AND rule.{r} IS NOT NULL THEN {t} ELSE 0 END" for t, r in parts)
+    missing = " + ".join(f"CASE WHEN {t} > 0 AND rule.{r} IS NULL THEN {t} ELSE 0 END" for t, r in parts) + f" + cache_write_tokens - {_W5} - {_W1}"
     relevant = "(cached_input_tokens > 0 OR cache_write_tokens > 0)"
     ruled = with_rule(events, rules).withColumns({"_done": F.expr(f"CASE WHEN rule IS NOT NULL THEN {done} ELSE 0 END"), "_missing": F.expr(missing)})
     return ruled.withColumns({

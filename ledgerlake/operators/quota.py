@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import backoff_seconds
+
 # Fixed values of the pace analysis, in seconds, basis points and readings.
 RECENT, EXPANDED, MIN_SPAN, MIN_SAMPLES = 3600, 21_600, 600, 3
 JITTER, DROP, STALE, CAP = 50, 500, 900, 512
@@ -117,8 +119,6 @@ def bucketed(readings: DataFrame) -> DataFrame:
 
 def refresh_state(attempts: DataFrame) -> DataFrame:
     """Latest outcome of each provider, failures since its last success, and when to try again."""
-    from ..functions.columns import backoff_seconds
-
     series = Window.partitionBy("provider").orderBy("attempted_at", "attempt_id")
     failed = F.col("status") != "healthy"
     runs = attempts.withColumn("_ok", F.sum((~failed).cast("int")).over(series.rowsBetween(Window.unboundedPreceding, 0)))
@@ -126,4 +126,5 @@ def refresh_state(attempts: DataFrame) -> DataFrame:
     newest = Window.partitionBy("provider").orderBy(F.desc("attempted_at"), F.desc("attempt_id"))
     last = runs.withColumn("_r", F.row_number().over(newest)).where("_r = 1")
     wait = F.when(F.col("failures") > 0, backoff_seconds(F.col("failures"), F.col("retry_after_seconds")))
-    return last.select("provider", "status", "attempted_at", "failures", wait.alias("wait_seconds"), F.expr("timestampadd(SECOND, cast(0 as int), attempted_at)").alias("checked_at"))
+    rows = last.withColumn("wait_seconds", wait)
+    return rows.select("provider", "status", "attempted_at", "failures", "wait_seconds", F.expr("timestampadd(SECOND, cast(wait_seconds as int), attempted_at)").alias("retry_at"))

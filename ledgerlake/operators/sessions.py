@@ -124,5 +124,3 @@ def age_group(now: datetime) -> Column:
     days = F.datediff(F.lit(now).cast("date"), F.col("last_activity_at").cast("date"))
     return F.when(days <= 0, "Today").when(days == 1, "Yesterday").when(days < 7, "Earlier this week").otherwise("Older")
 
-
-__all__ = ["age_group", "detail", "detail_devices", "detail_models", "eligible", "matches", "one", "page", "sessions", "since", "stats", "timeline"]

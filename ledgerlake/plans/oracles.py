@@ -291,8 +291,9 @@ SELECT response_id, 'part-' || p_partkey AS model, p_partkey % 3 > 0 AS loaded,
 SELECT {_I('sum(cents)')} AS monthly_cents, {_I('sum(CASE WHEN annual THEN cents // 12 ELSE cents END)')} AS monthly_cents_spread, count(*) AS active FROM s""",
     "refresh_state": """WITH a AS (SELECT o_orderpriority AS provider, o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS attempted_at, CASE WHEN o_orderkey % 5 = 0 THEN 'healthy' ELSE 'error' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN 9000 END AS wait FROM orders),
 b AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY attempted_at DESC, id DESC) AS back, sum(CASE WHEN status = 'healthy' THEN 1 ELSE 0 END) OVER (PARTITION BY provider ORDER BY attempted_at DESC, id DESC) AS ok FROM a),
-c AS (SELECT provider, count(*) FILTER (ok = 0) AS failures FROM b GROUP BY provider)
-SELECT provider, status, attempted_at, CAST(failures AS BIGINT) AS failures, CASE WHEN failures > 0 THEN CAST(least(86400, greatest(coalesce(wait, 0), least(3600, 300 * pow(2, least(failures - 1, 8))))) AS BIGINT) END AS wait_seconds FROM b JOIN c USING (provider) WHERE back = 1""",
+c AS (SELECT provider, count(*) FILTER (ok = 0) AS failures FROM b GROUP BY provider),
+d AS (SELECT provider, status, attempted_at, CAST(failures AS BIGINT) AS failures, CASE WHEN failures > 0 THEN CAST(least(86400, greatest(coalesce(wait, 0), least(3600, 300 * pow(2, least(failures - 1, 8))))) AS BIGINT) END AS wait_seconds FROM b JOIN c USING (provider) WHERE back = 1)
+SELECT *, attempted_at + to_seconds(wait_seconds) AS retry_at FROM d""",
     "session_details": f"""WITH {LEDGER} SELECT provider, source, native_session_id, min(occurred_at) AS started_at, max(occurred_at) AS last_activity_at, count(*) AS events, {_I('sum(total_tokens)')} AS total_tokens, count(DISTINCT model) AS models,
   count(DISTINCT friendly_name) AS device_names, count(*) FILTER (total_tokens > 0) AS relevant FROM layered JOIN devices USING (device_id) WHERE canon GROUP BY 1, 2, 3""",
     "session_models": f"WITH {LEDGER} SELECT coalesce(model, 'Unknown model') AS model, {_I('sum(total_tokens)')} AS tokens, count(*) AS events FROM layered JOIN devices USING (device_id) WHERE {_ONE} GROUP BY 1",

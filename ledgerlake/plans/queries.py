@@ -332,7 +332,7 @@ def subscription_total(spark, sf_dir):
 
 @query
 def refresh_state(spark, sf_dir):
-    return quota.refresh_state(derived.refresh_attempts(spark, sf_dir)).select("provider", "status", "attempted_at", "failures", "wait_seconds")
+    return quota.refresh_state(derived.refresh_attempts(spark, sf_dir)).select("provider", "status", "attempted_at", "failures", "wait_seconds", "retry_at")
 
 
 @query
