@@ -83,6 +83,7 @@ class TokenIds:
         word, spaced = _plain_splitters()
         self.split = word if cut is words_of else spaced
         self.letters = _byte_letters()
+        self.parts = PieceCache(self._part, 50_000)
         self.tokenize = self.tokenizer.model.tokenize
 
     def _make(self, piece: bytes | str) -> bytes:
@@ -90,11 +91,14 @@ class TokenIds:
         if text is not piece and self.cut is not words_of and not text.startswith("\n"):
             text = " " + text
         lower = text.lower() if self.cut is words_of else text
-        if _beyond(lower):
+        if not lower.isascii() and _beyond(lower):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if lower.isascii() and lower.isalpha():
             return array("I", [t.id for t in self.tokenize(lower)]).tobytes()
-        return array("I", [t.id for p in self.split(lower) for t in self.tokenize(self._lettered(p))]).tobytes()
+        return b"".join(map(self.parts.lookup(), self.split(lower)))
+
+    def _part(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(self._lettered(piece))]).tobytes()
 
     def _lettered(self, piece: str) -> str:
         """The piece with a letter for each byte; printable ASCII but the space stands for itself."""
