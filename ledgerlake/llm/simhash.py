@@ -277,6 +277,8 @@ WORDS, HEAD = 16, 4
 #: Share of bits in which texts of Jaccard similarity 0.8 differ: arccos(2 * 0.8 / 1.8) / pi = 0.1515, and one
 #: standard deviation of 1024 bits.
 SPREAD = 0.165
+#: Share of a head's bits in which similar texts may differ: five standard deviations of 256 bits (unrelated: 0.5 +- 0.03).
+COARSE = 0.28
 #: Fingerprints that a band's key should hold on average; share of the pairs at SPREAD that should meet.
 BUCKET, MEET = 256, 0.99
 
@@ -296,14 +298,18 @@ def _words(column: pa.Array) -> np.ndarray:
 
 
 def _compared(keys: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """For each row, sorted by key, the place of its group's first; rows of a key are compared, first by their heads."""
+    """For each row, sorted by key, the place of its group's first; rows of a key are compared, first by their heads.
+
+    Heads alone are held to the coarse limit only: 256 bits of a similar pair scatter too far for the strict one.
+    """
     groups = Groups(len(keys))
     ends = np.searchsorted(keys, keys, side="right")
-    coarse, fine = 64 * HEAD * 1.4 * SPREAD, 64 * points.shape[1] * SPREAD
+    coarse, fine = 64 * HEAD * COARSE, 64 * points.shape[1] * SPREAD
     first, step = np.arange(len(keys)), 1
     while len(first := first[first + step < ends[first]]):
         near = first[np.bitwise_count(points[first, :HEAD] ^ points[first + step, :HEAD]).sum(axis=1) <= coarse]
-        near = near[np.bitwise_count(points[near] ^ points[near + step]).sum(axis=1) <= fine]
+        if points.shape[1] > HEAD:
+            near = near[np.bitwise_count(points[near] ^ points[near + step]).sum(axis=1) <= fine]
         if len(near):
             groups.join(near, near + step)
         step += 1
@@ -311,7 +317,7 @@ def _compared(keys: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 
 def _in_bands(prints: DataFrame, bands: np.ndarray) -> DataFrame:
-    """Edges (a, b), a > b, of nodes (node, print) that share a band's key and differ in at most SPREAD of their bits."""
+    """Edges (a, b), a > b, of nodes (node, print) that share a band's key and differ in at most SPREAD of their bits (heads: COARSE)."""
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:

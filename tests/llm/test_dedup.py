@@ -159,6 +159,18 @@ def test_similar_texts_leave_one(spark, odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_heads_are_held_to_the_coarse_limit_only(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(40):  # pairs that differ in 55 of the 256 bits of the head, and in 155 of all 1024
+        bits = rng.integers(0, 2, 1024).astype(np.uint8)
+        other = bits.copy()
+        other[np.concatenate([rng.choice(256, 55, replace=False), 256 + rng.choice(768, 100, replace=False)])] ^= 1
+        rows += [(len(rows) + i, np.packbits(b, bitorder="little").tobytes()) for i, b in enumerate((bits, other))]
+    found = {(r.a, r.b) for r in simhash.wide_links(spark.createDataFrame(rows, "node long, print binary")).collect()}
+    assert len(found & {(i + 1, i) for i in range(0, 80, 2)}) >= 36
+
+
 def test_wide_fingerprints_follow_jaccard():
     rng = np.random.default_rng(9)
     base = [f"v{i}" for i in range(600)]
