@@ -13,7 +13,10 @@ A radius that covers texts of similarity 0.8 leaves no bound that could prune: t
 64-bit fingerprints differ in up to 17 bits, those of unrelated texts in 32 +- 4. For
 that, ``similar_groups`` takes 1024 bits and meets pairs in bands, keys of bits drawn at
 random, as many as make a pair at similarity 0.8 meet with 99 %; what meets is compared
-in 256 bits, what is near in all bits, and grouped as above.
+in 256 bits, what is near in all bits. Bits only propose: both limits are looser than
+similarity 0.8, and a pair counts if the shared share of its shingles is 0.8 or more.
+A row proposes few partners at a time, those already tied to it never again, and rounds
+go on until no pair is left untried, so a large group needs few of its pairs and none is lost.
 
 With 64 bits and unrelated texts distances crowd around 32, and about a third of
 the outer rows visit the inner side of each node. See README for what that means at
@@ -26,7 +29,7 @@ a fingerprint. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -274,9 +277,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
 
 #: 64-bit words of a wide fingerprint, and of its head, from which bands are drawn.
 WORDS, HEAD = 16, 4
+#: Least Jaccard similarity of a pair, as a fraction; it decides, on the shingles themselves.
+SIMILAR = (4, 5)
 #: Share of bits in which texts of Jaccard similarity 0.8 differ: arccos(2 * 0.8 / 1.8) / pi = 0.1515, and one
-#: standard deviation of 1024 bits.
+#: standard deviation of 1024 bits. Bands are drawn for it.
 SPREAD = 0.165
+#: Share of all bits up to which a pair is proposed: 3.5 standard deviations above 0.1875, where 4 of 5 shingles lie.
+LOOSE = 0.23
+#: Partners that a row proposes of a band's key in the first round; twice as many in each later one.
+TRIES = 4
 #: Share of a head's bits in which similar texts may differ: five standard deviations of 256 bits (unrelated: 0.5 +- 0.03).
 COARSE = 0.28
 #: Fingerprints that a band's key should hold on average; share of the pairs at SPREAD that should meet.
@@ -297,27 +306,45 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint64).reshape(len(column), -1)
 
 
-def _compared(keys: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """For each row, sorted by key, the place of its group's first; rows of a key are compared, first by their heads.
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which rows of x and y differ."""
+    return np.bitwise_count(x ^ y).sum(axis=1)
 
-    Heads alone are held to the coarse limit only: 256 bits of a similar pair scatter too far for the strict one.
-    """
-    groups = Groups(len(keys))
+
+def _touching(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Rows, sorted by key, that are near another row of their key."""
     ends = np.searchsorted(keys, keys, side="right")
-    coarse, fine = 64 * HEAD * COARSE, 64 * points.shape[1] * SPREAD
+    found = np.zeros(len(keys), bool)
     first, step = np.arange(len(keys)), 1
     while len(first := first[first + step < ends[first]]):
-        near = first[np.bitwise_count(points[first, :HEAD] ^ points[first + step, :HEAD]).sum(axis=1) <= coarse]
-        if points.shape[1] > HEAD:
-            near = near[np.bitwise_count(points[near] ^ points[near + step]).sum(axis=1) <= fine]
-        if len(near):
-            groups.join(near, near + step)
+        near = first[_apart(heads[first], heads[first + step]) <= 64 * HEAD * COARSE]
+        found[near] = found[near + step] = True
         step += 1
-    return groups.root
+    return np.flatnonzero(found)
+
+
+def _proposed(keys: np.ndarray, points: np.ndarray, nodes: np.ndarray, labels: np.ndarray, refused: list, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows, sorted by key and label, of a key that are near and neither of a label nor refused: at most ``tries`` for the
+    earlier row of each; and the rows that have more."""
+    ends = np.searchsorted(keys, keys, side="right")
+    turn = np.flatnonzero((keys[1:] != keys[:-1]) | (labels[1:] != labels[:-1])) + 1
+    after = np.append(turn, len(keys))[np.searchsorted(turn, np.arange(len(keys)), side="right")]  # where the row's label ends
+    left, more = np.full(len(keys), tries), np.zeros(len(keys), bool)
+    first, step, found = np.arange(len(keys)), 0, [np.zeros((2, 0), np.int64)]
+    while len(first := first[(after[first] + step < ends[first]) & ~more[first]]):
+        near = first[_apart(points[first, :HEAD], points[after[first] + step, :HEAD]) <= 64 * HEAD * COARSE]
+        near = near[_apart(points[near], points[after[near] + step]) <= 64 * points.shape[1] * LOOSE]
+        near = near[np.array([not refused[i] or n not in refused[i] for i, n in zip(near.tolist(), nodes[after[near] + step].tolist())], bool)]
+        more[near[left[near] == 0]] = True
+        near = near[left[near] > 0]
+        left[near] -= 1
+        found.append(np.stack([near, after[near] + step]))
+        step += 1
+    return *np.concatenate(found, axis=1), np.flatnonzero(more)
 
 
-def _in_bands(prints: DataFrame, bands: np.ndarray) -> DataFrame:
-    """Edges (a, b), a > b, of nodes (node, print) that share a band's key and differ in at most SPREAD of their bits (heads: COARSE)."""
+def _in_bands(rows: DataFrame, bands: np.ndarray, order: str, work: Callable[[np.ndarray, pa.Table], pa.RecordBatch]) -> DataFrame:
+    """(a, b) that work gives for whole keys of bands, with the rows of each key in order."""
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,28 +368,84 @@ def _in_bands(prints: DataFrame, bands: np.ndarray) -> DataFrame:
             whole = int(np.searchsorted(keys, keys[-1])) if batch is not None else len(keys)  # the last key may go on
             held = table.slice(whole).to_batches() if whole < len(keys) else []
             if whole:
-                root = _compared(keys[:whole], _words(table.column("print").slice(0, whole)))
-                node, tied = table.column("node").to_numpy(), np.flatnonzero(root != np.arange(whole))
-                a, b = node[tied], node[root[tied]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                yield work(keys[:whole], table.slice(0, whole))
             if batch is None:
                 break
 
-    dealt = prints.select("node", "print").mapInArrow(deal, "key long, node long, print binary").repartition("key").sortWithinPartitions("key")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    dealt = rows.mapInArrow(deal, f"key long, {kinds}").repartition("key").sortWithinPartitions("key", *([order] if order else []))
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def wide_links(prints: DataFrame) -> DataFrame:
-    """Edges of distinct prints: heads alone find the few that have a neighbour, these are compared in full."""
+def _edges(a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """Pairs as (a, b), a > b, and rows that have more as (a, null)."""
+    lesser = pa.concat_arrays([pa.array(np.minimum(a, b)), pa.nulls(len(more), pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.maximum(a, b), more])), lesser], names=["a", "b"])
+
+
+def wide_links(prints: DataFrame, judged: Callable[[DataFrame], DataFrame] = lambda pairs: pairs.withColumn("similar", F.lit(True))) -> DataFrame:
+    """Edges (a, b), a > b, of distinct prints (node, print): of the near pairs those that ``judged`` finds similar, but for such as
+    others imply. Heads alone find the few rows that have a neighbour, these are compared in full."""
     bands = bands_for(prints.count())
-    heads = prints.select("node", F.substring("print", 1, 8 * HEAD).alias("print"))
-    near = _in_bands(heads, bands)
-    touched = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return _in_bands(prints.join(stored(touched, "touched"), "node", "left_semi"), bands)
+
+    def touch(keys, table) -> pa.RecordBatch:
+        nodes = table.column("node").to_numpy()[_touching(keys, _words(table.column("print")))]
+        return _edges(nodes[:0], nodes[:0], np.unique(nodes))
+
+    touched = _in_bands(prints.select("node", F.substring("print", 1, 8 * HEAD).alias("print")), bands, "", touch)
+    nodes = stored(prints.join(stored(touched.select(F.col("a").alias("node")).distinct(), "touched"), "node", "left_semi"), "near-prints")
+
+    def proposals(rows: DataFrame, tries: int) -> DataFrame:
+        def propose(keys, table) -> pa.RecordBatch:
+            node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+            a, b, more = _proposed(keys, _words(table.column("print")), node, label, [x and set(x) for x in table.column("refused").to_pylist()], tries)
+            return _edges(node[a], node[b], node[more])
+
+        return stored(_in_bands(rows, bands, "label", propose).distinct(), "proposals")
+
+    rows, tries, tried = nodes.withColumn("label", F.col("node")).withColumn("refused", F.expr("cast(NULL AS array<bigint>)")), TRIES, None
+    while True:
+        found = proposals(rows, tries)
+        verdicts = stored(judged(found.where("b IS NOT NULL")), "verdicts")
+        tried = verdicts if tried is None else tried.unionByName(verdicts)
+        edges = tried.where("similar").select("a", "b")
+        if not found.where("b IS NULL").take(1):
+            return edges
+        no = tried.where("NOT similar")
+        refused = no.select(F.col("a").alias("node"), F.col("b").alias("o")).unionByName(no.select(F.col("b").alias("node"), F.col("a").alias("o"))).groupBy("node").agg(F.collect_set("o").alias("refused"))
+        roots = _with_roots(components(edges))
+        rows = nodes.join(roots, "node", "left").join(refused, "node", "left").select("node", "print", F.coalesce("root", "node").alias("label"), "refused")
+        tries *= 2
+
+
+def _with_roots(roots: DataFrame) -> DataFrame:
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def judge(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """pairs (a, b) with ``similar``, from the distinct shingles of their texts (node, text)."""
+
+    def work(blocks) -> Iterator[pa.RecordBatch]:
+        for batch, ours in blocks:
+            theirs = [t.encode() for t in batch.column("y").to_pylist()]
+            places = {t: i for i, t in enumerate(dict.fromkeys([*ours, *theirs]))}
+            hashes, counts = shingle_hashes(list(places), width)
+            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+            similar = []
+            for x, y in ((sets[places[s]], sets[places[t]]) for s, t in zip(ours, theirs)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                similar.append(SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.bool_())], names=["a", "b", "similar"])
+
+    sided = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return map_blocks(sided.select("a", "b", "x", "y"), "a long, b long, similar boolean", work, "x")
 
 
 def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, th, component): groups of rows by similarity of wide fingerprints; th is the text's hash."""
+    """(doc_id, th, component): groups of rows by similarity of their shingles; th is the text's hash.
+
+    Rows of equal wide fingerprints are one node: their sets of shingles differ in a few of thousands at most.
+    """
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
 
     def work(blocks) -> Iterator[pa.RecordBatch]:
@@ -371,8 +454,16 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(prints, pa.binary())], names=["doc_id", "th", "print"])
 
     prints = stored(map_blocks(keyed, "doc_id long, th long, print binary", work).withColumn("node", F.xxhash64("print")), "prints")
-    distinct = stored(prints.groupBy("node").agg(F.min("print").alias("print")), "prints-distinct")
-    roots = components(wide_links(distinct))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    distinct = stored(prints.groupBy("node").agg(F.min("print").alias("print"), F.min(row).alias("row")), "prints-distinct")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = distinct.join(ends, "node", "left_semi").select("node", F.col("row.doc_id").alias("__doc"), F.col("row.th").alias("__th"))
+        texts = keyed.join(ends, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th"))).select("node", F.coalesce("text", F.lit("")).alias("text"))
+        return judge(pairs, stored(texts.dropDuplicates(["node"]), "near-texts"), width)
+
+    roots = components(wide_links(distinct.select("node", "print"), judged))
     return prints.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("component"))
 
 

@@ -171,6 +171,47 @@ def test_heads_are_held_to_the_coarse_limit_only(spark):
     assert len(found & {(i + 1, i) for i in range(0, 80, 2)}) >= 36
 
 
+def _shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def _similar_groups(texts):
+    """Group of each text by brute force: five-word Jaccard similarity of 0.8 or more, and chains of such."""
+    sets, group = [_shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    return group
+
+
+def test_shingles_decide_what_is_similar(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = []
+    for changes in range(4, 15):  # similarity 0.9 to 0.6
+        for _ in range(8):
+            base = [f"w{x}" for x in rng.integers(0, 1 << 40, 240)]
+            other = list(base)
+            for p in 5 + 16 * rng.choice(14, changes, replace=False):
+                other[p] = "changed"
+            texts += [" ".join(base), " ".join(other)]
+    texts += [" ".join(f"s{n}x{i}" for i in range(n + 4)) for n in range(1, 12)]  # n shingles
+    texts += [" ".join(f"s{n}x{i}" for i in range(n + 5)) for n in range(1, 12)]  # and one more
+    base = [f"h{x}" for x in range(200)]  # a group of which every row has many partners, near and far
+    texts += [" ".join(f"e{rng.integers(1 << 40)}" if rng.random() < 0.015 else w for w in base) for _ in range(60)]
+    wanted = _similar_groups(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tries in (1, 4):
+        monkeypatch.setattr(simhash, "TRIES", tries)
+        found = {r.doc_id: r.component for r in simhash.similar_groups(rows).collect()}
+        joined, first = defaultdict(set), defaultdict(set)
+        for i, g in enumerate(wanted):
+            joined[g].add(i), first[found[i]].add(i)
+        assert sorted(map(sorted, joined.values())) == sorted(map(sorted, first.values()))
+
+
 def test_wide_fingerprints_follow_jaccard():
     rng = np.random.default_rng(9)
     base = [f"v{i}" for i in range(600)]
