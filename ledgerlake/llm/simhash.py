@@ -312,13 +312,18 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _touching(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Rows, sorted by key, that are near another row of their key."""
-    ends = np.searchsorted(keys, keys, side="right")
+    """Rows, sorted by key, that are near another row of their key.
+
+    A row looks both ways until it has a neighbour, so a large group of near rows costs its size, not its square.
+    """
+    starts, ends = np.searchsorted(keys, keys), np.searchsorted(keys, keys, side="right")
     found = np.zeros(len(keys), bool)
     first, step = np.arange(len(keys)), 1
-    while len(first := first[first + step < ends[first]]):
-        near = first[_apart(heads[first], heads[first + step]) <= 64 * HEAD * COARSE]
-        found[near] = found[near + step] = True
+    while len(first := first[~found[first] & ((first + step < ends[first]) | (first - step >= starts[first]))]):
+        for ahead in (step, -step):
+            some = first[(first + ahead < ends[first]) & (first + ahead >= starts[first])]
+            near = some[_apart(heads[some], heads[some + ahead]) <= 64 * HEAD * COARSE]
+            found[near] = found[near + ahead] = True
         step += 1
     return np.flatnonzero(found)
 

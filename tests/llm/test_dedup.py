@@ -212,6 +212,27 @@ def test_shingles_decide_what_is_similar(spark, monkeypatch):
         assert sorted(map(sorted, joined.values())) == sorted(map(sorted, first.values()))
 
 
+def test_hot_keys_do_not_cost_their_square(monkeypatch):
+    rng = np.random.default_rng(13)
+    n, rows, apart = 3000, 0, simhash._apart
+
+    def counted(x, y):
+        nonlocal rows
+        rows += len(x)
+        return apart(x, y)
+
+    monkeypatch.setattr(simhash, "_apart", counted)
+    flips = rng.integers(0, 2**63, (8, n, simhash.WORDS)).astype(np.uint64)
+    points = rng.integers(0, 2**63, (1, simhash.WORDS)).astype(np.uint64) ^ np.bitwise_and.reduce(flips[:4])  # 6 % of the bits
+    points = np.concatenate([points, flips[4, :5]])  # and five unrelated rows
+    keys, nodes = np.zeros(n + 5, np.int64), np.arange(n + 5)
+    assert simhash._touching(keys, np.ascontiguousarray(points[:, : simhash.HEAD])).tolist() == list(range(n))
+    a, b, more = simhash._proposed(keys, points, nodes, nodes, [None] * (n + 5), 4)
+    assert len(a) == 4 * n - 10 and len(more) == n - 5 and set(a.tolist()) | set(b.tolist()) == set(range(n))
+    assert len(simhash._proposed(keys, points, nodes, np.minimum(nodes // n, 1) * nodes, [None] * (n + 5), 4)[0]) == 0  # all are of a label
+    assert rows < 40 * n
+
+
 def test_wide_fingerprints_follow_jaccard():
     rng = np.random.default_rng(9)
     base = [f"v{i}" for i in range(600)]
