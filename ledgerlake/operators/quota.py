@@ -109,7 +109,7 @@ def bucketed(readings: DataFrame) -> DataFrame:
     seconds = lambda c: f"coalesce(cast(timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01', {c}) as string), '0')"
     shape = F.concat("window_key", F.lit(":"), F.expr(seconds("period_starts_at")), F.lit(":"), F.expr(seconds("resets_at")))
     rows = readings.withColumns({"bucket": bucket, "shape": shape})
-    order = Window.partitionBy(*KEYS, "bucket", "shape").orderBy(F.desc("observed_at"), F.desc("updated_at"))
+    order = Window.partitionBy(*KEYS, "bucket", "shape").orderBy(F.desc("observed_at"), F.desc("updated_at"), F.desc("utilization_bps"))
     rows = rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
     group = Window.partitionBy("provider", "device_id", "bucket")
     shapes = F.array_join(F.array_sort(F.collect_set("shape").over(group)), "|")

@@ -1,6 +1,7 @@
 """Golden values of pricing, cache, sessions, quota and merges."""
 
 from datetime import datetime, timedelta
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,16 @@ def test_ranges_start_at_local_midnight():
     assert ranges.range_start("today", now, "Europe/Berlin") == datetime(2026, 3, 29, 22)
     assert ranges.range_start("7d", now) == datetime(2026, 3, 24) and ranges.range_start("all", now) is None
     assert ranges.range_start("month", now, "Europe/Berlin") == datetime(2026, 2, 28, 23)
+
+
+def test_quota_buckets_without_period_or_reset(spark):
+    at = lambda s: AT + timedelta(seconds=s)
+    rows = [("claude", "w4", d, at(s), at(0), u, None, None) for d in ("d1", "d2") for s, u in ((0, 10), (290, 20), (290, 40), (290, 30), (301, 50))]
+    readings = spark.createDataFrame(rows, "provider string, window_key string, device_id string, observed_at timestamp_ntz, updated_at timestamp_ntz, utilization_bps long, period_starts_at timestamp_ntz, resets_at timestamp_ntz")
+    wanted = set()
+    for device in ("d1", "d2"):
+        for place, used in ((0, 40), (1, 50)):
+            bucket = int((AT - datetime(1970, 1, 1)).total_seconds()) // 300 + place
+            snapshot = sha256(f"claude|{device}|{bucket}|w4:0:0".encode()).hexdigest()
+            wanted.add((snapshot, sha256(f"{snapshot}|w4".encode()).hexdigest(), device, bucket, used))
+    assert {tuple(r) for r in quota.bucketed(readings).select("snapshot_id", "row_id", "device_id", "bucket", "utilization_bps").collect()} == wanted
