@@ -14,6 +14,8 @@ from functools import cache
 
 from .common import PieceCache
 
+#: Pieces whose ids a worker holds, at least; twice as many at most.
+HELD_PIECES = 700_000
 # The Unicode White_Space characters.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -70,35 +72,55 @@ class TokenIds:
 
     The library's call has a high price for each input, so new pieces of plain
     Latin letters are split here and given to the library's BPE model one
-    pre-token at a time; all others go through its whole encoder.
+    pre-token at a time; all others go through its whole encoder. Words without
+    punctuation are kept once, whether they stand alone or beside some.
+
+    special_as_text: strings of special tokens in a text are ordinary text, as
+    the vocabularies' own notes have it; otherwise each is its special id.
     """
 
-    def __init__(self, path: str, cut):
+    def __init__(self, path: str, cut, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cut, self.cache = cut, PieceCache(self._make)
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = () if special_as_text else tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.cut, self.cache = cut, PieceCache(self._make, HELD_PIECES)
+        self.spaced = cut is not words_of
         word, spaced = _plain_splitters()
-        self.split = word if cut is words_of else spaced
+        self.split = spaced if self.spaced else word
         self.letters = _byte_letters()
         self.parts = PieceCache(self._part, 50_000)
         self.tokenize = self.tokenizer.model.tokenize
 
     def _make(self, piece: bytes | str) -> bytes:
+        """Ids of a piece. In vocabularies that keep white space, bytes stand for themselves after a space, or after nothing before a line feed."""
+        plain = piece.isascii()
+        if isinstance(piece, bytes) and plain and piece.isalpha():
+            return self._ids(self.letters[0x20] + piece.decode() if self.spaced else piece.decode().lower())
         text = piece.decode() if isinstance(piece, bytes) else piece
-        if text is not piece and self.cut is not words_of and not text.startswith("\n"):
+        if text is not piece and self.spaced and not text.startswith("\n"):
             text = " " + text
-        lower = text.lower() if self.cut is words_of else text
-        if not lower.isascii() and _beyond(lower):
+        lower = text if self.spaced else text.lower()
+        if not plain and _beyond(lower):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if lower.isascii() and lower.isalpha():
-            return array("I", [t.id for t in self.tokenize(lower)]).tobytes()
-        return b"".join(map(self.parts.lookup(), self.split(lower)))
+        parts = self.split(lower)
+        if len(parts) == 1:
+            return self._part(lower)
+        words, known = self.cache.now.__getitem__, self.parts.lookup()
+        return b"".join([words(w) if (w := self._word(x)) else known(x) for x in parts])
+
+    def _word(self, part: str) -> bytes:
+        """The piece that a part is by itself, if it is ASCII letters."""
+        word = part[1:] if self.spaced and part[0] == " " else "" if self.spaced else part
+        return word.encode() if word.isascii() and word.isalpha() else b""
+
+    def _ids(self, lettered: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(lettered)]).tobytes()
 
     def _part(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.tokenize(self._lettered(piece))]).tobytes()
+        return self._ids(self._lettered(piece))
 
     def _lettered(self, piece: str) -> str:
         """The piece with a letter for each byte; printable ASCII but the space stands for itself."""
@@ -108,10 +130,13 @@ class TokenIds:
 
     def encode(self, texts: list[bytes], end: int | None = None) -> list[bytes]:
         tail = b"" if end is None else array("I", [end]).tobytes()
-        known, cut = self.cache.lookup(), self.cut
-        if cut is words_of:
-            return [b"".join(map(known, cut(t))) + tail for t in texts]
-        return [self._spaced(t, known) + tail for t in texts]
+        known = self.cache.lookup()
+        return [self._whole(t, known) + tail for t in texts]
+
+    def _whole(self, text: bytes, known) -> bytes:
+        if any(map(text.__contains__, self.special)):
+            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+        return self._spaced(text, known) if self.spaced else b"".join(map(known, self.cut(text)))
 
     def _spaced(self, text: bytes, known) -> bytes:
         """Ids of a text with white space kept. A piece of bytes stands for itself after a space, or after nothing if it starts with a line feed."""
@@ -122,6 +147,6 @@ class TokenIds:
 
 
 @cache
-def token_ids_of(path: str, cut) -> TokenIds:
+def token_ids_of(path: str, cut, special_as_text: bool = True) -> TokenIds:
     """One encoder for all tasks that a worker runs, so that its cache stays warm."""
-    return TokenIds(path, cut)
+    return TokenIds(path, cut, special_as_text)

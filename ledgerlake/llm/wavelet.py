@@ -8,7 +8,8 @@ an id occurs before a place (rank, count), and where its k-th occurrence is (sel
 Documents are dealt to range partitions in doc_id order (rows of one doc_id in text
 order, null doc_ids first), each task writes files of about ``SHARD_TOKENS`` ids, and
 one row per partition carries the offsets across. Null and empty texts hold the end
-id alone; an empty table gives no files. Files are rows of a Parquet table, so that
+id alone; an empty table gives no files. Other columns are not read. A document of any
+length lies in one file, which then is as long. Files are rows of a Parquet table, so that
 any store Spark can reach holds them.
 """
 
@@ -49,9 +50,10 @@ class WaveletMatrix:
             bit = (ids & ids.dtype.type(1 << bits - 1 - level)) != 0
             packed = np.packbits(bit, bitorder="little")
             planes[level, : len(packed)] = packed
-            np.cumsum(np.bitwise_count(planes[level]).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32), out=ranks[level, 1:])
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            np.cumsum(np.bitwise_count(planes[level].view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32), out=ranks[level, 1:])
             zeros[level] = len(ids) - int(ranks[level, -1])
+            if level < bits - 1:
+                ids = np.concatenate([ids[~bit], ids[bit]])
         return cls(len(ids), planes, zeros, ranks)
 
     def _ones(self, level: int, place: int) -> int:
@@ -109,9 +111,28 @@ class WaveletMatrix:
             place = self._select_bit(level, bit, place - int(self.zeros[level]) if bit else place)
         return place
 
+    def _select_bits(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """_select_bit of many k, a stretch of blocks at a time."""
+        ones = self.ranks[level].astype(np.int64)
+        seen = ones if bit else np.arange(len(ones)) * BLOCK - ones
+        block = np.searchsorted(seen, k, side="right") - 1
+        out, plane = np.empty(len(k), np.int64), self.planes[level].reshape(-1, BLOCK // 8)
+        for a in range(0, len(k), 4096):
+            part = block[a : a + 4096]
+            bits = np.unpackbits(plane[part], axis=1, bitorder="little") == bit
+            nth = np.cumsum(bits, axis=1, dtype=np.int16)
+            out[a : a + 4096] = part * BLOCK + (nth <= (k[a : a + 4096] - seen[part])[:, None]).sum(axis=1)
+        return out
+
     def occurrences(self, value: int) -> np.ndarray:
-        """All places of value."""
-        return np.array([self.select(value, k) for k in range(self.count(value))], np.int64)
+        """All places of value: its stretch below the last plane, taken up plane by plane by select."""
+        places = np.arange(self.count(value), dtype=np.int64)
+        if len(places):
+            places += self._narrow(value, 0)[0]
+            for level in reversed(range(self.bits)):
+                bit = value >> (self.bits - 1 - level) & 1
+                places = self._select_bits(level, bit, places - int(self.zeros[level]) if bit else places)
+        return places
 
     def decode(self) -> np.ndarray:
         """All ids: planes undone from the lowest up."""

@@ -19,9 +19,9 @@ WORDS, BYTES, RANKS = (public_tokenizers.path(x) for x in ("word_bpe_49k.json",
 TEXTS = [t or "" for _, t in ROWS] + ["Σίσυφος ΌΣ ё é é x́", "x²³¼ ÀÉİ Ǆ  \n 're\x00", "a" * 3000]
 
 
-def library(path):
+def library(path, special_as_text=True):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -31,6 +31,21 @@ def test_ids_of_pieces_are_ids_of_the_text(path, cut, sample):
     assert TokenIds(path, cut).encode([t.encode() for t in texts]) == library(path)(texts)
 
 
+@pytest.mark.parametrize("path, cut", [(WORDS, words_of), (BYTES, spaced_words_of)])
+def test_special_strings_are_text_or_special_ids(path, cut):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|startoftext|>\ny", "<|endoftext", "plain text. <|"]
+    for as_text in (True, False):
+        assert TokenIds(path, cut, as_text).encode([t.encode() for t in texts]) == library(path, as_text)(texts)
+    assert TokenIds(path, cut).encode([texts[0].encode()]) != TokenIds(path, cut, False).encode([texts[0].encode()])
+
+
+@pytest.mark.parametrize("path, cut", [(WORDS, words_of), (BYTES, spaced_words_of)])
+def test_ids_do_not_depend_on_what_a_worker_holds(path, cut, sample):
+    encoder, texts = TokenIds(path, cut), TEXTS + [t for _, t in pairs(sample)]
+    encoder.cache.limit = encoder.parts.limit = 3
+    assert [encoder.encode([t.encode()])[0] for t in texts] == library(path)(texts)
+
+
 def _check_packing(rows, documents, capacity):
     ids = defaultdict(list)
     for (doc_id, _), x in zip(documents, library(WORDS)([t for _, t in documents])):
@@ -122,7 +137,9 @@ def test_wavelet_matrix_answers():
         for place in rng.integers(0, len(ids), 30).tolist():
             value = int(ids[place])
             assert m.access(place) == value and m.rank(value, place) == int((ids[:place] == value).sum()) and m.count(value) == int((ids == value).sum())
-        assert m.occurrences(int(ids[0])).tolist() == np.flatnonzero(ids == ids[0]).tolist() and m.count(1 << 20) == 0
+        places = np.flatnonzero(ids == ids[0]).tolist()
+        assert m.occurrences(int(ids[0])).tolist() == places == [m.select(int(ids[0]), k) for k in range(len(places))]
+        assert m.count(1 << 20) == 0 and not len(m.occurrences(1 << 20))
 
 
 def test_files_hold_all_documents_in_order(odd, empty):
