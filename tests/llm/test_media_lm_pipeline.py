@@ -7,6 +7,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
+import xxhash
 
 from ledgerlake.llm import flac, lm
 from ledgerlake.llm.queries import QUERIES
@@ -75,25 +76,91 @@ def test_elias_fano_finds_what_is_there():
         assert view.find(asked).tolist() == [place.get(int(v), -1) for v in asked]
 
 
-def test_trie_probabilities():
-    grams, sizes = lm.spelled([b"the", b"then", b"there", b"", "été".encode(), b"tho"] * 2 + [b"other"])
-    distinct, n = np.unique(grams, return_counts=True)
-    ones = np.zeros(256)
-    np.add.at(ones, distinct & 255, n)
-    first = (ones + np.count_nonzero(ones) / 256) / (ones.sum() + np.count_nonzero(ones))
-    trie = lm.Trie.view(lm.Trie.build(distinct, n, first).to_bytes())
-    for gram in [*distinct[::5].tolist(), int(lm.spelled([b"zzz"])[0][2])]:
-        assert abs(sum(10 ** trie.scores(np.array([gram & ~255 | b for b in range(256)]))) - 1) < 0.01
-    assert sizes.sum() == len(grams)
-    g = int(distinct[3])
-    p = first[g & 255]
-    for m in range(1, lm.ORDER):
-        after = Counter()
-        for x, k in zip(distinct.tolist(), n.tolist()):
-            if (x ^ g) >> 8 & (1 << 8 * m) - 1 == 0:
-                after[x & 255] += k
-        p = (after[g & 255] + len(after) * p) / (sum(after.values()) + len(after)) if after else p
-    assert abs(trie.scores(np.array([g]))[0] - math.log10(p)) < 0.01
+def _grams(rng, n=4000, words=30):
+    near, second = (rng.zipf(1.5, n) % words for _ in range(2))
+    symbol = (near * 7 + second + rng.integers(0, 3, n)) % words
+    return lm.Grams(near * 2**33 + 5, second, symbol), near, second, symbol
+
+
+def test_trie_probabilities_sum_to_one():
+    rng = np.random.default_rng(4)
+    grams, near, second, symbol = _grams(rng)
+    train = (rng.random(len(near)) < 0.8).astype(float)
+    first = np.bincount(symbol, minlength=lm.RARE + 1) / len(symbol)
+    trie = lm.Trie.view(lm.Trie.build(grams, train, first).to_bytes())
+    low = lm._quantised(np.maximum(first, 1e-30)).astype(np.int64)
+    for a, b in ((1, 1), (1, 7), (2, 3), (29, 29), (555, 1), (1, 555)):
+        asked = lm.Grams(np.full(30, a * 2**33 + 5), np.full(30, b), np.arange(30))
+        steps = trie.steps(asked, low)[asked.triple]
+        assert abs(sum(10 ** (-steps / lm.STEPS)) - 1) < 0.01
+
+
+def _predicted(documents, use=3):
+    """(doc_id, log10 probability) by the model's definition, with dictionaries; use: the longest n-gram."""
+    texts = [(i, zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2, [*t.encode().lower().split(), b"\n"]) for i, t in documents]
+    count = Counter(w for _, train, words in texts if train for w in words)
+    total, kinds = sum(count.values()), len(count)
+    hot = {w for w, _ in sorted(((w, c) for w, c in count.items() if w != b"\n"), key=lambda x: (-x[1], np.uint64(xxhash.xxh3_64_intdigest(x[0])).astype(np.int64)))[:PREDICTED]} | {b"\n"}
+    rare = sum(c for w, c in count.items() if w not in hot)
+    first = lambda x: (count[x] if x else rare + kinds) / (total + kinds)
+    after, kept = Counter(), Counter()
+    for _, train, words in texts:
+        for i, w in enumerate(words if train else []):
+            for n in range(1, use):
+                after[tuple(([b""] * 2 + words)[i + 2 - n : i + 2]), w if w in hot else None] += 1
+    totals, left = Counter(), Counter()
+    for (context, _), n in after.items():
+        totals[context] += n
+    for (context, x), n in after.items():
+        if n >= lm.KEPT:
+            kept[context, x] = (n - lm.DISCOUNTS[n > lm.KEPT]) / totals[context]
+            left[context] += kept[context, x]
+
+    def p(context, x):
+        return kept[context, x] + (1 - left[context]) * p(context[1:], x) if context else first(x)
+
+    for i, _, words in texts:
+        score = 0.0
+        for k, w in enumerate(words):
+            context = tuple(([b""] * 2 + words)[k : k + 2])[3 - use :]
+            score += math.log10(p(context, w if w in hot else None))
+            if w not in hot:
+                score += math.log10((count[w] or kinds) / (rare + kinds))
+        yield i, len(words), score
+
+
+PREDICTED = 700
+
+
+def test_scores_are_those_of_the_definition(sample):
+    documents = pairs(sample)
+    wanted = {i: (n, x) for i, n, x in _predicted(documents)}
+    rows = lm.score(sample, slice_tokens=40_000, predicted=PREDICTED).toPandas()
+    for r in rows.itertuples():
+        n, x = wanted[r.doc_id]
+        assert r.n_tokens == n and abs(r.score - x) < 0.001 * n, r
+    short = {i: x for i, _, x in _predicted(documents, use=1)}
+    held = rows[rows.held_out]
+    assert held.score.sum() > 0.99 * sum(short[i] for i in held.doc_id) and rows.score.sum() > 0.97 * sum(short.values())
+
+
+def test_word_order_matters(spark, sample):
+    turned = spark.createDataFrame([(i, " ".join(t.split()[::-1])) for i, t in pairs(sample) if i % 3 == 0], "doc_id long, text string")
+    whole = sample.select("doc_id", "text").where("doc_id % 3 <> 0")
+    ends = [{r.doc_id: r.score for r in lm.score(whole.unionByName(x)).collect()} for x in (turned, sample.select("doc_id", "text").where("doc_id % 3 = 0"))]
+    assert ends[0].keys() == ends[1].keys() and sum(abs(ends[0][i] - ends[1][i]) > 0.5 for i in ends[0]) > len(ends[0]) / 4
+
+
+def test_frequent_contexts_are_told_apart(sample):
+    """Many slices and pieces, also of words that always stand together: all tokens are counted, and slices stay small."""
+    whole = {r.doc_id: r for r in lm.score(sample).collect()}
+    for r in lm.score(sample, slice_tokens=2000, predicted=PREDICTED).collect():
+        assert r.n_known == whole[r.doc_id].n_known and r.n_tokens == whole[r.doc_id].n_tokens and abs(r.base_score - whole[r.doc_id].base_score) < 1e-6
+    symbols, pieces = np.tile([1, 2, 3, 4, 5, 6, 7], 500), np.ones(lm.BEFORE + 1, np.int64)
+    symbols[::7] = np.arange(10, 510)
+    pieces[[1, 2, 3]] = 64
+    near, _ = lm.contexts_of(symbols, np.zeros(len(symbols), np.uint64), np.zeros(1, np.int64), pieces)
+    assert np.unique(near[3::7]).size > 40 and np.unique(near[5::7]).size == 1  # after 3, and after 5
 
 
 def _base(documents):
@@ -120,14 +187,6 @@ def test_model_beats_the_base_on_held_out_rows(spark):
     assert len(rows) > 10 and rows.score.sum() > rows.base_score.sum()
 
 
-def test_words_beyond_the_hot_ones_count_too(spark, monkeypatch):
-    whole = {r.doc_id: r for r in QUERIES["op9_lm_scoring"](spark, SF).collect()}
-    monkeypatch.setattr(lm, "HOT_WORDS", 3)
-    monkeypatch.setattr(lm, "SLICE_GRAMS", 2000)  # several slices of the model
-    for r in QUERIES["op9_lm_scoring"](spark, SF).collect():
-        assert r.n_known == whole[r.doc_id].n_known and abs(r.base_score - whole[r.doc_id].base_score) < 1e-6 and abs(r.score - whole[r.doc_id].score) < 1e-6
-
-
 def test_stages_keep_columns_and_take_effect(spark, odd):
     docs = odd
     for name, stage in corpus_pipeline.STAGES[:-1]:
