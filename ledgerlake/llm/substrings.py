@@ -3,25 +3,31 @@
 The rule: a window of ``window`` words is a duplicate if the same words also start
 in a document with a smaller doc_id; each word that such a window covers goes.
 
-* Blocks. Every window has an anchor, the run of ``ANCHOR`` words in it with the
-  least hash (leftmost of equals), so equal windows have equal anchors. The windows
-  of a document that share an anchor form a block, about 20 words apart; the block's
-  reach is the words of all its windows. Blocks are indexed by (anchor, reach).
-* Factors. A block whose (anchor, reach) is indexed for a smaller doc_id is known as
-  a whole; a chain of such blocks is a factor, copied from a reference.
-* Factor boundaries. Where an anchor is indexed with several reaches, a copied
-  passage starts or ends inside a block. One block of each reach, that of the
-  smallest doc_id, then lists its windows, which are matched one by one.
+* Reference blocks. Every window has an anchor, the run of ``ANCHOR`` words in it with
+  the least hash (leftmost of equals), so equal windows have equal anchors. The windows
+  of a document that share an anchor form a block, about 20 words apart; its reach is
+  the words of all its windows. All blocks of all documents are indexed by their reach,
+  each with the smallest doc_id that has it and the block's place there.
+* Factors. A block whose reach is indexed for a smaller doc_id is a match: so many words
+  from here are those of that document from there on. Matches that go on in the same
+  source at the same distance are one longer match. A document is parsed greedily from
+  left to right: the factor at a place is the match that lies there and reaches farthest,
+  the next begins where it ends; what no match holds stays literal.
+* Factor boundaries. Where an anchor is indexed with several reaches, a copied passage
+  starts or ends inside a block. One block of each reach, that of the smallest doc_id,
+  then lists its windows, and those that a smaller doc_id lists too are matches as well.
+  So factors are exact to the word: they cover what duplicate windows cover, no more.
 
 So only anchors (one of about 20 words) and the windows at boundaries are shuffled;
-counts are summed before the shuffle, hot anchors meet in joins that adaptive
-execution splits, and nothing is compared pairwise. Hashes of reaches and windows
-have 128 bits.
+hot anchors meet in joins that adaptive execution splits, every match has one source,
+and nothing is compared pairwise. Hashes of reaches and windows have 128 bits.
 
 Null and empty texts have no words. Rows of a null doc_id are no reference and lose
 nothing. Rows with equal doc_id are no references to each other, so repeated rows
-get equal results. A kept text is its words joined by single spaces; in ``removed``
-texts without duplicate windows stay as they are.
+get equal results; if their texts differ, a hash of the text tells their matches apart.
+Texts of any length are parsed whole. An empty table gives no rows. Extra columns pass;
+new ones get underscores where names clash. A kept text is its words joined by single
+spaces; in ``removed`` with ``whole`` texts without duplicate windows stay as they are.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +48,8 @@ from .words import Runs, WordHashes, inside, mixed
 ANCHOR = 10
 #: Windows of which anchors are found at once; a bound for the positions packed beside hashes.
 STRETCH = 1 << 19
+#: Bits of a place in a text, below the text's tag.
+TAG = 32
 
 
 class Parser:
@@ -90,12 +99,9 @@ class Parser:
         skip = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
         return self.first[blocks][which] + skip, which
 
-    def covered(self, windows: np.ndarray) -> np.ndarray:
-        """For each word whether one of the windows has it."""
-        change = np.zeros(len(self.hashes) + 1, np.int64)
-        np.add.at(change, self.starts[windows], 1)
-        np.add.at(change, self.starts[windows] + self.window, -1)
-        return np.cumsum(change)[:-1] > 0
+    def places(self, windows: np.ndarray, owner: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """Where windows start in their texts, each below the text's tag."""
+        return tags[owner] << TAG | self.starts[windows] - self.bounds[owner]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -113,29 +119,25 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _tags(texts: list[bytes]) -> np.ndarray:
+    """31 bits of each text's hash, which tell rows of one doc_id apart."""
+    return np.array([xxhash.xxh3_64_intdigest(t) >> 33 for t in texts], np.int64)
+
+
 def blocks_of(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, anchor, r1, r2) of every block of every document."""
+    """(doc_id, place, words, anchor, r1, r2) of every block of every document."""
 
     def work(blocks) -> Iterator[pa.RecordBatch]:
         parser = Parser(window)
         for batch, texts in blocks:
             parser.parse(texts)
-            ids = batch.column("doc_id").take(pa.array(parser.owner))
-            yield pa.RecordBatch.from_arrays([ids, _signed(parser.anchor_hash), _signed(parser.reach(0)), _signed(parser.reach(1))], names=["doc_id", "anchor", "r1", "r2"])
-
-    return map_blocks(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id long, anchor long, r1 long, r2 long", work)
-
-
-def _packed(keys: DataFrame, names: list[str], alias: str) -> DataFrame:
-    """The rows of each doc_id as one list; bounded by the words of the document."""
-    return keys.groupBy("doc_id").agg(F.collect_set(F.struct(*names)).alias(alias))
+            ids, words = batch.column("doc_id").take(pa.array(parser.owner)), parser.starts[parser.last] - parser.starts[parser.first] + window
+            place = parser.places(parser.first, parser.owner, _tags(texts))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(place), pa.array(words), _signed(parser.anchor_hash), _signed(parser.reach(0)), _signed(parser.reach(1))], names=["doc_id", "place", "words", "anchor", "r1", "r2"]
+            )
 
-
-def _listed(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Row and fields of all structs in a list column."""
-    rows = np.repeat(np.arange(len(column)), np.asarray(pc.fill_null(pc.list_value_length(column), 0)))
-    flat = column.flatten()
-    return rows, [np.asarray(f).view(np.uint64) for f in flat.flatten()]
+    return map_blocks(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id long, place long, words long, anchor long, r1 long, r2 long", work)
 
 
 def _keyed(rows: np.ndarray, *parts: np.ndarray) -> np.ndarray:
@@ -146,36 +148,104 @@ def _keyed(rows: np.ndarray, *parts: np.ndarray) -> np.ndarray:
     return key
 
 
+def _listed(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row and fields of all structs in a list column."""
+    rows = np.repeat(np.arange(len(column)), np.asarray(pc.fill_null(pc.list_value_length(column), 0)))
+    return rows, [np.asarray(f) for f in column.flatten().flatten()]
+
+
 def _boundary_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(doc_id, w1, w2) of the windows of the blocks in wanted."""
-    joined = docs.select("doc_id", "text").join(_packed(wanted, ["anchor", "r1"], "wanted"), "doc_id")
+    """(doc_id, place, w1, w2) of the windows of the blocks in wanted (doc_id, r1)."""
+    joined = docs.select("doc_id", "text").join(wanted.groupBy("doc_id").agg(F.collect_set(F.struct("r1")).alias("wanted")), "doc_id")
 
     def work(blocks) -> Iterator[pa.RecordBatch]:
         parser = Parser(window)
         for batch, texts in blocks:
             parser.parse(texts)
-            rows, (anchor, r1) = _listed(batch.column("wanted"))
-            mine = np.flatnonzero(np.isin(_keyed(parser.owner, parser.anchor_hash, parser.reach(0)), _keyed(rows, anchor, r1)))
+            rows, (r1,) = _listed(batch.column("wanted"))
+            mine = np.flatnonzero(np.isin(_keyed(parser.owner, parser.reach(0)), _keyed(rows, r1.view(np.uint64))))
             windows, which = parser.within(mine)
-            ids = batch.column("doc_id").take(pa.array(parser.owner[mine][which]))
-            yield pa.RecordBatch.from_arrays([ids, _signed(parser.of_windows(0, windows)), _signed(parser.of_windows(1, windows))], names=["doc_id", "w1", "w2"])
+            owner = parser.owner[mine][which]
+            place = parser.places(windows, owner, _tags(texts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(owner)), pa.array(place), _signed(parser.of_windows(0, windows)), _signed(parser.of_windows(1, windows))], names=["doc_id", "place", "w1", "w2"]
+            )
+
+    return map_blocks(joined, "doc_id long, place long, w1 long, w2 long", work)
 
-    return map_blocks(joined, "doc_id long, w1 long, w2 long", work)
 
+def _sourced(rows: DataFrame, keys: list[str], least: DataFrame, words: F.Column) -> DataFrame:
+    """(doc_id, place, words, source_id, source_place) of the rows whose keys a smaller doc_id has; least: (keys, least)."""
+    shared = stored(rows.join(least, keys).select("doc_id", "place", words.alias("words"), *keys, "least"), "shared")
+    sources = shared.where("doc_id = least").groupBy(*keys).agg(F.min("place").alias("source_place"))
+    return shared.where("doc_id > least").join(sources, keys).select("doc_id", "place", "words", F.col("least").alias("source_id"), F.col("source_place").bitwiseAND((1 << TAG) - 1).alias("source_place"))
 
-def duplicates(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, known, edges): each document's known blocks and its duplicate windows at factor boundaries."""
+
+def matches(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(doc_id, place, words, source_id, source_place): blocks, and windows at factor boundaries, that a smaller doc_id has; place is tagged."""
     blocks = stored(blocks_of(docs, window), "blocks")
     reaches = blocks.groupBy("anchor", "r1", "r2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     reaches = stored(reaches, "reaches")
+    known = _sourced(blocks.select("doc_id", "place", "words", "r1", "r2"), ["r1", "r2"], reaches.where("least < most").select("r1", "r2", "least"), F.col("words"))
     anchors = reaches.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    copied = reaches.where("least < most").select("anchor", "r1", "r2", "least")
-    known = blocks.join(copied, ["anchor", "r1", "r2"]).where("doc_id > least").select("doc_id", "anchor", "r1")
-    wanted = reaches.join(anchors, "anchor").select(F.col("least").alias("doc_id"), "anchor", "r1")
+    wanted = reaches.join(anchors, "anchor").select(F.col("least").alias("doc_id"), "r1")
     windows = stored(_boundary_windows(docs, wanted, window), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    edges = windows.join(least.select("w1", "w2", "least"), ["w1", "w2"]).where("doc_id > least").select("doc_id", "w1", "w2")
-    return _packed(known, ["anchor", "r1"], "known").join(_packed(edges, ["w1", "w2"], "edges"), "doc_id", "full_outer")
+    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
+    return known.unionByName(_sourced(windows, ["w1", "w2"], least, F.lit(window).cast("long")))
+
+
+def parsed(start: np.ndarray, words: np.ndarray, source: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The greedy factors (start, words, source, place in it) of one document, from its matches."""
+    order = np.lexsort((start, at - start, source))
+    start, end, source, shift = start[order], (start + words)[order], source[order], (at - start)[order]
+    longer: list[list[int]] = []  # start, end, source, shift; matches that go on are joined
+    for a, b, s, d in zip(start.tolist(), end.tolist(), source.tolist(), shift.tolist()):
+        if longer and longer[-1][2:] == [s, d] and a <= longer[-1][1]:
+            longer[-1][1] = max(longer[-1][1], b)
+        else:
+            longer.append([a, b, s, d])
+    longer.sort()
+    out, here, i, best = [], 0, 0, None
+    while i < len(longer) or best:
+        if best is None or best[1] <= here:
+            best = None
+            if i < len(longer):
+                here = max(here, longer[i][0])
+        while i < len(longer) and longer[i][0] <= here:
+            if longer[i][1] > here and (best is None or longer[i][1] > best[1]):
+                best = longer[i]
+            i += 1
+        if best is not None:
+            out.append((here, best[1] - here, best[2], here + best[3]))
+            here = best[1]
+    return out
+
+
+FACTORS = "array<struct<tag: bigint, start: bigint, words: bigint, source_id: bigint, source_start: bigint>>"
+
+
+def parses(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(doc_id, factors) of the documents that have factors: tag of the text, start, words, source_id and source_start of each."""
+    listed = matches(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("place", "words", "source_id", "source_place")).alias("m"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, (place, words, source, at) = _listed(batch.column("m"))
+            tag, start = place >> TAG, place & (1 << TAG) - 1
+            out: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
+            order = np.lexsort((tag, rows))
+            cuts = np.flatnonzero((np.diff(rows[order]) != 0) | (np.diff(tag[order]) != 0)) + 1
+            for part in np.split(order, cuts) if len(order) else []:
+                out[rows[part[0]]] += [(int(tag[part[0]]), *f) for f in parsed(start[part], words[part], source[part], at[part])]
+            kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("tag", "start", "words", "source_id", "source_start")]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([[dict(zip(("tag", "start", "words", "source_id", "source_start"), f)) for f in x] for x in out], kind)], names=["doc_id", "factors"])
+
+    return listed.mapInArrow(work, f"doc_id long, factors {FACTORS}")
+
+
+def factors(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(doc_id, start, words, source_id, source_start): the greedy factors of all documents; what they leave out is literal."""
+    return parses(docs, window).select("doc_id", F.explode("factors").alias("f")).select("doc_id", "f.start", "f.words", "f.source_id", "f.source_start")
 
 
 def removed(docs: DataFrame, window: int = 50, whole: bool = False) -> DataFrame:
@@ -184,37 +254,28 @@ def removed(docs: DataFrame, window: int = 50, whole: bool = False) -> DataFrame
     whole: leave the texts without duplicates as they are, white space and all.
     """
     columns = docs.columns
-    n_words, n_removed, known, edges, owner = (free_name(columns, x) for x in ("n_words", "n_removed", "known_blocks", "edge_windows", "owner_id"))
-    found = duplicates(docs, window).select(F.col("doc_id").alias(owner), F.col("known").alias(known), F.col("edges").alias(edges))
-    joined = docs.join(found, docs["doc_id"] == found[owner], "left").drop(owner)
+    n_words, n_removed, found, owner = (free_name(columns, x) for x in ("n_words", "n_removed", "factors", "owner_id"))
+    of = parses(docs, window).select(F.col("doc_id").alias(owner), F.col("factors").alias(found))
+    joined = docs.join(of, docs["doc_id"] == F.col(owner), "left").drop(owner)
 
     def work(blocks) -> Iterator[pa.RecordBatch]:
-        parser = Parser(window)
         for batch, texts in blocks:
-            hit = np.flatnonzero(np.asarray(pc.or_(batch.column(known).is_valid(), batch.column(edges).is_valid())))
-            before = [len(t.split()) for t in texts] if len(hit) < len(texts) else [0] * len(texts)
-            gone = [0] * len(texts)
-            kept = list(texts) if whole else [b" ".join(t.split()) for t in texts]
-            if len(hit):
-                part = batch.take(pa.array(hit))
-                parser.parse([texts[i] for i in hit])
-                rows, (anchor, r1) = _listed(part.column(known))
-                chained = np.flatnonzero(np.isin(_keyed(parser.owner, parser.anchor_hash, parser.reach(0)), _keyed(rows, anchor, r1)))
-                windows = [parser.within(chained)[0]]
-                rows, (w1, w2) = _listed(part.column(edges))
-                if len(rows):
-                    everything = np.arange(len(parser.starts))
-                    of = np.searchsorted(parser.bounds, parser.starts, side="right") - 1
-                    windows.append(np.flatnonzero(np.isin(_keyed(of, parser.of_windows(0, everything), parser.of_windows(1, everything)), _keyed(rows, w1, w2))))
-                covered = parser.covered(np.unique(np.concatenate(windows)))
-                for k, i in enumerate(hit):
-                    drop = covered[parser.bounds[k] : parser.bounds[k + 1]]
-                    before[i], gone[i] = len(drop), int(drop.sum())
-                    if gone[i]:
-                        words = texts[i].split()
-                        kept[i] = b" ".join([words[j] for j in np.flatnonzero(~drop)])
+            tags, gone = _tags(texts), np.zeros(len(texts), np.int64)
+            rows, (tag, start, words, *_) = _listed(batch.column(found))
+            mine = np.flatnonzero(tag == tags[rows])
+            spans: dict[int, list] = {}
+            for r, a, n in zip(rows[mine].tolist(), start[mine].tolist(), words[mine].tolist()):
+                spans.setdefault(r, []).append((a, a + n))
+                gone[r] += n
+            before, kept = [], []
+            for i, text in enumerate(texts):
+                split = text.split()
+                before.append(len(split))
+                for a, b in reversed(spans.get(i, [])):
+                    del split[a:b]
+                kept.append(text if whole and i not in spans else b" ".join(split))
             new = {"text": pa.array(kept, pa.binary()).cast(pa.string())}
-            yield pa.RecordBatch.from_arrays([*(new.get(c, batch.column(c)) for c in columns), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], names=[*columns, n_words, n_removed])
+            yield pa.RecordBatch.from_arrays([*(new.get(c, batch.column(c)) for c in columns), pa.array(before, pa.int64()), pa.array(gone)], names=[*columns, n_words, n_removed])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return map_blocks(joined, ", ".join([*kinds, f"`{n_words}` bigint", f"`{n_removed}` bigint"]), work)

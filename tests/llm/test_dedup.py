@@ -1,5 +1,6 @@
 """Line, substring and near dedup, quality rules and sharding against brute force."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -70,6 +71,46 @@ def _without_windows(documents, size):
         yield i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)
 
 
+def _check_factors(df, window):
+    """Factors are copies of a smaller doc_id's words, in order, apart, and cover what duplicate windows cover."""
+    texts = {}
+    for i, t in pairs(df):
+        texts.setdefault(i, []).append(t.split())
+    factors = sorted((r.doc_id, r.start, r.words, r.source_id, r.source_start) for r in substrings.factors(df, window).collect())
+    covered = Counter()
+    for doc_id, start, n, source_id, source_start in factors:
+        assert source_id < doc_id and n > 0
+        ours = [w[start : start + n] for w in texts[doc_id]]
+        assert any(w[source_start : source_start + n] in ours for w in texts[source_id])
+        covered[doc_id] += n
+    removed = Counter()
+    for i, _, n, _ in _without_windows(pairs(df), window):
+        removed[i] += n
+    return factors, covered == +removed
+
+
+def test_factors_of_documents(spark, odd):
+    assert _check_factors(odd, 50)[1]
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(1, base), (2, other), (3, base[20:160] + ["x"] + base[100:300] + other[50:130]), (4, base[:40] + other[:200] + base[399:]), (5, base[10:390])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found, same = _check_factors(df, 50)
+    assert same
+    assert [f for f in found if f[0] in (3, 4)] == [(3, 0, 140, 1, 20), (3, 141, 200, 1, 100), (3, 341, 80, 2, 50), (4, 40, 200, 2, 0)]
+    assert [f for f in found if f[0] == 5] == [(5, 0, 380, 1, 10)]
+    assert substrings.factors(df.limit(0), 50).count() == 0
+
+
+def test_greedy_parse():
+    column = lambda *x: np.array(x, np.int64)
+    # Two matches that go on in one source, one that reaches farther from the middle, one that lies inside.
+    assert substrings.parsed(column(0, 30, 60, 70), column(50, 60, 100, 20), column(1, 1, 2, 3), column(5, 35, 0, 9)) == [(0, 90, 1, 5), (90, 70, 2, 30)]
+    assert substrings.parsed(column(0, 200), column(50, 50), column(1, 1), column(0, 500)) == [(0, 50, 1, 0), (200, 50, 1, 500)]
+    assert substrings.parsed(*[column()] * 4) == []
+
+
 def test_substrings_of_odd_rows(odd, empty):
     found = Counter((r.doc_id, r.n_words_, r.n_removed, r.text) for r in substrings.removed(odd).collect())
     assert found == Counter(_without_windows(pairs(odd), 50))
