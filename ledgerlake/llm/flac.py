@@ -9,8 +9,15 @@ a seek table gives their places. Streams without one, and codes that are rare
 plain bit reader. ``encode`` stores bytes as samples: fixed predictors of order 0 to
 2, one Rice parameter a frame, a seek point a frame.
 
-A broken stream is reported in ``error`` and has null samples; the others are not
-harmed. Null and empty texts are 64 zero bytes. Equal texts give equal streams.
+``pcm_blocks`` writes the samples as blocks, a row for each frame with the first
+sample's offset, and ``samples_at`` reads stretches of samples from the blocks that hold
+them, so that a part of a long stream is read alone.
+
+A broken stream is reported in ``error`` and has null samples and no blocks; the others
+are not harmed. Null and empty texts are 64 zero bytes. Equal texts give equal streams;
+repeated rows are coded each, null doc_ids pass. Texts of any length are coded whole, a
+long one as a block of rows of its own. An empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_blocks
 
@@ -432,3 +440,25 @@ def decode(streams: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), batch.column("media"), *new], names=["doc_id", "n_bytes", "media", "pcm", "block_starts", "feature", "error"])
 
     return map_blocks(streams.select("doc_id", "n_bytes", "media"), "doc_id long, n_bytes long, media binary, pcm binary, block_starts array<bigint>, feature string, error string", work, "media")
+
+
+def pcm_blocks(decoded: DataFrame) -> DataFrame:
+    """(doc_id, block, first_sample, n_samples, pcm) of the sound streams in decode's result."""
+    ends = F.concat(F.slice("block_starts", 2, F.greatest(F.size("block_starts") - 1, F.lit(0))), F.array(F.octet_length("pcm").cast("long")))
+    spans = F.arrays_zip(F.col("block_starts").alias("first"), ends.alias("end"))
+    rows = decoded.where("pcm IS NOT NULL").select("doc_id", "pcm", F.posexplode(spans).alias("block", "s"))
+    size = (F.col("s.end") - F.col("s.first")).alias("n_samples")
+    return rows.select("doc_id", "block", F.col("s.first").alias("first_sample"), size, F.substring("pcm", (F.col("s.first") + 1).cast("int"), size.cast("int")).alias("pcm"))
+
+
+def samples_at(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, first, n, pcm): the samples from first on, n of them or as many as there are, of each row of wanted (doc_id, first, n).
+
+    Doc_ids name one stream each; null ones, and stretches that begin beyond the end, give no row.
+    """
+    w = wanted.select("doc_id", "first", "n").distinct()
+    met = blocks.join(w, "doc_id").where("first_sample < first + n AND first_sample + n_samples > first")
+    a, b = F.greatest(F.col("first") - F.col("first_sample"), F.lit(0)), F.least(F.col("first") + F.col("n") - F.col("first_sample"), F.col("n_samples"))
+    part = met.select("doc_id", "first", "n", "block", F.substring("pcm", (a + 1).cast("int"), (b - a).cast("int")).alias("part"))
+    parts = part.groupBy("doc_id", "first", "n").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts"))
+    return parts.select("doc_id", "first", "n", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["part"])), "")).alias("pcm"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, flac, lines, lm, packing, quality, sharding, simhash, substrings, wavelet
-from .common import documents, unsigned_crc32
+from .common import documents, stored, unsigned_crc32
 from .oracles import ORACLES as ORACLES
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,7 +38,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = flac.decode(flac.encode(documents(spark, sf_dir)))
+    media = stored(flac.encode(documents(spark, sf_dir)), "media")
+    decoded = flac.decode(media)
     return decoded.select(
         "doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"),
         unsigned_crc32(F.substring("pcm", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),

@@ -1,5 +1,6 @@
 """FLAC round trips, the language model, and the pipeline's stages."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -25,6 +26,20 @@ def test_streams_give_their_payload_back(odd, empty):
     assert len(rows) == odd.count() and flac.decode(flac.encode(empty)).count() == 0
 
 
+def test_query_columns_of_media(spark):
+    rows = QUERIES["op5_flac_media"](spark, SF).collect()
+    texts = {i: flac.payload(t.encode()) for i, t in pairs(spark.read.parquet(f"{SF}/documents.parquet"))}
+    sizes = {i: len(t.encode()) for i, t in pairs(spark.read.parquet(f"{SF}/documents.parquet"))}
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = texts[r.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (sizes[r.doc_id], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        media = flac.encode_streams([data])[0]
+        assert (r.media_bytes, r.media_sha256, r.error) == (len(media), hashlib.sha256(media).hexdigest(), None)
+        x = [b - 128 for b in data]
+        assert r.feature == f"energy={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))};peak={max(map(abs, x))}"
+
+
 def test_hard_payloads_and_broken_streams():
     rng = np.random.default_rng(1)
     payloads = [flac.payload(x) for x in (b"", b"a", bytes(range(256)) * 9, b"\xff\x00" * 700, rng.bytes(5000), b"x" * 1025)]
@@ -58,12 +73,119 @@ def _bits(*fields):
         # first-order prediction, two partitions, the second an escape of 4 bits
         (_bits((0b00010010, 8), (10, 8), (0, 2), (1, 4), (0, 4), ("001", 0), (15, 4), (4, 5), (3, 4), (-1, 4)), [10, 11, 14, 13]),
         # linear prediction with weight 2 / 2**1 over one sample
-        (_bits((0b01000000, 8), (7, 8), (3, 4), (1, 5), (2, 4), (0, 2), (0, 4), (1, 4), ("101", 0), ("100", 0), ("110", 0)), None),
+        (_bits((0b01000000, 8), (7, 8), (3, 4), (1, 5), (2, 4), (0, 2), (0, 4), (1, 4), ("101", 0), ("100", 0), ("110", 0)), [7, 7, 6, 3]),
     ],
 )
 def test_subframes_of_other_kinds(subframe, samples):
     found, _ = flac.plain_subframe(subframe, 0, 4)
-    assert samples is None or found == samples
+    assert found == samples
+
+
+class Slow:
+    """An independent decoder: the stream as a string of bits, one code after another."""
+
+    def __init__(self, data):
+        self.bits, self.at = "".join(f"{b:08b}" for b in data), 0
+
+    def u(self, n):
+        self.at += n
+        return int("0" + self.bits[self.at - n : self.at], 2)
+
+    def s(self, n):
+        x = self.u(n)
+        return x - 2**n if n and x >= 2 ** (n - 1) else x
+
+    def unary(self):
+        end = self.bits.index("1", self.at)
+        n, self.at = end - self.at, end + 1
+        return n
+
+    def residuals(self, size, order):
+        assert self.u(2) == 0
+        parts = 2 ** self.u(4)
+        for p in range(parts):
+            k = self.u(4)
+            for _ in range(size // parts - (order if p == 0 else 0)):
+                x = self.unary() * 2**k + self.u(k)
+                yield -(x + 1) // 2 if x % 2 else x // 2
+
+    def subframe(self, size):
+        assert self.u(1) == 0
+        kind = self.u(6)
+        assert self.u(1) == 0
+        if kind < 8:
+            return [self.s(8)] * size if kind == 0 else [self.s(8) for _ in range(size)]
+        order = kind - 8 if kind < 32 else kind - 31
+        x = [self.s(8) for _ in range(order)]
+        if kind < 32:
+            weights, shift = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}[order], 0
+        else:
+            precision = self.u(4) + 1
+            shift = self.s(5)
+            weights = [self.s(precision) for _ in range(order)]
+        for r in self.residuals(size, order):
+            x.append(r + sum(w * x[-1 - j] for j, w in enumerate(weights)) // 2**shift)
+        return x
+
+    def stream(self):
+        assert self.u(32) == int.from_bytes(b"fLaC")
+        last = 0
+        while not last:
+            last, _, n = self.u(1), self.u(7), self.u(24)
+            self.at += 8 * n
+        out = []
+        while self.at < len(self.bits):
+            assert self.u(15) == 0b111111111111100 and self.u(1) == 0
+            size = {10: 1024, 7: 0}[self.u(4)]
+            self.u(12)
+            while self.u(8) >= 0xC0 or self.bits[self.at : self.at + 2] == "10":
+                pass
+            size = size or self.u(16) + 1
+            self.u(8)
+            out += self.subframe(size)
+            self.at += -self.at % 8 + 16
+        return bytes(x + 128 for x in out)
+
+
+def test_streams_by_an_independent_decoder():
+    rng = np.random.default_rng(3)
+    payloads = [flac.payload(x) for x in (b"", b"words and more words, " * 90, bytes(range(256)) * 5, rng.bytes(1500), bytes((np.cumsum(rng.integers(-2, 3, 2100)) % 256).astype(np.uint8)))]
+    streams = flac.encode_streams(payloads)
+    assert [Slow(x).stream() for x in streams] == payloads
+    assert [(np.frombuffer(x, np.uint8) ^ 128).tobytes() for x in flac.decode_streams(streams)[0]] == payloads
+
+
+@pytest.mark.parametrize("weights, shift", [([13], 4), ([29, -14], 4), ([40, -30, 9], 5), ([-3, 2, 1, -1, 3, 2, -2, 1], 3)])
+def test_linear_prediction(weights, shift):
+    """Frames with LPC subframes, in whole streams: what both decoders read is what was coded."""
+    rng, order, size = np.random.default_rng(len(weights)), len(weights), 1024
+    x = np.clip(np.cumsum(rng.integers(-6, 7, size)), -128, 127).tolist()
+    residual = [x[i] - sum(w * x[i - 1 - j] for j, w in enumerate(weights)) // 2**shift for i in range(order, size)]
+    zigzag = [2 * r if r >= 0 else -2 * r - 1 for r in residual]
+    codes = "".join("0" * (z >> 4) + "1" + f"{z & 15:04b}" for z in zigzag)
+    body = _bits((64 | order - 1 << 1, 8), *((v, 8) for v in x[:order]), (7 - 1, 4), (shift, 5), *((w, 7) for w in weights), (0, 2), (0, 4), (4, 4), (codes, 0))
+    frame = flac.frame_header(0, size) + body
+    crc = int(flac.crc16(np.frombuffer(frame, np.uint8), np.zeros(1, np.int64), np.array([len(frame)]))[0]).to_bytes(2)
+    raw = flac.encode_streams([bytes(v + 128 for v in x)])[0]
+    stream = raw[:4] + b"\x80" + raw[5:42] + frame + crc
+    wanted = bytes(v + 128 for v in x)
+    assert Slow(stream).stream() == wanted
+    pcm, firsts, errors = flac.decode_streams([stream])
+    assert errors == [None] and firsts == [[0]] and (np.frombuffer(pcm[0], np.uint8) ^ 128).tobytes() == wanted
+
+
+def test_parts_are_read_from_the_blocks_that_hold_them(spark, odd):
+    one = odd.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")
+    blocks = flac.pcm_blocks(flac.decode(flac.encode(one))).cache()
+    texts = {i: flac.payload(t.encode()) for i, t in pairs(one)}
+    found = {}
+    for r in blocks.collect():
+        assert r.first_sample == r.block * flac.FRAME and r.n_samples == len(r.pcm) and bytes(r.pcm) == texts[r.doc_id][r.first_sample : r.first_sample + r.n_samples]
+        found[r.doc_id] = found.get(r.doc_id, 0) + r.n_samples
+    assert found == {i: len(t) for i, t in texts.items()}
+    wanted = [(6, 0, 10), (6, 1020, 8), (6, 1024, 1024), (6, 2000, 5000), (13, 9990, 500), (1, 60, 4), (1, 64, 5), (99, 0, 1), (None, 0, 1)]
+    got = {(r.doc_id, r.first, r.n): bytes(r.pcm) for r in flac.samples_at(blocks, spark.createDataFrame(wanted, "doc_id long, first long, n long")).collect()}
+    assert got == {(i, a, n): texts[i][a : a + n] for i, a, n in wanted if i in texts and a < len(texts[i])}
 
 
 def test_elias_fano_finds_what_is_there():
