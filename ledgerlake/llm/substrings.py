@@ -177,7 +177,8 @@ def _boundary_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFr
 def _sourced(rows: DataFrame, keys: list[str], least: DataFrame, words: F.Column) -> DataFrame:
     """(doc_id, place, words, source_id, source_place) of the rows whose keys a smaller doc_id has; least: (keys, least)."""
     shared = stored(rows.join(least, keys).select("doc_id", "place", words.alias("words"), *keys, "least"), "shared")
-    sources = shared.where("doc_id = least").groupBy(*keys).agg(F.min("place").alias("source_place"))
+    # Stored, so that adaptive execution can split the hot keys of the join below.
+    sources = stored(shared.where("doc_id = least").groupBy(*keys).agg(F.min("place").alias("source_place")), "sources")
     return shared.where("doc_id > least").join(sources, keys).select("doc_id", "place", "words", F.col("least").alias("source_id"), F.col("source_place").bitwiseAND((1 << TAG) - 1).alias("source_place"))
 
 
