@@ -85,7 +85,8 @@ def device_label(column: Column) -> Column:
 
 def percent_decoded(column: Column) -> Column:
     """URL decoding that leaves plus signs and malformed escapes alone."""
-    return F.coalesce(F.try_url_decode(F.replace(column, F.lit("+"), F.lit("%2B"))), column)
+    escaped = F.regexp_replace(F.replace(column, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(escaped), column)
 
 
 def rfc3339(column: Column) -> Column:

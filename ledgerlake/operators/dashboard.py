@@ -95,6 +95,33 @@ def activity_page(events: DataFrame, devices: DataFrame, observations: DataFrame
     return usage.unionByName(seen).orderBy(F.desc("occurred_at"), F.desc("id")).offset(max(offset, 0)).limit(min(max(limit, 1), 500))
 
 
+#: What providers are called.
+LABELS = {
+    "codex": "Codex", "claude": "Claude Code CLI", "grok": "Grok Build", "gemini": "Gemini CLI", "omlx": "oMLX", "ollama": "Ollama", "lmstudio": "LM Studio",
+    "openai": "ChatGPT Personal", "openai_business": "ChatGPT Business", "anthropic": "Claude", "xai": "Grok", "google": "Google AI / Gemini",
+}
+
+
+def provider_label() -> Column:
+    """A provider's name; the key itself where it has none."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))[F.col("provider")], F.col("provider"))
+
+
+def activity_filtered(page: DataFrame, search: str = "", **equal: str) -> DataFrame:
+    """Rows of an activity page by layer, provider, friendly_name, project_name and model (those given), and by a text in project, model, device or provider."""
+    for column in ("layer", "provider", "friendly_name", "project_name", "model"):
+        if column in equal:
+            page = page.where(F.col(column) == equal[column])
+    text = F.lower(F.concat_ws(" ", F.coalesce("project_name", F.lit("")), F.coalesce("model", F.lit("")), "friendly_name", provider_label()))
+    return page.where(text.contains(search.lower())) if search else page
+
+
+def provider_options(rows: DataFrame, known: tuple[str, ...] = ("codex", "claude", "grok", "gemini")) -> DataFrame:
+    """(provider, label): the providers that are always offered, and those of the rows, by label."""
+    listed = rows.sparkSession.createDataFrame([(p,) for p in known], "provider string")
+    return rows.select("provider").unionByName(listed).distinct().withColumn("label", provider_label()).orderBy("label", "provider")
+
+
 def day_summary(page: DataFrame) -> DataFrame:
     """Of an activity list: measured tokens, minutes and observations of each day."""
     measured, kind = F.col("measurement_kind") == "measured", F.col("measurement_kind")

@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 from ..functions.columns import safe_identifier
 
 
-def insert_absent(stored: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
+def keys_of(table: DataFrame) -> list[str]:
+    """The key of a row: its id, within its account where the table has accounts."""
+    return [c for c in ("account_id", "id") if c in table.columns]
+
+
+def insert_absent(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """stored and the incoming rows whose key it lacks; the first of repeated keys, so replays add nothing."""
-    first = Window.partitionBy(key).orderBy("occurred_at", "native_event_id")
-    fresh = incoming.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    return stored.unionByName(fresh.join(stored.select(key), key, "left_anti"))
+    keys = keys_of(stored)
+    fresh = incoming.join(stored.select(*keys), keys, "left_anti")  # the rest is usually small, and dealt by the same keys
+    first = Window.partitionBy(*keys).orderBy("occurred_at", "native_event_id")
+    return stored.unionByName(fresh.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
 
 
 def authority() -> Column:
@@ -30,15 +36,17 @@ def authority() -> Column:
 
 
 def upsert_revisions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The most authoritative revision of each id; equal authority keeps the stored row.
+    """The most authoritative revision of each key; equal or lesser ones than the stored row change nothing.
 
-    Model, project and native cost fall back to those of the next lesser revision; a
-    replaced row is updated later than the stored one and queued again.
+    Model, project and native cost of a revision that wins fall back to those of the
+    revisions it replaces; the row is updated later than the stored one and queued again.
     """
     rows = stored.withColumn("_new", F.lit(False)).unionByName(incoming.withColumn("_new", F.lit(True))).withColumn("_auth", authority())
-    order = Window.partitionBy("id").orderBy(F.desc("_auth"), "_new", F.desc("native_event_id"))
+    whole = Window.partitionBy(*keys_of(stored))
+    have = F.max(F.when(~F.col("_new"), F.col("_auth"))).over(whole)
+    rows = rows.withColumn("_have", have).where(~F.col("_new") | F.col("_have").isNull() | (F.col("_auth") > F.col("_have")))
+    order = whole.orderBy(F.desc("_auth"), "_new", F.desc("native_event_id"), F.desc("model"), F.desc("project_name"))
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy("id")
     keep = {c: F.first(c, ignorenulls=True).over(rest) for c in ("model", "project_name", "native_cost_usd_ticks")}
     old = F.max(F.when(~F.col("_new"), F.col("updated_at"))).over(whole)
     rows = rows.withColumns({**keep, "_old": old, "_rank": F.row_number().over(order)}).where("_rank = 1")
@@ -51,9 +59,10 @@ def upsert_revisions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def raise_cache_write(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """stored with cache_write_tokens raised to incoming's where that is larger; nothing else changes but the queue."""
-    new = incoming.groupBy("id").agg(F.max("cache_write_tokens").alias("_write"))
+    keys = [k for k in keys_of(stored) if k in incoming.columns]
+    new = incoming.groupBy(*keys).agg(F.max("cache_write_tokens").alias("_write"))
     raised = F.coalesce(F.col("_write") > F.col("cache_write_tokens"), F.lit(False))
-    rows = stored.join(new, "id", "left").withColumns({"sync_status": F.when(raised, "pending").otherwise(F.col("sync_status")), "cache_write_tokens": F.greatest("cache_write_tokens", F.coalesce("_write", "cache_write_tokens"))})
+    rows = stored.join(new, keys, "left").withColumns({"sync_status": F.when(raised, "pending").otherwise(F.col("sync_status")), "cache_write_tokens": F.greatest("cache_write_tokens", F.coalesce("_write", "cache_write_tokens"))})
     return rows.select(*stored.columns)
 
 
@@ -74,12 +83,16 @@ def valid_hourly(rows: DataFrame, now_hour: int) -> DataFrame:
 
 
 def apply_remote(stored: DataFrame, remote: DataFrame) -> DataFrame:
-    """Remote rows are added, or replace a stored row that is older; device and creation stay. Odd ids and path-like projects are refused."""
-    fine = (F.length("id") == 64) & ~F.coalesce(F.col("project_name").rlike(r"[/\\]"), F.lit(False))
-    rows = stored.withColumn("_local", F.lit(1)).unionByName(remote.where(fine).withColumn("_local", F.lit(0)))
-    order = Window.partitionBy("id").orderBy(F.desc("updated_at"), F.desc("_local"))
-    local = Window.partitionBy("id")
-    stay = {c: F.coalesce(F.max(F.when(F.col("_local") == 1, F.col(c))).over(local), F.col(c)) for c in ("device_id", "created_at")}
+    """Remote rows are added, or replace a stored row that is older; device and creation stay.
+
+    Of events, odd ids and path-like projects are refused; subscriptions have neither.
+    """
+    if "native_event_id" in stored.columns:
+        remote = remote.where((F.length("id") == 64) & ~F.coalesce(F.col("project_name").rlike(r"[/\\]"), F.lit(False)))
+    rows = stored.withColumn("_local", F.lit(1)).unionByName(remote.where("id IS NOT NULL").withColumn("_local", F.lit(0)))
+    local = Window.partitionBy(*keys_of(stored))
+    order = local.orderBy(F.desc("updated_at"), F.desc("_local"))
+    stay = {c: F.coalesce(F.max(F.when(F.col("_local") == 1, F.col(c))).over(local), F.col(c)) for c in ("device_id", "created_at") if c in stored.columns}
     return rows.withColumns({**stay, "_r": F.row_number().over(order)}).where("_r = 1").select(*stored.columns)
 
 

@@ -1,9 +1,8 @@
 """Valuing events with effective-dated, tiered rules in exact integer money.
 
-The theta join of events and rules is made small first: the distinct (provider, model) of
-the ledger meet the catalogue, and each gets its matching rules as an array. An equi-join
-brings the array back to the events, where the best rule is a filter and a maximum: the
-fact side is neither multiplied nor grouped.
+The catalogue has a fixed size (39 rows), so each provider's rules are one array that is
+broadcast; on each event the best rule is a filter and a maximum over some ten structs.
+The fact side is read once, and is neither multiplied, grouped nor shuffled.
 """
 
 from __future__ import annotations
@@ -14,19 +13,25 @@ from pyspark.sql import functions as F
 from ..functions.columns import cost
 
 #: Fields that rank matching rules come first in the struct, so that the greatest struct is the best rule.
-_RANK = "(model = model_pattern) AS exact, length(model_pattern) AS size, effective_from, min_input, version"
-_RATES = "max_input, input_semantics, input_rate, cached_rate, output_rate, write_5m_rate, write_1h_rate, reasoning_rate, reasoning_behavior"
+_RANK = "model = r.model_pattern AS exact, length(r.model_pattern) AS size, r.effective_from AS effective_from, r.min_input AS min_input, r.version AS version"
+_RATES = ["max_input", "input_semantics", "input_rate", "cached_rate", "output_rate", "write_5m_rate", "write_1h_rate", "reasoning_rate", "reasoning_behavior"]
 
 
 def with_rule(events: DataFrame, rules: DataFrame) -> DataFrame:
     """events with rule, the struct of the rule that prices them, null where none does."""
-    models = events.select("provider", "model").where("model IS NOT NULL").distinct()
-    matches = F.expr("model = model_pattern OR (model_pattern LIKE '%*' AND startswith(model, left(model_pattern, length(model_pattern) - 1)))")
-    ranked = models.join(F.broadcast(rules), "provider").where(matches)  # the catalogue's size is fixed
-    known = ranked.groupBy("provider", "model").agg(F.collect_list(F.expr(f"struct({_RANK}, {_RATES})")).alias("_rules"))
-    best = F.expr("""array_max(filter(_rules, r -> r.effective_from <= occurred_at
-        AND input_tokens + if(r.input_semantics = 'cache_additive', cached_input_tokens + cache_write_tokens, 0) BETWEEN r.min_input AND coalesce(r.max_input, 9223372036854775807)))""")
-    return events.join(known, ["provider", "model"], "left").withColumn("rule", best).drop("_rules").select(*events.columns, "rule")
+    listed = rules.groupBy("provider").agg(F.collect_list(F.struct("model_pattern", "effective_from", "min_input", "version", *_RATES)).alias("_rules"))
+    best = F.expr(f"""array_max(transform(filter(_rules, r -> r.effective_from <= occurred_at
+        AND (model = r.model_pattern OR (r.model_pattern LIKE '%*' AND startswith(model, left(r.model_pattern, length(r.model_pattern) - 1))))
+        AND input_tokens + if(r.input_semantics = 'cache_additive', cached_input_tokens + cache_write_tokens, 0) BETWEEN r.min_input AND coalesce(r.max_input, 9223372036854775807)),
+        r -> struct({_RANK}, {", ".join(f"r.{c} AS {c}" for c in _RATES)})))""")
+    return events.join(F.broadcast(listed), "provider", "left").withColumn("rule", best).select(*events.columns, "rule")
+
+
+def with_stored_model(events: DataFrame, stored: DataFrame) -> DataFrame:
+    """events whose missing models are those of the stored row of the very same identity, unless it is superseded; before they are priced."""
+    same = ["id", "provider", "source", "source_type", "native_session_id", "native_event_id", "device_id", "measurement_kind"]
+    known = stored.where("superseded_by_event_id IS NULL AND model IS NOT NULL").select(*same, F.col("model").alias("_model")).dropDuplicates(same)
+    return events.join(known, same, "left").withColumn("model", F.coalesce("model", "_model")).select(*events.columns)
 
 
 _W5 = "least(cache_write_5m_tokens, cache_write_tokens)"

@@ -22,15 +22,14 @@ HORIZON_SECONDS = {"rolling": 86_400, "weekly": 8 * 86_400, "monthly": 32 * 86_4
 
 
 def loaded(readings: DataFrame, windows: DataFrame) -> DataFrame:
-    """Readings of each window's current period up to its observation, newest CAP, one per instant."""
+    """The newest CAP readings of each window's current period up to its observation, then one per instant."""
     w = windows.select(*KEYS, F.col("observed_at").alias("now"), F.col("period_starts_at").alias("w_start"), F.col("resets_at").alias("w_reset"))
     same = (F.col("period_starts_at").eqNullSafe(F.col("w_start"))) & (F.col("resets_at").eqNullSafe(F.col("w_reset")))
     begin = F.coalesce("w_start", F.col("now") - F.expr("INTERVAL '6' HOUR"))
     rows = readings.join(w, KEYS).where(same & F.col("observed_at").between(begin, F.col("now")))
-    newest = Window.partitionBy(*KEYS, "observed_at").orderBy(F.desc("updated_at"), F.desc("utilization_bps"))
-    rows = rows.withColumn("_r", F.row_number().over(newest)).where("_r = 1")
-    latest = Window.partitionBy(*KEYS).orderBy(F.desc("observed_at"))
-    return rows.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") <= CAP).drop("_r")
+    latest = Window.partitionBy(*KEYS).orderBy(F.desc("observed_at"), F.desc("updated_at"), F.desc("utilization_bps"))
+    rows = rows.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") <= CAP)
+    return rows.withColumn("_same", F.lag("observed_at").over(latest)).where(~F.col("observed_at").eqNullSafe(F.col("_same"))).drop("_r", "_same")
 
 
 def sampled(rows: DataFrame) -> DataFrame:
@@ -60,7 +59,9 @@ def slopes(sample: DataFrame) -> DataFrame:
 
 
 def pace(readings: DataFrame, windows: DataFrame) -> DataFrame:
-    """windows (KEYS, kind, utilization_bps, observed_at, period_starts_at, resets_at, refresh_stale) with pace, projection and status."""
+    """windows (KEYS, kind, utilization_bps, observed_at, period_starts_at, resets_at, refresh_stale, refresh_status) with pace, projection and status."""
+    if "refresh_status" not in windows.columns:
+        windows = windows.withColumn("refresh_status", F.lit("healthy"))
     sample = sampled(loaded(readings, windows))
     facts = sample.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("samples"), (F.max("at") - F.min("at")).alias("span_seconds"), F.count("step").alias("_pairs"), F.count_if(F.col("step") >= -JITTER).alias("_monotone"), F.max("observed_at").alias("last_reading")
@@ -89,42 +90,57 @@ def pace(readings: DataFrame, windows: DataFrame) -> DataFrame:
         .when(F.col("burn_bps_per_hour") == 0, "no_recent_change").otherwise("active")
     )
     before_reset = F.coalesce(F.col("projected_full_at") < F.col("resets_at"), F.lit(False))
-    return rows.select(*KEYS, "kind", "utilization_bps", "observed_at", "samples", "span_seconds", "monotone_percent", "confidence", "burn_bps_per_hour", "average_bps_per_hour", "projected_full_at", before_reset.alias("before_reset"), status.alias("status"))
+    return rows.select(*KEYS, "kind", "utilization_bps", "observed_at", "samples", "span_seconds", "monotone_percent", "confidence", "burn_bps_per_hour", "average_bps_per_hour", "projected_full_at", before_reset.alias("before_reset"), status.alias("status"), "stale", "refresh_status")
 
 
 def at_risk(paced: DataFrame) -> DataFrame:
-    """Windows that are full, or will be before they reset."""
-    return paced.where((F.col("status") == "limit_reached") | ((F.col("status") == "active") & F.col("before_reset")))
+    """Windows that bear a cap and are full, or will be before they reset, of providers that were read well and lately."""
+    sound = ~F.col("stale") & (F.col("refresh_status") == "healthy") & F.col("kind").isin(*HORIZON_SECONDS)
+    return paced.where(sound & ((F.col("status") == "limit_reached") | ((F.col("status") == "active") & F.col("before_reset"))))
 
 
 def latest(readings: DataFrame) -> DataFrame:
-    """The newest reading of each provider and window across devices; devices are never summed."""
-    order = Window.partitionBy("provider", "window_key").orderBy(F.desc("observed_at"), F.desc("updated_at"), F.desc("device_id"))
-    return readings.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """The windows of each provider's newest snapshot, whichever device took it; devices are never summed, and windows that vanished do not stay."""
+    newest = readings.groupBy("provider").agg(F.max(F.struct("observed_at", "updated_at", "device_id")).alias("n"))
+    newest = newest.select("provider", "n.observed_at", "n.updated_at", "n.device_id")
+    return readings.join(newest, ["provider", "observed_at", "updated_at", "device_id"], "left_semi")
+
+
+def state(readings: DataFrame, devices: DataFrame, refreshes: DataFrame) -> DataFrame:
+    """Each provider's newest snapshot with its windows, the device that took it, and whether it is stale: there, but not refreshed well since.
+
+    devices: (device_id, friendly_name), where a device may be missing; refreshes: (provider, status).
+    """
+    rows = latest(readings).groupBy("provider", "device_id", "observed_at").agg(F.array_sort(F.collect_list(F.struct("window_key", "utilization_bps"))).alias("windows"))
+    known = refreshes.select("provider", F.col("status").alias("refresh_status")).join(rows, "provider", "full_outer").join(devices, "device_id", "left")
+    stale = F.col("windows").isNotNull() & ~F.coalesce(F.col("refresh_status") == "healthy", F.lit(False))
+    return known.select("provider", "observed_at", "device_id", "friendly_name", "windows", "refresh_status", stale.alias("stale"))
 
 
 def bucketed(readings: DataFrame) -> DataFrame:
-    """The last reading of each window in every five minutes of a device, with the snapshot's and the row's id."""
+    """Snapshots of responses (a device's readings of one instant): the last response of every five minutes with the same windows, periods and resets.
+
+    snapshot_id is made of that, row_id of it and the window.
+    """
     bucket = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01', observed_at) div 300")
     seconds = lambda c: f"coalesce(cast(timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01', {c}) as string), '0')"
     shape = F.concat("window_key", F.lit(":"), F.expr(seconds("period_starts_at")), F.lit(":"), F.expr(seconds("resets_at")))
-    rows = readings.withColumns({"bucket": bucket, "shape": shape})
-    order = Window.partitionBy(*KEYS, "bucket", "shape").orderBy(F.desc("observed_at"), F.desc("updated_at"), F.desc("utilization_bps"))
-    rows = rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-    group = Window.partitionBy("provider", "device_id", "bucket")
-    shapes = F.array_join(F.array_sort(F.collect_set("shape").over(group)), "|")
+    response = Window.partitionBy("provider", "device_id", "observed_at")
+    shapes = F.array_join(F.array_sort(F.collect_set(shape).over(response)), "|")  # a response has few windows
+    rows = readings.withColumn("bucket", bucket)
     rows = rows.withColumn("snapshot_id", F.sha2(F.concat_ws("|", "provider", "device_id", F.col("bucket").cast("string"), shapes), 256))
-    return rows.withColumn("row_id", F.sha2(F.concat_ws("|", "snapshot_id", "window_key"), 256)).drop("shape")
+    rows = rows.withColumn("row_id", F.sha2(F.concat_ws("|", "snapshot_id", "window_key"), 256))
+    order = Window.partitionBy("row_id").orderBy(F.desc("observed_at"), F.desc("updated_at"), F.desc("utilization_bps"))
+    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
 def refresh_state(attempts: DataFrame) -> DataFrame:
-    """Latest outcome of each provider, failures since its last success, and when to try again."""
-    series = Window.partitionBy("provider").orderBy("attempted_at", "attempt_id")
-    failed = F.col("status") != "healthy"
-    runs = attempts.withColumn("_ok", F.sum((~failed).cast("int")).over(series.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("failures", F.sum(failed.cast("int")).over(Window.partitionBy("provider", "_ok").orderBy("attempted_at", "attempt_id").rowsBetween(Window.unboundedPreceding, 0)))
-    newest = Window.partitionBy("provider").orderBy(F.desc("attempted_at"), F.desc("attempt_id"))
-    last = runs.withColumn("_r", F.row_number().over(newest)).where("_r = 1")
-    wait = F.when(F.col("failures") > 0, backoff_seconds(F.col("failures"), F.col("retry_after_seconds")))
-    rows = last.withColumn("wait_seconds", wait)
-    return rows.select("provider", "status", "attempted_at", "failures", "wait_seconds", F.expr("timestampadd(SECOND, cast(wait_seconds as int), attempted_at)").alias("retry_at"))
+    """Latest outcome of each provider, failures since its last success, and when to try again; all aggregates, so no provider's attempts meet in one task."""
+    at = F.struct("attempted_at", "attempt_id")
+    healthy = attempts.where("status = 'healthy'").groupBy("provider").agg(F.max(at).alias("ok"))
+    last = attempts.groupBy("provider").agg(F.max(F.struct("attempted_at", "attempt_id", "status", "retry_after_seconds")).alias("l"))
+    since = attempts.where("status <> 'healthy'").join(F.broadcast(healthy), "provider", "left").where(F.col("ok").isNull() | (at > F.col("ok")))  # a row for each provider
+    rows = last.join(since.groupBy("provider").agg(F.count(F.lit(1)).alias("failures")), "provider", "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
+    wait = F.when(F.col("failures") > 0, backoff_seconds(F.col("failures"), F.col("l.retry_after_seconds")))
+    rows = rows.select("provider", F.col("l.status").alias("status"), F.col("l.attempted_at").alias("attempted_at"), "failures", wait.alias("wait_seconds"))
+    return rows.withColumn("retry_at", F.expr("timestampadd(SECOND, cast(wait_seconds as int), attempted_at)"))

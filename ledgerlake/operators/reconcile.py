@@ -2,33 +2,75 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hashed
+from ..functions.columns import hashed, saturating_add
 
-SHAPE = ["native_session_id", "occurred_at", "input_tokens", "cached_input_tokens", "cache_write_tokens", "output_tokens", "reasoning_tokens"]
+SHAPE = ["native_session_id", "occurred_at", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens", "total_tokens"]
+# How native event ids of today's collectors begin; others are of former ones.
+CLAUDE_IDS = ["request:", "message:", "uuid:", "request_fingerprint:"]
 
 
-def by_hints(events: DataFrame, hints: DataFrame) -> DataFrame:
-    """events with active legacy rows superseded by the replacement a hint proves, if that is in the ledger."""
-    proven = hints.where("legacy_event_id <> replacement_event_id").join(events.select(F.col("id").alias("replacement_event_id")), "replacement_event_id", "left_semi")
-    one = proven.groupBy("legacy_event_id").agg(F.min("replacement_event_id").alias("_by"))
-    rows = events.join(one, events["id"] == one["legacy_event_id"], "left")
-    return rows.withColumn("superseded_by_event_id", F.coalesce("superseded_by_event_id", "_by")).select(*events.columns)
+def legacy(provider: str) -> Column:
+    """Rows that a former collector of the provider wrote, and nothing supersedes."""
+    source, native = {"claude": "claude_code", "grok": "grok_build"}[provider], F.col("native_event_id")
+    todays = native.rlike(f"^({'|'.join(CLAUDE_IDS)})") if provider == "claude" else native.like("turn:%:model:%")
+    return (F.col("provider") == provider) & (F.col("source") == source) & F.col("superseded_by_event_id").isNull() & ~todays
 
 
-def by_shape(legacy: DataFrame, turns: DataFrame) -> DataFrame:
-    """(legacy_event_id, replacement_event_id): legacy rows whose exact shape is unique, with the first turn of that shape."""
-    unique = legacy.groupBy(*SHAPE).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("legacy_event_id")).where("n = 1")
-    totals = turns.groupBy("turn_id", "native_session_id", "occurred_at").agg(*(F.sum(c).alias(c) for c in SHAPE[2:]), F.max("id").alias("last_id"))
-    first = totals.groupBy(*SHAPE).agg(F.min_by("last_id", "turn_id").alias("replacement_event_id"))
+def superseded(events: DataFrame, pairs: DataFrame, now: datetime) -> DataFrame:
+    """events with the legacy rows of pairs (legacy_event_id, replacement_event_id) superseded, updated and queued again; ids are one account's."""
+    one = pairs.groupBy("legacy_event_id").agg(F.min("replacement_event_id").alias("_by"))
+    rows = events.join(one, events["id"] == one["legacy_event_id"], "left")
+    new = F.col("_by").isNotNull() & F.col("superseded_by_event_id").isNull()
+    return rows.withColumns({
+        "updated_at": F.when(new, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("updated_at")), "sync_status": F.when(new, "pending").otherwise(F.col("sync_status")),
+        "superseded_by_event_id": F.coalesce("superseded_by_event_id", "_by"),
+    }).select(*events.columns)
+
+
+def by_hints(events: DataFrame, hints: DataFrame, now: datetime) -> DataFrame:
+    """events with the Claude rows superseded that a hint proves to be replaced by a Claude row of the ledger."""
+    new = events.where("provider = 'claude'").select(F.col("id").alias("replacement_event_id"))
+    proven = hints.where("legacy_event_id <> replacement_event_id").join(new, "replacement_event_id", "left_semi")
+    old = events.where("provider = 'claude' AND source = 'claude_code'").select(F.col("id").alias("legacy_event_id"))
+    return superseded(events, proven.join(old, "legacy_event_id", "left_semi"), now)
+
+
+def by_shape(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """(legacy_event_id, replacement_event_id): legacy Grok rows whose counters, alone in the ledger, are those of a completed turn over all its models.
+
+    The replacement is the turn's last row by model; of several turns with the same counters the first counts.
+    """
+    unique = stored.where(legacy("grok")).groupBy(*SHAPE).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("legacy_event_id")).where("n = 1")
+    rows = events.where((F.col("provider") == "grok") & F.col("native_event_id").contains(":model:")).withColumn("turn_id", F.substring_index("native_event_id", ":model:", 1))
+    last = F.max_by("id", F.struct(F.coalesce("model", F.lit("")), "native_event_id")).alias("last_id")
+    turns = rows.groupBy("native_session_id", "turn_id").agg(F.max("occurred_at").alias("occurred_at"), *(F.sum(c).alias(c) for c in SHAPE[2:]), last)
+    first = turns.groupBy(*SHAPE).agg(F.min_by("last_id", "turn_id").alias("replacement_event_id"))
     return unique.join(first, SHAPE).select("legacy_event_id", "replacement_event_id")
 
 
-def unreconciled(events: DataFrame, is_legacy: Column) -> DataFrame:
+def by_recombined_input(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """(legacy_event_id, replacement_event_id): legacy Claude rows that counted all input as one, alone in the ledger, and the first request with such counters.
+
+    A legacy row has no cache writes and no reasoning; a model is the same also where both are unknown.
+    """
+    shape = ["native_session_id", "occurred_at", "_model", "input_tokens", "cached_input_tokens", "output_tokens", "total_tokens"]
+    known = F.struct(F.col("model").isNull(), F.coalesce("model", F.lit(""))).alias("_model")
+    plain = (F.col("cache_write_tokens") == 0) & (F.col("cache_write_5m_tokens") == 0) & (F.col("cache_write_1h_tokens") == 0) & (F.col("reasoning_tokens") == 0)
+    old = stored.where(legacy("claude") & plain).withColumn("_model", known)
+    unique = old.groupBy(*shape).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("legacy_event_id")).where("n = 1")
+    whole = saturating_add(F.col("input_tokens"), F.col("cached_input_tokens"), F.col("cache_write_tokens"))
+    new = events.where("provider = 'claude'").withColumns({"_model": known, "input_tokens": whole}).groupBy(*shape).agg(F.min("id").alias("replacement_event_id"))
+    return unique.join(new, shape).where("legacy_event_id <> replacement_event_id").select("legacy_event_id", "replacement_event_id")
+
+
+def unreconciled(events: DataFrame) -> DataFrame:
     """Legacy rows that nothing supersedes, by provider."""
-    return events.where(is_legacy & F.col("superseded_by_event_id").isNull()).groupBy("provider").agg(F.count(F.lit(1)).alias("unreconciled"))
+    return events.where(legacy("claude") | legacy("grok")).groupBy("provider").agg(F.count(F.lit(1)).alias("unreconciled"))
 
 
 def provider_summary(events: DataFrame) -> DataFrame:
@@ -45,8 +87,9 @@ def with_all_providers(summary: DataFrame, providers: list[str]) -> DataFrame:
     """summary with zero rows for the providers it lacks."""
     spark = summary.sparkSession
     listed = spark.createDataFrame([(p,) for p in providers], "provider string")
-    counts = [c for c, t in summary.dtypes if t == "bigint"]
-    return listed.join(summary, "provider", "left").fillna(0, counts)
+    rows = listed.join(summary.withColumn("_there", F.lit(True)), "provider", "left")
+    filled = {c: F.when(F.col("_there").isNull(), F.lit(0)).otherwise(F.col(c)).cast("long") for c, t in summary.dtypes if t == "bigint"}
+    return rows.withColumns(filled).select(*summary.columns)
 
 
 def health(diagnostics: DataFrame) -> DataFrame:

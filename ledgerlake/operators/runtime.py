@@ -1,7 +1,7 @@
 """Local runtimes: inventories, polls and the transitions between them.
 
 A poll is (device_id, provider, observed_at, status, models), status healthy, unavailable
-or not_detected, models an array of structs with id and loaded.
+or not_detected, models an array of structs with id and loaded, which is null where the runtime does not say.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import canonical
+
 #: Seconds after which a poll says nothing any more; days and rows for which observations are kept.
 STALE_SECONDS, KEEP_DAYS, KEEP_ROWS = 120, 90, 10_000
 KEYS = ["device_id", "provider"]
@@ -20,19 +22,20 @@ def transitions(polls: DataFrame) -> DataFrame:
     """(KEYS, observed_at, state, model): what each poll changed against the one before."""
     order = Window.partitionBy(*KEYS).orderBy("observed_at")
     healthy = F.col("status") == "healthy"
-    loaded = F.when(healthy, F.transform(F.filter("models", lambda m: m["loaded"]), lambda m: m["id"])).otherwise(F.array().cast("array<string>"))
-    rows = polls.withColumns({"healthy": healthy, "loaded": loaded})
+    ids = lambda kind: F.when(healthy, F.transform(F.filter("models", kind), lambda m: m["id"])).otherwise(F.array().cast("array<string>"))
+    # A model is unloaded if the runtime says so or lists it no more, not if it says nothing.
+    rows = polls.withColumns({"healthy": healthy, "loaded": ids(lambda m: m["loaded"]), "may_be_loaded": ids(lambda m: F.coalesce(m["loaded"], F.lit(True)))})
     gap = F.expr("timestampdiff(SECOND, before_at, observed_at)")
     rows = rows.withColumns({"before": F.lag("status").over(order), "before_at": F.lag("observed_at").over(order), "before_loaded": F.lag("loaded").over(order)})
     rows = rows.withColumn("fresh", F.coalesce((gap <= STALE_SECONDS) & (F.col("before") == "healthy"), F.lit(False)))
     empty = F.array().cast("array<string>")
     known = F.coalesce("before_loaded", empty)
-    server = F.when(F.col("healthy") & ~F.col("fresh"), F.array(F.lit("server_online"))).when((F.col("before") == "healthy") & (F.col("status") == "unavailable"), F.array(F.lit("server_unavailable"))).otherwise(empty)
+    server = F.when(F.col("healthy") & ~F.col("fresh"), F.array(F.lit("server_online"))).when(F.col("fresh") & (F.col("status") == "unavailable"), F.array(F.lit("server_unavailable"))).otherwise(empty)
     pairs = lambda state, models: F.transform(models, lambda m: F.struct(F.lit(state).alias("state"), m.alias("model")))
     changes = F.concat(
         F.transform(server, lambda s: F.struct(s.alias("state"), F.lit(None).cast("string").alias("model"))),
         F.when(F.col("healthy"), pairs("model_loaded", F.array_except("loaded", known))).otherwise(F.array().cast("array<struct<state:string,model:string>>")),
-        F.when(F.col("healthy"), pairs("model_unloaded", F.array_except(known, F.col("loaded")))).otherwise(F.array().cast("array<struct<state:string,model:string>>")),
+        F.when(F.col("healthy"), pairs("model_unloaded", F.array_except(known, F.col("may_be_loaded")))).otherwise(F.array().cast("array<struct<state:string,model:string>>")),
     )
     return rows.select(*KEYS, "observed_at", F.explode(changes).alias("c")).select(*KEYS, "observed_at", "c.state", "c.model")
 
@@ -61,3 +64,17 @@ def counts(polls: DataFrame) -> DataFrame:
     last = polls.groupBy(*KEYS).agg(F.max_by(F.struct("status", "models"), "observed_at").alias("p"))
     loaded = F.when(F.col("p.status") == "healthy", F.size(F.filter("p.models", lambda m: m["loaded"]))).otherwise(0)
     return last.groupBy("device_id").agg(F.count_if(F.col("p.status") == "healthy").alias("reachable"), F.sum(loaded).alias("loaded_models"))
+
+
+def local_snapshot(events: DataFrame, details: DataFrame, observations: DataFrame, day_start: datetime, device: str, history_available: bool = True) -> DataFrame:
+    """Tokens and requests that this device's runtime counted since the day began, and observations since then.
+
+    details: (event_id, requests) of hourly rows. Requests are null where the history cannot be read.
+    """
+    begin = F.lit(day_start).cast("timestamp_ntz")
+    hourly = canonical() & (F.col("provider") == "omlx") & (F.col("source") == "omlx_usage_hourly") & (F.col("device_id") == device) & (F.col("occurred_at") >= begin)
+    rows = events.where(hourly).join(details.select(F.col("event_id").alias("id"), "requests"), "id", "left")
+    usage = rows.agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens_today"), F.coalesce(F.sum("requests"), F.lit(0)).alias("requests_today"))
+    seen = observations.where(F.col("observed_at") >= begin).agg(F.count(F.lit(1)).alias("observations_today"))
+    requests = F.when(F.lit(history_available), F.col("requests_today")).alias("requests_today")
+    return usage.crossJoin(F.broadcast(seen)).select("tokens_today", requests, "observations_today")  # two rows of one each

@@ -175,10 +175,10 @@ readings AS (SELECT 'claude' AS provider, 'w' || w AS window_key, 'day-' || strf
 PACE = f"""{READINGS},
 w0 AS (SELECT *, looked_from + CASE WHEN w = 4 THEN INTERVAL 3 HOUR ELSE INTERVAL 18 HOUR END AS seen_at FROM readings),
 windows AS (SELECT {_K}, CASE w WHEN 0 THEN 'rolling' WHEN 1 THEN 'weekly' WHEN 2 THEN 'product' WHEN 3 THEN 'other' ELSE 'monthly' END AS kind, arg_max(utilization_bps, observed_at) AS utilization_bps,
-  seen_at AS observed_at, period_starts_at, resets_at, day(seen_at) % 7 = 0 AS refresh_stale FROM w0 WHERE observed_at <= seen_at AND observed_at >= looked_from - INTERVAL 3 HOUR GROUP BY {_K}, w, seen_at, period_starts_at, resets_at),
-l0 AS (SELECT r.*, v.observed_at AS now, row_number() OVER (PARTITION BY {_K} ORDER BY r.observed_at DESC) AS rn FROM readings r JOIN windows v USING ({_K})
+  seen_at AS observed_at, period_starts_at, resets_at, day(seen_at) % 7 = 0 AS refresh_stale, CASE WHEN day(seen_at) % 5 = 0 THEN 'error' ELSE 'healthy' END AS refresh_status FROM w0 WHERE observed_at <= seen_at AND observed_at >= looked_from - INTERVAL 3 HOUR GROUP BY {_K}, w, seen_at, period_starts_at, resets_at),
+l0 AS (SELECT r.*, v.observed_at AS now, row_number() OVER (PARTITION BY {_K} ORDER BY r.observed_at DESC, r.updated_at DESC, r.utilization_bps DESC) AS rn, row_number() OVER (PARTITION BY {_K}, r.observed_at ORDER BY r.updated_at DESC, r.utilization_bps DESC) AS same FROM readings r JOIN windows v USING ({_K})
   WHERE r.period_starts_at IS NOT DISTINCT FROM v.period_starts_at AND r.resets_at IS NOT DISTINCT FROM v.resets_at AND r.observed_at BETWEEN coalesce(v.period_starts_at, v.observed_at - INTERVAL 6 HOUR) AND v.observed_at),
-l1 AS (SELECT *, lag(utilization_bps) OVER (PARTITION BY {_K} ORDER BY observed_at) - utilization_bps > 500 AS dropped FROM l0 WHERE rn <= 512),
+l1 AS (SELECT *, lag(utilization_bps) OVER (PARTITION BY {_K} ORDER BY observed_at) - utilization_bps > 500 AS dropped FROM l0 WHERE rn <= 512 AND same = 1),
 l2 AS (SELECT *, sum(CASE WHEN dropped THEN 1 ELSE 0 END) OVER (PARTITION BY {_K} ORDER BY observed_at) AS part FROM l1),
 l3 AS (SELECT *, epoch_us(observed_at) // 1000000 AS t, {_SEC('observed_at', 'now')} AS age FROM l2 QUALIFY part = max(part) OVER (PARTITION BY {_K})),
 l4 AS (SELECT *, count(*) FILTER (age <= 3600) OVER g >= 3 AND max(t) FILTER (age <= 3600) OVER g - min(t) FILTER (age <= 3600) OVER g >= 600 AS enough FROM l3 WINDOW g AS (PARTITION BY {_K})),
@@ -197,42 +197,60 @@ p3 AS (SELECT *, CASE WHEN resets_at IS NOT NULL OR togo <= CASE kind WHEN 'roll
 paced AS (SELECT {_K}, kind, utilization_bps, observed_at, samples, CAST(span_seconds AS BIGINT) AS span_seconds, CAST(monotone_percent AS BIGINT) AS monotone_percent, confidence, CAST(burn AS BIGINT) AS burn_bps_per_hour,
   CAST(CASE WHEN cap AND enough AND {_SEC('period_starts_at', 'observed_at')} >= 600 THEN utilization_bps * 3600 // ({_SEC('period_starts_at', 'observed_at')}) END AS BIGINT) AS average_bps_per_hour, projected_full_at,
   coalesce(projected_full_at < resets_at, false) AS before_reset,
-  CASE WHEN NOT cap THEN 'informational' WHEN utilization_bps >= 10000 THEN 'limit_reached' WHEN NOT enough THEN 'gathering' WHEN refresh_stale THEN 'stale' WHEN burn = 0 THEN 'no_recent_change' ELSE 'active' END AS status FROM p3)"""
+  CASE WHEN NOT cap THEN 'informational' WHEN utilization_bps >= 10000 THEN 'limit_reached' WHEN NOT enough THEN 'gathering' WHEN refresh_stale THEN 'stale' WHEN burn = 0 THEN 'no_recent_change' ELSE 'active' END AS status, refresh_stale AS stale, refresh_status FROM p3)"""
 
 _AUTH = "total_tokens DESC, output_tokens DESC, model IS NOT NULL DESC, project_name IS NOT NULL DESC, occurred_at DESC"
 _HOUR = "epoch_us(occurred_at) // 3600000000"
 _hourly = lambda where: f"SELECT device_id, model AS model_id, {_HOUR} AS hour, sum(input_tokens) AS p, sum(output_tokens) AS c, sum(cached_input_tokens) AS d, count(*) AS r FROM ledger WHERE provider = 'omlx' AND model IS NOT NULL AND {where} GROUP BY 1, 2, 3 HAVING sum(cached_input_tokens) <= sum(input_tokens)"  # noqa: E731, E501
-_SHAPE = "native_session_id, occurred_at, input_tokens, cached_input_tokens, cache_write_tokens, output_tokens, reasoning_tokens"
+_SHAPE = "native_session_id, occurred_at, input_tokens, cached_input_tokens, output_tokens, reasoning_tokens, total_tokens"
 
 POLLS = """
 e0 AS (SELECT 'device-' || user_id % 25 AS device_id, 'omlx' AS provider, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts, event_id) AS n FROM events),
 polls AS (SELECT device_id, provider, TIMESTAMP '2026-09-01' + to_seconds(n * 100 + k % 50) AS observed_at, CASE event_type WHEN 'error' THEN 'unavailable' WHEN 'signup' THEN 'not_detected' ELSE 'healthy' END AS status,
-  [{'id': 'a' || k % 3, 'on': k % 3 <> 1}, {'id': 'b' || k % 4, 'on': k % 4 <> 1}] AS models FROM e0),
+  [{'id': 'a' || k % 3, 'on': CASE WHEN k % 3 = 1 THEN false WHEN k % 7 <> 3 THEN true END}, {'id': 'b' || k % 4, 'on': CASE WHEN k % 4 = 1 THEN false WHEN k % 7 <> 3 THEN true END}] AS models FROM e0),
 models AS (SELECT device_id, provider, observed_at, unnest(models, recursive := true) FROM polls WHERE status = 'healthy'),
 pl AS (SELECT *, lag(status) OVER o AS before, lag(observed_at) OVER o AS before_at FROM polls WINDOW o AS (PARTITION BY device_id, provider ORDER BY observed_at)),
 loaded AS (SELECT * FROM models WHERE "on"),
 trans AS (SELECT device_id, provider, observed_at, 'server_online' AS state, NULL AS model FROM pl WHERE status = 'healthy' AND NOT coalesce(before = 'healthy' AND epoch_us(observed_at) - epoch_us(before_at) <= 120000000, false)
-  UNION ALL SELECT device_id, provider, observed_at, 'server_unavailable', NULL FROM pl WHERE status = 'unavailable' AND before = 'healthy'
+  UNION ALL SELECT device_id, provider, observed_at, 'server_unavailable', NULL FROM pl WHERE status = 'unavailable' AND before = 'healthy' AND epoch_us(observed_at) - epoch_us(before_at) <= 120000000
   UNION ALL SELECT DISTINCT p.device_id, p.provider, p.observed_at, 'model_loaded', l.id FROM pl p JOIN loaded l USING (device_id, provider, observed_at) WHERE NOT EXISTS (SELECT 1 FROM loaded b WHERE b.device_id = p.device_id AND b.observed_at = p.before_at AND b.id = l.id)
-  UNION ALL SELECT DISTINCT p.device_id, p.provider, p.observed_at, 'model_unloaded', b.id FROM pl p JOIN loaded b ON b.device_id = p.device_id AND b.observed_at = p.before_at WHERE p.status = 'healthy' AND NOT EXISTS (SELECT 1 FROM loaded l WHERE l.device_id = p.device_id AND l.observed_at = p.observed_at AND l.id = b.id))"""
+  UNION ALL SELECT DISTINCT p.device_id, p.provider, p.observed_at, 'model_unloaded', b.id FROM pl p JOIN loaded b ON b.device_id = p.device_id AND b.observed_at = p.before_at WHERE p.status = 'healthy' AND NOT EXISTS (SELECT 1 FROM models l WHERE l.device_id = p.device_id AND l.observed_at = p.observed_at AND l.id = b.id AND coalesce("on", true)))"""
 
 _bucket = "epoch_us(observed_at) // 300000000"
 _epoch = lambda c: f"coalesce(CAST(epoch_us({c}) // 1000000 AS VARCHAR), '0')"
 
+MONTHLY = f"""{READINGS}, m AS (SELECT * EXCLUDE (provider), 'claude-' || strftime(observed_at, '%Y%m') AS provider FROM readings),
+newest AS (SELECT * FROM m QUALIFY rank() OVER (PARTITION BY provider ORDER BY observed_at DESC, updated_at DESC, device_id DESC) = 1)"""
+
 ORACLES |= {
     "quota_pace": f"WITH {PACE} SELECT * FROM paced",
-    "quota_at_risk": f"WITH {PACE} SELECT window_key, device_id, status, projected_full_at FROM paced WHERE status = 'limit_reached' OR (status = 'active' AND before_reset)",
-    "quota_latest": f"WITH {READINGS} SELECT provider, window_key, device_id, observed_at, utilization_bps FROM readings QUALIFY row_number() OVER (PARTITION BY provider, window_key ORDER BY observed_at DESC, updated_at DESC, device_id DESC) = 1",
-    "quota_buckets": f"""WITH {READINGS}, b AS (SELECT *, {_bucket} AS bucket, window_key || ':' || {_epoch('period_starts_at')} || ':' || {_epoch('resets_at')} AS shape FROM readings WHERE w < 4
-  QUALIFY row_number() OVER (PARTITION BY {_K}, {_bucket}, period_starts_at, resets_at ORDER BY observed_at DESC) = 1),
-g AS (SELECT provider, device_id, bucket, string_agg(DISTINCT shape, '|' ORDER BY shape) AS shapes FROM b GROUP BY ALL),
-s AS (SELECT b.*, sha256(concat_ws('|', provider, device_id, CAST(bucket AS VARCHAR), shapes)) AS snapshot_id FROM b JOIN g USING (provider, device_id, bucket))
-SELECT snapshot_id, sha256(snapshot_id || '|' || window_key) AS row_id, window_key, device_id, bucket, utilization_bps FROM s""",
+    "quota_at_risk": f"WITH {PACE} SELECT window_key, device_id, status, projected_full_at FROM paced WHERE NOT stale AND refresh_status = 'healthy' AND kind IN ('rolling', 'weekly', 'monthly') AND (status = 'limit_reached' OR (status = 'active' AND before_reset))",
+    "quota_latest": f"WITH {MONTHLY} SELECT provider, window_key, device_id, observed_at, utilization_bps FROM newest",
+    "provider_quota_state": f"""WITH {MONTHLY}, s AS (SELECT provider, device_id, observed_at, string_agg(window_key || '=' || utilization_bps, ',' ORDER BY window_key) AS windows FROM newest GROUP BY ALL),
+d AS (SELECT DISTINCT device_id, 'Day ' || substr(device_id, 5, 8) AS friendly_name FROM m WHERE CAST(substr(device_id, 5, 8) AS INT) % 2 = 0),
+f AS (SELECT DISTINCT provider, CASE WHEN CAST(right(provider, 1) AS INT) % 2 = 0 THEN 'healthy' ELSE 'error' END AS refresh_status FROM m WHERE CAST(right(provider, 1) AS INT) % 3 <> 0)
+SELECT provider, observed_at, device_id, friendly_name, windows, refresh_status, coalesce(refresh_status, '') <> 'healthy' AS stale FROM s LEFT JOIN f USING (provider) LEFT JOIN d USING (device_id)""",
+    "quota_buckets": f"""WITH {READINGS}, r AS (SELECT provider, window_key, device_id, date_trunc('minute', observed_at) AS observed_at, period_starts_at, resets_at, arg_max(utilization_bps, (r.observed_at, utilization_bps)) AS utilization_bps FROM readings r GROUP BY 1, 2, 3, 4, 5, 6),
+b AS (SELECT *, {_bucket} AS bucket, window_key || ':' || {_epoch('period_starts_at')} || ':' || {_epoch('resets_at')} AS shape FROM r),
+g AS (SELECT provider, device_id, observed_at, bucket, string_agg(DISTINCT shape, '|' ORDER BY shape) AS shapes FROM b GROUP BY ALL),
+s AS (SELECT b.*, sha256(concat_ws('|', provider, device_id, CAST(bucket AS VARCHAR), shapes)) AS snapshot_id FROM b JOIN g USING (provider, device_id, observed_at, bucket))
+SELECT snapshot_id, sha256(snapshot_id || '|' || window_key) AS row_id, window_key, device_id, bucket, utilization_bps FROM s QUALIFY row_number() OVER (PARTITION BY snapshot_id, window_key ORDER BY observed_at DESC, utilization_bps DESC) = 1""",
     "merge_replay": f"WITH {LEDGER} SELECT id, provider, total_tokens, sync_status FROM ledger",
-    "merge_revisions": f"""WITH r AS (SELECT sha256('claude' || chr(31) || l_orderkey || chr(31) || 'line:' || l_linenumber) AS id, CAST(l_shipdate AS TIMESTAMP) AS occurred_at, CASE WHEN l_suppkey % 10 = 0 THEN NULL ELSE 'm' END AS model,
-  CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE 'p' END AS project_name, CAST(l_quantity AS BIGINT) AS output_tokens, CAST(floor(l_extendedprice) AS BIGINT) AS total_tokens, l_suppkey % 2 AS half FROM lineitem),
-o AS (SELECT id, total_tokens, output_tokens, occurred_at, half, row_number() OVER (PARTITION BY id ORDER BY {_AUTH}, half) AS rn FROM r)
-SELECT id, total_tokens, output_tokens, occurred_at, CASE WHEN half = 1 THEN 'pending' ELSE 'synced' END AS sync_status FROM o WHERE rn = 1""",
+    "merge_revisions": f"""WITH r AS (SELECT sha256('claude' || chr(31) || l_orderkey || chr(31) || 'line:' || l_linenumber) AS id, CAST(l_shipdate AS TIMESTAMP) AS occurred_at, CASE WHEN l_suppkey % 10 <> 0 THEN 'model-' || l_suppkey % 7 END AS model,
+  CASE WHEN l_partkey % 11 <> 0 THEN 'Project-' || l_partkey % 8 END AS project_name, CAST(l_quantity AS BIGINT) AS output_tokens, CAST(floor(l_extendedprice) AS BIGINT) AS total_tokens, l_suppkey % 2 AS half FROM lineitem),
+s AS (SELECT id, occurred_at, output_tokens, total_tokens, occurred_at AS updated_at, first_value(model IGNORE NULLS) OVER w AS model, first_value(project_name IGNORE NULLS) OVER w AS project_name FROM r WHERE half = 0
+  WINDOW w AS (PARTITION BY id ORDER BY {_AUTH}, model DESC, project_name DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_AUTH}, model DESC, project_name DESC) = 1),
+i AS (SELECT r.* EXCLUDE (half), r.occurred_at AS updated_at, s.updated_at AS old, true AS fresh FROM r LEFT JOIN s USING (id) WHERE half = 1 AND (s.id IS NULL
+  OR (r.total_tokens, r.output_tokens, r.model IS NOT NULL, r.project_name IS NOT NULL, r.occurred_at) > (s.total_tokens, s.output_tokens, s.model IS NOT NULL, s.project_name IS NOT NULL, s.occurred_at))),
+u AS (SELECT id, occurred_at, model, project_name, output_tokens, total_tokens, updated_at, old, fresh FROM i UNION ALL SELECT id, occurred_at, model, project_name, output_tokens, total_tokens, updated_at, NULL, false FROM s)
+SELECT id, first_value(model IGNORE NULLS) OVER w AS model, first_value(project_name IGNORE NULLS) OVER w AS project_name, total_tokens, output_tokens, occurred_at,
+  CASE WHEN old IS NULL THEN updated_at ELSE greatest(updated_at, old + INTERVAL 1 MICROSECOND) END AS updated_at, CASE WHEN fresh THEN 'pending' ELSE 'synced' END AS sync_status FROM u
+  WINDOW w AS (PARTITION BY id ORDER BY {_AUTH}, fresh, model DESC, project_name DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_AUTH}, fresh, model DESC, project_name DESC) = 1""",
+    "merge_tenants": f"""WITH {LEDGER}, a AS (SELECT count(*) AS n, sum(total_tokens) AS t FROM ledger WHERE account_id = 'account-0'), x(merge) AS (VALUES (0), (1), (2))
+SELECT 'account-0' AS account_id, merge, n AS "rows", {_I('t')} AS tokens FROM a, x UNION ALL SELECT 'account-b', merge, n, {_I('t + n')} FROM a, x""",
+    "merge_subscriptions": f"""WITH s AS (SELECT CAST(c_custkey AS BIGINT) AS id, c_custkey * 37 % 20000 AS price FROM customer)
+SELECT id, CASE WHEN id % 3 = 2 AND id % 10 <> 0 THEN price + 100 ELSE price END AS price_cents, {ts(WEEK)} + CASE WHEN id % 3 = 2 AND id % 10 <> 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS updated_at FROM s
+UNION ALL SELECT -1 - id, price + 100, {ts(WEEK)} + to_days(CAST(id % 3 - 1 AS INT)) FROM s WHERE id % 10 = 0""",
     "merge_cache_write": f"""WITH {LEDGER} SELECT id, CASE WHEN provider = 'codex' THEN greatest(cache_write_tokens, cache_write_tokens + total_tokens % 3 - 1) ELSE cache_write_tokens END AS cache_write_tokens,
   CASE WHEN provider = 'codex' AND total_tokens % 3 = 2 THEN 'pending' ELSE sync_status END AS sync_status FROM ledger""",
     "merge_hourly": f"""WITH {LEDGER}, s AS ({_hourly("measurement_kind <> 'estimated'")}), n AS ({_hourly("sync_status = 'synced'")}),
@@ -243,16 +261,23 @@ SELECT device_id, model_id, hour, {_I('CASE WHEN take THEN p ELSE sp END')} AS p
 SELECT account_id, batch, count(*) AS rows, min(created_at) AS oldest, {_I('sum(total_tokens)')} AS tokens FROM p GROUP BY 1, 2""",
     "acknowledged_rows": f"WITH {LEDGER} SELECT provider, CASE WHEN sync_status = 'error' AND provider <> 'grok' THEN 'synced' ELSE sync_status END AS sync_status, count(*) AS rows FROM ledger GROUP BY 1, 2",
     "pulled_rows": f"WITH {LEDGER} SELECT account_id, count(*) AS rows, max(updated_at) AS cursor FROM ledger WHERE updated_at > {ts(WEEK)} AND updated_at <= {ts(NOW)} GROUP BY 1",
-    "reconcile_shapes": f"""WITH {LEDGER}, g AS (SELECT * FROM ledger WHERE provider = 'grok' AND measurement_kind = 'measured'),
-u AS (SELECT {_SHAPE}, min('old-' || id) AS legacy_event_id FROM g WHERE native_cost_usd_ticks IS NULL GROUP BY {_SHAPE} HAVING count(*) = 1),
-t AS (SELECT {_SHAPE}, arg_min(id, native_event_id) AS replacement_event_id FROM g GROUP BY {_SHAPE}) SELECT legacy_event_id, replacement_event_id FROM u JOIN t USING ({_SHAPE})""",
-    "reconcile_hints": f"""WITH {LEDGER} SELECT a.id, coalesce(a.superseded_by_event_id, b.id) AS superseded_by_event_id FROM ledger a
-  LEFT JOIN ledger b ON b.native_event_id = 'event:' || (CAST(split_part(a.native_event_id, ':', 2) AS BIGINT) + 6) WHERE a.provider = 'claude'""",
+    "reconcile_shapes": f"""WITH {LEDGER}, g AS (SELECT *, CAST(split_part(native_event_id, ':', 2) AS BIGINT) AS n FROM ledger WHERE provider = 'grok'),
+old AS (SELECT {_SHAPE}, min(id) AS id FROM g WHERE superseded_by_event_id IS NULL GROUP BY ALL HAVING count(*) = 1),
+turns AS (SELECT native_session_id, occurred_at, input_tokens, cached_input_tokens, output_tokens, reasoning_tokens, total_tokens + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS total_tokens, 'turn:' || n AS turn FROM g),
+pairs AS (SELECT old.id, sha256('grok' || chr(31) || native_session_id || chr(31) || min(turn) || ':model:1') AS new FROM old JOIN turns USING ({_SHAPE}) GROUP BY old.id, native_session_id)
+SELECT g.id, coalesce(superseded_by_event_id, new) AS superseded_by_event_id, CASE WHEN new IS NULL THEN updated_at ELSE {ts(NOW)} END AS updated_at, CASE WHEN new IS NULL THEN sync_status ELSE 'pending' END AS sync_status FROM g LEFT JOIN pairs USING (id)""",
+    "reconcile_recombined": f"""WITH {LEDGER}, c AS (SELECT *, CAST(split_part(native_event_id, ':', 2) AS BIGINT) % 5 = 0 AS twice FROM ledger WHERE provider = 'claude' AND measurement_kind = 'measured'),
+n AS (SELECT native_session_id, occurred_at, model, input_tokens + cached_input_tokens + cache_write_tokens AS i, cached_input_tokens, output_tokens, total_tokens, min(id) FILTER (superseded_by_event_id IS NULL) AS id, count(*) FILTER (superseded_by_event_id IS NULL) + count(*) FILTER (superseded_by_event_id IS NULL AND twice) AS legacy, min('new-' || id) AS new FROM c GROUP BY ALL)
+SELECT c.id, coalesce(superseded_by_event_id, new) AS superseded_by_event_id, CASE WHEN superseded_by_event_id IS NULL AND new IS NOT NULL THEN 'pending' ELSE sync_status END AS sync_status FROM c LEFT JOIN (SELECT id, new FROM n WHERE legacy = 1) p ON p.id = c.id
+UNION ALL SELECT 'double-' || id, superseded_by_event_id, sync_status FROM c WHERE twice""",
+    "reconcile_hints": f"""WITH {LEDGER} SELECT a.id, coalesce(a.superseded_by_event_id, b.id) AS superseded_by_event_id, CASE WHEN a.superseded_by_event_id IS NULL AND b.id IS NOT NULL THEN {ts(NOW)} ELSE a.updated_at END AS updated_at,
+  CASE WHEN a.superseded_by_event_id IS NULL AND b.id IS NOT NULL THEN 'pending' ELSE a.sync_status END AS sync_status FROM ledger a
+  LEFT JOIN ledger b ON a.provider = 'claude' AND b.provider = 'claude' AND b.native_event_id = 'event:' || (CAST(split_part(a.native_event_id, ':', 2) AS BIGINT) + 6) WHERE a.provider IN ('claude', 'grok')""",
     "provider_summary": f"""WITH {LEDGER}, p(provider) AS (VALUES ('codex'), ('claude'), ('grok'), ('gemini')),
 s AS (SELECT provider, count(*) AS records, count(DISTINCT native_session_id) AS sessions, count(DISTINCT native_session_id || native_event_id) AS turns, sum(total_tokens) AS tokens, sum(cached_input_tokens) AS cache_read,
   sum(cache_write_tokens) AS cache_write, sum(native_cost_usd_ticks) AS native, max(occurred_at) AS last_usage FROM layered WHERE canon AND provider <> 'gemini' GROUP BY provider)
 SELECT provider, coalesce(records, 0) AS records, coalesce(sessions, 0) AS sessions, coalesce(turns, 0) AS turns, {_I('coalesce(tokens, 0)')} AS tokens, {_I('coalesce(cache_read, 0)')} AS cache_read,
-  {_I('coalesce(cache_write, 0)')} AS cache_write, {_I('coalesce(native, 0)')} AS native_cost_usd_ticks, last_usage FROM p LEFT JOIN s USING (provider)""",
+  {_I('coalesce(cache_write, 0)')} AS cache_write, {_I('CASE WHEN records IS NULL THEN 0 ELSE native END')} AS native_cost_usd_ticks, last_usage FROM p LEFT JOIN s USING (provider)""",
     "ledger_validity": f"""WITH {LEDGER}, v AS (SELECT count(*) FILTER (total_tokens % 97 = 1) AS r, count(*) FILTER (total_tokens % 89 = 1) AS i FROM ledger)
 SELECT unnest(['negative_counter', 'unknown_source_type', 'unknown_pricing_status', 'unknown_kind', 'odd_id', 'write_under_split', 'reasoning_over_output', 'identity']) AS rule, unnest([0, 0, 0, 0, 0, 0, r, i]) AS rows FROM v""",
     "account_totals": f"WITH {LEDGER} SELECT account_id, provider, count(*) AS rows, {_I('sum(total_tokens)')} AS tokens FROM ledger WHERE account_id = 'account-1' GROUP BY 1, 2",
@@ -308,3 +333,33 @@ SELECT strftime(occurred_at, '%Y-%m-%d') AS day, {_I("coalesce(sum(total_tokens)
     "retained_observations": f"""WITH {POLLS}, r AS (SELECT * FROM trans WHERE observed_at >= {ts(NOW)} - INTERVAL 90 DAY QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observed_at DESC, provider, state, model NULLS FIRST) <= 10000)
 SELECT device_id, state, count(*) AS rows, min(observed_at) AS first FROM r GROUP BY 1, 2""",
 }
+
+_GROK = "FROM ledger WHERE provider = 'grok' AND measurement_kind = 'measured' AND project_name IS NOT NULL"
+_N = "CAST(split_part(native_event_id, ':', 2) AS BIGINT)"
+_pair = "CASE WHEN {0} > 0 THEN {0} ELSE {1} END"
+
+ORACLES |= {
+    "scan_grok": f"""WITH {LEDGER}, g AS (SELECT *, {_N} AS n {_GROK})
+SELECT native_session_id, occurred_at, 'one' AS model, project_name, input_tokens, cached_input_tokens, output_tokens, total_tokens, CASE WHEN n % 5 <> 0 THEN native_cost_usd_ticks END AS native_cost_usd_ticks FROM g WHERE n % 3 = 0 AND total_tokens > 0
+UNION ALL SELECT native_session_id, occurred_at, 'two', project_name, input_tokens, cached_input_tokens, output_tokens, input_tokens + output_tokens, NULL FROM g WHERE n % 3 = 1 AND input_tokens + output_tokens > 0
+UNION ALL SELECT native_session_id, date_trunc('millisecond', occurred_at), 'a', project_name, 0, 0, output_tokens, output_tokens, 3 FROM g WHERE n % 3 = 2 AND output_tokens > 0
+UNION ALL SELECT native_session_id, date_trunc('millisecond', occurred_at), 'b', project_name, input_tokens, 0, 0, input_tokens, CASE WHEN output_tokens = 0 THEN 7 END FROM g WHERE n % 3 = 2 AND input_tokens > 0""",
+    "scan_grok_diagnostics": f"""WITH {LEDGER}, g AS (SELECT *, {_N} AS n {_GROK}) SELECT 'malformed_json' AS code, count(DISTINCT (native_session_id, project_name)) AS "rows" FROM g
+UNION ALL SELECT 'unallocated_native_cost', count(*) FROM g WHERE n % 3 = 2 AND output_tokens > 0 HAVING count(*) > 0""",
+    "scan_gemini": f"""WITH {LEDGER}, g AS (SELECT *, {_N} AS n FROM ledger WHERE provider = 'gemini' AND measurement_kind = 'measured')
+SELECT native_session_id, 'm' || n AS native_event_id, occurred_at, model, project_name, input_tokens, cached_input_tokens, output_tokens, reasoning_tokens, input_tokens + output_tokens AS total_tokens FROM g WHERE n % 2 = 0
+UNION ALL SELECT 'own', 'i' || n, occurred_at, model, NULL, input_tokens, cached_input_tokens, output_tokens, 0, total_tokens FROM g WHERE n % 2 = 1 AND n % 9 <> 1""",
+    "scan_manifest": f"""WITH {LEDGER} SELECT 'codex:' || sha256('/logs/' || native_session_id || '.jsonl') AS source_key, 2 AS parser_version, {ts(NOW)} AS last_scan_at, max(occurred_at) AS last_usage_at, 'warning' AS status, 'malformed_json' AS diagnostic
+  FROM ledger WHERE {_CODEX} GROUP BY native_session_id""",
+    "local_snapshot": f"""WITH {LEDGER}, {POLLS} SELECT {_I("coalesce(sum(total_tokens), 0)")} AS tokens_today, {_I("coalesce(sum(total_tokens % 5), 0)")} AS requests_today, (SELECT count(*) FROM trans WHERE observed_at >= {ts(WEEK)}) AS observations_today
+  FROM layered WHERE canon AND provider = 'omlx' AND device_id = 'device-23' AND occurred_at >= {ts(WEEK)}""",
+    "enriched_models": f"""WITH {PRICED}, v AS (SELECT *, (total_tokens % 2 = 0 OR (total_tokens % 7 <> 1 AND superseded_by_event_id IS NULL)) AND model IS NOT NULL AS has FROM priced),
+x AS (SELECT provider, CASE WHEN has THEN pricing_status ELSE 'unavailable' END AS pricing_status, has, CASE WHEN has THEN estimated_api_value_usd_micros END AS value FROM v)
+SELECT provider, pricing_status, count(*) AS "rows", count(*) FILTER (has) AS with_model, {_I('sum(value)')} AS value FROM x GROUP BY ALL""",
+    "provider_options": f"""WITH {LEDGER}, p AS (SELECT DISTINCT provider FROM ledger WHERE provider <> 'codex' UNION SELECT unnest(['codex', 'claude', 'grok', 'gemini']))
+SELECT provider, CASE provider WHEN 'codex' THEN 'Codex' WHEN 'claude' THEN 'Claude Code CLI' WHEN 'grok' THEN 'Grok Build' WHEN 'gemini' THEN 'Gemini CLI' WHEN 'omlx' THEN 'oMLX' WHEN 'ollama' THEN 'Ollama' WHEN 'lmstudio' THEN 'LM Studio' ELSE provider END AS label FROM p""",
+    "activity_search": f"""WITH {LEDGER}, {POLLS},
+a AS (SELECT id, occurred_at, provider, model, project_name, friendly_name, layer FROM layered JOIN devices USING (device_id) WHERE superseded_by_event_id IS NULL
+  UNION ALL SELECT sha256(device_id || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|' || state || '|' || coalesce(model, '')), observed_at, provider, model, NULL, friendly_name, 'runtime' FROM trans JOIN devices USING (device_id)),
+p AS (SELECT * FROM a ORDER BY occurred_at DESC, id DESC LIMIT 500) SELECT id, provider, project_name, layer FROM p WHERE layer = 'tool' AND contains(lower(coalesce(project_name, '') || ' ' || coalesce(model, '') || ' ' || friendly_name), 'project-3')""",
+}

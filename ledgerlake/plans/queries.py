@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import canonical
+from ..functions.columns import canonical, hashed
 from ..functions.ranges import range_start
 from ..operators import cache, dashboard, merge, pricing, quota, reconcile, runtime, sessions
 from ..sources import catalogue, derived, logs, responses
@@ -164,14 +164,37 @@ def quota_at_risk(spark, sf_dir):
     return quota.at_risk(quota.pace(readings, derived.quota_windows(readings))).select("window_key", "device_id", "status", "projected_full_at")
 
 
+def monthly_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings, those of each month as of another provider."""
+    return derived.quota_readings(spark, sf_dir).withColumn("provider", F.concat(F.lit("claude-"), F.date_format("observed_at", "yyyyMM")))
+
+
 @query
 def quota_latest(spark, sf_dir):
-    return quota.latest(derived.quota_readings(spark, sf_dir)).select("provider", "window_key", "device_id", "observed_at", "utilization_bps")
+    return quota.latest(monthly_readings(spark, sf_dir)).select("provider", "window_key", "device_id", "observed_at", "utilization_bps")
+
+
+def responses_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings as responses: those of a device and minute came at once, and the last of a window counts."""
+    minute = F.date_trunc("minute", F.col("observed_at").cast("timestamp")).cast("timestamp_ntz")
+    rows = derived.quota_readings(spark, sf_dir).withColumn("minute", minute)
+    last = rows.groupBy("provider", "window_key", "device_id", "minute", "period_starts_at", "resets_at").agg(F.max(F.struct("observed_at", "utilization_bps")).alias("l"))
+    return last.select("provider", "window_key", "device_id", F.col("minute").alias("observed_at"), F.col("minute").alias("updated_at"), "period_starts_at", "resets_at", F.col("l.utilization_bps").alias("utilization_bps"))
+
+
+@query
+def provider_quota_state(spark, sf_dir):
+    readings = monthly_readings(spark, sf_dir)
+    day = F.substring("device_id", 5, 8)
+    devices_ = readings.select("device_id").distinct().where(day.cast("int") % 2 == 0).withColumn("friendly_name", F.concat(F.lit("Day "), day))
+    refreshes = readings.select("provider").distinct().withColumn("m", F.substring("provider", -1, 1).cast("int")).where("m % 3 <> 0").select("provider", F.when(F.col("m") % 2 == 0, "healthy").otherwise("error").alias("status"))
+    found = quota.state(readings, devices_, refreshes)
+    return found.withColumn("windows", F.array_join(F.transform("windows", lambda w: F.concat(w["window_key"], F.lit("="), w["utilization_bps"])), ","))
 
 
 @query
 def quota_buckets(spark, sf_dir):
-    return quota.bucketed(derived.quota_readings(spark, sf_dir).where("w < 4")).select("snapshot_id", "row_id", "window_key", "device_id", "bucket", "utilization_bps")
+    return quota.bucketed(responses_of(spark, sf_dir)).select("snapshot_id", "row_id", "window_key", "device_id", "bucket", "utilization_bps")
 
 
 @query
@@ -187,7 +210,25 @@ def merge_revisions(spark, sf_dir):
     rows = derived.revisions(spark, sf_dir)
     stored, incoming = (rows.where(F.col("half") == h).drop("half") for h in (0, 1))
     once = merge.upsert_revisions(stored.limit(0), stored).withColumn("sync_status", F.lit("synced"))
-    return merge.upsert_revisions(once, incoming).select("id", "total_tokens", "output_tokens", "occurred_at", "sync_status")
+    return merge.upsert_revisions(once, incoming).select("id", "model", "project_name", "total_tokens", "output_tokens", "occurred_at", "updated_at", "sync_status")
+
+
+@query
+def merge_tenants(spark, sf_dir):
+    """Rows of two accounts with the same ids, merged three ways: neither account's rows change the other's."""
+    stored = ledger(spark, sf_dir).where("account_id = 'account-0'").withColumn("sync_status", F.lit("synced"))
+    other = stored.withColumns({"account_id": F.lit("account-b"), "total_tokens": F.col("total_tokens") + 1, "updated_at": F.expr("updated_at + INTERVAL '1' DAY")})
+    merged = [merge.insert_absent(stored, other), merge.upsert_revisions(stored, other), merge.apply_remote(stored, other)]
+    counted = [m.groupBy("account_id").agg(F.lit(i).alias("merge"), F.count(F.lit(1)).alias("rows"), F.sum("total_tokens").alias("tokens")) for i, m in enumerate(merged)]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query
+def merge_subscriptions(spark, sf_dir):
+    stored = derived.subscriptions(spark, sf_dir).withColumn("updated_at", F.lit(WEEK).cast("timestamp_ntz"))
+    remote = stored.withColumns({"price_cents": F.col("price_cents") + 100, "updated_at": F.expr("updated_at + make_dt_interval(id % 3 - 1)")})
+    remote = remote.withColumn("id", F.expr("if(id % 10 = 0, -1 - id, id)"))
+    return merge.apply_remote(stored, remote).select("id", "price_cents", "updated_at")
 
 
 @query
@@ -235,20 +276,45 @@ def pulled_rows(spark, sf_dir):
     return merge.pulled(ledger(spark, sf_dir), from_, to).groupBy("account_id").agg(F.count(F.lit(1)).alias("rows"), F.max("updated_at").alias("cursor"))
 
 
+def _number_of(column: str = "native_event_id"):
+    return F.substring_index(column, ":", -1).cast("long")
+
+
 @query
 def reconcile_shapes(spark, sf_dir):
-    events = ledger(spark, sf_dir).where("provider = 'grok' AND measurement_kind = 'measured'")
-    legacy = events.where("native_cost_usd_ticks IS NULL").withColumn("id", F.concat(F.lit("old-"), "id"))
-    return reconcile.by_shape(legacy, events.withColumn("turn_id", F.col("native_event_id")))
+    """Legacy Grok rows, superseded by turns of two models with the same counters; every third turn counts one token more."""
+    stored = ledger(spark, sf_dir).where("provider = 'grok'")
+    halves = stored.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    share = lambda c: F.expr(f"if(part = 0, {c} div 3, {c} - {c} div 3)")
+    counters = {c: share(c) for c in reconcile.SHAPE[2:]}
+    turns = halves.withColumns(counters).withColumns({
+        "total_tokens": F.col("total_tokens") + F.when((_number_of() % 3 == 0) & (F.col("part") == 0), 1).otherwise(0), "model": F.when(F.col("part") == 0, F.lit("a")).otherwise(F.lit("b")),
+        "native_event_id": F.concat(F.lit("turn:"), _number_of(), F.lit(":model:"), "part"),
+    })
+    turns = turns.withColumn("id", hashed(F.col("provider"), F.col("native_session_id"), F.col("native_event_id")))
+    done = reconcile.superseded(stored, reconcile.by_shape(stored, turns), NOW)
+    return done.select("id", "superseded_by_event_id", "updated_at", "sync_status")
+
+
+@query
+def reconcile_recombined(spark, sf_dir):
+    """Legacy Claude rows that counted all input as one, superseded by requests; every fifth has a double."""
+    rows = ledger(spark, sf_dir).where("provider = 'claude' AND measurement_kind = 'measured'")
+    requests = rows.withColumns({"native_event_id": F.concat(F.lit("request:"), _number_of()), "id": F.concat(F.lit("new-"), "id")})
+    zero = {c: F.lit(0).cast("long") for c in ("cache_write_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens", "reasoning_tokens")}
+    old = rows.withColumns({"input_tokens": F.col("input_tokens") + F.col("cached_input_tokens") + F.col("cache_write_tokens"), **zero})
+    stored = old.unionByName(old.where(_number_of() % 5 == 0).withColumn("id", F.concat(F.lit("double-"), "id")))
+    done = reconcile.superseded(stored, reconcile.by_recombined_input(stored, requests), NOW)
+    return done.select("id", "superseded_by_event_id", "sync_status")
 
 
 @query
 def reconcile_hints(spark, sf_dir):
     events = ledger(spark, sf_dir)
     following = events.select(F.col("native_event_id").alias("n"), F.col("id").alias("replacement_event_id"))
-    number = F.substring_index("native_event_id", ":", -1).cast("long")
-    hints = events.where("provider = 'claude'").select(F.col("id").alias("legacy_event_id"), F.concat(F.lit("event:"), number + 6).alias("n")).join(following, "n")
-    return reconcile.by_hints(events, hints.select("legacy_event_id", "replacement_event_id")).where("provider = 'claude'").select("id", "superseded_by_event_id")
+    hints = events.select(F.col("id").alias("legacy_event_id"), F.concat(F.lit("event:"), _number_of() + 6).alias("n")).join(following, "n")
+    done = reconcile.by_hints(events, hints.select("legacy_event_id", "replacement_event_id"), NOW)
+    return done.where("provider IN ('claude', 'grok')").select("id", "superseded_by_event_id", "updated_at", "sync_status")
 
 
 @query
@@ -282,6 +348,40 @@ def runtime_counts(spark, sf_dir):
     return runtime.counts(derived.polls(spark, sf_dir))
 
 
+@query
+def local_snapshot(spark, sf_dir):
+    """Of the device with the last nation's number, over the last week."""
+    events = ledger(spark, sf_dir)
+    details = events.select(F.col("id").alias("event_id"), (F.col("total_tokens") % 5).alias("requests"))
+    return runtime.local_snapshot(events, details, runtime.transitions(derived.polls(spark, sf_dir)), WEEK, "device-23")
+
+
+@query
+def enriched_models(spark, sf_dir):
+    """Revisions without a model take that of the stored row, unless another device wrote it or it is superseded; then they are priced."""
+    stored = ledger(spark, sf_dir)
+    revisions = stored.withColumns({"model": F.expr("if(total_tokens % 2 = 0, model, NULL)"), "device_id": F.expr("if(total_tokens % 7 = 1, 'device-x', device_id)")})
+    priced = pricing.priced(pricing.with_stored_model(revisions, stored), catalogue.rules(spark))
+    return priced.groupBy("provider", "pricing_status").agg(F.count(F.lit(1)).alias("rows"), F.count("model").alias("with_model"), F.sum("estimated_api_value_usd_micros").alias("value"))
+
+
+@query
+def provider_options(spark, sf_dir):
+    return dashboard.provider_options(ledger(spark, sf_dir).where("provider <> 'codex'"))
+
+
+def _activity(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    seen = runtime.transitions(derived.polls(spark, sf_dir)).withColumn("id", F.sha2(F.concat_ws("|", "device_id", F.col("observed_at").cast("string"), "state", F.coalesce("model", F.lit(""))), 256))
+    return dashboard.activity_page(ledger(spark, sf_dir), devices(spark, sf_dir), seen, limit)
+
+
+@query
+def activity_search(spark, sf_dir):
+    """Of the newest 500 rows, those of one layer and provider whose project, model, device or provider has a text."""
+    found = dashboard.activity_filtered(_activity(spark, sf_dir, 500), "PROJECT-3", layer="tool")
+    return found.select("id", "provider", "project_name", "layer")
+
+
 @query
 def activity_page(spark, sf_dir):
     seen = runtime.transitions(derived.polls(spark, sf_dir)).withColumn("id", F.sha2(F.concat_ws("|", "device_id", F.col("observed_at").cast("string"), "state", F.coalesce("model", F.lit(""))), 256))
@@ -305,6 +405,37 @@ def scan_claude(spark, sf_dir):
     return events.select("native_session_id", "native_event_id", "occurred_at", "model", "input_tokens", "output_tokens", "total_tokens")
 
 
+@query
+def scan_grok(spark, sf_dir):
+    events, _ = logs.grok(derived.grok_logs(spark, sf_dir))
+    return events.select("native_session_id", "occurred_at", "model", "project_name", "input_tokens", "cached_input_tokens", "output_tokens", "total_tokens", "native_cost_usd_ticks")
+
+
+@query
+def scan_grok_diagnostics(spark, sf_dir):
+    return logs.grok(derived.grok_logs(spark, sf_dir))[1].groupBy("code").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def scan_gemini(spark, sf_dir):
+    events, _ = logs.gemini(derived.gemini_logs(spark, sf_dir))
+    return events.select("native_session_id", "native_event_id", "occurred_at", "model", "project_name", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens", "total_tokens")
+
+
+@query
+def scan_manifest(spark, sf_dir):
+    """Entries of the Codex logs after a scan; entries of every third log were there, with another parser."""
+    files = derived.codex_logs(spark, sf_dir).withColumns({"size": F.length("content"), "modified": F.lit(WEEK).cast("timestamp_ntz")})
+    events, found = logs.codex(files)
+    none = logs.manifest_after(spark.createDataFrame([], MANIFEST), files.limit(0), events.limit(0), found.limit(0), "codex", 1, WEEK)
+    before = logs.manifest_after(none, files.where("size % 3 = 0"), events, found, "codex", 1, WEEK)
+    after = logs.manifest_after(before, logs.changed(files, before, 2), events, found, "codex", 2, NOW)
+    return after.select("source_key", "parser_version", "last_scan_at", "last_usage_at", "status", "diagnostic")
+
+
+MANIFEST = "source_key string, provider string, fingerprint string, file_size long, parser_version int, last_scan_at timestamp_ntz, last_usage_at timestamp_ntz, status string, diagnostic string"
+
+
 @query
 def runtime_inventory(spark, sf_dir):
     return responses.models(derived.inventories(spark, sf_dir)).select("response_id", "model", "loaded", "context_length", "size_bytes", "parameters")
@@ -362,7 +493,10 @@ def cache_shown(spark, sf_dir):
 
 @query
 def unreconciled_legacy(spark, sf_dir):
-    return reconcile.unreconciled(ledger(spark, sf_dir), F.col("native_event_id").rlike("^event:[0-9]*[05]$") & F.col("provider").isin("claude", "grok"))
+    """Four of five rows got ids of today's collectors."""
+    n = _number_of()
+    todays = F.when(F.col("provider") == "claude", F.concat(F.element_at(F.array(*map(F.lit, reconcile.CLAUDE_IDS)), (n % 4 + 1).cast("int")), n)).otherwise(F.concat(F.lit("turn:"), n, F.lit(":model:x")))
+    return reconcile.unreconciled(ledger(spark, sf_dir).withColumn("native_event_id", F.when(n % 5 == 0, F.col("native_event_id")).otherwise(todays)))
 
 
 @query

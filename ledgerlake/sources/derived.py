@@ -36,7 +36,7 @@ def quota_windows(readings: DataFrame) -> DataFrame:
     last = rows.groupBy("provider", "window_key", "device_id", "w", "at", "period_starts_at", "resets_at").agg(F.max_by("utilization_bps", "observed_at").alias("utilization_bps"))
     return last.select(
         "provider", "window_key", "device_id", F.element_at(F.array(*map(F.lit, KINDS)), (F.col("w") + 1).cast("int")).alias("kind"), "utilization_bps", F.col("at").alias("observed_at"),
-        "period_starts_at", "resets_at", (F.dayofmonth("at") % 7 == 0).alias("refresh_stale"),
+        "period_starts_at", "resets_at", (F.dayofmonth("at") % 7 == 0).alias("refresh_stale"), F.when(F.dayofmonth("at") % 5 == 0, "error").otherwise("healthy").alias("refresh_status"),
     )
 
 
@@ -52,11 +52,11 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polls of 25 devices' runtimes, 51 to 150 seconds apart, over ``events``."""
+    """Polls of 25 devices' runtimes, 51 to 150 seconds apart, over ``events``; some do not say what is loaded."""
     k = F.get_json_object("props", "$.k").cast("long")
     order = Window.partitionBy("device").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("device"), "ts", "event_id", "event_type", k.alias("k")).withColumn("n", F.row_number().over(order))
-    model = lambda prefix, m: F.struct(F.concat(F.lit(prefix), F.col("k") % m).alias("id"), (F.col("k") % m != 1).alias("loaded"))
+    model = lambda prefix, m: F.struct(F.concat(F.lit(prefix), F.col("k") % m).alias("id"), F.when(F.col("k") % m == 1, False).when(F.col("k") % 7 != 3, True).alias("loaded"))
     return rows.select(
         F.concat(F.lit("device-"), "device").alias("device_id"), F.lit("omlx").alias("provider"), F.expr("timestampadd(SECOND, cast(n * 100 + k % 50 as int), TIMESTAMP_NTZ '2026-09-01 00:00:00')").alias("observed_at"),
         F.expr("CASE event_type WHEN 'error' THEN 'unavailable' WHEN 'signup' THEN 'not_detected' ELSE 'healthy' END").alias("status"), F.array(model("a", 3), model("b", 4)).alias("models"),
@@ -91,6 +91,43 @@ def claude_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.concat(F.lit("/logs/"), "l_orderkey", F.lit(".jsonl")).alias("path"), F.array_join("l.text", "\n").alias("content"))
 
 
+def grok_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a log for each Grok session and project of the ledger, whose turns are written in three dialects, and one broken line each."""
+    rows = ledger(spark, sf_dir).where("provider = 'grok' AND measurement_kind = 'measured' AND project_name IS NOT NULL")
+    n = F.substring_index("native_event_id", ":", -1).cast("long")
+    at = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    first = F.to_json(F.struct(at.alias("timestamp"), F.struct(
+        F.col("native_session_id").alias("sessionId"), F.concat(F.lit("/w/"), "project_name").alias("cwd"),
+        F.struct(F.lit("turn_completed").alias("sessionUpdate"), n.cast("string").alias("promptId"), F.lit("one").alias("modelId"), F.struct(
+            F.col("input_tokens").alias("inputTokens"), F.col("cached_input_tokens").alias("cachedReadTokens"), F.col("output_tokens").alias("outputTokens"), F.col("total_tokens").alias("totalTokens"),
+            F.col("native_cost_usd_ticks").alias("costUsdTicks"), (n % 5 == 0).alias("costIsPartial")).alias("usage")).alias("update")).alias("params")))
+    second = F.to_json(F.struct(F.col("native_session_id").alias("session_id"), F.concat(F.lit("C:\\w\\"), "project_name").alias("project"), F.struct(
+        F.lit("turn_completed").alias("sessionUpdate"), n.cast("string").alias("turn_id"), at.alias("timestamp"), F.struct(
+            F.col("input_tokens").alias("prompt_tokens"), F.col("cached_input_tokens").alias("cache_read_input_tokens"), F.col("output_tokens").alias("completion_tokens"), F.lit("two").alias("model")).alias("usage")).alias("update")))
+    millis = F.expr("cast(unix_millis(cast(occurred_at as timestamp)) as string)")
+    third = F.to_json(F.struct(F.struct(F.struct(millis.alias("agentTimestampMs")).alias("_meta"), F.struct(
+        F.lit("turn_completed").alias("sessionUpdate"), F.struct(F.lit(7).alias("costUsdTicks"), F.struct(
+            F.struct(F.col("input_tokens").alias("inputTokens")).alias("b"), F.struct(F.col("output_tokens").alias("output_tokens"), F.lit(3).alias("costUsdTicks")).alias("a")).alias("modelUsage")).alias("usage")).alias("update")).alias("params")))
+    text = F.when(n % 3 == 0, first).when(n % 3 == 1, second).otherwise(third)
+    lines = rows.groupBy("native_session_id", "project_name").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "native_event_id", text.alias("text")))).alias("l"))
+    path = F.concat(F.lit("/home/sessions/%2Fw%2F"), "project_name", F.lit("/"), "native_session_id", F.lit("/updates.jsonl"))
+    return lines.select(path.alias("path"), F.concat(F.lit("{broken\n"), F.array_join("l.text", "\n"), F.lit("\n")).alias("content"))
+
+
+def gemini_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a document for each Gemini session of the ledger, whose records are written in two dialects; every ninth has no usage."""
+    rows = ledger(spark, sf_dir).where("provider = 'gemini' AND measurement_kind = 'measured'")
+    n = F.substring_index("native_event_id", ":", -1).cast("long")
+    at = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    first = F.to_json(F.struct(at.alias("createdAt"), F.concat(F.lit("m"), n).alias("messageId"), F.lit("turn").alias("turnId"), "model", F.concat(F.lit("/p/"), "project_name").alias("cwd"), F.struct(
+        F.col("input_tokens").alias("promptTokenCount"), F.col("cached_input_tokens").alias("cachedContentTokenCount"), F.col("output_tokens").alias("candidatesTokenCount"), F.col("reasoning_tokens").alias("thoughtsTokenCount")).alias("usageMetadata")))
+    usage = F.struct("input_tokens", "cached_input_tokens", "output_tokens", "total_tokens")
+    second = F.to_json(F.struct(at.alias("timestamp"), F.concat(F.lit("i"), n).alias("id"), F.lit("x").alias("messageId"), F.lit("own").alias("session_id"), F.when(n % 9 == 1, None).otherwise(F.struct("model", usage.alias("usageMetadata"))).alias("response")))
+    lines = rows.groupBy("native_session_id").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "native_event_id", F.when(n % 2 == 0, first).otherwise(second).alias("text")))).alias("l"))
+    content = F.concat(F.lit('{"sessionId": "'), "native_session_id", F.lit('", "events": ['), F.array_join("l.text", ", "), F.lit("]}"))
+    return lines.select(F.concat(F.lit("/logs/"), "native_session_id", F.lit(".json")).alias("path"), content.alias("content"))
+
+
 def inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A response for every brand and ten thousand parts of ``part``, the parts being the models of a runtime."""
     entry = F.struct(F.concat(F.lit("part-"), "p_partkey").alias("key"), F.col("p_size").cast("long").alias("size_bytes"), F.col("p_type").alias("params_string"), F.expr("transform(slice(array(1, 2), 1, cast(p_partkey % 3 as int)), i -> named_struct('id', cast(i as string), 'config', named_struct('context_length', p_size * if(p_partkey % 2 = 0, 1, i))))").alias("instances"))

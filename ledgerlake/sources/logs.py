@@ -8,24 +8,70 @@ reported and skipped.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import SEPARATOR, hashed, project_name, rfc3339, safe_identifier
+from ..functions.columns import SEPARATOR, hashed, percent_decoded, project_name, rfc3339, safe_identifier, saturating_add
 
 Columns = dict[str, Column]
 
 
 def read(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl") -> DataFrame:
-    """(path, content) of the logs under paths, each path once whatever its case."""
-    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified")).dropDuplicates(["path"])
+    """(path, content, size, modified) of the logs under paths, the pattern and each path taken whatever their case.
+
+    The listing alone is searched for double paths, so no content is shuffled.
+    """
+    glob = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
+    options = {"recursiveFileLookup": True, "pathGlobFilter": glob}
+    listing = spark.read.format("binaryFile").options(**options).load(paths).select(F.col("_metadata.file_path").alias("path"))
+    once = listing.groupBy(F.lower("path").alias("_lower")).agg(F.min("path").alias("path")).select("path")
+    files = spark.read.text(paths, wholetext=True, **options)
+    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
+    return named.join(once, "path", "left_semi")
+
+
+def read_grok(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The logs at sessions/<project>/<session>/updates.jsonl."""
+    return read(spark, paths, "updates.jsonl").where(F.col("path").rlike(GROK_PATH))
+
+
+#: Where a session's log lies: its project, with escapes, and its id.
+GROK_PATH = r"(?:^|/)sessions/([^/]+)/([^/]+)/(?i:updates\.jsonl)$"
+
+
+def path_context() -> dict[str, Column]:
+    """Session and project that a log's path names; null where it is no such path."""
+    part = lambda n: F.when(F.col("path").rlike(GROK_PATH), F.regexp_extract("path", GROK_PATH, n))
+    return {"path_session": part(2), "path_project": percent_decoded(part(1))}
+
+
+def fingerprinted(listing: DataFrame, parser: int) -> DataFrame:
+    return listing.withColumn("fingerprint", hashed(F.col("path"), F.col("size").cast("string"), F.col("modified").cast("string"), F.lit(str(parser))))
 
 
 def changed(listing: DataFrame, manifest: DataFrame, parser: int) -> DataFrame:
     """Files whose name, size, time or parser version the manifest does not have."""
-    print_ = hashed(F.col("path"), F.col("size").cast("string"), F.col("modified").cast("string"), F.lit(str(parser)))
-    return listing.withColumn("fingerprint", print_).join(manifest.select("fingerprint"), "fingerprint", "left_anti")
+    return fingerprinted(listing, parser).join(manifest.select("fingerprint"), "fingerprint", "left_anti")
+
+
+def manifest_after(manifest: DataFrame, listing: DataFrame, events: DataFrame, found: DataFrame, provider: str, parser: int, now: datetime) -> DataFrame:
+    """The manifest with an entry for each file of a listing that was read and whose rows are written, instead of its former one.
+
+    An entry has the file's key, fingerprint and size, the parser, the newest usage, a status (the worst of its diagnostics) and
+    the first diagnostic. events and found: the rows (path, line, ...) and diagnostics that the files gave.
+    """
+    usage = events.groupBy("path").agg(F.max("occurred_at").alias("last_usage_at"))
+    worst = F.max(F.when(F.col("severity") == "error", 2).otherwise(1)).alias("_worst")
+    odd = found.groupBy("path").agg(worst, F.min_by("code", F.struct("line", "code")).alias("_code"))
+    rows = fingerprinted(listing, parser).join(usage, "path", "left").join(odd, "path", "left")
+    status = F.when(F.col("_worst") == 2, "error").when(F.col("_worst") == 1, "warning").otherwise("healthy")
+    entries = rows.select(
+        F.concat(F.lit(f"{provider}:"), F.sha2("path", 256)).alias("source_key"), F.lit(provider).alias("provider"), "fingerprint", F.col("size").cast("long").alias("file_size"), F.lit(parser).alias("parser_version"),
+        F.lit(now).cast("timestamp_ntz").alias("last_scan_at"), "last_usage_at", status.alias("status"), F.substring("_code", 1, 240).alias("diagnostic"),
+    )
+    return manifest.join(entries, "source_key", "left_anti").select(*entries.columns).unionByName(entries)
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -65,7 +111,7 @@ def _events(rows: DataFrame, provider: str, source: str, counters: Columns, nati
     out = rows.where("outcome = 'event'").withColumns(counters | {"native_event_id": native_id, "native_cost_usd_ticks": cost.cast("long")})
     once = Window.partitionBy("path", "session", "native_event_id").orderBy("line")
     out = out.withColumn("_r", F.row_number().over(once)).where("_r = 1")
-    total = F.when(F.col("total_tokens") > 0, F.col("total_tokens")).otherwise(F.col("input_tokens") + F.col("output_tokens"))
+    total = F.when(F.col("total_tokens") > 0, F.col("total_tokens")).otherwise(saturating_add(F.col("input_tokens"), F.col("output_tokens")))
     return out.select(
         hashed(F.lit(provider), F.col("session"), F.col("native_event_id")).alias("id"), F.lit(provider).alias("provider"), F.lit(source).alias("source"), F.col("session").alias("native_session_id"), "native_event_id",
         "occurred_at", safe_identifier(F.col("model")).alias("model"), project_name(F.col("cwd")).alias("project_name"), "input_tokens", "cached_input_tokens",
@@ -136,55 +182,110 @@ def claude(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _events(chosen.select(*rows.columns), "claude", "claude_code", counters, native), diagnostics(rows, "claude")
 
 
+def _member(value: Column, *names: str) -> Column:
+    """The first of the named members that an object has, whatever it is."""
+    return F.coalesce(*(F.try_variant_get(value, f"$.{n}", "variant") for n in names))
+
+
+def _number(value: Column) -> Column:
+    """A non-negative JSON integer; 0 for anything else."""
+    return F.greatest(F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint")), F.lit(0))
+
+
+def _string(value: Column, *names: str) -> Column:
+    """The first of the named members that is a string."""
+    found = [F.try_variant_get(value, f"$.{n}" if n else "$", "variant") for n in names]
+    return F.coalesce(*(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")) for v in found))
+
+
+# The names of a turn's counters, the first that is there counts.
+GROK_COUNTERS = {
+    "input_tokens": ["inputTokens", "input_tokens", "promptTokens", "prompt_tokens"],
+    "cached_input_tokens": ["cachedReadTokens", "cachedInputTokens", "cached_input_tokens", "cache_read_input_tokens", "cached_prompt_tokens"],
+    "cache_write_tokens": ["cacheCreationTokens", "cacheWriteTokens", "cache_creation_tokens", "cache_creation_input_tokens", "cache_creation_prompt_tokens"],
+    "output_tokens": ["outputTokens", "output_tokens", "completionTokens", "completion_tokens"],
+    "reasoning_tokens": ["reasoningTokens", "reasoning_tokens"],
+    "total_tokens": ["totalTokens", "total_tokens"],
+}
+
+
+def _measured(model: Column, usage: Column) -> Column:
+    """A model's counters and complete native cost."""
+    flag = lambda n: F.coalesce(F.try_variant_get(usage, f"$.{n}", "boolean") & (F.schema_of_variant(_member(usage, n)) == "BOOLEAN"), F.lit(False))
+    ticks = F.when(F.schema_of_variant(_member(usage, "costUsdTicks")) == "BIGINT", F.try_variant_get(usage, "$.costUsdTicks", "bigint"))
+    cost = F.when(~flag("costIsPartial") & ~flag("incomplete") & (ticks >= 0), ticks)
+    return F.struct(model.alias("model"), *(_number(_member(usage, *names)).alias(n) for n, names in GROK_COUNTERS.items()), cost.alias("cost"))
+
+
+def _used(m: Column) -> Column:
+    return (m["total_tokens"] > 0) | (m["input_tokens"] > 0) | (m["output_tokens"] > 0)
+
+
+def _millis(value: Column) -> Column:
+    """An instant in milliseconds, as a number or in digits."""
+    kind = F.schema_of_variant(value)
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    number = F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).otherwise(F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")))
+    return F.to_utc_timestamp(F.timestamp_millis(number), F.current_timezone()).cast("timestamp_ntz")
+
+
 def grok(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per model of a completed turn, and diagnostics."""
-    update = "$.params.update"
-    usage = f"{update}.usage"
-    rows = lines(files).withColumns({
-        "session": _first("$.params.sessionId", "$.sessionId"), "cwd": _text("$.params.cwd"), "turn": _first(f"{update}.prompt_id", f"{update}.promptId", f"{update}.turnId"),
-        "occurred_at": F.coalesce(rfc3339(_text("$.timestamp")), F.to_utc_timestamp(F.timestamp_millis(F.try_variant_get(F.col("json"), "$.params._meta.agentTimestampMs", "bigint")), F.current_timezone()).cast("timestamp_ntz")),
+    """One row per model of a completed turn, and diagnostics; session and project may come from the path."""
+    rows = lines(files).withColumn("u", F.coalesce(_member(F.col("json"), "params.update", "update"), F.col("json")))
+    rows = rows.withColumns(path_context() | {"usage": _member(F.col("u"), "usage")})
+    record, update, usage = F.col("json"), F.col("u"), F.col("usage")
+    stamps = [rfc3339(_string(record, "timestamp")), rfc3339(_string(update, "timestamp")), rfc3339(_string(record, "params.timestamp"))]
+    stamps += [_millis(v) for v in (_member(update, "_meta.agentTimestampMs"), _member(record, "params._meta.agentTimestampMs"), _member(record, "_meta.agentTimestampMs"))]
+    rows = rows.withColumns({
+        "session": F.coalesce(_string(record, "params.sessionId", "params.session_id"), _string(update, "sessionId", "session_id"), _string(record, "sessionId", "session_id"), "path_session"),
+        "cwd": F.coalesce(_string(update, "cwd"), _string(record, "params.cwd", "cwd", "project"), "path_project"), "turn": _string(update, "prompt_id", "promptId", "turn_id", "turnId", "id"), "occurred_at": F.coalesce(*stamps),
+        "top": _measured(F.coalesce(_string(usage, "model", "modelId"), _string(update, "model", "modelId"), _string(record, "params._meta.modelId", "_meta.modelId")), usage),
+        "models": F.map_entries(F.try_variant_get(usage, "$.modelUsage", "map<string,variant>")),
     })
-    done = (_text(f"{update}.sessionUpdate") == "turn_completed") & F.try_variant_get(F.col("json"), usage, "variant").isNotNull()
+    each = F.filter(F.transform("models", lambda e: _measured(e["key"], e["value"])), _used)
+    each = F.array_sort(F.coalesce(each, F.array().cast("array<struct<model:string,input_tokens:bigint,cached_input_tokens:bigint,cache_write_tokens:bigint,output_tokens:bigint,reasoning_tokens:bigint,total_tokens:bigint,cost:bigint>>")))
+    rows = rows.withColumn("each", each).withColumn("each", F.when((F.size("each") == 0) & _used(F.col("top")), F.array("top")).otherwise(F.col("each")))
+    done = (_string(update, "sessionUpdate") == "turn_completed") & usage.isNotNull()
     rows = _outcome(rows, ~done)
-    fields = ["inputTokens", "cachedReadTokens", "cacheCreationTokens", "outputTokens", "reasoningTokens", "totalTokens", "costUsdTicks"]
-    shape = f"struct<{','.join(f'{f}:bigint' for f in fields)},costIsPartial:boolean>"
-    models = F.from_json(F.to_json(F.try_variant_get(F.col("json"), f"{usage}.modelUsage", "variant")), f"map<string,{shape}>")
-    whole = F.from_json(F.to_json(F.try_variant_get(F.col("json"), usage, "variant")), shape)
-    entries = F.coalesce(F.map_entries(models), F.array().cast(f"array<struct<key:string,value:{shape}>>"))
-    fallback = F.array(F.struct(_first(f"{update}.modelId", "$.params.modelId").alias("key"), whole.alias("value")))
-    used = F.filter(F.when(F.size(entries) > 0, entries).otherwise(fallback), lambda e: F.coalesce(e["value"]["inputTokens"], F.lit(0)) + F.coalesce(e["value"]["outputTokens"], F.lit(0)) + F.coalesce(e["value"]["totalTokens"], F.lit(0)) > 0)
-    complete = lambda u: F.when(~F.coalesce(u["costIsPartial"], F.lit(False)) & (u["costUsdTicks"] >= 0), u["costUsdTicks"])
-    each = rows.where("outcome = 'event'").withColumns({"u": used, "top_cost": complete(whole)}).withColumn("e", F.explode("u")).withColumn("model", F.col("e.key"))
-    # A turn of one model has the whole turn's cost; that of several is not divided.
-    native_cost = F.coalesce(complete(F.col("e.value")), F.when(F.size("u") == 1, F.col("top_cost")))
-    get = lambda f: F.greatest(F.coalesce(F.col(f"e.value.{f}"), F.lit(0)), F.lit(0))
-    counters = {
-        "input_tokens": get("inputTokens"), "cached_input_tokens": get("cachedReadTokens"), "cache_write_tokens": get("cacheCreationTokens"), "cache_write_5m_tokens": F.lit(0).cast("long"), "cache_write_1h_tokens": F.lit(0).cast("long"),
-        "output_tokens": get("outputTokens"), "reasoning_tokens": get("reasoningTokens"), "total_tokens": get("totalTokens"),
-    }
-    turn = F.sha2(F.concat_ws(SEPARATOR, "session", F.coalesce("turn", F.concat(F.lit("line:"), F.col("line")))), 256)
-    native = F.concat(F.lit("turn:"), turn, F.lit(":model:"), F.sha2(F.coalesce("model", F.lit("unknown-model")), 256))
-    return _events(each, "grok", "grok_build", counters, native, native_cost), diagnostics(rows, "grok")
+    rows = rows.withColumn("outcome", F.when((F.col("outcome") == "event") & (F.size("each") == 0), "ignored").otherwise(F.col("outcome")))
+    numbers = lambda m: F.array(*(m[n].cast("string") for n in GROK_COUNTERS))
+    parts = F.concat(F.array("session", F.col("occurred_at").cast("string")), numbers(F.col("top")), F.flatten(F.transform("each", lambda m: F.concat(F.array(F.coalesce(m["model"], F.lit("unknown-model"))), numbers(m)))))
+    fallback = F.concat(F.lit("fingerprint:"), F.sha2(F.array_join(parts, SEPARATOR), 256))
+    turn = F.sha2(F.concat_ws(SEPARATOR, "session", F.coalesce("turn", fallback)), 256)
+    # A turn of one model has the whole turn's cost; that of several is not divided, and reported if a part is missing.
+    open_cost = (F.size("each") > 1) & F.col("top.cost").isNotNull() & F.exists("each", lambda m: m["cost"].isNull())
+    found = diagnostics(rows, "grok").unionByName(diagnostics(rows.where("outcome = 'event'").where(open_cost).withColumn("outcome", F.lit("unallocated_native_cost")), "grok"))
+    single = rows.where("outcome = 'event'").withColumns({"turn_hash": turn, "n": F.size("each")}).withColumn("e", F.explode("each")).withColumn("model", F.col("e.model"))
+    native_cost = F.coalesce("e.cost", F.when(F.col("n") == 1, F.col("top.cost")))
+    counters = {n: F.col(f"e.{n}") for n in GROK_COUNTERS} | {f"cache_write_{x}_tokens": F.lit(0).cast("long") for x in ("5m", "1h")}
+    native = F.concat(F.lit("turn:"), "turn_hash", F.lit(":model:"), F.sha2(F.coalesce("model", F.lit("unknown-model")), 256))
+    return _events(single, "grok", "grok_build", counters, native, native_cost), found
+
+
+# The names of a message's counters, the first that is there counts.
+GEMINI_COUNTERS = {
+    "input_tokens": ["promptTokenCount", "input_tokens"], "cached_input_tokens": ["cachedContentTokenCount", "cached_input_tokens"], "output_tokens": ["candidatesTokenCount", "output_tokens"],
+    "reasoning_tokens": ["thoughtsTokenCount", "reasoning_tokens"], "total_tokens": ["totalTokenCount", "total_tokens"],
+}
 
 
 def gemini(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSONL logs, or of documents that are an array or hold messages or events, and diagnostics."""
+    """Rows of JSONL logs, or of documents that are an array or hold messages or events, and diagnostics; a document's session is that of records without one."""
     parsed = files.withColumn("doc", F.try_parse_json("content"))
     kind = F.schema_of_variant("doc")
-    listed = F.coalesce(F.try_variant_get(F.col("doc"), "$.messages", "array<variant>"), F.try_variant_get(F.col("doc"), "$.events", "array<variant>"), F.when(kind.startswith("ARRAY"), F.try_variant_get(F.col("doc"), "$", "array<variant>")))
-    documents = parsed.withColumn("items", listed).where("items IS NOT NULL").select("path", F.posexplode("items").alias("n", "json")).select("path", (F.col("n") + 1).alias("line"), F.lit(None).cast("string").alias("text"), "json")
-    loose = lines(parsed.withColumn("items", listed).where("items IS NULL").select("path", "content"))
-    usage = "$.usageMetadata"
-    rows = documents.unionByName(loose).withColumns({
-        "session": _text("$.sessionId"), "occurred_at": rfc3339(_first("$.timestamp", "$.createdAt")), "model": _text("$.model"), "cwd": _first("$.project", "$.cwd"), "native": _first("$.messageId", "$.id", "$.turnId"),
+    listed = F.coalesce(F.when(kind.startswith("ARRAY"), F.try_variant_get(F.col("doc"), "$", "array<variant>")), *(F.try_variant_get(F.col("doc"), f"$.{n}", "array<variant>") for n in ("messages", "events")))
+    parsed = parsed.withColumns({"items": listed, "document_session": _string(F.col("doc"), "sessionId", "session_id")})
+    documents = parsed.where("items IS NOT NULL").select("path", "document_session", F.posexplode("items").alias("n", "json")).select("path", (F.col("n") + 1).alias("line"), F.lit(None).cast("string").alias("text"), "json", "document_session")
+    loose = lines(parsed.where("items IS NULL").select("path", "content")).withColumn("document_session", F.lit(None).cast("string"))
+    record = F.col("json")
+    rows = documents.unionByName(loose).withColumn("usage", _member(record, "usageMetadata", "usage_metadata", "response.usageMetadata")).withColumns({
+        "session": F.coalesce(_string(record, "sessionId", "session_id"), "document_session"), "occurred_at": rfc3339(_string(_member(record, "timestamp", "createdAt"), "")), "model": _string(record, "model", "response.model"),
+        "cwd": _string(record, "cwd", "project"), "native": _string(record, "id", "messageId", "turnId"),
     })
-    rows = _outcome(rows, F.try_variant_get(F.col("json"), usage, "variant").isNull())
+    rows = _outcome(rows, F.col("usage").isNull())
     zero = F.lit(0).cast("long")
-    counters = {
-        "input_tokens": _count(f"{usage}.promptTokenCount"), "cached_input_tokens": _count(f"{usage}.cachedContentTokenCount"), "cache_write_tokens": zero, "cache_write_5m_tokens": zero, "cache_write_1h_tokens": zero,
-        "output_tokens": _count(f"{usage}.candidatesTokenCount"), "reasoning_tokens": _count(f"{usage}.thoughtsTokenCount"), "total_tokens": _count(f"{usage}.totalTokenCount"),
-    }
-    print_ = F.concat_ws(SEPARATOR, "session", F.col("occurred_at").cast("string"), F.coalesce("model", F.lit("unknown-model")), F.col("total_tokens").cast("string"))
+    counters = {n: _number(_member(F.col("usage"), *names)) for n, names in GEMINI_COUNTERS.items()} | {c: zero for c in ("cache_write_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens")}
+    print_ = F.concat_ws(SEPARATOR, "session", F.col("occurred_at").cast("string"), F.coalesce("model", F.lit("unknown-model")), F.col("total_tokens").cast("string"), F.col("line").cast("string"))
     return _events(rows, "gemini", "gemini_cli", counters, F.coalesce("native", F.concat(F.lit("fingerprint:"), F.sha2(print_, 256)))), diagnostics(rows, "gemini")
 
 

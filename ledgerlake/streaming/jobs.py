@@ -39,15 +39,16 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     out = []
     for row in pd.concat(list(batches)).sort_values("observed_at").itertuples(index=False):
         healthy = row.status == "healthy"
-        now = [m["id"] for m in row.models if m["loaded"]] if healthy and row.models is not None else []
+        listed = row.models if healthy and row.models is not None else []
+        now, may_be = [m["id"] for m in listed if m["loaded"]], [m["id"] for m in listed if m["loaded"] is None or m["loaded"]]
         fresh = status == "healthy" and (row.observed_at - pd.Timestamp(at)).total_seconds() <= STALE_SECONDS
         if healthy and not fresh:
             out.append((*key, row.observed_at, "server_online", None))
-        if status == "healthy" and row.status == "unavailable":
+        if fresh and row.status == "unavailable":
             out.append((*key, row.observed_at, "server_unavailable", None))
         if healthy:
             out += [(*key, row.observed_at, "model_loaded", m) for m in now if m not in loaded]
-            out += [(*key, row.observed_at, "model_unloaded", m) for m in loaded if m not in now]
+            out += [(*key, row.observed_at, "model_unloaded", m) for m in loaded if m not in may_be]
         at, status, loaded = row.observed_at, row.status, now
     state.update((at, status, list(loaded)))
     yield pd.DataFrame(out, columns=["device_id", "provider", "observed_at", "state", "model"])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns, ranges
-from ledgerlake.operators import cache, merge, pricing, quota, reconcile, sessions
+from ledgerlake.operators import cache, merge, pricing, quota, reconcile, runtime, sessions
 from ledgerlake.sources import catalogue
 from ledgerlake.sources.ledger import COUNTERS, LEDGER_SCHEMA
 
@@ -81,17 +81,48 @@ def _series(spark, points, period=True):
 
 
 @pytest.mark.parametrize(
-    "points, samples, slope, confidence",
+    "points, kept, confidence",
     [
-        ([(0, 1000), (20, 2000), (60, 4000)], 3, 3000, "low"),
-        ([(0, 9100), (15, 9400), (30, 500), (45, 650), (60, 800)], 3, 600, "low"),
-        ([(0, 100), (5, 200)], 2, None, "insufficient"),
-        ([(10 * i, 100 * i) for i in range(7)], 7, 600, "high"),
+        ([(0, 700), (25, 1500), (70, 4100)], 3, "low"),
+        ([(0, 8000), (12, 8300), (24, 300), (41, 520), (66, 900)], 3, "low"),  # a reset between 12 and 24
+        ([(0, 150), (6, 340)], 2, "insufficient"),
+        ([(11 * i, 37 * i * i) for i in range(8)], 6, "medium"),  # the last hour alone
+        ([(10 * i, 37 * i * i - 20 * (i == 3)) for i in range(7)], 7, "high"),
     ],
 )
-def test_quota_pace(spark, points, samples, slope, confidence):
+def test_quota_pace(spark, points, kept, confidence):
     row = quota.pace(*_series(spark, points)).first()
-    assert (row.samples, row.burn_bps_per_hour, row.confidence) == (samples, slope, confidence)
+    part, high = [], 0
+    for m, bps in points[-kept:]:
+        high = max(high, bps)
+        part.append((m, high))
+    slopes = sorted((q - p) * 60 // (n - m) for i, (m, p) in enumerate(part) for n, q in part[i + 1 :])
+    middle = slopes[len(slopes) // 2] if len(slopes) % 2 else (slopes[len(slopes) // 2 - 1] + slopes[len(slopes) // 2]) // 2
+    assert (row.samples, row.burn_bps_per_hour, row.confidence) == (kept, None if confidence == "insufficient" else middle, confidence)
+
+
+def test_only_sound_windows_are_at_risk(spark):
+    readings, window = _series(spark, [(0, 9000), (20, 9999), (40, 10000)])
+    for stale, status, n in ((False, "healthy", 1), (True, "healthy", 0), (False, "error", 0)):
+        assert quota.at_risk(quota.pace(readings, window.withColumns({"refresh_stale": F.lit(stale), "refresh_status": F.lit(status)}))).count() == n
+
+
+def test_readings_are_cut_before_doubles_go(spark):
+    points = [(i, 5 * i) for i in range(700)]
+    readings, window = _series(spark, points)
+    twice = readings.unionByName(readings.withColumns({"updated_at": F.expr("updated_at - INTERVAL '1' SECOND"), "utilization_bps": F.lit(1).cast("long")}))
+    kept = quota.loaded(twice, window)
+    assert kept.count() == quota.CAP // 2 and kept.agg(F.min("utilization_bps")).first()[0] == 5 * (700 - 256)
+
+
+def test_responses_of_unlike_shape_are_two_snapshots(spark):
+    at = lambda s: AT + timedelta(seconds=s)
+    rows = [("p", w, "d", at(s), at(s), u, None, None) for s, w, u in ((0, "a", 1), (60, "a", 2), (60, "b", 3), (120, "a", 4), (120, "b", 5))]
+    readings = spark.createDataFrame(rows, "provider string, window_key string, device_id string, observed_at timestamp_ntz, updated_at timestamp_ntz, utilization_bps long, period_starts_at timestamp_ntz, resets_at timestamp_ntz")
+    found = quota.bucketed(readings).collect()
+    assert len({r.snapshot_id for r in found}) == 2 and sorted((r.window_key, r.utilization_bps) for r in found) == [("a", 1), ("a", 4), ("b", 5)]
+    newest = quota.latest(readings.unionByName(readings.where("window_key = 'a'").withColumn("observed_at", F.lit(at(300)).cast("timestamp_ntz"))))
+    assert [(r.window_key, r.observed_at) for r in newest.collect() if r.updated_at == at(120)] == [("a", at(300))]
 
 
 def test_hourly_merge_never_lowers(spark):
@@ -107,6 +138,9 @@ def test_revisions_replace_only_if_greater(spark):
     stored = ledger(spark, event(1, total_tokens=10, model="m", native_cost_usd_ticks=3))
     same, more = event(1, total_tokens=10, model="m", output_tokens=0), event(1, total_tokens=11, model=None)
     assert merge.upsert_revisions(stored, ledger(spark, same)).first().sync_status == "synced"
+    lesser = ledger(spark, event(1, total_tokens=9, model="z", project_name="q"), event(1, total_tokens=11, model=None))
+    assert [(r.model, r.project_name) for r in merge.upsert_revisions(stored, lesser.where("total_tokens = 9")).collect()] == [("m", None)]
+    assert [(r.model, r.project_name) for r in merge.upsert_revisions(stored, lesser).collect()] == [("m", None)]
     row = merge.upsert_revisions(stored, ledger(spark, more)).first()
     assert (row.total_tokens, row.model, row.native_cost_usd_ticks, row.sync_status, row.updated_at) == (11, "m", 3, "pending", AT + timedelta(microseconds=1))
 
@@ -123,6 +157,36 @@ def test_quarantine_names_the_rules(spark):
     assert fine.count() == 0 and set(odd.first().broken) == {"reasoning_over_output", "identity"}
 
 
+def test_accounts_never_meet_in_merges(spark):
+    ours, theirs = ledger(spark, event(1)), ledger(spark, event(1, account_id="b", total_tokens=9, updated_at=AT + timedelta(1)))
+    for merged in (merge.insert_absent(ours, theirs), merge.upsert_revisions(ours, theirs), merge.apply_remote(ours, theirs)):
+        assert sorted((r.account_id, r.total_tokens) for r in merged.collect()) == [("a", 0), ("b", 9)]
+
+
+def test_legacy_rows_are_superseded_if_alone(spark):
+    grok = {"provider": "grok", "source": "grok_build", "input_tokens": 9, "output_tokens": 4, "total_tokens": 13, "cache_write_tokens": 2}
+    turn = [event(i, **grok | {"native_event_id": f"turn:t:model:{i}", "input_tokens": a, "output_tokens": 2, "total_tokens": a + 2, "cache_write_tokens": 0, "model": m}) for i, a, m in ((8, 4, "b"), (9, 5, "a"))]
+    now = AT + timedelta(days=1)
+    for stored, by in (([event(1, **grok)], event(8)["id"]), ([event(1, **grok), event(2, **grok)], None), ([event(1, **grok | {"total_tokens": 14})], None), ([event(1, **grok | {"native_event_id": "turn:x:model:y"})], None)):
+        rows = ledger(spark, *stored)
+        done = reconcile.superseded(rows, reconcile.by_shape(rows, ledger(spark, *turn)), now).where("id LIKE '%1'").first()
+        assert (done.superseded_by_event_id, done.sync_status, done.updated_at) == (by, "pending" if by else "synced", now if by else AT)
+    claude = {"provider": "claude", "source": "claude_code", "model": None, "cached_input_tokens": 3, "output_tokens": 4, "total_tokens": 20}
+    request = ledger(spark, event(7, **claude | {"native_event_id": "request:r", "input_tokens": 5, "cache_write_tokens": 8}))
+    for fields, hit in (({"input_tokens": 16}, True), ({"input_tokens": 5}, False), ({"input_tokens": 16, "model": "m"}, False), ({"input_tokens": 16, "native_event_id": "uuid:1"}, False), ({"input_tokens": 16, "reasoning_tokens": 1}, False)):
+        assert (reconcile.by_recombined_input(ledger(spark, event(1, **claude | fields)), request).count() == 1) == hit
+
+
+def test_runtime_says_nothing_of_a_model(spark):
+    poll = lambda s, status, *models: ("d", "omlx", AT + timedelta(seconds=s), status, list(models))
+    polls = spark.createDataFrame(
+        [poll(0, "healthy", ("m", True), ("n", True)), poll(60, "healthy", ("m", None)), poll(120, "unavailable"), poll(180, "healthy", ("m", True)), poll(600, "unavailable"), poll(660, "healthy", ("m", False))],
+        "device_id string, provider string, observed_at timestamp_ntz, status string, models array<struct<id:string,loaded:boolean>>",
+    )
+    found = sorted(((r.observed_at - AT).seconds, r.state, r.model or "") for r in runtime.transitions(polls).collect())
+    assert found == [(0, "model_loaded", "m"), (0, "model_loaded", "n"), (0, "server_online", ""), (60, "model_unloaded", "n"), (120, "server_unavailable", ""), (180, "model_loaded", "m"), (180, "server_online", ""), (660, "server_online", "")]
+
+
 def test_tenants_see_only_their_rows(spark):
     rows = ledger(spark, event(1, total_tokens=100), event(2, account_id="b", total_tokens=7))
     assert reconcile.of_account(rows, "a").agg(F.count("*").alias("n"), F.sum("total_tokens").alias("t")).first() == (1, 100)
