@@ -9,8 +9,9 @@ without a regular expression. The slices between starts feed pair merging, whose
 results are cached. Byte offsets of every ``STEP``-th id are kept, so that a part of a
 text can be decoded alone.
 
-Null and empty texts have no ids. Rows are encoded one by one; ties, repeated rows and
-null doc_ids need no rule.
+Null and empty texts have no ids. Rows are encoded one by one and whole, however long;
+ties, repeated rows and null doc_ids need no rule. An empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations

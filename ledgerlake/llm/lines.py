@@ -101,10 +101,10 @@ def drop_frequent(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batch
 
 def _without(docs: DataFrame, hits: DataFrame, min_chars: int) -> DataFrame:
     columns = docs.columns
-    n_lines, n_dropped, th, drop = (free_name(columns, x) for x in ("n_lines", "n_dropped", "text_hash", "drop_lines"))
-    hits = hits.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("lines").alias(drop))
+    n_lines, n_dropped, th, drop, doc, hash_ = (free_name(columns, x) for x in ("n_lines", "n_dropped", "text_hash", "drop_lines", "hit_doc", "hit_hash"))
+    hits = hits.select(F.col("doc_id").alias(doc), F.col("th").alias(hash_), F.col("lines").alias(drop))
     joined = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = joined.join(hits, joined["doc_id"].eqNullSafe(F.col("__doc")) & (F.col(th) == F.col("__th")), "left").select(*columns, drop)
+    joined = joined.join(hits, joined["doc_id"].eqNullSafe(F.col(doc)) & (F.col(th) == F.col(hash_)), "left").select(*columns, drop)
 
     def work(blocks) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks:

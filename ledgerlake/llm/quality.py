@@ -7,7 +7,8 @@ seen by the later ones. The order changes the cost only: a document is kept if
 no rule rejects it.
 
 Null and empty texts have no words and so fail the length rule. Rows are judged
-one by one, so ties, repeated rows and null doc_ids need no rule of their own.
+one by one and whole, however long, so ties, repeated rows and null doc_ids need no rule of
+their own. An empty table gives no rows.
 Other columns pass through; verdict columns get underscores where names clash.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import free_name, map_blocks
 from .words import Runs, WordHashes, inside, mixed
 
-#: Rows of the sample on which costs and rejections are estimated.
+#: Rows, about, of the sample on which costs and rejections are estimated; sets the order of the rules, never a verdict.
 SAMPLE_ROWS = 2000
 #: Words in a window that may repeat.
 WINDOW = 5
@@ -139,7 +140,7 @@ def _rejected(rule: Rule, block: Block, rows: np.ndarray) -> np.ndarray:
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Seconds a document and rejected share of each rule, on a sample of at most ``rows`` rows."""
+    """Seconds a document and rejected share of each rule, on a sample of about ``rows`` rows from all parts of docs."""
 
     def work(blocks) -> Iterator[pa.RecordBatch]:
         hashes, runs = WordHashes(), Runs(0x5851F42D4C957F2D)
@@ -153,7 +154,7 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPL
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rules))), pa.array(spent), pa.array(hit), pa.array([seen] * len(rules))], names=["rule", "s", "hit", "seen"])
 
-    sample = docs.select("text").sample(0.05, 7).limit(rows)
+    sample = docs.select("text").sample(min(1.0, rows / max(docs.count(), 1)), 7)
     found = map_blocks(sample, "rule long, s double, hit long, seen long", work).groupBy("rule").agg(F.sum("s").alias("s"), F.sum("hit").alias("hit"), F.sum("seen").alias("seen")).collect()
     return {rules[r.rule].name: (r.s / r.seen, r.hit / r.seen) for r in found}  # a row for each rule
 

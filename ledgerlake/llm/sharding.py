@@ -7,7 +7,9 @@ ones, so just the rows of the moved slots travel. Everything runs in DataFrame
 functions; the driver sees the map alone, whose size is fixed by ``SLOTS``.
 
 A null text counts no bytes; null doc_ids and repeated rows hash like others
-(equal rows share a slot). An empty table gives no rows.
+(equal rows share a slot; copies under other ids are spread, so no shard gets a large
+group whole). Ties of weight go by slot number. Texts of any length count whole. Other
+columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

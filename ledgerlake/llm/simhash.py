@@ -24,7 +24,9 @@ scale.
 
 Null and empty texts, and texts without words, have fingerprint zero. Null doc_ids
 take part but name no group, unless all ids of a group are null. Repeated rows share
-a fingerprint. An empty table gives no rows.
+a fingerprint, ties of distance are links like others. Texts of any length are read
+whole. An empty table gives no rows. Other columns are not read; ``one_of_each`` keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ from .words import mixed
 
 #: Shards of the tree at least, and fingerprints that one should own at most (a shard is searched in memory, 8 bytes a point).
 SHARDS, SHARD = 16, 65536
-#: Most points of the sample that fits the tree.
-SAMPLE = 8192
+#: Points of the sample that fits the tree: so many, or so many for each shard beyond, and never more than the last number (1 MB on the driver).
+SAMPLE, SHARD_SAMPLE, MOST_SAMPLE = 8192, 16, 1 << 17
 #: Fingerprints that are compared with each other directly, at a leaf of the tree in memory.
 LEAF = 256
 SEED = 42
@@ -237,7 +239,8 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     sample = np.zeros(0, np.uint64)
     own = min(SHARD, max(LEAF, n // SHARDS))
     if n > own:
-        rows = prints.sample(min(0.25, 1.2 * SAMPLE / n), 11).limit(SAMPLE).collect()
+        size = min(MOST_SAMPLE, max(SAMPLE, SHARD_SAMPLE * (n // SHARD)))
+        rows = prints.sample(min(0.25, 1.2 * size / n), 11).limit(size).collect()
         sample = np.array([r.fingerprint for r in rows], np.int64).view(np.uint64)
     tree = Tree(sample, max(8, len(sample) * own // max(n, 1)), np.random.default_rng(0))
 
@@ -266,7 +269,8 @@ def grouped(prints: DataFrame, radius: int) -> DataFrame:
     least = distinct.join(tied, "fingerprint").groupBy("root").agg(F.min("least").alias("component_id"))
     named = tied.join(least, "root").select("fingerprint", "component_id")
     classes = distinct.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(classes, "fingerprint")
+    # Stored, so that adaptive execution can split the rows of a frequent fingerprint.
+    return prints.join(stored(classes, "classes"), "fingerprint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -474,10 +478,10 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs with one row of each group of similar texts, that of the smallest doc_id (null last), then text hash; rows without words all stay."""
-    th = free_name(docs.columns, "text_hash")
+    th, doc, hash_ = (free_name(docs.columns, x) for x in ("text_hash", "first_doc", "first_hash"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
     worded = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    first = similar_groups(docs.where(worded), width).groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__doc"), F.col("m.th").alias("__th"))
+    first = similar_groups(docs.where(worded), width).groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias(doc), F.col("m.th").alias(hash_))
     keyed = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
-    chosen = keyed.where(worded).join(first, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col(th) == F.col("__th")), "left_semi").dropDuplicates(["doc_id", th])
+    chosen = keyed.where(worded).join(first, keyed["doc_id"].eqNullSafe(F.col(doc)) & (F.col(th) == F.col(hash_)), "left_semi").dropDuplicates(["doc_id", th])
     return chosen.unionByName(keyed.where(~worded)).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -287,6 +288,14 @@ def test_wide_fingerprints_follow_jaccard():
         assert abs(np.bitwise_count(x ^ y).sum() / 1024 - np.arccos(2 * j / (1 + j)) / np.pi) < 0.05
 
 
+def test_names_that_operators_use_may_be_taken(spark):
+    names = ["__doc", "__th", "text_hash", "hit_doc", "hit_hash", "first_doc", "first_hash", "factors", "owner_id", "drop_lines"]
+    texts = [" ".join(f"{c}{i}" for i in range(80)) for c in "aab"]
+    df = spark.createDataFrame([(i, t, *range(10)) for i, t in enumerate(texts)], f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    for out, n in ((lines.drop_frequent(df, min_docs=2), 3), (simhash.one_of_each(df), 2), (substrings.removed(df), 3), (quality.cascade(df), 3)):
+        assert out.columns[:12] == df.columns and out.count() == n and set(out.select(*names).distinct().collect()) == {tuple(range(10))}
+
+
 def test_quality_of_odd_rows(odd, empty):
     judged = quality.judge(odd, measures=("n_words", "n_dup_lines"), columns=["doc_id", "n_words", "kept"])
     assert judged.columns == ["doc_id", "n_words", "kept", "n_words_", "n_dup_lines", "base_failed", "kept_"]
@@ -314,6 +323,16 @@ def test_shards_are_near_equal(sample, odd, empty):
     assert sharding.shard(odd, 3).count() == odd.count() and sharding.shard(empty, 3).count() == 0
 
 
+def test_query_columns_of_shards(spark):
+    rows = QUERIES["op2_sharding"](spark, SF).toPandas()
+    texts = dict(pairs(spark.read.parquet(f"{SF}/documents.parquet")))
+    assert len(rows) == len(texts) and set(rows.law) == {"bytes"} and rows.grown_shard.isna().all()
+    for r in rows.itertuples():
+        data = texts[r.doc_id].encode()
+        assert r.size == len(data) + 16 and r.text_crc32 == zlib.crc32(data) and 0 <= r.shard < 40
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
+
+
 def test_rebalancing_moves_little():
     rng = np.random.default_rng(10)
     weight = {s: int(w) for s, w in enumerate(rng.pareto(2, 2000) * 1000)}

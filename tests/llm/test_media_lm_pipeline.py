@@ -10,10 +10,14 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerlake.llm import flac, lm
-from ledgerlake.llm.queries import QUERIES
+from tokenizers import Tokenizer
+
+from ledgerlake.llm import flac, lm, simhash
+from ledgerlake.llm.common import stored
+from ledgerlake.llm.queries import QUERIES, WORD_VOCABULARY
 
 from .conftest import pairs
+from .test_dedup import _similar_groups, _without_windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -318,6 +322,89 @@ def test_stages_keep_columns_and_take_effect(spark, odd):
     assert docs.count() < odd.count()
 
 
+def _rejected(text):
+    """The quality rules, one by one."""
+    words = text.encode().split()
+    runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    seen = Counter(runs)
+    repeated = {j for i, r in enumerate(runs) if seen[r] > 1 for j in range(i, i + 5)}
+    full = [x for x in text.encode().split(b"\n") if x.split()]
+    letters, capitals = (sum(c.isascii() and c.isalpha() and (kind is None or c.isupper()) for c in text) for kind in (None, 1))
+    chars = sum(len(w.decode()) for w in words)
+    return (
+        len(words) < 10 or 100 * len(repeated) > 20 * len(words) or 4 * sum(c in "#*$%&|<>" for c in text) > len(words) or 10 * (len(full) - len(set(full))) > 5 * len(full)
+        or chars < 2 * len(words) or chars > 40 * len(words) or (letters >= 50 and 10 * capitals > 6 * letters)
+    )
+
+
+def _line(x):
+    return x.strip(" \t\n\x0b\x0c\r").encode().lower()
+
+
+def test_stages_equal_brute_force(spark):
+    """Each stage, on what the one before gave, against its rule; then every token of what is left is in one piece."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    passage = " ".join(word() for _ in range(70))
+    texts = ["few words", "x " * 40, "A LOUD TEXT " * 3 + " ".join(word() for _ in range(40)), "# " * 30 + " ".join(word() for _ in range(50)), None, ""]
+    for i in range(60):
+        own = [" ".join(word() for _ in range(12)) for _ in range(8)]
+        texts.append("\n".join([*own, *(["  Shared LINE of many "] if i % 4 == 0 else []), *([passage] if i % 7 == 0 else [])]))
+    for i in range(12):  # near copies of some, with one to six words changed
+        words = texts[10 + i].split(" ")
+        for p in rng.choice(len(words), 1 + i // 2, replace=False):
+            words[p] = word()
+        texts.append(" ".join(words))
+    texts += [texts[20]] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stages = {name: out for name, out in _through(spark, docs)}
+    want = {i: t for i, t in enumerate(texts) if not _rejected(t or "")}
+    assert stages["quality rules"] == want and len(want) < len(texts)
+    often = {k for k, n in Counter(k for t in want.values() for k in {_line(x) for x in t.split("\n")} if k).items() if n >= 10}
+    want = {i: "\n".join(x for x in t.split("\n") if _line(x) not in often) for i, t in want.items()}
+    assert often and stages["line dedup"] == want
+    group = dict(zip(want, _similar_groups([t.lower() for t in want.values()])))
+    first = {}
+    for i in sorted(want):
+        first.setdefault(group[i], i)
+    want = {i: want[i] for i in first.values()}
+    assert stages["SimHash near-dedup"] == want and len(want) < len(group)
+    left = {i: (text, gone) for i, _, gone, text in _without_windows(sorted(want.items()), 50)}
+    want = {i: left[i][0] if left[i][1] else t for i, t in want.items()}
+    assert stages["substring dedup"] == want and any(gone for _, gone in left.values())
+    ids = Counter()
+    for r in stages["packing"].collect():
+        ids[r.doc_id] += r.length
+    tokenizer = Tokenizer.from_file(WORD_VOCABULARY)
+    assert ids == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in want.items()}
+
+
+def _through(spark, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "packing":
+            yield name, out
+            return
+        docs = stored(out, "test-stage")
+        yield name, {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_near_dedup_recall_on_given_documents(spark):
+    """Pairs of the given documents at similarity 0.8 or more: the stage's groups join at least nine of ten (all, as a rule), and no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted(pairs(docs))
+    sets = {i: frozenset(w[k : k + 5] for w in [tuple(t.lower().split())] for k in range(max(1, len(w) - 4))) for i, t in rows if t.split()}
+    holders, links = {}, set()
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    shared = Counter((a, b) for h in holders.values() if len(h) < 200 for k, a in enumerate(h) for b in h[k + 1 :])
+    links = {(a, b) for (a, b), n in shared.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)}
+    found = {r.doc_id: r.component for r in simhash.similar_groups(docs).collect()}
+    joined = sum(found[a] == found[b] for a, b in links)
+    assert len(links) > 50 and joined >= 0.9 * len(links)
+
+
 def test_pipeline_runs_from_end_to_end(spark):
     rows = corpus_pipeline.run(spark, SF).toPandas()
     assert len(rows) and set(rows.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
