@@ -1,8 +1,10 @@
 """Sessions, derived at read time: (provider, source, native session).
 
-Range and search qualify a session; its totals then count all its eligible rows. One
-group-by carries the flags and the totals, top projects and models come from two grouped
-maxima, so the ledger is shuffled once for the totals and once for each ranking.
+Range and search qualify a session; its totals then count all its eligible rows. Sessions
+that are active in the range bound the rows first, by a semi join. Rows are then summed by
+session, project, model and device, before the shuffle; all that a session shows follows
+from those groups, which are few, so nothing is counted distinct and nothing ranked by a
+window over rows.
 """
 
 from __future__ import annotations
@@ -42,31 +44,51 @@ def _totals() -> list[Column]:
     ]
 
 
+#: Names of the totals, in order.
+TOTALS = ["started_at", "last_activity_at", "events", *COUNTERS, "value_usd_micros", "native_cost_usd_ticks", "relevant", "full", "defensible", "devices", "first_device", "models"]
+
+
 def sessions(events: DataFrame, devices: DataFrame, start: datetime | None, provider: str = "", search: str = "") -> DataFrame:
     """A row for each session that qualifies."""
     rows = eligible(events, devices)
     if provider:
         rows = rows.where(F.col("provider") == provider)
-    found = F.max(matches(search)) if search.strip() else F.lit(True)
-    totals = rows.groupBy(*KEYS).agg(*_totals(), found.alias("_found")).where(F.col("_found"))
     if start is not None:
+        active = events.where(canonical() & (F.col("source") != HOURLY) & since(start)).select(*KEYS).distinct()
+        rows = rows.join(active, KEYS, "left_semi")
+    totals = _grouped(rows, search)
+    if start is not None:  # the active row may be that of an unknown device
         totals = totals.where(F.col("last_activity_at") >= F.lit(start).cast("timestamp_ntz"))
-    return _described(totals, rows).select(
+    return totals.select(
         hashed(*map(F.col, KEYS)).alias("session_key"), *KEYS, "started_at", "last_activity_at", F.greatest(F.expr("timestampdiff(SECOND, started_at, last_activity_at)"), F.lit(0)).alias("duration_seconds"),
         "events", *COUNTERS, "value_usd_micros", "native_cost_usd_ticks", coverage(F.col("full"), F.col("defensible"), F.col("relevant")).alias("coverage"), "devices", "first_device", "models",
         F.coalesce("top_project", F.lit("Unassigned")).alias("project"), F.coalesce("top_model", F.lit("Unknown model")).alias("model"),
     )
 
 
-def _described(totals: DataFrame, rows: DataFrame) -> DataFrame:
-    """totals with each session's top project (rows, latest, name) and model (tokens, rows, name)."""
-    projects = rows.where("project_name IS NOT NULL").groupBy(*KEYS, "project_name").agg(F.count(F.lit(1)).alias("n"), F.max("occurred_at").alias("last"))
-    by_project = Window.partitionBy(*KEYS).orderBy(F.desc("n"), F.desc("last"), "project_name")
-    projects = projects.withColumn("rank", F.row_number().over(by_project)).where("rank = 1").select(*KEYS, F.col("project_name").alias("top_project"))
-    models = rows.where("model IS NOT NULL").groupBy(*KEYS, "model").agg(F.sum("total_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    by_model = Window.partitionBy(*KEYS).orderBy(F.desc("tokens"), F.desc("n"), "model")
-    models = models.withColumn("rank", F.row_number().over(by_model)).where("rank = 1").select(*KEYS, F.col("model").alias("top_model"))
-    return totals.join(projects, KEYS, "left").join(models, KEYS, "left")
+def _grouped(rows: DataFrame, search: str) -> DataFrame:
+    """Totals of the sessions of which a row has the text, with top project (rows, latest, name) and model (tokens, rows, name)."""
+    dimensions = ["project_name", "model", "device_id", "friendly_name"]
+    sums = [*COUNTERS, "value_usd_micros", "native_cost_usd_ticks", "relevant", "full", "defensible", "events"]
+    distinct = ("devices", "models")
+    groups = rows.groupBy(*KEYS, *dimensions).agg(*(t for t, name in zip(_totals(), TOTALS) if name not in (*distinct, "first_device")))
+    found = F.max(matches(search)) if search.strip() else F.lit(True)
+    late = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', last_activity_at)").alias("late")
+    totals = groups.groupBy(*KEYS).agg(
+        F.min("started_at").alias("started_at"), F.max("last_activity_at").alias("last_activity_at"), *(F.sum(c).alias(c) for c in sums), F.size(F.collect_set("device_id")).cast("long").alias("devices"),
+        F.min("friendly_name").alias("first_device"), F.size(F.collect_set("model")).cast("long").alias("models"), found.alias("_found"),
+        F.collect_list(F.struct("project_name", "model", F.col("events").alias("n"), F.col("total_tokens").alias("tokens"), late)).alias("g"),
+    ).where("_found")
+
+    def top(field: str, *worth: str) -> Column:
+        """The name whose groups are worth most; of equal ones the first by name."""
+        names = f"array_distinct(filter(transform(g, x -> x.{field}), x -> x IS NOT NULL))"
+        of = f"filter(g, x -> x.{field} = name)"
+        amount = {c: f"-aggregate({of}, 0L, (s, x) -> s + x.{c})" for c in ("n", "tokens")} | {"late": f"-array_max(transform({of}, x -> x.late))"}
+        ranks = ", ".join(f"{amount[w]} AS {w}" for w in worth)
+        return F.expr(f"array_min(transform({names}, name -> struct({ranks}, name AS name))).name")
+
+    return totals.withColumns({"top_project": top("project_name", "n", "late"), "top_model": top("model", "tokens", "n")}).drop("g", "_found")
 
 
 # Sort modes of a session page.
@@ -107,16 +129,23 @@ def detail(rows: DataFrame) -> DataFrame:
 
 
 def detail_models(rows: DataFrame) -> DataFrame:
-    groups = rows.groupBy(F.coalesce("model", F.lit("Unknown model")).alias("model")).agg(F.sum("total_tokens").alias("tokens"), F.count(F.lit(1)).alias("events"))
-    return groups.orderBy(F.desc("tokens"), F.desc("events"), "model")
+    """The models of each session of rows, most tokens first."""
+    groups = rows.groupBy(*KEYS, F.coalesce("model", F.lit("Unknown model")).alias("model")).agg(F.sum("total_tokens").alias("tokens"), F.count(F.lit(1)).alias("events"))
+    return groups.orderBy(*KEYS, F.desc("tokens"), F.desc("events"), "model")
 
 
 def detail_devices(rows: DataFrame) -> DataFrame:
-    return rows.select("friendly_name").distinct().orderBy("friendly_name")
+    """The names of the devices of each session of rows."""
+    return rows.select(*KEYS, "friendly_name").distinct().orderBy(*KEYS, "friendly_name")
 
 
 def timeline(rows: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    return rows.select("id", "occurred_at", "model", "total_tokens", "estimated_api_value_usd_micros", "pricing_status").orderBy("occurred_at", "id").offset(offset).limit(min(limit, 100))
+    """A page of the rows of each session, oldest first, and whether the session has more; the page is its bound."""
+    limit, offset = min(max(limit, 1), 100), max(offset, 0)
+    session = Window.partitionBy(*KEYS)
+    placed = rows.withColumns({"place": F.row_number().over(session.orderBy("occurred_at", "id")), "has_more": F.count(F.lit(1)).over(session) > offset + limit})
+    shown = placed.where((F.col("place") > offset) & (F.col("place") <= offset + limit))
+    return shown.select(*KEYS, "place", "id", "occurred_at", "model", "total_tokens", "estimated_api_value_usd_micros", "pricing_status", "has_more")
 
 
 def age_group(now: datetime) -> Column:

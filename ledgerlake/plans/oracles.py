@@ -292,7 +292,6 @@ SELECT id, provider, source, measurement_kind, total_tokens, friendly_name, laye
 }
 
 _CODEX = "provider = 'codex' AND measurement_kind = 'measured'"
-_ONE = "canon AND provider = 'claude' AND native_session_id = '7-20260810'"
 
 ORACLES |= {
     "scan_codex": f"""WITH {LEDGER}, c AS (SELECT *, split_part(native_event_id, ':', 2) AS n FROM ledger WHERE {_CODEX})
@@ -321,8 +320,10 @@ d AS (SELECT provider, status, attempted_at, CAST(failures AS BIGINT) AS failure
 SELECT *, attempted_at + to_seconds(wait_seconds) AS retry_at FROM d""",
     "session_details": f"""WITH {LEDGER} SELECT provider, source, native_session_id, min(occurred_at) AS started_at, max(occurred_at) AS last_activity_at, count(*) AS events, {_I('sum(total_tokens)')} AS total_tokens, count(DISTINCT model) AS models,
   count(DISTINCT friendly_name) AS device_names, count(*) FILTER (total_tokens > 0) AS relevant FROM layered JOIN devices USING (device_id) WHERE canon GROUP BY 1, 2, 3""",
-    "session_models": f"WITH {LEDGER} SELECT coalesce(model, 'Unknown model') AS model, {_I('sum(total_tokens)')} AS tokens, count(*) AS events FROM layered JOIN devices USING (device_id) WHERE {_ONE} GROUP BY 1",
-    "session_timeline": f"WITH {PRICED} SELECT id, occurred_at, model, total_tokens, estimated_api_value_usd_micros, pricing_status FROM priced JOIN devices USING (device_id) WHERE {_ONE} ORDER BY occurred_at, id LIMIT 100",
+    "session_models": f"WITH {LEDGER} SELECT provider, source, native_session_id, coalesce(model, 'Unknown model') AS model, {_I('sum(total_tokens)')} AS tokens, count(*) AS events FROM layered JOIN devices USING (device_id) WHERE canon GROUP BY 1, 2, 3, 4",
+    "session_devices": f"WITH {LEDGER} SELECT DISTINCT provider, source, native_session_id, friendly_name FROM layered JOIN devices USING (device_id) WHERE canon",
+    "session_timeline": f"""WITH {PRICED}, t AS (SELECT provider, source, native_session_id, row_number() OVER (PARTITION BY provider, source, native_session_id ORDER BY occurred_at, id) AS place, id, occurred_at, model, total_tokens,
+  estimated_api_value_usd_micros, pricing_status, count(*) OVER (PARTITION BY provider, source, native_session_id) > 2 AS has_more FROM priced JOIN devices USING (device_id) WHERE canon) SELECT * FROM t WHERE place <= 2""",
     "cache_shown": f"""WITH {_CACHE}, x AS ({_cache_finish("provider || ':' || coalesce(model, 'Unknown model') AS label", 'GROUP BY label', _in30)})
 SELECT label, cache_read_tokens, cache_write_tokens, reuse_bps FROM x WHERE cache_read_tokens > 0 OR cache_write_tokens > 0 ORDER BY cache_read_tokens DESC, input_context_tokens DESC NULLS LAST, label LIMIT 6""",
     "unreconciled_legacy": f"WITH {LEDGER} SELECT provider, count(*) AS unreconciled FROM ledger WHERE regexp_matches(native_event_id, '^event:[0-9]*[05]$') AND provider IN ('claude', 'grok') AND superseded_by_event_id IS NULL GROUP BY 1",

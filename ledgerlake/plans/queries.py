@@ -473,17 +473,24 @@ def session_details(spark, sf_dir):
     return sessions.detail(rows).select(*sessions.KEYS, "started_at", "last_activity_at", "events", "total_tokens", "models", "device_names", "relevant")
 
 
+def _detailed(rows: DataFrame, names: DataFrame) -> DataFrame:
+    return rows.where(canonical()).join(names, "device_id")
+
+
 @query
 def session_models(spark, sf_dir):
-    """Models of the sessions of one user and day."""
-    rows = sessions.one(ledger(spark, sf_dir), devices(spark, sf_dir), ("claude", "claude_code", "7-20260810"))
-    return sessions.detail_models(rows)
+    return sessions.detail_models(_detailed(ledger(spark, sf_dir), devices(spark, sf_dir)))
+
+
+@query
+def session_devices(spark, sf_dir):
+    return sessions.detail_devices(_detailed(ledger(spark, sf_dir), devices(spark, sf_dir)))
 
 
 @query
 def session_timeline(spark, sf_dir):
-    rows = sessions.one(valued(spark, sf_dir), devices(spark, sf_dir), ("claude", "claude_code", "7-20260810"))
-    return sessions.timeline(rows)
+    """The first two rows of every session."""
+    return sessions.timeline(_detailed(valued(spark, sf_dir), devices(spark, sf_dir)), limit=2)
 
 
 @query
