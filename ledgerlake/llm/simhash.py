@@ -289,7 +289,7 @@ SPREAD = 0.165
 #: Share of all bits up to which a pair is proposed: 3.5 standard deviations above 0.1875, where 4 of 5 shingles lie.
 LOOSE = 0.23
 #: Partners that a row proposes of a band's key in the first round; twice as many in each later one.
-TRIES = 4
+TRIES = 1
 #: Share of a head's bits in which similar texts may differ: five standard deviations of 256 bits (unrelated: 0.5 +- 0.03).
 COARSE = 0.28
 #: Fingerprints that a band's key should hold on average; share of the pairs at SPREAD that should meet.
@@ -333,21 +333,24 @@ def _touching(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def _proposed(keys: np.ndarray, points: np.ndarray, nodes: np.ndarray, labels: np.ndarray, refused: list, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows, sorted by key and label, of a key that are near and neither of a label nor refused: at most ``tries`` for the
-    earlier row of each; and the rows that have more."""
-    ends = np.searchsorted(keys, keys, side="right")
-    turn = np.flatnonzero((keys[1:] != keys[:-1]) | (labels[1:] != labels[:-1])) + 1
-    after = np.append(turn, len(keys))[np.searchsorted(turn, np.arange(len(keys)), side="right")]  # where the row's label ends
+    """Pairs of rows, sorted by key and label, of a key that are near and neither of a label nor refused: for each row at most ``tries``
+    of lesser labels, the least first; and the rows that have more.
+
+    All rows of a large group so turn to the same few, in every band, and their pairs are few when bands are put together.
+    """
+    begin = np.searchsorted(keys, keys)
+    turn = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]) | (labels[1:] != labels[:-1])) + 1])
+    own = turn[np.searchsorted(turn, np.arange(len(keys)), side="right") - 1]  # where the row's label begins
     left, more = np.full(len(keys), tries), np.zeros(len(keys), bool)
     first, step, found = np.arange(len(keys)), 0, [np.zeros((2, 0), np.int64)]
-    while len(first := first[(after[first] + step < ends[first]) & ~more[first]]):
-        near = first[_apart(points[first, :HEAD], points[after[first] + step, :HEAD]) <= 64 * HEAD * COARSE]
-        near = near[_apart(points[near], points[after[near] + step]) <= 64 * points.shape[1] * LOOSE]
-        near = near[np.array([not refused[i] or n not in refused[i] for i, n in zip(near.tolist(), nodes[after[near] + step].tolist())], bool)]
+    while len(first := first[(begin[first] + step < own[first]) & ~more[first]]):
+        near = first[_apart(points[first, :HEAD], points[begin[first] + step, :HEAD]) <= 64 * HEAD * COARSE]
+        near = near[_apart(points[near], points[begin[near] + step]) <= 64 * points.shape[1] * LOOSE]
+        near = near[np.array([not refused[i] or n not in refused[i] for i, n in zip(near.tolist(), nodes[begin[near] + step].tolist())], bool)]
         more[near[left[near] == 0]] = True
         near = near[left[near] > 0]
         left[near] -= 1
-        found.append(np.stack([near, after[near] + step]))
+        found.append(np.stack([near, begin[near] + step]))
         step += 1
     return *np.concatenate(found, axis=1), np.flatnonzero(more)
 
