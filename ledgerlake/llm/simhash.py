@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_blocks, stored
+from .common import free_name, map_blocks, stored, text_blocks
 from .components import components
 from .words import mixed
 
@@ -288,8 +288,10 @@ SIMILAR = (4, 5)
 SPREAD = 0.165
 #: Share of all bits up to which a pair is proposed: 3.5 standard deviations above 0.1875, where 4 of 5 shingles lie.
 LOOSE = 0.23
-#: Partners that a row proposes of a band's key in the first round; twice as many in each later one.
-TRIES = 1
+#: Partners that a row proposes of a band's key in the first round; four times as many in each later one.
+TRIES = 2
+#: Rows and pairs that one group of the exact comparison should hold; it keeps the shingle hashes of their texts.
+CHUNK_ROWS, CHUNK_PAIRS = 1024, 1 << 15
 #: Share of a head's bits in which similar texts may differ: five standard deviations of 256 bits (unrelated: 0.5 +- 0.03).
 COARSE = 0.28
 #: Fingerprints that a band's key should hold on average; share of the pairs at SPREAD that should meet.
@@ -346,7 +348,8 @@ def _proposed(keys: np.ndarray, points: np.ndarray, nodes: np.ndarray, labels: n
     while len(first := first[(begin[first] + step < own[first]) & ~more[first]]):
         near = first[_apart(points[first, :HEAD], points[begin[first] + step, :HEAD]) <= 64 * HEAD * COARSE]
         near = near[_apart(points[near], points[begin[near] + step]) <= 64 * points.shape[1] * LOOSE]
-        near = near[np.array([not refused[i] or n not in refused[i] for i, n in zip(near.tolist(), nodes[begin[near] + step].tolist())], bool)]
+        other = begin[near] + step
+        near = near[np.array([not (refused[i] and m in refused[i] or refused[j] and n in refused[j]) for i, j, n, m in zip(near.tolist(), other.tolist(), nodes[near].tolist(), nodes[other].tolist())], bool)]
         more[near[left[near] == 0]] = True
         near = near[left[near] > 0]
         left[near] -= 1
@@ -355,8 +358,8 @@ def _proposed(keys: np.ndarray, points: np.ndarray, nodes: np.ndarray, labels: n
     return *np.concatenate(found, axis=1), np.flatnonzero(more)
 
 
-def _in_bands(rows: DataFrame, bands: np.ndarray, order: str, work: Callable[[np.ndarray, pa.Table], pa.RecordBatch]) -> DataFrame:
-    """(a, b) that work gives for whole keys of bands, with the rows of each key in order."""
+def _in_bands(rows: DataFrame, bands: np.ndarray, order: str, work: Callable[[np.ndarray, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What work gives for whole keys of bands, with the rows of each key in order."""
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,71 +389,105 @@ def _in_bands(rows: DataFrame, bands: np.ndarray, order: str, work: Callable[[np
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     dealt = rows.mapInArrow(deal, f"key long, {kinds}").repartition("key").sortWithinPartitions("key", *([order] if order else []))
-    return dealt.mapInArrow(search, "a long, b long")
+    return dealt.mapInArrow(search, schema)
 
 
-def _edges(a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-    """Pairs as (a, b), a > b, and rows that have more as (a, null)."""
-    lesser = pa.concat_arrays([pa.array(np.minimum(a, b)), pa.nulls(len(more), pa.int64())])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.maximum(a, b), more])), lesser], names=["a", "b"])
+def _lists(node: np.ndarray, a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """For each row with pairs, or more of them: its node (a), the nodes that it proposes (bs) and whether it has more."""
+    rows, order = np.unique(np.concatenate([a, more])), np.argsort(a, kind="stable")
+    offsets = np.concatenate([[0], np.searchsorted(a[order], rows, side="right")])
+    bs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(node[b[order]], pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(node[rows], pa.int64()), bs, pa.array(np.isin(rows, more))], names=["a", "bs", "more"])
 
 
-def wide_links(prints: DataFrame, judged: Callable[[DataFrame], DataFrame] = lambda pairs: pairs.withColumn("similar", F.lit(True))) -> DataFrame:
+def _all_similar(found: DataFrame) -> DataFrame:
+    pairs = found.select("a", F.explode("bs").alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.expr("cast(NULL AS array<bigint>)").alias("refused"))
+
+
+def wide_links(prints: DataFrame, judged: Callable[[DataFrame], DataFrame] = _all_similar) -> DataFrame:
     """Edges (a, b), a > b, of distinct prints (node, print): of the near pairs those that ``judged`` finds similar, but for such as
-    others imply. Heads alone find the few rows that have a neighbour, these are compared in full."""
+    others imply. Heads alone find the few rows that have a neighbour, these are compared in full.
+
+    ``judged`` takes rows (a, bs) and gives edges (a, b) and, with b null, the nodes that a is not similar to (refused).
+    """
     bands = bands_for(prints.count())
 
     def touch(keys, table) -> pa.RecordBatch:
         nodes = table.column("node").to_numpy()[_touching(keys, _words(table.column("print")))]
-        return _edges(nodes[:0], nodes[:0], np.unique(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(nodes), pa.int64())], names=["node"])
 
-    touched = _in_bands(prints.select("node", F.substring("print", 1, 8 * HEAD).alias("print")), bands, "", touch)
-    nodes = stored(prints.join(stored(touched.select(F.col("a").alias("node")).distinct(), "touched"), "node", "left_semi"), "near-prints")
+    touched = _in_bands(prints.select("node", F.substring("print", 1, 8 * HEAD).alias("print")), bands, "", touch, "node long")
+    nodes = stored(prints.join(stored(touched.distinct(), "touched"), "node", "left_semi"), "near-prints")
 
     def proposals(rows: DataFrame, tries: int) -> DataFrame:
         def propose(keys, table) -> pa.RecordBatch:
             node, label = (table.column(c).to_numpy() for c in ("node", "label"))
-            a, b, more = _proposed(keys, _words(table.column("print")), node, label, [x and set(x) for x in table.column("refused").to_pylist()], tries)
-            return _edges(node[a], node[b], node[more])
+            return _lists(node, *_proposed(keys, _words(table.column("print")), node, label, [x and set(x) for x in table.column("refused").to_pylist()], tries))
 
-        return stored(_in_bands(rows, bands, "label", propose).distinct(), "proposals")
+        dealt = _in_bands(rows, bands, "label", propose, "a long, bs array<bigint>, more boolean")
+        return stored(dealt.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"), F.max("more").alias("more")), "proposals")
 
     rows, tries, tried = nodes.withColumn("label", F.col("node")).withColumn("refused", F.expr("cast(NULL AS array<bigint>)")), TRIES, None
     while True:
         found = proposals(rows, tries)
-        verdicts = stored(judged(found.where("b IS NOT NULL")), "verdicts")
+        verdicts = stored(judged(found.where("size(bs) > 0").select("a", "bs")), "verdicts")
         tried = verdicts if tried is None else tried.unionByName(verdicts)
-        edges = tried.where("similar").select("a", "b")
-        if not found.where("b IS NULL").take(1):
+        edges = tried.where("b IS NOT NULL").select("a", "b")
+        if not found.where("more").take(1):
             return edges
-        no = tried.where("NOT similar")
-        refused = no.select(F.col("a").alias("node"), F.col("b").alias("o")).unionByName(no.select(F.col("b").alias("node"), F.col("a").alias("o"))).groupBy("node").agg(F.collect_set("o").alias("refused"))
+        refused = tried.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.flatten(F.collect_list("refused")).alias("refused"))
         roots = _with_roots(components(edges))
         rows = nodes.join(roots, "node", "left").join(refused, "node", "left").select("node", "print", F.coalesce("root", "node").alias("label"), "refused")
-        tries *= 2
+        tries *= 4
 
 
 def _with_roots(roots: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def judge(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """pairs (a, b) with ``similar``, from the distinct shingles of their texts (node, text)."""
+def chunked(found: DataFrame) -> DataFrame:
+    """found (a, bs) with ``chunk``: rows that turn to the same least partner are side by side, so a chunk has few partners of its own."""
+    rows, pairs = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("bs")), F.lit(0))).first()
+    ranged = found.repartitionByRange(max(1, -(-rows // CHUNK_ROWS), -(-pairs // CHUNK_PAIRS)), F.array_min("bs"), F.col("a"))
+    return stored(ranged.withColumn("chunk", F.spark_partition_id()), "chunks")
 
-    def work(blocks) -> Iterator[pa.RecordBatch]:
-        for batch, ours in blocks:
-            theirs = [t.encode() for t in batch.column("y").to_pylist()]
-            places = {t: i for i, t in enumerate(dict.fromkeys([*ours, *theirs]))}
-            hashes, counts = shingle_hashes(list(places), width)
-            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
-            similar = []
-            for x, y in ((sets[places[s]], sets[places[t]]) for s, t in zip(ours, theirs)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                similar.append(SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.bool_())], names=["a", "b", "similar"])
 
-    sided = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return map_blocks(sided.select("a", "b", "x", "y"), "a long, b long, similar boolean", work, "x")
+def judge(chunks: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """What ``wide_links`` asks for of chunks (a, bs, chunk), from the distinct shingles of the texts (node, text).
+
+    Each text goes to a chunk once, however many of its pairs it is in; similar pairs leave a chunk as a star for each group.
+    """
+
+    def work(rows: pa.Table, near: pa.Table) -> pa.Table:
+        sets = {}
+        for batch, block in text_blocks(near.combine_chunks().to_batches()):
+            hashes, counts = shingle_hashes(block, width)
+            sets |= zip(batch.column("node").to_pylist(), map(np.unique, np.split(hashes, np.cumsum(counts)[:-1])))
+        nodes = np.array(sorted(sets), np.int64)
+        place = {n: i for i, n in enumerate(nodes.tolist())}
+        groups, refused = Groups(len(nodes)), {}
+        for a, bs in zip(rows.column("a").to_pylist(), rows.column("bs").to_pylist()):
+            x, tied, apart = sets[a], [], []
+            for b in bs:
+                y = sets[b]
+                both = len(np.intersect1d(x, y, assume_unique=True)) if SIMILAR[1] * min(len(x), len(y)) >= SIMILAR[0] * max(len(x), len(y)) else 0
+                (tied if SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both) else apart).append(b)
+            if tied:
+                groups.join(np.full(len(tied), place[a]), np.array([place[b] for b in tied]))
+            if apart:
+                refused[a] = apart
+        low = np.flatnonzero(groups.root != np.arange(len(nodes)))
+        ends = [*nodes[groups.root[low]].tolist(), *[None] * len(refused)]
+        return pa.table({
+            "a": pa.array([*nodes[low].tolist(), *refused], pa.int64()),
+            "b": pa.array(ends, pa.int64()),
+            "refused": pa.array([*[None] * len(low), *refused.values()], pa.list_(pa.int64())),
+        })
+
+    wanted = chunks.select("chunk", F.explode(F.array_append("bs", F.col("a"))).alias("node")).distinct()
+    sided = wanted.join(texts, "node").select(F.col("chunk").alias("of"), "node", "text")
+    return chunks.groupBy("chunk").cogroup(sided.groupBy("of")).applyInArrow(work, "a long, b long, refused array<bigint>")
 
 
 def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -469,11 +506,12 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     distinct = stored(prints.groupBy("node").agg(F.min("print").alias("print"), F.min(row).alias("row")), "prints-distinct")
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def judged(found: DataFrame) -> DataFrame:
+        chunks = chunked(found)
+        ends = chunks.select(F.explode(F.array_append("bs", F.col("a"))).alias("node")).distinct()
         ends = distinct.join(ends, "node", "left_semi").select("node", F.col("row.doc_id").alias("__doc"), F.col("row.th").alias("__th"))
         texts = keyed.join(ends, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th"))).select("node", F.coalesce("text", F.lit("")).alias("text"))
-        return judge(pairs, stored(texts.dropDuplicates(["node"]), "near-texts"), width)
+        return judge(chunks, stored(texts.dropDuplicates(["node"]), "near-texts"), width)
 
     roots = components(wide_links(distinct.select("node", "print"), judged))
     return prints.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("component"))
