@@ -1,4 +1,4 @@
-"""One query per operator over the whole ``documents`` table, with production parameters."""
+"""One query per operator over the whole ``documents`` or ``conversations`` table, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, flac, lines, lm, packing, quality, sharding, simhash, substrings, wavelet
-from .common import documents, stored, unsigned_crc32
+from . import byte_bpe, flac, lines, lm, packing, prefixes, quality, repair, secrets, sharding, simhash, substrings, wavelet
+from .common import conversations, documents, stored, unsigned_crc32
 from .oracles import ORACLES as ORACLES
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -72,6 +72,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules, measures=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), columns=["doc_id"])
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(prefixes.rebuilt(conversations(spark, sf_dir)))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations(spark, sf_dir)
+    repaired = repair.repaired(repair.damaged(turns))
+    return repair.with_all(repaired, turns)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir), columns=["doc_id"])
+    counts = (secrets.counted("spans", kind).alias(f"n_{kind}") for kind in secrets.BASE)
+    return found.select("doc_id", *counts, F.sha2(secrets.written("spans", secrets.BASE), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -83,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_secret_scan": op13_secret_scan,
 }
