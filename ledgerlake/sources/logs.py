@@ -1,9 +1,13 @@
 """Session logs to usage rows.
 
-A log is read whole, a row per file, and split into numbered lines, so that order in a
-file is known; what carries over from line to line is a window within the file. Every line
-gets an outcome; rows and diagnostics are two selections of it. Malformed lines are
-reported and skipped.
+JSONL logs are read as splits of lines, so a log of any size is read by many tasks: a line is
+(path, block, seq, text), block being where its split begins and seq growing along it. Lines are
+numbered in two passes, within their block and by the lines of the blocks before; what carries
+over from line to line (a session, a model) is found in the same way: within a block, and from a row
+for each block that says what holds at its end. No group is larger than a split. Only documents that are
+one JSON value are read whole. Every line gets an outcome; rows and diagnostics are
+selections of it. Malformed lines are reported and skipped, and no counter or instant, however odd,
+stops a scan.
 """
 
 from __future__ import annotations
@@ -18,23 +22,43 @@ from ..functions.columns import SEPARATOR, hashed, percent_decoded, project_name
 Columns = dict[str, Column]
 
 
-def read(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl") -> DataFrame:
-    """(path, content, size, modified) of the logs under paths, the pattern and each path taken whatever their case.
-
-    The listing alone is searched for double paths, so no content is shuffled.
-    """
+def _pattern(pattern: str) -> dict:
+    """Options that list the files of a pattern, whatever their case."""
     glob = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
-    options = {"recursiveFileLookup": True, "pathGlobFilter": glob}
-    listing = spark.read.format("binaryFile").options(**options).load(paths).select(F.col("_metadata.file_path").alias("path"))
-    once = listing.groupBy(F.lower("path").alias("_lower")).agg(F.min("path").alias("path")).select("path")
-    files = spark.read.text(paths, wholetext=True, **options)
-    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
-    return named.join(once, "path", "left_semi")
+    return {"recursiveFileLookup": True, "pathGlobFilter": glob}
+
+
+#: Folders below a root in which logs are looked for.
+DEPTH = 12
+
+
+def listed(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """(path, size, modified) of the logs under paths, once for paths that differ in case only, at most DEPTH folders down."""
+    files = spark.read.format("binaryFile").options(**_pattern(pattern)).load(paths)
+    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("modified"))
+    roots = [p.rstrip("/").rsplit(":", 1)[-1].lstrip("/") for p in paths]
+    below = F.least(*(F.when(F.contains("path", F.lit(f"/{r}/")), F.size(F.split(F.element_at(F.split("path", f"/\\Q{r}\\E/", 2), 2), "/"))) for r in roots), F.lit(1 << 30))
+    near = named.where((below <= DEPTH) | (below == 1 << 30))
+    first = near.groupBy(F.lower("path").alias("_lower")).agg(F.min(F.struct("path", "size", "modified")).alias("f"))  # a row for each file, no content
+    return first.select("f.path", "f.size", "f.modified")
+
+
+def read_lines(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """(path, block, seq, text) of the lines of the logs under paths, read as splits of ``spark.sql.files.maxPartitionBytes``."""
+    text = spark.read.text(paths, lineSep="\n", **_pattern(pattern))
+    lines_ = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("text"))
+    return lines_.join(listed(spark, paths, pattern).select("path"), "path", "left_semi")
+
+
+def read(spark: SparkSession, paths: list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """(path, content, size, modified) of documents under paths, each whole."""
+    files = spark.read.text(paths, wholetext=True, **_pattern(pattern)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return files.join(listed(spark, paths, pattern), "path")
 
 
 def read_grok(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The logs at sessions/<project>/<session>/updates.jsonl."""
-    return read(spark, paths, "updates.jsonl").where(F.col("path").rlike(GROK_PATH))
+    """Lines of the logs at sessions/<project>/<session>/updates.jsonl."""
+    return read_lines(spark, paths, "updates.jsonl").where(F.col("path").rlike(GROK_PATH))
 
 
 #: Where a session's log lies: its project, with escapes, and its id.
@@ -74,10 +98,30 @@ def manifest_after(manifest: DataFrame, listing: DataFrame, events: DataFrame, f
     return manifest.join(entries, "source_key", "left_anti").select(*entries.columns).unionByName(entries)
 
 
+def split(files: DataFrame, lines: int | None = None) -> DataFrame:
+    """(path, block, seq, text) of files (path, content), in blocks of so many lines or in one."""
+    rows = files.select("path", F.posexplode(F.split("content", "\n")).alias("seq", "text"))
+    block = F.lit(0) if lines is None else F.floor(F.col("seq") / lines)
+    return rows.select("path", block.cast("long").alias("block"), F.col("seq").cast("long").alias("seq"), "text")
+
+
+def _before(blocks: DataFrame, column: Column) -> Column:
+    """A column over the blocks of a file that come before."""
+    return column.over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """(path, block, line, text) of lines (path, block, seq, text) or of whole files (path, content); lines count from 1 in a file."""
+    rows = files if "seq" in files.columns else split(files)
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("path", "block").orderBy("seq")))
+    counts = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    first = counts.select("path", "block", F.coalesce(_before(counts, F.sum("n")), F.lit(0)).alias("first"))  # a row for each split
+    return placed.join(first, ["path", "block"]).select("path", "block", (F.col("first") + F.col("place")).cast("long").alias("line"), "text")
+
+
 def lines(files: DataFrame) -> DataFrame:
-    """(path, line, text, json) of every line that is not blank; json is null where it does not parse."""
-    rows = files.select("path", F.posexplode(F.split("content", "\n")).alias("n", "text")).where(F.trim("text") != "")
-    return rows.select("path", (F.col("n") + 1).alias("line"), "text", F.try_parse_json("text").alias("json"))
+    """(path, block, line, text, json) of every line that is not blank; json is null where it does not parse."""
+    return numbered(files).where(F.trim("text") != "").withColumn("json", F.try_parse_json("text"))
 
 
 def _text(path: str, column: str = "json") -> Column:
@@ -115,7 +159,7 @@ def _events(rows: DataFrame, provider: str, source: str, counters: Columns, nati
     return out.select(
         hashed(F.lit(provider), F.col("session"), F.col("native_event_id")).alias("id"), F.lit(provider).alias("provider"), F.lit(source).alias("source"), F.col("session").alias("native_session_id"), "native_event_id",
         "occurred_at", safe_identifier(F.col("model")).alias("model"), project_name(F.col("cwd")).alias("project_name"), "input_tokens", "cached_input_tokens",
-        F.greatest(F.col("cache_write_tokens"), F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")).alias("cache_write_tokens"), "cache_write_5m_tokens", "cache_write_1h_tokens", "output_tokens", "reasoning_tokens", total.alias("total_tokens"),
+        F.greatest(F.col("cache_write_tokens"), saturating_add(F.col("cache_write_5m_tokens"), F.col("cache_write_1h_tokens"))).alias("cache_write_tokens"), "cache_write_5m_tokens", "cache_write_1h_tokens", "output_tokens", "reasoning_tokens", total.alias("total_tokens"),
         "native_cost_usd_ticks", "path", "line",
     )
 
@@ -129,17 +173,19 @@ def codex_lines(files: DataFrame) -> DataFrame:
     rows = lines(files).withColumns({"type": _text("$.type"), "kind": _text("$.payload.type")})
     meta, turn = F.col("type") == "session_meta", F.col("type") == "turn_context"
     started = (F.col("type") == "event_msg") & (F.col("kind") == "task_started") & _text("$.payload.turn_id").isNotNull()
-    so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({
-        "_meta": F.when(meta, F.struct(_first("$.payload.session_id", "$.payload.id").alias("session"), _text("$.payload.cwd").alias("cwd"))),
-        "_turn": F.when(turn | started, F.struct(_text("$.payload.turn_id").alias("turn"))), "_model": F.when(turn, _text("$.payload.model")),
-        "_cwd": F.when(turn, _text("$.payload.cwd")), "_part": F.sum(F.coalesce(meta, F.lit(False)).cast("int")).over(so_far),
-    })
-    within = Window.partitionBy("path", "_part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({
-        "session": F.last("_meta", ignorenulls=True).over(so_far)["session"], "turn": F.last("_turn", ignorenulls=True).over(so_far)["turn"], "model": F.last("_model", ignorenulls=True).over(so_far),
-        "cwd": F.coalesce(F.last("_cwd", ignorenulls=True).over(within), F.last("_meta", ignorenulls=True).over(so_far)["cwd"]), "occurred_at": rfc3339(_text("$.timestamp")),
-    })
+    model, cwd = _text("$.payload.model"), _text("$.payload.cwd")
+    named = {
+        "_session": F.when(meta, F.struct(_first("$.payload.session_id", "$.payload.id").alias("v"))), "_turn": F.when(turn | started, F.struct(_text("$.payload.turn_id").alias("v"))),
+        "_model": F.when(turn & model.isNotNull(), F.struct(model.alias("v"))), "_cwd": F.when(meta | (turn & cwd.isNotNull()), F.struct(cwd.alias("v"))),
+    }
+    rows = rows.withColumns(named)
+    within = Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(within) for c in named})
+    ends = rows.groupBy("path", "block").agg(*(F.max_by(c, "line").alias(c) for c in named))  # what holds at the end of a block, by the same exchange
+    carried = ends.select("path", "block", *(_before(ends, F.last(c, ignorenulls=True)).alias(f"{c}_before") for c in named))
+    rows = rows.join(carried, ["path", "block"])
+    held = {n: F.coalesce(f"_{n}", f"_{n}_before")["v"] for n in ("session", "turn", "model", "cwd")}
+    return rows.withColumns(held | {"occurred_at": rfc3339(_text("$.timestamp"))})
 
 
 def codex(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,18 +212,18 @@ def claude(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     other = _text("$.type").isNotNull() & (_text("$.type") != "assistant")
     rows = _outcome(rows, other | F.try_variant_get(F.col("json"), usage, "variant").isNull())
     w5, w1 = _count(f"{usage}.cache_creation.ephemeral_5m_input_tokens"), _count(f"{usage}.cache_creation.ephemeral_1h_input_tokens")
-    write = F.greatest(_count(f"{usage}.cache_creation_input_tokens"), w5 + w1)
+    write = F.greatest(_count(f"{usage}.cache_creation_input_tokens"), saturating_add(w5, w1))
     fresh, read, out = _count(f"{usage}.input_tokens"), _count(f"{usage}.cache_read_input_tokens"), _count(f"{usage}.output_tokens")
     counters = {
         "input_tokens": fresh, "cached_input_tokens": read, "cache_write_tokens": write, "cache_write_5m_tokens": w5, "cache_write_1h_tokens": w1, "output_tokens": out,
-        "reasoning_tokens": F.least(_count(f"{usage}.output_tokens_details.thinking_tokens"), out), "total_tokens": fresh + read + write + out,
+        "reasoning_tokens": F.least(_count(f"{usage}.output_tokens_details.thinking_tokens"), out), "total_tokens": saturating_add(fresh, read, write, out),
     }
     print_ = F.concat_ws(SEPARATOR, F.col("session"), F.coalesce(_first("$.parentUuid", "$.parent_uuid"), F.lit("no-parent")), F.col("occurred_at").cast("string"), F.coalesce("model", F.lit("unknown-model")))
     native = F.coalesce(
         F.concat(F.lit("request:"), _first("$.requestId", "$.request_id")), F.concat(F.lit("message:"), _text("$.message.id")), F.concat(F.lit("uuid:"), _text("$.uuid")), F.concat(F.lit("request_fingerprint:"), F.sha2(print_, 256))
     )
     best = Window.partitionBy("path", "session", "_native").orderBy(*(F.desc(c) for c in ("total_tokens", "_split", "output_tokens", "_model", "_project", "occurred_at")), "line")
-    ranked = rows.where("outcome = 'event'").withColumns(counters | {"_native": native, "_split": w5 + w1, "_model": F.col("model").isNotNull(), "_project": F.col("cwd").isNotNull()})
+    ranked = rows.where("outcome = 'event'").withColumns(counters | {"_native": native, "_split": saturating_add(w5, w1), "_model": F.col("model").isNotNull(), "_project": F.col("cwd").isNotNull()})
     chosen = ranked.withColumn("_best", F.row_number().over(best)).where("_best = 1")
     return _events(chosen.select(*rows.columns), "claude", "claude_code", counters, native), diagnostics(rows, "claude")
 
@@ -226,7 +272,8 @@ def _millis(value: Column) -> Column:
     kind = F.schema_of_variant(value)
     text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
     number = F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).otherwise(F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")))
-    return F.to_utc_timestamp(F.timestamp_millis(number), F.current_timezone()).cast("timestamp_ntz")
+    # An instant after the year 9999 or before year 1 is none.
+    return F.to_utc_timestamp(F.timestamp_millis(F.when(number.between(-62_135_596_800_000, 253_402_300_799_999), number)), F.current_timezone()).cast("timestamp_ntz")
 
 
 def grok(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,14 +318,20 @@ GEMINI_COUNTERS = {
 
 def gemini(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of JSONL logs, or of documents that are an array or hold messages or events, and diagnostics; a document's session is that of records without one."""
+    if "seq" in files.columns:
+        return _gemini(lines(files).withColumn("document_session", F.lit(None).cast("string")))
     parsed = files.withColumn("doc", F.try_parse_json("content"))
     kind = F.schema_of_variant("doc")
     listed = F.coalesce(F.when(kind.startswith("ARRAY"), F.try_variant_get(F.col("doc"), "$", "array<variant>")), *(F.try_variant_get(F.col("doc"), f"$.{n}", "array<variant>") for n in ("messages", "events")))
     parsed = parsed.withColumns({"items": listed, "document_session": _string(F.col("doc"), "sessionId", "session_id")})
-    documents = parsed.where("items IS NOT NULL").select("path", "document_session", F.posexplode("items").alias("n", "json")).select("path", (F.col("n") + 1).alias("line"), F.lit(None).cast("string").alias("text"), "json", "document_session")
+    documents = parsed.where("items IS NOT NULL").select("path", "document_session", F.posexplode("items").alias("n", "json")).select("path", F.lit(0).cast("long").alias("block"), (F.col("n") + 1).cast("long").alias("line"), F.lit(None).cast("string").alias("text"), "json", "document_session")
     loose = lines(parsed.where("items IS NULL").select("path", "content")).withColumn("document_session", F.lit(None).cast("string"))
+    return _gemini(documents.unionByName(loose))
+
+
+def _gemini(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     record = F.col("json")
-    rows = documents.unionByName(loose).withColumn("usage", _member(record, "usageMetadata", "usage_metadata", "response.usageMetadata")).withColumns({
+    rows = rows.withColumn("usage", _member(record, "usageMetadata", "usage_metadata", "response.usageMetadata")).withColumns({
         "session": F.coalesce(_string(record, "sessionId", "session_id"), "document_session"), "occurred_at": rfc3339(_string(_member(record, "timestamp", "createdAt"), "")), "model": _string(record, "model", "response.model"),
         "cwd": _string(record, "cwd", "project"), "native": _string(record, "id", "messageId", "turnId"),
     })
