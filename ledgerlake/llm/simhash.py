@@ -100,8 +100,8 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_fingerprints_of(texts: list[bytes], width: int, parts: int) -> list[bytes]:
-    """SimHash of 64 * parts bits of the distinct shingles; parts after the first are of scrambled hashes. No words: zero bits."""
+def wide_fingerprints_of(texts: list[bytes], width: int, parts: int, sized: bool = False) -> list[bytes]:
+    """SimHash of 64 * parts bits of the distinct shingles; parts after the first are of scrambled hashes. No words: zero bits. sized: their number follows, 64 at most."""
     hashes, counts = shingle_hashes(texts, width)
     owner = np.repeat(np.arange(len(texts)), counts)
     order = np.lexsort((hashes, owner))
@@ -113,6 +113,8 @@ def wide_fingerprints_of(texts: list[bytes], width: int, parts: int) -> list[byt
     for part in range(parts if len(full) else 0):
         out[full, part] = _majority(hashes, counts[full])
         hashes = mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
+    if sized:
+        out = np.column_stack([out, np.minimum(counts, LOOSE_FROM[-1]).astype(np.uint64)])
     return [row.tobytes() for row in out]
 
 
@@ -286,10 +288,11 @@ SIMILAR = (4, 5)
 #: Share of bits in which texts of Jaccard similarity 0.8 differ: arccos(2 * 0.8 / 1.8) / pi = 0.1515, and one
 #: standard deviation of 1024 bits. Bands are drawn for it.
 SPREAD = 0.165
-#: Share of all bits up to which a pair is proposed: 3.5 standard deviations above 0.1875, where 4 of 5 shingles lie.
-LOOSE = 0.23
-#: Partners that a row proposes of a band's key in the first round; four times as many in each later one.
-TRIES = 2
+#: Share of all bits up to which a pair is proposed, by the shingles of the smaller text at least: of few shingles a lost
+#: one moves more bits (4 of 5 lie at 0.19). Each is three standard deviations above the mean at similarity 0.8.
+LOOSE, LOOSE_FROM = (0.23, 0.20, 0.187), (0, 7, 64)
+#: Partners that a row proposes of a band's key in the first round; GROWTH times as many in each later one.
+TRIES, GROWTH = 16, 16
 #: Rows and pairs that one group of the exact comparison should hold; it keeps the shingle hashes of their texts.
 CHUNK_ROWS, CHUNK_PAIRS = 1024, 1 << 15
 #: Share of a head's bits in which similar texts may differ: five standard deviations of 256 bits (unrelated: 0.5 +- 0.03).
@@ -334,20 +337,26 @@ def _touching(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found)
 
 
+def _limits(points: np.ndarray) -> np.ndarray:
+    """Bits in which a row may differ from one that it proposes; a word behind the bits, if there, is the number of its shingles."""
+    sizes = points[:, WORDS].astype(np.int64) if points.shape[1] > WORDS else np.zeros(len(points), np.int64)
+    return 64 * WORDS * np.array(LOOSE)[np.searchsorted(LOOSE_FROM, sizes, side="right") - 1]
+
+
 def _proposed(keys: np.ndarray, points: np.ndarray, nodes: np.ndarray, labels: np.ndarray, refused: list, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows, sorted by key and label, of a key that are near and neither of a label nor refused: for each row at most ``tries``
     of lesser labels, the least first; and the rows that have more.
 
     All rows of a large group so turn to the same few, in every band, and their pairs are few when bands are put together.
     """
-    begin = np.searchsorted(keys, keys)
+    begin, limits = np.searchsorted(keys, keys), _limits(points)
     turn = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]) | (labels[1:] != labels[:-1])) + 1])
     own = turn[np.searchsorted(turn, np.arange(len(keys)), side="right") - 1]  # where the row's label begins
     left, more = np.full(len(keys), tries), np.zeros(len(keys), bool)
     first, step, found = np.arange(len(keys)), 0, [np.zeros((2, 0), np.int64)]
     while len(first := first[(begin[first] + step < own[first]) & ~more[first]]):
         near = first[_apart(points[first, :HEAD], points[begin[first] + step, :HEAD]) <= 64 * HEAD * COARSE]
-        near = near[_apart(points[near], points[begin[near] + step]) <= 64 * points.shape[1] * LOOSE]
+        near = near[_apart(points[near, :WORDS], points[begin[near] + step, :WORDS]) <= np.maximum(limits[near], limits[begin[near] + step])]
         other = begin[near] + step
         near = near[np.array([not (refused[i] and m in refused[i] or refused[j] and n in refused[j]) for i, j, n, m in zip(near.tolist(), other.tolist(), nodes[near].tolist(), nodes[other].tolist())], bool)]
         more[near[left[near] == 0]] = True
@@ -439,7 +448,7 @@ def wide_links(prints: DataFrame, judged: Callable[[DataFrame], DataFrame] = _al
         refused = tried.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.flatten(F.collect_list("refused")).alias("refused"))
         roots = _with_roots(components(edges))
         rows = nodes.join(roots, "node", "left").join(refused, "node", "left").select("node", "print", F.coalesce("root", "node").alias("label"), "refused")
-        tries *= 4
+        tries *= GROWTH
 
 
 def _with_roots(roots: DataFrame) -> DataFrame:
@@ -499,7 +508,7 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
 
     def work(blocks) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks:
-            prints = wide_fingerprints_of(texts, width, WORDS)
+            prints = wide_fingerprints_of(texts, width, WORDS, sized=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(prints, pa.binary())], names=["doc_id", "th", "print"])
 
     prints = stored(map_blocks(keyed, "doc_id long, th long, print binary", work).withColumn("node", F.xxhash64("print")), "prints")
