@@ -80,8 +80,8 @@ def changed(listing: DataFrame, manifest: DataFrame, parser: int) -> DataFrame:
     return fingerprinted(listing, parser).join(manifest.select("fingerprint"), "fingerprint", "left_anti")
 
 
-def manifest_after(manifest: DataFrame, listing: DataFrame, events: DataFrame, found: DataFrame, provider: str, parser: int, now: datetime) -> DataFrame:
-    """The manifest with an entry for each file of a listing that was read and whose rows are written, instead of its former one.
+def entries(listing: DataFrame, events: DataFrame, found: DataFrame, provider: str, parser: int, now: datetime) -> DataFrame:
+    """A manifest entry for each file of a listing that was read and whose rows are written.
 
     An entry has the file's key, fingerprint and size, the parser, the newest usage, a status (the worst of its diagnostics) and
     the first diagnostic. events and found: the rows (path, line, ...) and diagnostics that the files gave.
@@ -91,16 +91,64 @@ def manifest_after(manifest: DataFrame, listing: DataFrame, events: DataFrame, f
     odd = found.groupBy("path").agg(worst, F.min_by("code", F.struct("line", "code")).alias("_code"))
     rows = fingerprinted(listing, parser).join(usage, "path", "left").join(odd, "path", "left")
     status = F.when(F.col("_worst") == 2, "error").when(F.col("_worst") == 1, "warning").otherwise("healthy")
-    entries = rows.select(
+    return rows.select(
         F.concat(F.lit(f"{provider}:"), F.sha2("path", 256)).alias("source_key"), F.lit(provider).alias("provider"), "fingerprint", F.col("size").cast("long").alias("file_size"), F.lit(parser).alias("parser_version"),
         F.lit(now).cast("timestamp_ntz").alias("last_scan_at"), "last_usage_at", status.alias("status"), F.substring("_code", 1, 240).alias("diagnostic"),
     )
-    return manifest.join(entries, "source_key", "left_anti").select(*entries.columns).unionByName(entries)
+
+
+def manifest_after(manifest: DataFrame, listing: DataFrame, events: DataFrame, found: DataFrame, provider: str, parser: int, now: datetime) -> DataFrame:
+    """The manifest with the entries of a listing instead of the files' former ones."""
+    new = entries(listing, events, found, provider, parser, now)
+    return manifest.join(new, "source_key", "left_anti").select(*new.columns).unionByName(new)
+
+
+def tally(files: DataFrame, events: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, seen, used, diagnosed, ignored) of each file: its lines, those that gave rows, those with a diagnostic, and those that
+    say nothing: blank ones, other records and repeated ones. Lines that only carry context (session_meta, turn_context) are none of these."""
+    rows = files if "seq" in files.columns else split(files)
+    kind = _text("$.type", "_json")
+    lines_ = rows.withColumn("_json", F.try_parse_json("text")).groupBy("path").agg(F.count(F.lit(1)).alias("seen"), F.count_if(kind.isin("session_meta", "turn_context")).alias("_context"))
+    used = events.groupBy("path").agg(F.countDistinct("line").alias("used"))
+    odd = found.groupBy("path").agg(F.countDistinct("line").alias("diagnosed"))
+    joined = lines_.join(used, "path", "left").join(odd, "path", "left").fillna(0, ["used", "diagnosed"])
+    return joined.select("path", "seen", "used", "diagnosed", (F.col("seen") - F.col("used") - F.col("diagnosed") - F.col("_context")).alias("ignored"))
+
+
+#: Diagnostics that a report shows of a provider.
+SHOWN = 20
+
+
+def report(tallies: DataFrame, found: DataFrame, listing: DataFrame, inserted: DataFrame, providers: list[str]) -> DataFrame:
+    """A row for each provider: whether its logs were there, files and lines seen, lines ignored, rows inserted, status, and its first diagnostics.
+
+    tallies: (provider, seen, ignored, ...) of the files read; found: (provider, path, line, code, severity); listing: (provider, path) of all
+    files, unchanged ones too; inserted: (provider, rows).
+    """
+    counted = tallies.groupBy("provider").agg(F.sum("seen").alias("seen"), F.sum("ignored").alias("ignored"))
+    files = listing.groupBy("provider").agg(F.count(F.lit(1)).alias("files"))
+    new = inserted.groupBy("provider").agg(F.sum("rows").alias("inserted"))
+    worst = F.max(F.when(F.col("severity") == "error", 2).otherwise(1)).alias("_worst")
+    first = _first_of(found).groupBy("provider").agg(F.array_sort(F.collect_list(F.struct("place", "code"))).alias("_codes"))  # SHOWN at most
+    rows = tallies.sparkSession.createDataFrame([(p,) for p in providers], "provider string")
+    for part in (files, counted, new, found.groupBy("provider").agg(worst), first):
+        rows = rows.join(part, "provider", "left")
+    status = F.when(F.col("_worst") == 2, "error").when(F.col("_worst") == 1, "warning").otherwise("healthy")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("provider", F.col("files").isNotNull().alias("detected"), *map(zero, ("files", "seen", "ignored", "inserted")), status.alias("status"), F.coalesce(F.col("_codes.code"), F.array().cast("array<string>")).alias("diagnostics"))
+
+
+def _first_of(found: DataFrame) -> DataFrame:
+    """The first SHOWN diagnostics of each provider; those of a file are cut before they meet, so no group is larger than that a file."""
+    at = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("path", "line", "code"))
+    some = found.withColumn("place", at("provider", "path")).where(F.col("place") <= SHOWN)
+    return some.withColumn("place", at("provider")).where(F.col("place") <= SHOWN)
 
 
 def split(files: DataFrame, lines: int | None = None) -> DataFrame:
     """(path, block, seq, text) of files (path, content), in blocks of so many lines or in one."""
-    rows = files.select("path", F.posexplode(F.split("content", "\n")).alias("seq", "text"))
+    ended = F.regexp_replace("content", "\n\\z", "")  # the last line break begins no line
+    rows = files.where("content <> ''").select("path", F.posexplode(F.split(ended, "\n")).alias("seq", "text"))
     block = F.lit(0) if lines is None else F.floor(F.col("seq") / lines)
     return rows.select("path", block.cast("long").alias("block"), F.col("seq").cast("long").alias("seq"), "text")
 
