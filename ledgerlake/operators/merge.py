@@ -6,6 +6,7 @@ union and one window per key replace update statements, so each merge shuffles o
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,23 @@ def keys_of(table: DataFrame) -> list[str]:
     return [c for c in ("account_id", "id") if c in table.columns]
 
 
+#: What a row is: a revision that differs in any of these is another row with a stolen id.
+IDENTITY = ["provider", "source", "source_type", "native_session_id", "native_event_id", "device_id", "measurement_kind"]
+
+
+def _identity(columns: list[str]) -> Column:
+    """Identity of a row as a struct of text; fields that the table lacks are left out."""
+    same = [F.col(c).cast("string").alias(c) for c in IDENTITY if c in columns]
+    by = F.col("superseded_by_event_id") if "superseded_by_event_id" in columns else F.lit(None).cast("string")
+    return F.struct(by.alias("by"), *same)
+
+
+def _revisable(have: Column, columns: list[str]) -> Column:
+    """Whether a new row may revise the stored one of which have is the identity: the same row, and not superseded."""
+    same = reduce(lambda a, b: a & b, [have[c].eqNullSafe(F.col(c).cast("string")) for c in IDENTITY if c in columns], F.lit(True))
+    return have.isNull() | (have["by"].isNull() & same)
+
+
 def insert_absent(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """stored and the incoming rows whose key it lacks; the first of repeated keys, so replays add nothing."""
     keys = keys_of(stored)
@@ -38,42 +56,77 @@ def authority() -> Column:
 def upsert_revisions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The most authoritative revision of each key; equal or lesser ones than the stored row change nothing.
 
+    A superseded row is never revised, nor one by a row of another identity (``guarded`` says which were refused).
     Model, project and native cost of a revision that wins fall back to those of the
-    revisions it replaces; the row is updated later than the stored one and queued again.
+    revisions it replaces; the row keeps its creation, is updated later than the stored one and queued again.
     """
+    columns = stored.columns
     rows = stored.withColumn("_new", F.lit(False)).unionByName(incoming.withColumn("_new", F.lit(True))).withColumn("_auth", authority())
     whole = Window.partitionBy(*keys_of(stored))
-    have = F.max(F.when(~F.col("_new"), F.col("_auth"))).over(whole)
-    rows = rows.withColumn("_have", have).where(~F.col("_new") | F.col("_have").isNull() | (F.col("_auth") > F.col("_have")))
+    of_stored = lambda c: F.max(F.when(~F.col("_new"), c)).over(whole)
+    rows = rows.withColumns({"_have": of_stored(F.col("_auth")), "_who": of_stored(_identity(columns))})
+    rows = rows.where(~F.col("_new") | (_revisable(F.col("_who"), columns) & (F.col("_have").isNull() | (F.col("_auth") > F.col("_have")))))
     order = whole.orderBy(F.desc("_auth"), "_new", F.desc("native_event_id"), F.desc("model"), F.desc("project_name"))
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     keep = {c: F.first(c, ignorenulls=True).over(rest) for c in ("model", "project_name", "native_cost_usd_ticks")}
-    old = F.max(F.when(~F.col("_new"), F.col("updated_at"))).over(whole)
-    rows = rows.withColumns({**keep, "_old": old, "_rank": F.row_number().over(order)}).where("_rank = 1")
+    if "created_at" in columns:
+        keep["created_at"] = F.coalesce(of_stored(F.col("created_at")), "created_at")
+    rows = rows.withColumns({**keep, "_old": of_stored(F.col("updated_at")), "_rank": F.row_number().over(order)}).where("_rank = 1")
     replaced = F.col("_new") & F.col("_old").isNotNull()
     return rows.withColumns({
         "updated_at": F.when(replaced, F.greatest(F.col("updated_at"), F.col("_old") + F.expr("INTERVAL '0.000001' SECOND"))).otherwise(F.col("updated_at")),
         "sync_status": F.when(F.col("_new"), "pending").otherwise(F.col("sync_status")),
-    }).select(*stored.columns)
+    }).select(*columns)
+
 
+def raise_cache_write(stored: DataFrame, incoming: DataFrame, now: datetime) -> DataFrame:
+    """stored with absent incoming rows added, and cache_write_tokens raised to incoming's where that is larger.
 
-def raise_cache_write(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """stored with cache_write_tokens raised to incoming's where that is larger; nothing else changes but the queue."""
-    keys = [k for k in keys_of(stored) if k in incoming.columns]
-    new = incoming.groupBy(*keys).agg(F.max("cache_write_tokens").alias("_write"))
-    raised = F.coalesce(F.col("_write") > F.col("cache_write_tokens"), F.lit(False))
-    rows = stored.join(new, keys, "left").withColumns({"sync_status": F.when(raised, "pending").otherwise(F.col("sync_status")), "cache_write_tokens": F.greatest("cache_write_tokens", F.coalesce("_write", "cache_write_tokens"))})
-    return rows.select(*stored.columns)
+    Where it is raised, value and pricing status come from the incoming row, priced before, and the row is updated and queued again; nothing else
+    changes. Superseded rows and rows of another identity are left alone.
+    """
+    keys, columns = keys_of(stored), stored.columns
+    best = F.struct("cache_write_tokens", "estimated_api_value_usd_micros", "pricing_status")
+    new = incoming.groupBy(*keys, _identity(columns).alias("_of")).agg(F.max(best).alias("_n"))
+    joined = stored.join(new, keys)
+    fits = _revisable(F.col("_of").withField("by", F.col("superseded_by_event_id")), columns)
+    raised = fits & (F.col("_n.cache_write_tokens") > F.col("cache_write_tokens"))
+    kept = joined.withColumn("_n", F.when(raised, F.col("_n"))).groupBy(*keys).agg(F.max("_n").alias("_n"))  # of several identities the one that fits
+    rows = stored.join(kept, keys, "left").withColumn("_up", F.col("_n").isNotNull())
+    at = F.greatest(F.lit(now).cast("timestamp_ntz"), F.col("updated_at") + F.expr("INTERVAL '0.000001' SECOND"))
+    changed = {c: F.coalesce(f"_n.{c}", c) for c in ("cache_write_tokens", "pricing_status")} | {
+        "estimated_api_value_usd_micros": F.when(F.col("_up"), F.col("_n.estimated_api_value_usd_micros")).otherwise(F.col("estimated_api_value_usd_micros")),
+        "updated_at": F.when(F.col("_up"), at).otherwise(F.col("updated_at")), "sync_status": F.when(F.col("_up"), "pending").otherwise(F.col("sync_status")),
+    }
+    return insert_absent(rows.withColumns(changed).select(*columns), incoming)
+
+
+def guarded(stored: DataFrame, incoming: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """incoming rows that may be merged into stored, and the others with ``refused``, the reasons: rules that they break (true where broken, as
+    ``reconcile.rules``), other_identity or superseded. One join on the key; rows are told apart by it alone."""
+    keys, columns = keys_of(stored), incoming.columns
+    who = stored.groupBy(*keys).agg(F.max(_identity(stored.columns)).alias("_who"))
+    rows = incoming.join(who, keys, "left")
+    known = F.col("_who").isNotNull()
+    same = _revisable(F.col("_who").withField("by", F.lit(None).cast("string")), stored.columns)
+    reasons = [F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items()]
+    reasons += [F.when(known & ~same, F.lit("other_identity")), F.when(known & F.col("_who.by").isNotNull(), F.lit("superseded"))]
+    rows = rows.withColumn("refused", F.array_compact(F.array(*reasons)))
+    return rows.where(F.size("refused") == 0).select(*columns), rows.where(F.size("refused") > 0).select(*columns, "refused")
 
 
 def merge_hourly(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """High-water merge of hourly buckets (device_id, model_id, hour): counters that all grew replace, requests only rise."""
+    """High-water merge of hourly buckets (device_id, model_id, hour): counters that are all no less replace, requests only rise.
+
+    Of several incoming rows of a bucket the greatest of those that may replace the stored one counts.
+    """
     keys, counters = ["device_id", "model_id", "hour"], ["prompt_tokens", "completion_tokens", "cached_tokens"]
-    new = incoming.groupBy(*keys).agg(F.max(F.struct("prompt_tokens", "completion_tokens", "cached_tokens", "requests")).alias("n"), F.max("requests").alias("_requests"))
+    old = stored.select(*keys, F.struct(*counters).alias("_old"))
+    grown = reduce(lambda a, b: a & b, [F.col(c) >= F.col(f"_old.{c}") for c in counters])
+    fits = F.when(F.col("_old").isNull() | grown, F.struct(*counters))
+    new = incoming.join(old, keys, "left").groupBy(*keys).agg(F.max(fits).alias("n"), F.max("requests").alias("_requests"))
     rows = stored.join(new, keys, "full_outer")
-    grown = reduce(lambda a, b: a & b, [F.col(f"n.{c}") >= F.col(c) for c in counters])
-    take = F.col("prompt_tokens").isNull() | F.coalesce(grown, F.lit(False))
-    return rows.select(*keys, *(F.when(take, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in counters), F.greatest("requests", "_requests").alias("requests"))
+    return rows.select(*keys, *(F.coalesce(f"n.{c}", c).alias(c) for c in counters), F.greatest("requests", "_requests").alias("requests"))
 
 
 def valid_hourly(rows: DataFrame, now_hour: int) -> DataFrame:
@@ -119,8 +172,13 @@ def pending(events: DataFrame, batch: int = 250) -> DataFrame:
 
 
 def acknowledged(events: DataFrame, delivered: DataFrame) -> DataFrame:
-    """events with delivered ids marked synced."""
-    rows = events.join(delivered.select("id", F.lit(True).alias("_done")).distinct(), "id", "left")
+    """events with delivered rows marked synced, each account's by itself; a row that was updated since it was sent stays in the queue."""
+    keys = [k for k in keys_of(events) if k in delivered.columns]
+    if "updated_at" in delivered.columns:
+        sent = delivered.groupBy(*keys).agg(F.max("updated_at").alias("_sent"))
+        rows = events.join(sent, keys, "left").withColumn("_done", F.col("updated_at") <= F.col("_sent"))
+    else:
+        rows = events.join(delivered.select(*keys, F.lit(True).alias("_done")).distinct(), keys, "left")
     return rows.withColumn("sync_status", F.when(F.col("_done"), "synced").otherwise(F.col("sync_status"))).select(*events.columns)
 
 

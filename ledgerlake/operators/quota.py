@@ -8,7 +8,7 @@ are made, as a reading loads no more, so pairs per series are bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import backoff_seconds
@@ -18,7 +18,10 @@ RECENT, EXPANDED, MIN_SPAN, MIN_SAMPLES = 3600, 21_600, 600, 3
 JITTER, DROP, STALE, CAP = 50, 500, 900, 512
 KEYS = ["provider", "window_key", "device_id"]
 #: Days to which a projection without a reset reaches, by kind.
-HORIZON_SECONDS = {"rolling": 86_400, "weekly": 8 * 86_400, "monthly": 32 * 86_400}
+HORIZON_SECONDS = {"rolling": 86_400, "weekly": 8 * 86_400, "model_weekly": 8 * 86_400, "monthly": 32 * 86_400}
+#: Median of the integer basis points an hour of all pairs of points (at, high) of an array p, 0 at least; SQL.
+_PAIRS = "flatten(transform(p, (a, i) -> transform(filter(slice(p, i + 2, size(p)), b -> b.at > a.at), b -> (b.high - a.high) * 3600 div (b.at - a.at))))"
+_MIDDLE = "CASE WHEN size(s) = 0 THEN NULL WHEN size(s) % 2 = 1 THEN s[size(s) div 2] ELSE (s[size(s) div 2 - 1] + s[size(s) div 2]) div 2 END"
 
 
 def loaded(readings: DataFrame, windows: DataFrame) -> DataFrame:
@@ -49,28 +52,30 @@ def sampled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("high", F.max("utilization_bps").over(before)).withColumn("step", F.col("utilization_bps") - F.lag("utilization_bps").over(ordered))
 
 
-def slopes(sample: DataFrame) -> DataFrame:
-    """(KEYS, slope): median of the integer basis points an hour of all pairs, 0 at least."""
-    points = sample.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("at", "high"))).alias("p"))  # CAP points at most
-    pairs = "flatten(transform(p, (a, i) -> transform(filter(slice(p, i + 2, size(p)), b -> b.at > a.at), b -> (b.high - a.high) * 3600 div (b.at - a.at))))"
-    sorted_ = points.select(*KEYS, F.expr(f"array_sort({pairs})").alias("s"))
-    middle = "CASE WHEN size(s) = 0 THEN NULL WHEN size(s) % 2 = 1 THEN s[size(s) div 2] ELSE (s[size(s) div 2 - 1] + s[size(s) div 2]) div 2 END"
-    return sorted_.select(*KEYS, F.greatest(F.expr(middle), F.lit(0)).cast("long").alias("slope"))
+def facts(sample: DataFrame) -> DataFrame:
+    """What a series' sample says: (KEYS, samples, span_seconds, pairs of neighbours, those that hardly fall, last reading, slope); one grouping, CAP points a series at most."""
+    grouped = sample.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("samples"), (F.max("at") - F.min("at")).alias("span_seconds"), F.count("step").alias("_pairs"), F.count_if(F.col("step") >= -JITTER).alias("_monotone"), F.max("observed_at").alias("last_reading"),
+        F.array_sort(F.collect_list(F.struct("at", "high"))).alias("p"),
+    )
+    sloped = grouped.withColumn("s", F.expr(f"array_sort({_PAIRS})"))
+    return sloped.withColumn("slope", F.greatest(F.expr(_MIDDLE), F.lit(0)).cast("long")).drop("p", "s")
+
 
+def pace(readings: DataFrame, windows: DataFrame, now: Column | None = None) -> DataFrame:
+    """windows (KEYS, kind, utilization_bps, observed_at, period_starts_at, resets_at, refresh_stale, refresh_status) with pace, projection and status.
 
-def pace(readings: DataFrame, windows: DataFrame) -> DataFrame:
-    """windows (KEYS, kind, utilization_bps, observed_at, period_starts_at, resets_at, refresh_stale, refresh_status) with pace, projection and status."""
+    now: when the windows are looked at; a window observed over STALE seconds before is stale. Without it only refresh_stale says so.
+    """
     if "refresh_status" not in windows.columns:
         windows = windows.withColumn("refresh_status", F.lit("healthy"))
-    sample = sampled(loaded(readings, windows))
-    facts = sample.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("samples"), (F.max("at") - F.min("at")).alias("span_seconds"), F.count("step").alias("_pairs"), F.count_if(F.col("step") >= -JITTER).alias("_monotone"), F.max("observed_at").alias("last_reading")
-    )
-    rows = windows.join(facts, KEYS, "left").join(slopes(sample), KEYS, "left").withColumns({"samples": F.coalesce("samples", F.lit(0)), "span_seconds": F.coalesce("span_seconds", F.lit(0))})
+    old = F.lit(False) if now is None else F.timestamp_diff("SECOND", F.col("observed_at"), now) > STALE
+    windows = windows.withColumns({"stale": F.col("refresh_stale") | old, "utilization_bps": F.greatest(F.lit(0), F.least(F.lit(10_000), "utilization_bps")).cast("long")})
+    rows = windows.join(facts(sampled(loaded(readings, windows))), KEYS, "left").withColumns({"samples": F.coalesce("samples", F.lit(0)), "span_seconds": F.coalesce("span_seconds", F.lit(0))})
     cap = F.col("kind").isin(*HORIZON_SECONDS)
     enough = (F.col("samples") >= MIN_SAMPLES) & (F.col("span_seconds") >= MIN_SPAN)
     rows = rows.withColumns({
-        "cap_bearing": cap, "stale": F.col("refresh_stale"), "_enough": enough,
+        "cap_bearing": cap, "_enough": enough,
         "monotone_percent": F.when(F.col("_pairs") > 0, F.expr("_monotone * 100 div _pairs")).otherwise(0),
     })
     confidence = (
@@ -83,7 +88,7 @@ def pace(readings: DataFrame, windows: DataFrame) -> DataFrame:
     can = F.col("cap_bearing") & ~F.col("stale") & F.col("confidence").isin("medium", "high") & (F.col("utilization_bps") < 10000) & (F.col("burn_bps_per_hour") > 0)
     left = F.expr("(10000 - utilization_bps) * 3600L div burn_bps_per_hour")
     horizon = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in HORIZON_SECONDS.items()))
-    rows = rows.withColumn("_left", F.when(can, left)).withColumn("_left", F.when(F.col("resets_at").isNotNull() | (F.col("_left") <= horizon), F.col("_left")))
+    rows = rows.withColumn("_left", F.when(can, left)).withColumn("_left", F.when((F.col("_left") > 0) & (F.col("resets_at").isNotNull() | (F.col("_left") <= horizon)), F.col("_left")))
     rows = rows.withColumn("projected_full_at", F.expr("timestampadd(SECOND, cast(_left as int), observed_at)"))
     status = (
         F.when(~F.col("cap_bearing"), "informational").when(F.col("utilization_bps") >= 10000, "limit_reached").when(~F.col("_enough"), "gathering").when(F.col("stale"), "stale")

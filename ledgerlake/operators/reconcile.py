@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hashed, saturating_add
+from . import merge
 
 SHAPE = ["native_session_id", "occurred_at", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens", "total_tokens"]
 # How native event ids of today's collectors begin; others are of former ones.
@@ -21,10 +22,16 @@ def legacy(provider: str) -> Column:
     return (F.col("provider") == provider) & (F.col("source") == source) & F.col("superseded_by_event_id").isNull() & ~todays
 
 
+def _account(*tables: DataFrame) -> list[str]:
+    """The account as part of a key, where all tables have it."""
+    return ["account_id"] if all("account_id" in t.columns for t in tables) else []
+
+
 def superseded(events: DataFrame, pairs: DataFrame, now: datetime) -> DataFrame:
-    """events with the legacy rows of pairs (legacy_event_id, replacement_event_id) superseded, updated and queued again; ids are one account's."""
-    one = pairs.groupBy("legacy_event_id").agg(F.min("replacement_event_id").alias("_by"))
-    rows = events.join(one, events["id"] == one["legacy_event_id"], "left")
+    """events with the legacy rows of pairs (account_id, legacy_event_id, replacement_event_id) superseded, updated and queued again; without accounts in pairs, ids are one account's."""
+    account = _account(events, pairs)
+    one = pairs.groupBy(*account, F.col("legacy_event_id").alias("id")).agg(F.min("replacement_event_id").alias("_by"))
+    rows = events.join(one, [*account, "id"], "left")
     new = F.col("_by").isNotNull() & F.col("superseded_by_event_id").isNull()
     return rows.withColumns({
         "updated_at": F.when(new, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("updated_at")), "sync_status": F.when(new, "pending").otherwise(F.col("sync_status")),
@@ -33,39 +40,42 @@ def superseded(events: DataFrame, pairs: DataFrame, now: datetime) -> DataFrame:
 
 
 def by_hints(events: DataFrame, hints: DataFrame, now: datetime) -> DataFrame:
-    """events with the Claude rows superseded that a hint proves to be replaced by a Claude row of the ledger."""
-    new = events.where("provider = 'claude'").select(F.col("id").alias("replacement_event_id"))
-    proven = hints.where("legacy_event_id <> replacement_event_id").join(new, "replacement_event_id", "left_semi")
-    old = events.where("provider = 'claude' AND source = 'claude_code'").select(F.col("id").alias("legacy_event_id"))
-    return superseded(events, proven.join(old, "legacy_event_id", "left_semi"), now)
+    """events with the Claude rows superseded that a hint proves to be replaced by a Claude row of the ledger; hints of an account (account_id) are about its rows."""
+    account = _account(events, hints)
+    new = events.where("provider = 'claude'").select(*account, F.col("id").alias("replacement_event_id"))
+    proven = hints.where("legacy_event_id <> replacement_event_id").join(new, [*account, "replacement_event_id"], "left_semi")
+    old = events.where("provider = 'claude' AND source = 'claude_code'").select(*account, F.col("id").alias("legacy_event_id"))
+    return superseded(events, proven.join(old, [*account, "legacy_event_id"], "left_semi"), now)
 
 
 def by_shape(stored: DataFrame, events: DataFrame) -> DataFrame:
-    """(legacy_event_id, replacement_event_id): legacy Grok rows whose counters, alone in the ledger, are those of a completed turn over all its models.
+    """(account_id, legacy_event_id, replacement_event_id): legacy Grok rows whose counters, alone in the ledger, are those of a completed turn over all its models.
 
     The replacement is the turn's last row by model; of several turns with the same counters the first counts.
     """
-    unique = stored.where(legacy("grok")).groupBy(*SHAPE).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("legacy_event_id")).where("n = 1")
+    account = _account(stored, events)
+    unique = stored.where(legacy("grok")).groupBy(*account, *SHAPE).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("legacy_event_id")).where("n = 1")
     rows = events.where((F.col("provider") == "grok") & F.col("native_event_id").contains(":model:")).withColumn("turn_id", F.substring_index("native_event_id", ":model:", 1))
     last = F.max_by("id", F.struct(F.coalesce("model", F.lit("")), "native_event_id")).alias("last_id")
-    turns = rows.groupBy("native_session_id", "turn_id").agg(F.max("occurred_at").alias("occurred_at"), *(F.sum(c).alias(c) for c in SHAPE[2:]), last)
-    first = turns.groupBy(*SHAPE).agg(F.min_by("last_id", "turn_id").alias("replacement_event_id"))
-    return unique.join(first, SHAPE).select("legacy_event_id", "replacement_event_id")
+    turns = rows.groupBy(*account, "native_session_id", "turn_id").agg(F.max("occurred_at").alias("occurred_at"), *(F.sum(c).alias(c) for c in SHAPE[2:]), last)
+    first = turns.groupBy(*account, *SHAPE).agg(F.min_by("last_id", "turn_id").alias("replacement_event_id"))
+    return unique.join(first, [*account, *SHAPE]).select(*account, "legacy_event_id", "replacement_event_id")
 
 
 def by_recombined_input(stored: DataFrame, events: DataFrame) -> DataFrame:
-    """(legacy_event_id, replacement_event_id): legacy Claude rows that counted all input as one, alone in the ledger, and the first request with such counters.
+    """(account_id, legacy_event_id, replacement_event_id): legacy Claude rows that counted all input as one, alone in the ledger, and the first request with such counters.
 
     A legacy row has no cache writes and no reasoning; a model is the same also where both are unknown.
     """
-    shape = ["native_session_id", "occurred_at", "_model", "input_tokens", "cached_input_tokens", "output_tokens", "total_tokens"]
+    account = _account(stored, events)
+    shape = [*account, "native_session_id", "occurred_at", "_model", "input_tokens", "cached_input_tokens", "output_tokens", "total_tokens"]
     known = F.struct(F.col("model").isNull(), F.coalesce("model", F.lit(""))).alias("_model")
     plain = (F.col("cache_write_tokens") == 0) & (F.col("cache_write_5m_tokens") == 0) & (F.col("cache_write_1h_tokens") == 0) & (F.col("reasoning_tokens") == 0)
     old = stored.where(legacy("claude") & plain).withColumn("_model", known)
     unique = old.groupBy(*shape).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("legacy_event_id")).where("n = 1")
     whole = saturating_add(F.col("input_tokens"), F.col("cached_input_tokens"), F.col("cache_write_tokens"))
     new = events.where("provider = 'claude'").withColumns({"_model": known, "input_tokens": whole}).groupBy(*shape).agg(F.min("id").alias("replacement_event_id"))
-    return unique.join(new, shape).where("legacy_event_id <> replacement_event_id").select("legacy_event_id", "replacement_event_id")
+    return unique.join(new, shape).where("legacy_event_id <> replacement_event_id").select(*account, "legacy_event_id", "replacement_event_id")
 
 
 def unreconciled(events: DataFrame) -> DataFrame:
@@ -119,9 +129,9 @@ def rules() -> dict[str, Column]:
     }
 
 
-def validity(events: DataFrame) -> DataFrame:
-    """(rule, rows): how many rows break each rule, in one pass."""
-    checks = rules()
+def validity(events: DataFrame, checks: dict[str, Column] | None = None) -> DataFrame:
+    """(rule, rows): how many rows break each rule, in one pass; by default the rules of ledger rows."""
+    checks = rules() if checks is None else checks
     counts = events.agg(*(F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in checks.items()))
     return counts.unpivot([], list(checks), "rule", "rows")
 
@@ -134,14 +144,18 @@ def quarantine(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def identity_conflicts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming revisions that disagree with the stored row about who they are, or whose row is superseded."""
-    same = ["provider", "source", "source_type", "native_session_id", "native_event_id", "device_id", "measurement_kind"]
-    s = stored.select("id", *(F.col(c).alias(f"s_{c}") for c in same), F.col("superseded_by_event_id").alias("s_by"))
-    rows = incoming.join(s, "id")
-    differs = F.lit(False)
-    for c in same:
-        differs |= ~F.col(c).eqNullSafe(F.col(f"s_{c}"))
-    return rows.where(differs | F.col("s_by").isNotNull()).select(*incoming.columns)
+    """Incoming revisions that disagree with the stored row of their account and id about who they are, or whose row is superseded."""
+    return merge.guarded(stored, incoming, {})[1].drop("refused")
+
+
+#: Domain checks of other tables; true where a row breaks one.
+def subscription_rules() -> dict[str, Column]:
+    return {"negative_price": F.col("price_cents") < 0, "unknown_cadence": ~F.col("cadence").isin("monthly", "annual")}
+
+
+def window_rules() -> dict[str, Column]:
+    """Of quota windows: utilisation within 0..10000, labels of 1 to 80 characters."""
+    return {"odd_utilization": ~F.col("utilization_bps").between(0, 10_000), "odd_label": ~F.length("label").between(1, 80)}
 
 
 def of_account(events: DataFrame, account: str) -> DataFrame:

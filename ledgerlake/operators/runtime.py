@@ -47,23 +47,44 @@ def retained(observations: DataFrame, now: datetime) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= KEEP_ROWS).drop("_r")
 
 
+#: Statuses that say nothing of the models but that the runtime was configured anew.
+RESET = ["not_detected", "disabled"]
+
+
+def sightings(polls: DataFrame) -> DataFrame:
+    """(KEYS, model, first_seen, last_seen, last_loaded): the stretches of lists in which a model stood. A list without it, or a configuration, ends a stretch; failed polls do not."""
+    lists = polls.where((F.col("status") == "healthy") | F.col("status").isin(RESET)).withColumn("_n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("observed_at")))
+    rows = lists.where("status = 'healthy'").select(*KEYS, "observed_at", "_n", F.explode("models").alias("m"))
+    rows = rows.groupBy(*KEYS, F.col("m.id").alias("model"), "observed_at", "_n").agg(F.max(F.coalesce("m.loaded", F.lit(False))).alias("loaded"))
+    stretch = F.col("_n") - F.row_number().over(Window.partitionBy(*KEYS, "model").orderBy("_n"))
+    return rows.withColumn("_s", stretch).groupBy(*KEYS, "model", "_s").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.max(F.when(F.col("loaded"), F.col("observed_at"))).alias("last_loaded")).drop("_s")
+
+
 def first_seen(polls: DataFrame) -> DataFrame:
-    """When each model was first and last listed, and when it was last loaded."""
-    rows = polls.where("status = 'healthy'").select(*KEYS, "observed_at", F.explode("models").alias("m"))
-    return rows.groupBy(*KEYS, F.col("m.id").alias("model")).agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.max(F.when(F.col("m.loaded"), F.col("observed_at"))).alias("last_loaded"))
+    """Since when each model has been listed without a break (as of its last list), when it was listed last, and when it was last loaded."""
+    newest = F.max(F.struct("last_seen", "first_seen")).alias("n")
+    return sightings(polls).groupBy(*KEYS, "model").agg(newest, F.max("last_loaded").alias("last_loaded")).select(*KEYS, "model", "n.first_seen", "n.last_seen", "last_loaded")
+
 
+def shown_status(now: Column) -> Column:
+    """Of a poll (status, observed_at): a healthy one that is old at ``now``, or from the future, is stale."""
+    age = F.timestamp_diff("SECOND", F.col("observed_at"), now)
+    return F.when((F.col("status") == "healthy") & ~age.between(0, STALE_SECONDS), "stale").otherwise(F.col("status"))
 
-def shown_status(observed_at: str, now: datetime) -> Column:
-    """A healthy poll that is old, or from the future, is stale."""
-    age = F.expr(f"timestampdiff(SECOND, {observed_at}, TIMESTAMP_NTZ '{now}')")
-    return F.when((F.col("status") == "healthy") & ((age > STALE_SECONDS) | (age < 0)), "stale").otherwise(F.col("status"))
 
+def counts(polls: DataFrame, now: Column, settings: DataFrame | None = None) -> DataFrame:
+    """Reachable runtimes and loaded models by device: of each enabled runtime's last poll, if it is healthy and not stale at ``now``.
 
-def counts(polls: DataFrame) -> DataFrame:
-    """Reachable runtimes and loaded models in the last poll of each runtime, by device."""
-    last = polls.groupBy(*KEYS).agg(F.max_by(F.struct("status", "models"), "observed_at").alias("p"))
-    loaded = F.when(F.col("p.status") == "healthy", F.size(F.filter("p.models", lambda m: m["loaded"]))).otherwise(0)
-    return last.groupBy("device_id").agg(F.count_if(F.col("p.status") == "healthy").alias("reachable"), F.sum(loaded).alias("loaded_models"))
+    settings: (device_id, provider, enabled); a runtime that is not there is enabled.
+    """
+    last = polls.groupBy(*KEYS).agg(F.max_by(F.struct("status", "models"), "observed_at").alias("p"), F.max("observed_at").alias("observed_at")).withColumn("status", F.col("p.status"))
+    if settings is None:
+        last = last.withColumn("enabled", F.lit(True))
+    else:
+        last = last.join(settings.select(*KEYS, "enabled"), KEYS, "left").withColumn("enabled", F.coalesce("enabled", F.lit(True)))
+    up = F.col("enabled") & (shown_status(now) == "healthy")
+    loaded = F.when(F.col("_up"), F.size(F.filter("p.models", lambda m: m["loaded"]))).otherwise(0)
+    return last.withColumn("_up", up).groupBy("device_id").agg(F.count_if("_up").alias("reachable"), F.sum(loaded).alias("loaded_models"))
 
 
 def local_snapshot(events: DataFrame, details: DataFrame, observations: DataFrame, day_start: datetime, device: str, history_available: bool = True) -> DataFrame:

@@ -174,8 +174,8 @@ readings AS (SELECT 'claude' AS provider, 'w' || w AS window_key, 'day-' || strf
 
 PACE = f"""{READINGS},
 w0 AS (SELECT *, looked_from + CASE WHEN w = 4 THEN INTERVAL 3 HOUR ELSE INTERVAL 18 HOUR END AS seen_at FROM readings),
-windows AS (SELECT {_K}, CASE w WHEN 0 THEN 'rolling' WHEN 1 THEN 'weekly' WHEN 2 THEN 'product' WHEN 3 THEN 'other' ELSE 'monthly' END AS kind, arg_max(utilization_bps, observed_at) AS utilization_bps,
-  seen_at AS observed_at, period_starts_at, resets_at, day(seen_at) % 7 = 0 AS refresh_stale, CASE WHEN day(seen_at) % 5 = 0 THEN 'error' ELSE 'healthy' END AS refresh_status FROM w0 WHERE observed_at <= seen_at AND observed_at >= looked_from - INTERVAL 3 HOUR GROUP BY {_K}, w, seen_at, period_starts_at, resets_at),
+windows AS (SELECT {_K}, CASE w WHEN 0 THEN 'rolling' WHEN 1 THEN 'weekly' WHEN 2 THEN CASE WHEN day(seen_at) % 2 = 0 THEN 'model_weekly' ELSE 'product' END WHEN 3 THEN 'other' ELSE 'monthly' END AS kind, arg_max(utilization_bps, observed_at) AS utilization_bps,
+  seen_at AS observed_at, period_starts_at, resets_at, day(seen_at) % 7 = 0 OR day(seen_at) % 4 * 400 > 900 AS refresh_stale, CASE WHEN day(seen_at) % 5 = 0 THEN 'error' ELSE 'healthy' END AS refresh_status FROM w0 WHERE observed_at <= seen_at AND observed_at >= looked_from - INTERVAL 3 HOUR GROUP BY {_K}, w, seen_at, period_starts_at, resets_at),
 l0 AS (SELECT r.*, v.observed_at AS now, row_number() OVER (PARTITION BY {_K} ORDER BY r.observed_at DESC, r.updated_at DESC, r.utilization_bps DESC) AS rn, row_number() OVER (PARTITION BY {_K}, r.observed_at ORDER BY r.updated_at DESC, r.utilization_bps DESC) AS same FROM readings r JOIN windows v USING ({_K})
   WHERE r.period_starts_at IS NOT DISTINCT FROM v.period_starts_at AND r.resets_at IS NOT DISTINCT FROM v.resets_at AND r.observed_at BETWEEN coalesce(v.period_starts_at, v.observed_at - INTERVAL 6 HOUR) AND v.observed_at),
 l1 AS (SELECT *, lag(utilization_bps) OVER (PARTITION BY {_K} ORDER BY observed_at) - utilization_bps > 500 AS dropped FROM l0 WHERE rn <= 512 AND same = 1),
@@ -189,11 +189,11 @@ pr AS (SELECT a.provider, a.window_key, a.device_id, (b.high - a.high) * 3600 //
 pn AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY s) AS i, count(*) OVER (PARTITION BY {_K}) AS n FROM pr),
 slp AS (SELECT {_K}, greatest(0, CASE WHEN min(n) % 2 = 1 THEN sum(s) FILTER (i = n // 2 + 1) ELSE sum(s) FILTER (i IN (n // 2, n // 2 + 1)) // 2 END) AS slope FROM pn GROUP BY {_K}),
 p0 AS (SELECT v.*, coalesce(samples, 0) AS samples, coalesce(span_seconds, 0) AS span_seconds, CASE WHEN pairs > 0 THEN mono * 100 // pairs ELSE 0 END AS monotone_percent,
-  kind IN ('rolling', 'weekly', 'monthly') AS cap, coalesce(samples, 0) >= 3 AND coalesce(span_seconds, 0) >= 600 AS enough, slope FROM windows v LEFT JOIN facts USING ({_K}) LEFT JOIN slp USING ({_K})),
+  kind IN ('rolling', 'weekly', 'model_weekly', 'monthly') AS cap, coalesce(samples, 0) >= 3 AND coalesce(span_seconds, 0) >= 600 AS enough, slope FROM windows v LEFT JOIN facts USING ({_K}) LEFT JOIN slp USING ({_K})),
 p1 AS (SELECT *, CASE WHEN NOT enough THEN 'insufficient' WHEN refresh_stale OR samples < 4 OR span_seconds < 1800 THEN 'low' WHEN samples >= 7 AND span_seconds >= 3600 AND monotone_percent >= 80 THEN 'high' ELSE 'medium' END AS confidence,
   CASE WHEN enough THEN slope END AS burn FROM p0),
 p2 AS (SELECT *, CASE WHEN cap AND NOT refresh_stale AND confidence IN ('medium', 'high') AND utilization_bps < 10000 AND burn > 0 THEN (10000 - utilization_bps) * 3600 // burn END AS togo FROM p1),
-p3 AS (SELECT *, CASE WHEN resets_at IS NOT NULL OR togo <= CASE kind WHEN 'rolling' THEN 86400 WHEN 'weekly' THEN 691200 ELSE 2764800 END THEN observed_at + to_seconds(togo) END AS projected_full_at FROM p2),
+p3 AS (SELECT *, CASE WHEN togo > 0 AND (resets_at IS NOT NULL OR togo <= CASE kind WHEN 'rolling' THEN 86400 WHEN 'monthly' THEN 2764800 ELSE 691200 END) THEN observed_at + to_seconds(togo) END AS projected_full_at FROM p2),
 paced AS (SELECT {_K}, kind, utilization_bps, observed_at, samples, CAST(span_seconds AS BIGINT) AS span_seconds, CAST(monotone_percent AS BIGINT) AS monotone_percent, confidence, CAST(burn AS BIGINT) AS burn_bps_per_hour,
   CAST(CASE WHEN cap AND enough AND {_SEC('period_starts_at', 'observed_at')} >= 600 THEN utilization_bps * 3600 // ({_SEC('period_starts_at', 'observed_at')}) END AS BIGINT) AS average_bps_per_hour, projected_full_at,
   coalesce(projected_full_at < resets_at, false) AS before_reset,
@@ -224,7 +224,7 @@ newest AS (SELECT * FROM m QUALIFY rank() OVER (PARTITION BY provider ORDER BY o
 
 ORACLES |= {
     "quota_pace": f"WITH {PACE} SELECT * FROM paced",
-    "quota_at_risk": f"WITH {PACE} SELECT window_key, device_id, status, projected_full_at FROM paced WHERE NOT stale AND refresh_status = 'healthy' AND kind IN ('rolling', 'weekly', 'monthly') AND (status = 'limit_reached' OR (status = 'active' AND before_reset))",
+    "quota_at_risk": f"WITH {PACE} SELECT window_key, device_id, status, projected_full_at FROM paced WHERE NOT stale AND refresh_status = 'healthy' AND kind IN ('rolling', 'weekly', 'model_weekly', 'monthly') AND (status = 'limit_reached' OR (status = 'active' AND before_reset))",
     "quota_latest": f"WITH {MONTHLY} SELECT provider, window_key, device_id, observed_at, utilization_bps FROM newest",
     "provider_quota_state": f"""WITH {MONTHLY}, s AS (SELECT provider, device_id, observed_at, string_agg(window_key || '=' || utilization_bps, ',' ORDER BY window_key) AS windows FROM newest GROUP BY ALL),
 d AS (SELECT DISTINCT device_id, 'Day ' || substr(device_id, 5, 8) AS friendly_name FROM m WHERE CAST(substr(device_id, 5, 8) AS INT) % 2 = 0),
@@ -251,8 +251,19 @@ SELECT 'account-0' AS account_id, merge, n AS "rows", {_I('t')} AS tokens FROM a
     "merge_subscriptions": f"""WITH s AS (SELECT CAST(c_custkey AS BIGINT) AS id, c_custkey * 37 % 20000 AS price FROM customer)
 SELECT id, CASE WHEN id % 3 = 2 AND id % 10 <> 0 THEN price + 100 ELSE price END AS price_cents, {ts(WEEK)} + CASE WHEN id % 3 = 2 AND id % 10 <> 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS updated_at FROM s
 UNION ALL SELECT -1 - id, price + 100, {ts(WEEK)} + to_days(CAST(id % 3 - 1 AS INT)) FROM s WHERE id % 10 = 0""",
-    "merge_cache_write": f"""WITH {LEDGER} SELECT id, CASE WHEN provider = 'codex' THEN greatest(cache_write_tokens, cache_write_tokens + total_tokens % 3 - 1) ELSE cache_write_tokens END AS cache_write_tokens,
-  CASE WHEN provider = 'codex' AND total_tokens % 3 = 2 THEN 'pending' ELSE sync_status END AS sync_status FROM ledger""",
+    "merge_cache_write": f"""WITH {LEDGER}, c AS (SELECT *, provider = 'codex' AND total_tokens % 13 <> 1 AND total_tokens % 11 <> 1 AND total_tokens % 3 = 2 AND superseded_by_event_id IS NULL AS up FROM ledger)
+SELECT id, cache_write_tokens + CASE WHEN up THEN 1 ELSE 0 END AS cache_write_tokens, CASE WHEN up THEN total_tokens * 2 END AS estimated_api_value_usd_micros, CASE WHEN up THEN 'available' ELSE 'unavailable' END AS pricing_status, device_id,
+  CASE WHEN up THEN greatest({ts(NOW)}, updated_at + INTERVAL 1 MICROSECOND) ELSE updated_at END AS updated_at, CASE WHEN up THEN 'pending' ELSE sync_status END AS sync_status FROM c
+UNION ALL SELECT sha256(id), cache_write_tokens + total_tokens % 3 - 1, total_tokens * 2, 'available', CASE WHEN total_tokens % 11 = 1 THEN 'device-x' ELSE device_id END, updated_at, sync_status FROM ledger WHERE provider = 'codex' AND total_tokens % 13 = 1""",
+    "merge_guarded": f"""WITH {LEDGER}, c AS (SELECT *, total_tokens % 11 <> 1 AND total_tokens % 13 <> 1 AND superseded_by_event_id IS NULL AS up FROM ledger)
+SELECT id, device_id, total_tokens + CASE WHEN up THEN 10 ELSE 0 END AS total_tokens, created_at, CASE WHEN up THEN updated_at + INTERVAL 1 MICROSECOND ELSE updated_at END AS updated_at, superseded_by_event_id, CASE WHEN up THEN 'pending' ELSE sync_status END AS sync_status FROM c""",
+    "merge_refused": f"""WITH {LEDGER}, c AS (SELECT account_id, concat_ws(',', CASE WHEN total_tokens % 13 = 1 THEN 'identity' END, CASE WHEN total_tokens % 13 <> 1 AND total_tokens % 11 = 1 THEN 'other_identity' END, CASE WHEN total_tokens % 13 <> 1 AND superseded_by_event_id IS NOT NULL THEN 'superseded' END) AS refused FROM ledger)
+SELECT account_id, refused, count(*) AS rows FROM c WHERE refused <> '' GROUP BY 1, 2""",
+    "acknowledged_tenants": f"""WITH {LEDGER}, c AS (SELECT false AS other, CASE WHEN total_tokens % 3 = 0 THEN 'pending' ELSE 'synced' END AS sync_status FROM ledger UNION ALL SELECT true, 'pending' FROM ledger)
+SELECT other, sync_status, count(*) AS rows FROM c GROUP BY 1, 2""",
+    "row_rules": """SELECT unnest(['negative_price', 'unknown_cadence']) AS rule, unnest([count(*) FILTER (c_custkey % 10 = 3), count(*) FILTER (c_custkey % 7 = 2)]) AS rows FROM customer
+UNION ALL SELECT unnest(['odd_utilization', 'odd_label']), unnest([count(*) FILTER (k % 9 = 4 AND u > 1000), count(*) FILTER (k % 8 = 5 AND n * 20 > 80)]) FROM (
+  SELECT c_custkey AS k, CAST(round(c_custkey % 1000 / 8.0 * 100) AS INT) AS u, length('5-hour') AS n FROM customer WHERE c_custkey % 1000 <= 800 UNION ALL SELECT c_custkey, c_custkey % 101 * 100, length('Model ' || c_nationkey) FROM customer)""",
     "merge_hourly": f"""WITH {LEDGER}, s AS ({_hourly("measurement_kind <> 'estimated'")}), n AS ({_hourly("sync_status = 'synced'")}),
 j AS (SELECT device_id, model_id, hour, s.p AS sp, s.c AS sc, s.d AS sd, s.r AS sr, n.p, n.c, n.d, n.r, s.p IS NULL OR coalesce(n.p >= s.p AND n.c >= s.c AND n.d >= s.d, false) AS take FROM s FULL JOIN n USING (device_id, model_id, hour))
 SELECT device_id, model_id, hour, {_I('CASE WHEN take THEN p ELSE sp END')} AS prompt_tokens, {_I('CASE WHEN take THEN c ELSE sc END')} AS completion_tokens, {_I('CASE WHEN take THEN d ELSE sd END')} AS cached_tokens, greatest(sr, r) AS requests FROM j""",
@@ -282,9 +293,14 @@ SELECT provider, coalesce(records, 0) AS records, coalesce(sessions, 0) AS sessi
 SELECT unnest(['negative_counter', 'unknown_source_type', 'unknown_pricing_status', 'unknown_kind', 'odd_id', 'write_under_split', 'reasoning_over_output', 'identity']) AS rule, unnest([0, 0, 0, 0, 0, 0, r, i]) AS rows FROM v""",
     "account_totals": f"WITH {LEDGER} SELECT account_id, provider, count(*) AS rows, {_I('sum(total_tokens)')} AS tokens FROM ledger WHERE account_id = 'account-1' GROUP BY 1, 2",
     "runtime_transitions": f"WITH {POLLS} SELECT * FROM trans",
-    "runtime_first_seen": f"""WITH {POLLS} SELECT device_id, provider, id AS model, min(observed_at) AS first_seen, max(observed_at) AS last_seen, max(observed_at) FILTER ("on") AS last_loaded FROM models GROUP BY 1, 2, 3""",
-    "runtime_counts": f"""WITH {POLLS}, f AS (SELECT * FROM polls QUALIFY row_number() OVER (PARTITION BY device_id, provider ORDER BY observed_at DESC) = 1)
-SELECT device_id, count(*) FILTER (status = 'healthy') AS reachable, {_I("sum(CASE WHEN status = 'healthy' THEN len(list_filter(models, lambda m: m.on)) ELSE 0 END)")} AS loaded_models FROM f GROUP BY 1""",
+    "runtime_first_seen": f"""WITH {POLLS}, l AS (SELECT *, row_number() OVER (PARTITION BY device_id, provider ORDER BY observed_at) AS n FROM polls WHERE status <> 'unavailable'),
+m AS (SELECT DISTINCT device_id, provider, observed_at, n, unnest(models, recursive := true) FROM l WHERE status = 'healthy'),
+g AS (SELECT device_id, provider, id, observed_at, n, max(CASE WHEN "on" THEN observed_at END) OVER (PARTITION BY device_id, provider, id) AS last_loaded FROM m),
+s AS (SELECT *, coalesce(n - lag(n) OVER w, 2) > 1 AS begins, max(observed_at) OVER (PARTITION BY device_id, provider, id) AS last_seen FROM g WINDOW w AS (PARTITION BY device_id, provider, id ORDER BY n))
+SELECT device_id, provider, id AS model, max(observed_at) FILTER (begins) AS first_seen, max(last_seen) AS last_seen, max(last_loaded) AS last_loaded FROM s GROUP BY 1, 2, 3""",
+    "runtime_counts": f"""WITH {POLLS}, f AS (SELECT *, CAST(split_part(device_id, '-', 2) AS INT) AS d FROM polls QUALIFY row_number() OVER (PARTITION BY device_id, provider ORDER BY observed_at DESC) = 1),
+u AS (SELECT *, status = 'healthy' AND d % 7 <> 5 AND d % 4 * 50 <= 120 AS up FROM f)
+SELECT device_id, count(*) FILTER (up) AS reachable, {_I("sum(CASE WHEN up THEN len(list_filter(models, lambda m: m.on)) ELSE 0 END)")} AS loaded_models FROM u GROUP BY 1""",
     "activity_page": f"""WITH {LEDGER}, {POLLS},
 a AS (SELECT id, occurred_at, provider, source, measurement_kind, total_tokens, friendly_name, layer FROM layered JOIN devices USING (device_id) WHERE superseded_by_event_id IS NULL
   UNION ALL SELECT sha256(device_id || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|' || state || '|' || coalesce(model, '')), observed_at, provider, 'local_' || state, 'runtime_status', 0, friendly_name, 'runtime' FROM trans JOIN devices USING (device_id))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical, hashed
@@ -152,16 +152,21 @@ def cache_providers(spark, sf_dir):
     return cache.providers(ledger(spark, sf_dir), WEEK)
 
 
+def _looked() -> Column:
+    """When a window is looked at: 0, 400, 800 or 1200 seconds after it was observed, by day."""
+    return F.expr("observed_at + make_dt_interval(0, 0, 0, dayofmonth(observed_at) % 4 * 400)")
+
+
 @query
 def quota_pace(spark, sf_dir):
     readings = derived.quota_readings(spark, sf_dir)
-    return quota.pace(readings, derived.quota_windows(readings))
+    return quota.pace(readings, derived.quota_windows(readings), _looked())
 
 
 @query
 def quota_at_risk(spark, sf_dir):
     readings = derived.quota_readings(spark, sf_dir)
-    return quota.at_risk(quota.pace(readings, derived.quota_windows(readings))).select("window_key", "device_id", "status", "projected_full_at")
+    return quota.at_risk(quota.pace(readings, derived.quota_windows(readings), _looked())).select("window_key", "device_id", "status", "projected_full_at")
 
 
 def monthly_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,9 +238,52 @@ def merge_subscriptions(spark, sf_dir):
 
 @query
 def merge_cache_write(spark, sf_dir):
+    """Codex rows come again, some with a larger cache write, some as of another device, and some under a new id; superseded ones stay."""
     events = ledger(spark, sf_dir)
-    larger = events.where("provider = 'codex'").select("id", (F.col("cache_write_tokens") + F.expr("total_tokens % 3 - 1")).alias("cache_write_tokens"))
-    return merge.raise_cache_write(events, larger).select("id", "cache_write_tokens", "sync_status")
+    again = events.where("provider = 'codex'").withColumns({
+        "cache_write_tokens": F.col("cache_write_tokens") + F.expr("total_tokens % 3 - 1"), "device_id": F.expr("if(total_tokens % 11 = 1, 'device-x', device_id)"),
+        "estimated_api_value_usd_micros": F.col("total_tokens") * 2, "pricing_status": F.lit("available"), "id": F.expr("if(total_tokens % 13 = 1, sha2(id, 256), id)"),
+    })
+    return merge.raise_cache_write(events, again, NOW).select("id", "cache_write_tokens", "estimated_api_value_usd_micros", "pricing_status", "device_id", "updated_at", "sync_status")
+
+
+@query
+def merge_guarded(spark, sf_dir):
+    """All rows come again with more tokens: some of another device, some under an id that is not theirs, some of superseded rows; what may be merged is."""
+    stored = ledger(spark, sf_dir)
+    again = stored.withColumns({
+        "total_tokens": F.col("total_tokens") + 10, "device_id": F.expr("if(total_tokens % 11 = 1, 'device-x', device_id)"), "id": F.expr("if(total_tokens % 13 = 1, sha2(id, 256), id)"), "created_at": F.lit(NOW).cast("timestamp_ntz"),
+    })
+    fine, _ = merge.guarded(stored, again, reconcile.rules())
+    return merge.upsert_revisions(stored, fine).select("id", "device_id", "total_tokens", "created_at", "updated_at", "superseded_by_event_id", "sync_status")
+
+
+@query
+def merge_refused(spark, sf_dir):
+    """The rows of ``merge_guarded`` that are not merged, by reason; the other account's rows of the same ids are fine."""
+    stored = ledger(spark, sf_dir)
+    again = stored.withColumns({"device_id": F.expr("if(total_tokens % 11 = 1, 'device-x', device_id)"), "id": F.expr("if(total_tokens % 13 = 1, sha2(id, 256), id)")})
+    other = stored.withColumns({"account_id": F.lit("account-b"), "device_id": F.lit("device-b")})
+    _, refused = merge.guarded(stored, again.unionByName(other), reconcile.rules())
+    return refused.groupBy("account_id", F.array_join("refused", ",").alias("refused")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def acknowledged_tenants(spark, sf_dir):
+    """Rows of two accounts with the same ids; those of one are delivered, and some of them were updated since."""
+    events = ledger(spark, sf_dir).withColumn("sync_status", F.lit("pending"))
+    both = events.unionByName(events.withColumn("account_id", F.lit("account-b")))
+    sent = events.withColumn("updated_at", F.expr("updated_at + make_dt_interval(0, 0, 0, total_tokens % 3 - 1)"))
+    done = merge.acknowledged(both, sent)
+    return done.groupBy((F.col("account_id") == "account-b").alias("other"), "sync_status").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def row_rules(spark, sf_dir):
+    """How many subscriptions and quota windows break each of their rules."""
+    prices = derived.subscriptions(spark, sf_dir).withColumns({"price_cents": F.expr("if(id % 10 = 3, -1, price_cents)"), "cadence": F.expr("if(id % 7 = 2, 'weekly', cadence)")})
+    windows = responses.flat_and_dynamic_windows(derived.quota_responses(spark, sf_dir)).withColumns({"utilization_bps": F.expr("if(response_id % 9 = 4, utilization_bps + 9000, utilization_bps)"), "label": F.expr("if(response_id % 8 = 5, repeat(label, 20), label)")})
+    return reconcile.validity(prices, reconcile.subscription_rules()).unionByName(reconcile.validity(windows, reconcile.window_rules()))
 
 
 @query
@@ -345,7 +393,10 @@ def runtime_first_seen(spark, sf_dir):
 
 @query
 def runtime_counts(spark, sf_dir):
-    return runtime.counts(derived.polls(spark, sf_dir))
+    """0 to 150 seconds after each device's last poll; the runtimes of every seventh device are disabled."""
+    number = F.substring_index("device_id", "-", -1).cast("int")
+    settings = derived.polls(spark, sf_dir).select("device_id", "provider").distinct().withColumn("enabled", number % 7 != 5)
+    return runtime.counts(derived.polls(spark, sf_dir), F.expr("observed_at + make_dt_interval(0, 0, 0, cast(substring_index(device_id, '-', -1) as int) % 4 * 50)"), settings)
 
 
 @query
@@ -390,7 +441,8 @@ def activity_page(spark, sf_dir):
 
 @query
 def scan_codex(spark, sf_dir):
-    return logs.codex(derived.codex_logs(spark, sf_dir))[0].drop("path", "line", "native_cost_usd_ticks")
+    """Logs in splits of three lines, so most lines get their session, model and project from earlier splits."""
+    return logs.codex(logs.split(derived.codex_logs(spark, sf_dir), 3))[0].drop("path", "line", "native_cost_usd_ticks")
 
 
 @query

@@ -30,12 +30,13 @@ def quota_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quota_windows(readings: DataFrame) -> DataFrame:
-    """The state of each window at 18:00 (of the last one at 03:00) of each day."""
+    """The state of each window at 18:00 (of the last one at 03:00) of each day; the third is a model's weekly one every other day."""
     hours = F.when(F.col("w") == 4, F.expr("INTERVAL '3' HOUR")).otherwise(F.expr("INTERVAL '18' HOUR"))
     rows = readings.withColumn("at", F.col("looked_from") + hours).where("observed_at <= at AND observed_at >= looked_from - INTERVAL '3' HOUR")
     last = rows.groupBy("provider", "window_key", "device_id", "w", "at", "period_starts_at", "resets_at").agg(F.max_by("utilization_bps", "observed_at").alias("utilization_bps"))
+    kind = F.when((F.col("w") == 2) & (F.dayofmonth("at") % 2 == 0), "model_weekly").otherwise(F.element_at(F.array(*map(F.lit, KINDS)), (F.col("w") + 1).cast("int")))
     return last.select(
-        "provider", "window_key", "device_id", F.element_at(F.array(*map(F.lit, KINDS)), (F.col("w") + 1).cast("int")).alias("kind"), "utilization_bps", F.col("at").alias("observed_at"),
+        "provider", "window_key", "device_id", kind.alias("kind"), "utilization_bps", F.col("at").alias("observed_at"),
         "period_starts_at", "resets_at", (F.dayofmonth("at") % 7 == 0).alias("refresh_stale"), F.when(F.dayofmonth("at") % 5 == 0, "error").otherwise("healthy").alias("refresh_status"),
     )
 
