@@ -380,3 +380,43 @@ a AS (SELECT id, occurred_at, provider, model, project_name, friendly_name, laye
   UNION ALL SELECT sha256(device_id || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|' || state || '|' || coalesce(model, '')), observed_at, provider, model, NULL, friendly_name, 'runtime' FROM trans JOIN devices USING (device_id)),
 p AS (SELECT * FROM a ORDER BY occurred_at DESC, id DESC LIMIT 500) SELECT id, provider, project_name, layer FROM p WHERE layer = 'tool' AND contains(lower(coalesce(project_name, '') || ' ' || coalesce(model, '') || ' ' || friendly_name), 'project-3')""",
 }
+
+_active = "measurement_kind = 'activity_only' AND superseded_by_event_id IS NULL"
+
+
+def _rolled(also: str = "true") -> str:
+    """The measures of a rollup, of rows for which also holds."""
+    tokens = lambda where: _I(f"coalesce(sum(total_tokens) FILTER (canon AND {also} AND {where}), 0)")
+    count = lambda where: f"count(*) FILTER ({also} AND {where})"
+    value = _I(f"coalesce(sum(estimated_api_value_usd_micros) FILTER (canon AND {also} AND {_DEF}), 0)")
+    return f"""{count('canon')} AS events, {tokens('true')} AS tokens, {count(f'canon AND {_DEF}')} AS valued_events, {value} AS value_usd_micros,
+  {count("canon AND pricing_status = 'available'")} AS priced_events, {tokens("pricing_status = 'available'")} AS priced_tokens, {count(_active)} AS activity_minutes"""
+
+
+def _rolled_headline(rows: str) -> str:
+    day, month = (_I(f"coalesce(sum(total_tokens) FILTER (canon AND occurred_at >= {ts(t)}), 0)") for t in (NOW.replace(hour=0), MONTH))
+    share = _I("least(100, greatest(0, round(priced_tokens * 100.0::DOUBLE / greatest(tokens, 1))))")
+    return f"""h AS (SELECT {day} AS tokens_today, {month} AS tokens_month, {_rolled(_in30)} FROM {rows}),
+headline AS (SELECT * REPLACE (CASE WHEN valued_events > 0 THEN value_usd_micros END AS value_usd_micros), events > 0 AND priced_events = events AS pricing_complete, {share} AS pricing_coverage_percent FROM h)"""
+
+
+def _top_of(rows: str, by: str, unknown: str) -> str:
+    value = _I(f"sum(estimated_api_value_usd_micros) FILTER ({_DEF})")
+    return f"SELECT coalesce({by}, '{unknown}') AS name, {_I('sum(total_tokens)')} AS tokens, count(*) AS events, {value} AS value_usd_micros FROM {rows} WHERE canon AND {_in30} GROUP BY 1 ORDER BY tokens DESC, name LIMIT 8"
+
+
+_REVISED = f"""{PRICED}, marked AS (SELECT *, total_tokens % 4 = 1 AND superseded_by_event_id IS NULL AS up FROM priced),
+moved AS (SELECT * REPLACE (total_tokens + CASE WHEN up THEN 100 ELSE 0 END AS total_tokens, occurred_at + CASE WHEN up THEN INTERVAL 20 MINUTE ELSE INTERVAL 0 MINUTE END AS occurred_at, CASE WHEN up THEN 'Revised' ELSE project_name END AS project_name) FROM marked)"""
+_BY = {"provider": "Unknown provider", "model": "Unknown model", "project_name": "Unknown project"}
+_layer_sums = ", ".join(_I(f"coalesce(sum(total_tokens) FILTER (layer = '{x}'), 0)") + f" AS {x}_tokens" for x in ("runtime", "tool", "unknown"))
+
+ORACLES |= {
+    "rollup_after_merges": f"""WITH {_REVISED} SELECT time_bucket(INTERVAL 15 MINUTE, occurred_at, TIMESTAMP '1970-01-01') AS slot, provider, source, model, project_name, device_id, {_rolled()}
+FROM moved WHERE canon OR ({_active}) GROUP BY ALL""",
+    "rollup_headline": f"WITH {_REVISED}, {_rolled_headline('moved')} SELECT * FROM headline",
+    "rollup_breakdowns": f"WITH {_REVISED} " + " UNION ALL ".join(f"SELECT *, '{by}' AS by FROM ({_top_of('moved', by, unknown)})" for by, unknown in _BY.items()),
+    "rollup_snapshot": f"""WITH {PRICED}, {_rolled_headline('priced')}, l AS (SELECT {_layer_sums}, count(*) FILTER (layer = 'runtime') AS runtime_events FROM priced WHERE canon AND {_in30}),
+t AS (SELECT string_agg(day || '=' || tokens, ';' ORDER BY day) AS trend FROM (SELECT strftime(occurred_at, '%Y-%m-%d') AS day, {_I('sum(total_tokens)')} AS tokens FROM priced WHERE canon AND {_in30} GROUP BY 1))"""
+    + "".join(f", b_{by} AS (SELECT string_agg(name || '=' || tokens, ';' ORDER BY tokens DESC, name) AS by_{by} FROM ({_top_of('priced', by, unknown)}))" for by, unknown in _BY.items())
+    + " SELECT * FROM headline, l, t, b_provider, b_model, b_project_name",
+}

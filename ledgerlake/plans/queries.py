@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical, hashed
 from ..functions.ranges import range_start
-from ..operators import cache, dashboard, merge, pricing, quota, reconcile, runtime, sessions
+from ..operators import cache, dashboard, merge, pricing, quota, reconcile, rollup, runtime, sessions
 from ..sources import catalogue, derived, logs, responses
 from ..sources.ledger import NOW, devices, ledger
 
@@ -99,6 +99,45 @@ def daily_rollup(spark, sf_dir):
     return dashboard.daily_rollup(valued(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+def _kept_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rollup of part of the ledger, brought up to date by the deltas of two merges: absent rows, then revisions of which some are refused."""
+    events = valued(spark, sf_dir)
+    first = events.where("sync_status <> 'pending'")
+    second = merge.insert_absent(first, events)
+    third = merge.upsert_revisions(second, _revised(events))
+    return rollup.added(rollup.rolled(first), rollup.delta(first, second), rollup.delta(second, third))
+
+
+def _revised(events: DataFrame) -> DataFrame:
+    more = {"total_tokens": F.col("total_tokens") + 100, "occurred_at": F.expr("occurred_at + INTERVAL '20' MINUTE"), "project_name": F.lit("Revised")}
+    return events.where("total_tokens % 4 = 1").withColumns(more)
+
+
+@query
+def rollup_after_merges(spark, sf_dir):
+    return _kept_rollup(spark, sf_dir)
+
+
+@query
+def rollup_headline(spark, sf_dir):
+    return rollup.headline(_kept_rollup(spark, sf_dir), NOW, name="30d")
+
+
+@query
+def rollup_breakdowns(spark, sf_dir):
+    rows = _kept_rollup(spark, sf_dir)
+    found = [rollup.breakdown(rows, by, LAST_30).withColumn("by", F.lit(by)) for by in dashboard.GROUPS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def rollup_snapshot(spark, sf_dir):
+    """The dashboard's one row from the rollup, its arrays as text."""
+    row = rollup.snapshot(rollup.rolled(valued(spark, sf_dir)), NOW, LAST_30, name="30d")
+    listed = {f"by_{by}": F.array_join(F.transform(f"by_{by}", lambda x: F.concat_ws("=", x["name"], x["tokens"].cast("string"))), ";") for by in dashboard.GROUPS}
+    return row.withColumns(listed | {"trend": F.array_join(F.transform("trend", lambda x: F.concat_ws("=", x["day"], x["tokens"].cast("string"))), ";")})
+
+
 @query
 def priced_events(spark, sf_dir):
     return valued(spark, sf_dir).select("id", "model", "estimated_api_value_usd_micros", "pricing_status")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import hashed
-from ..operators import dashboard, merge
+from ..operators import merge
 from ..operators.runtime import STALE_SECONDS
 
 
@@ -66,12 +66,3 @@ def hourly_merge(read: Callable[[], DataFrame], write: Callable[[DataFrame], Non
         write(merge.merge_hourly(read(), batch))
 
     return each
-
-
-def headline_refresh(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], **arguments) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that makes the dashboard's headline anew after each batch."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        write(dashboard.headline(merge.insert_absent(read(), batch), **arguments))
-
-    return each
