@@ -8,8 +8,7 @@ the class's training tokens and an unknown token has V. Contexts are words of an
 frequency. With n occurrences after a context of C, an n-gram that occurs ``KEPT`` times
 or more has (n - d) / C, d from ``DISCOUNTS``; rarer ones count in C but are not kept.
 What is left over goes to the shorter context (one word, then none), and all orders are
-added up, so the probabilities after any context sum to 1. A context word that is very
-frequent is told apart by the words before it (``pieces``), so that no context is large.
+added up, so the probabilities after any context sum to 1.
 
 The trie. Contexts are stored nearest word first: a level holds the contexts, and for
 each its followers. Both are one monotone sequence a level, parent and word, coded by
@@ -25,6 +24,15 @@ n-grams (or rare words) of its packets, builds its trie, and answers each packet
 a sum for each document. (4) The answers of a block of documents meet its header. Sums
 of quantised values are whole numbers, so scores do not depend on any order.
 
+Hot contexts. The occurrences of a word with more than an eighth of a slice are dealt to
+several slices by the word before it, and those of such a pair by the word after it. What
+a slice then cannot count itself is counted first, over all documents: the followers
+of hot words, by a plain aggregation whose rows each slice of the word gets, and three sums for each hot
+context, held by every task. The numbers are those that one slice would find, so
+scores do not depend on ``slice_tokens``. Which pairs are hot is guessed from a sample of about
+``PAIR_SAMPLE`` tokens; a wrong guess makes a slice larger or smaller. The second context
+word counts by 32 bits of a hash, the first by 40 bits unless it is predicted: words of equal bits share a context.
+
 Null and empty texts are the end token alone. Null doc_ids count as the empty text and
 so train. Repeated rows train and are scored as often as they occur. Texts of any
 length are handled; one longer than ``BLOCK_TOKENS`` is a block of its own. Other
@@ -60,9 +68,11 @@ HELD_WORDS = 1_000_000
 FOLDS, HELD_OUT = 7, 2
 #: Steps of a quantised log10.
 STEPS = 2048
-# Symbols: the end, words 1.., the class of rare words, what stands before a text; contexts also have words of 40 bits, and pieces.
+#: Tokens, about, of the sample in which hot pairs are looked for.
+PAIR_SAMPLE = 4_000_000
+# Symbols: the end, words 1.., the class of rare words, what stands before a text; contexts also have words of 40 bits.
 END, RARE, BEFORE = 0, PREDICTED + 1, PREDICTED + 2
-_WORD, _PIECE = PREDICTED + 3, 1 << 41
+_WORD = PREDICTED + 3
 #: Bits of a predicted symbol, and of the second context word below the first.
 SYMBOL, SECOND = 18, 32
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -151,6 +161,45 @@ class Grams:
         self.a, self.p, self.follower_of = a, p, self.follower[first]
 
 
+def _sums(context: np.ndarray, n: np.ndarray, contexts: int) -> np.ndarray:
+    """For each context its occurrences, those of followers that are kept, and how many followers occur KEPT times, or more often; n: of each follower."""
+    kept = n >= KEPT
+    return np.stack([np.bincount(context, w, contexts) for w in (n, np.where(kept, n, 0), n == KEPT, n > KEPT)])
+
+
+class Hot:
+    """What a slice is told of contexts that are spread over slices: their sums, and the followers of single words."""
+
+    def __init__(self, known: Vocabulary, keys: np.ndarray, counts: np.ndarray):
+        self.known, order = known, np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]  # word << SYMBOL | follower
+
+    def replace_followers(self, grams: Grams, n: np.ndarray, sums: np.ndarray) -> None:
+        at, there = _places(self.known.hot_words, grams.near)
+        sums[:, there] = self.known.word_sums[:, at[there]]
+        mine = np.zeros(len(grams.near), bool)
+        mine[there] = True
+        rows = np.flatnonzero(mine[grams.followers >> SYMBOL])
+        keys = grams.near[grams.followers[rows] >> SYMBOL] << SYMBOL | grams.followers[rows] & (1 << SYMBOL) - 1
+        at, there = _places(self.keys, keys)
+        n[rows] = 0
+        n[rows[there]] = self.counts[at[there]]
+
+    def replace_pairs(self, grams: Grams, sums: np.ndarray) -> None:
+        near = grams.near[grams.pairs >> SECOND]
+        some = np.flatnonzero(near <= BEFORE)
+        at, there = _places(self.known.hot_pairs, near[some] << SECOND | grams.pairs[some] & (1 << SECOND) - 1)
+        sums[:, some[there]] = self.known.pair_sums[:, at[there]]
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in sorted keys each of wanted would stand, and which of wanted are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, np.flatnonzero(keys[at] == wanted)
+
+
 class Trie:
     """Levels of contexts: their back-off weights, followers and probabilities."""
 
@@ -158,28 +207,36 @@ class Trie:
         self.levels = levels
 
     @classmethod
-    def build(cls, grams: Grams, train: np.ndarray, first: np.ndarray) -> Trie:
-        """Of the occurrences in training (weight 1; others 0); first: probabilities of symbols without a context."""
+    def build(cls, grams: Grams, train: np.ndarray, first: np.ndarray, hot: Hot | None = None) -> Trie:
+        """Of the occurrences in training (weight 1; others 0); first: probabilities of symbols without a context; hot: counts of contexts that are spread over slices."""
         mask = (1 << SYMBOL) - 1
 
-        def level(keys: np.ndarray, of: np.ndarray, context: np.ndarray, lower) -> tuple:
-            n, totals = np.bincount(of, train, len(keys)), np.bincount(context, train)
+        def level(keys: np.ndarray, n: np.ndarray, sums: np.ndarray, lower) -> tuple:
+            """keys: context and symbol, n: their occurrences, sums: of contexts, see ``_sums``."""
             keep = np.flatnonzero(n >= KEPT)
             node, symbol, n = keys[keep] >> SYMBOL, keys[keep] & mask, n[keep]
-            own = (n - np.where(n > KEPT, DISCOUNTS[1], DISCOUNTS[0])) / totals[node]
-            left = 1 - np.bincount(node, own, len(totals))
-            return keep, node, symbol, own + left[node] * lower(keep, symbol), left
-
-        _, a, x, p, left = level(grams.followers, grams.follower, grams.a, lambda keep, symbol: first[symbol])
+            own = (n - np.where(n > KEPT, DISCOUNTS[1], DISCOUNTS[0])) / sums[0][node]
+            left = 1 - (sums[1] - DISCOUNTS[0] * sums[2] - DISCOUNTS[1] * sums[3]) / np.maximum(sums[0], 1)
+            return node, symbol, own + left[node] * lower(keep, symbol), left
+
+        n = np.bincount(grams.follower, train, len(grams.followers))
+        sums = _sums(grams.followers >> SYMBOL, n, len(grams.near))
+        if hot is not None:
+            hot.replace_followers(grams, n, sums)
+        a, x, p, left = level(grams.followers, n, sums, lambda keep, symbol: first[symbol])
         shorter = np.ones(len(grams.followers))
         shorter[np.searchsorted(grams.followers, a << SYMBOL | x)] = p
-        nodes, place = np.unique(a, return_inverse=True)
-        levels = [(EliasFano.build(grams.near[nodes]), _quantised(left[nodes]), EliasFano.build(place.astype(np.int64) << SYMBOL | x), _quantised(p))]
-        _, pair, x, p, left = level(grams.triples, grams.triple, grams.p, lambda keep, symbol: shorter[grams.follower_of[keep]])
-        found, place = np.unique(pair, return_inverse=True)
+        nodes = np.flatnonzero(sums[1])  # contexts that keep followers, be they in this slice or not
+        levels = [(EliasFano.build(grams.near[nodes]), _quantised(left[nodes]), EliasFano.build(np.searchsorted(nodes, a) << SYMBOL | x), _quantised(p))]
+        n = np.bincount(grams.triple, train, len(grams.triples))
+        sums = _sums(grams.triples >> SYMBOL, n, len(grams.pairs))
+        if hot is not None:
+            hot.replace_pairs(grams, sums)
+        pair, x, p, left = level(grams.triples, n, sums, lambda keep, symbol: shorter[grams.follower_of[keep]])
+        found = np.flatnonzero(sums[1])
         keys = grams.pairs[found]
         keys = np.searchsorted(nodes, keys >> SECOND) << SECOND | keys & (1 << SECOND) - 1
-        levels.append((EliasFano.build(keys), _quantised(left[found]), EliasFano.build(place.astype(np.int64) << SYMBOL | x), _quantised(p)))
+        levels.append((EliasFano.build(keys), _quantised(left[found]), EliasFano.build(np.searchsorted(found, pair) << SYMBOL | x), _quantised(p)))
         return cls(levels)
 
     def steps(self, grams: Grams, first: np.ndarray) -> np.ndarray:
@@ -259,10 +316,53 @@ class Vocabulary:
         self.rare = tokens - int(self.count.sum())
         self.slices = max(1, -(-tokens // slice_tokens))
         self.rare_slices = max(1, -(-self.rare // slice_tokens))
-        most = max(1, slice_tokens // 8)
-        self.pieces = np.ones(BEFORE + 1, np.int64)
+        self.most = most = max(1, slice_tokens // 8)
         big = np.append(self.count, ends)  # before a text stand as many contexts as there are texts
-        self.pieces[big > most] = 1 << np.ceil(np.log2(big[big > most] / most)).astype(np.int64)
+        self.hot_words = np.flatnonzero(big > most)
+        self.pieces = np.ones(BEFORE + 1, np.int64)
+        self.pieces[self.hot_words] = -(-big[self.hot_words] // most)
+        self.word_sums = np.zeros((4, len(self.hot_words)))
+        self.set_pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def set_pairs(self, pairs: np.ndarray, counts: np.ndarray) -> None:
+        """Pairs (word << SECOND | bits of the word before it) that are hot, and how often they occur, about."""
+        order = np.argsort(pairs)
+        self.hot_pairs, self.pair_pieces = pairs[order], np.maximum(-(-counts[order] // self.most), 1)
+        self.pair_sums = np.zeros((4, len(pairs)))
+
+    def slice_of(self, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The slice of each occurrence; second: bits of the second word."""
+        key = mixed(near.astype(np.uint64))
+        hot = np.flatnonzero(np.where(near <= BEFORE, self.pieces[np.minimum(near, BEFORE)], 1) > 1)
+        pair = near[hot] << SECOND | second[hot]
+        key[hot] = self.word_piece(near[hot], mixed(second[hot].astype(np.uint64)) % self.pieces[near[hot]].astype(np.uint64))
+        at, there = _places(self.hot_pairs, pair)
+        key[hot[there]] = self.pair_piece(pair[there], mixed(symbol[hot[there]].astype(np.uint64)) % self.pair_pieces[at[there]].astype(np.uint64))
+        return (key % np.uint64(self.slices)).astype(np.int64)
+
+    @staticmethod
+    def word_piece(near: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return mixed(mixed(near.astype(np.uint64)) + piece.astype(np.uint64) + np.uint64(1))
+
+    @staticmethod
+    def pair_piece(pair: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return mixed(mixed(mixed(pair.astype(np.uint64))) + piece.astype(np.uint64) + np.uint64(1))
+
+    def slices_for(self, near: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of followers of hot words: the row of each, once for each slice that may hold the pair, and that slice."""
+        rows, slices = [], []
+        for word in np.unique(near).tolist():
+            mine = np.flatnonzero(near == word)
+            pieces = np.arange(self.pieces[word])
+            keys = [np.broadcast_to(self.word_piece(np.full(len(pieces), word), pieces)[:, None], (len(pieces), len(mine)))]
+            for i in range(*np.searchsorted(self.hot_pairs, [word << SECOND, (word + 1) << SECOND])):
+                piece = mixed(symbol[mine].astype(np.uint64)) % np.uint64(self.pair_pieces[i])
+                keys.append(self.pair_piece(np.full(len(mine), self.hot_pairs[i]), piece)[None, :])
+            to = np.concatenate(keys) % np.uint64(self.slices)
+            rows.append(np.tile(mine, len(to)))
+            slices.append(to.ravel().astype(np.int64))
+        out = np.unique(np.stack([np.concatenate(slices), np.concatenate(rows)]), axis=1) if rows else np.zeros((2, 0), np.int64)
+        return out[1], out[0]
 
     def first(self) -> np.ndarray:
         """Probabilities of symbols without a context; 1 for the class of rare words if nothing is known."""
@@ -306,8 +406,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def contexts_of(symbols: np.ndarray, hashes: np.ndarray, starts: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest context of each token, told apart by what stands before if it is frequent, and the second; starts: of texts."""
+def contexts_of(symbols: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest context of each token, and bits of the second; starts: of texts."""
     codes = np.where(symbols == RARE, _WORD + (hashes >> np.uint64(24)).astype(np.int64), symbols)
     age = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
 
@@ -317,25 +417,121 @@ def contexts_of(symbols: np.ndarray, hashes: np.ndarray, starts: np.ndarray, pie
         out[age < n] = BEFORE
         return out
 
-    def many(x: np.ndarray) -> np.ndarray:
-        return np.where(x <= BEFORE, pieces[np.minimum(x, BEFORE)], 1)
+    return back(1), (mixed(back(2).astype(np.uint64)) >> np.uint64(64 - SECOND)).astype(np.int64)
+
+
+class Tokens:
+    """Symbols and contexts of blocks of documents."""
+
+    def __init__(self, known: Vocabulary):
+        self.known, self.hashes_of = known, WordHashes()
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of texts, and how many each text has."""
+        hashes, bounds = self.hashes_of([t.lower() for t in texts])
+        return hashes, np.diff(bounds)
+
+    def placed(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the words of texts, each text followed by an end: hashes, which are words, symbols, and both contexts; and where texts begin."""
+        n = np.append(0, np.cumsum(sizes + 1))
+        hashes, inside = np.full(int(n[-1]), END_HASH), np.ones(int(n[-1]), bool)
+        inside[n[1:] - 1] = False
+        hashes[inside] = words
+        symbols = self.known.symbols(hashes)
+        symbols[n[1:] - 1] = END if self.known.ends else RARE
+        return hashes, inside, symbols, *contexts_of(symbols, hashes, n[:-1]), n
+
 
-    near, second = back(1), back(2)
-    split = np.flatnonzero(many(near) > 1)
-    history = np.zeros(len(split), np.uint64)
-    for n in (4, 3, 2):  # as far back as words are frequent, at most so far
-        word = back(n)[split]
-        history = mixed(word.astype(np.uint64) + np.where(many(word) > 1, history, np.uint64(0)))
-    part = history % many(near[split]).astype(np.uint64)
-    near[split] = _PIECE + (mixed(near[split].astype(np.uint64) << np.uint64(32) | part) >> np.uint64(24)).astype(np.int64)
-    return near, second
+def _hot_counts(docs: DataFrame, words, columns: str, keyed) -> DataFrame:
+    """(key, c) summed over all documents: occurrences in training of what keyed(known, near, second, symbol) gives, a number or -1 for each token."""
+
+    def work(blocks) -> Iterator[pa.RecordBatch]:
+        tokens, held, size = Tokens(words.value), [], 0
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def handed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "c"])
+
+        def taken(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            _, _, symbols, near, second, _ = tokens.placed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            found = keyed(words.value, near, second, symbols)
+            found, n = np.unique(found[found >= 0], return_counts=True)
+            both, which = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            return both, np.bincount(which, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+        for batch, texts in blocks:
+            train = in_training(batch.column("doc_id").to_pylist())
+            held.append(tokens([t for t, x in zip(texts, train) if x]))
+            size += len(held[-1][0])
+            if size >= BLOCK_TOKENS:
+                keys, counts = taken(keys, counts)
+                held, size = [], 0
+                if len(keys) > HELD_WORDS:
+                    yield handed_on()
+                    keys, counts = keys[:0], counts[:0]
+        if held:
+            keys, counts = taken(keys, counts)
+        if len(keys):
+            yield handed_on()
+
+    return map_blocks(docs.select("doc_id", "text"), columns, work).groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def _pair_keys(known: Vocabulary, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return np.where(np.isin(near, known.hot_words), near << SECOND | second, -1)
+
+
+def _follower_keys(known: Vocabulary, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return np.where(np.isin(near, known.hot_words), near << SYMBOL | symbol, -1)
+
+
+def _pair_follower_keys(known: Vocabulary, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Numbers of hot pairs with their followers; behind the followers of words, as pairs are numbered from BEFORE + 1."""
+    some = np.flatnonzero(near <= BEFORE)
+    at, there = _places(known.hot_pairs, near[some] << SECOND | second[some])
+    out = np.full(len(near), -1, np.int64)
+    out[some[there]] = (BEFORE + 1 + at[there]) << SYMBOL | symbol[some[there]]
+    return out
+
+
+def _all_keys(known: Vocabulary, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return np.concatenate([_follower_keys(known, near, second, symbol), _pair_follower_keys(known, near, second, symbol)])
+
+
+def hot_contexts(docs: DataFrame, known: Vocabulary) -> DataFrame | None:
+    """Complete known with hot pairs and the sums of hot contexts, and return (slice, key, c), the followers of hot words that occur KEPT times or more, for each slice that needs them; None if no word is hot."""
+    if not len(known.hot_words):
+        return None
+    context = docs.sparkSession.sparkContext
+    share = min(1.0, PAIR_SAMPLE / known.tokens)
+    pairs = _hot_counts(docs.sample(share, 23), context.broadcast(known), "key long, c long", _pair_keys).where(F.col("c") > known.most * share).toArrow()  # an eighth of a slice each, so few
+    known.set_pairs(pairs.column("key").to_numpy(), np.ceil(pairs.column("c").to_numpy() / share).astype(np.int64))
+    counts = stored(_hot_counts(docs, context.broadcast(known), "key long, c long", _all_keys), "hot-followers")
+    kept = F.col("c") >= KEPT
+    totals = counts.groupBy(F.shiftright("key", SYMBOL).alias("context")).agg(F.sum("c"), F.sum(F.when(kept, F.col("c")).otherwise(0)), F.count_if(F.col("c") == KEPT), F.count_if(F.col("c") > KEPT))
+    for row in totals.collect():  # hot words and pairs, some eight for each slice
+        if row[0] <= BEFORE:
+            known.word_sums[:, np.searchsorted(known.hot_words, row[0])] = row[1:]
+        else:
+            known.pair_sums[:, row[0] - BEFORE - 1] = row[1:]
+    done = context.broadcast(known)
+
+    def dealt(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for a in range(0, len(keys), 1024):
+                part = keys[a : a + 1024]
+                rows, slices = done.value.slices_for(part >> SYMBOL, part & (1 << SYMBOL) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(slices), pa.array(part[rows]), batch.column("c").slice(a, 1024).take(pa.array(rows))], names=["slice", "key", "c"])
+
+    return counts.where(kept & (F.col("key") < (BEFORE + 1) << SYMBOL)).mapInArrow(dealt, "slice long, key long, c long")
 
 
 def _packets(docs: DataFrame, words) -> DataFrame:
     """(slice, block, header, data): the packets of every block, and its header beside those of some slice."""
 
     def work(blocks) -> Iterator[pa.RecordBatch]:
-        known, hashes_of, block = words.value, WordHashes(), TaskContext.get().partitionId() << 32
+        known, tokens, block = words.value, Tokens(words.value), TaskContext.get().partitionId() << 32
         base_of = np.log10(known.count + 1.0)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
@@ -348,21 +544,15 @@ def _packets(docs: DataFrame, words) -> DataFrame:
         def rows() -> list[tuple]:
             ids = [i for part in held for i in part[0]]
             sizes = np.concatenate([part[2] for part in held])
-            train, n = in_training(ids), np.append(0, np.cumsum(sizes + 1))
-            hashes = np.full(int(n[-1]), END_HASH)
-            inside = np.ones(len(hashes), bool)
-            inside[n[1:] - 1] = False
-            hashes[inside] = np.concatenate([part[1] for part in held])
-            symbols = known.symbols(hashes)
-            symbols[n[1:] - 1] = END if known.ends else RARE
-            near, second = contexts_of(symbols, hashes, n[:-1], known.pieces)
+            train = in_training(ids)
+            hashes, inside, symbols, near, second, n = tokens.placed(np.concatenate([part[1] for part in held]), sizes)
             doc = np.repeat(np.arange(len(ids)), sizes + 1)
             sure = symbols != RARE
             header = pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(~train), pa.array(sizes + 1), pa.array(np.add.reduceat(sure, n[:-1], dtype=np.int64)), pa.array(np.add.reduceat(np.where(sure, base_of[symbols], 0.0), n[:-1]))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base"],
             )
-            near_slice = mixed(near.astype(np.uint64)) % np.uint64(known.slices)
+            near_slice = known.slice_of(near, second, symbols)
             rare = np.flatnonzero(~sure & inside)
             return [
                 *sliced(near_slice, near, 0, [near, second, symbols, doc], train.astype(np.uint8)),
@@ -376,8 +566,7 @@ def _packets(docs: DataFrame, words) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[a : a + 64]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["slice", "block", "header", "data"])
 
         for batch, texts in blocks:
-            hashes, bounds = hashes_of([t.lower() for t in texts])
-            held.append((batch.column("doc_id").to_pylist(), hashes, np.diff(bounds)))
+            held.append((batch.column("doc_id").to_pylist(), *tokens(texts)))
             if sum(len(h[1]) for h in held) >= BLOCK_TOKENS:
                 yield from emitted()
                 block, held = block + 1, []
@@ -402,12 +591,11 @@ def _joined(packets: list[list[np.ndarray]], column: int) -> np.ndarray:
     return np.concatenate([p[column] for p in packets])
 
 
-def _gram_steps(packets: list[list[np.ndarray]], known: Vocabulary) -> np.ndarray:
+def _gram_steps(packets: list[list[np.ndarray]], known: Vocabulary, hot: Hot | None) -> np.ndarray:
     """Steps of every occurrence in the packets of a slice of contexts."""
-    near, second, symbol = (_joined(packets, i) for i in (1, 2, 3))
-    grams = Grams(near.astype(np.int64), (mixed(second) >> np.uint64(64 - SECOND)).astype(np.int64), symbol.astype(np.int64))
+    grams = Grams(*(_joined(packets, i).astype(np.int64) for i in (1, 2, 3)))
     first = known.first()
-    trie = Trie.view(Trie.build(grams, _trained(packets, 4), first).to_bytes())
+    trie = Trie.view(Trie.build(grams, _trained(packets, 4), first, hot).to_bytes())
     return trie.steps(grams, _quantised(np.maximum(first, 1e-30)).astype(np.int64))[grams.triple]
 
 
@@ -422,17 +610,18 @@ def _rare_values(packets: list[list[np.ndarray]], known: Vocabulary) -> tuple[np
 ANSWER = "block long, part long, header binary, docs binary, steps binary, rare binary"
 
 
-def _answers(packets: DataFrame, words) -> DataFrame:
-    """For each packet the sums of its documents; headers pass."""
+def _answers(packets: DataFrame, words, followers: DataFrame | None) -> DataFrame:
+    """For each packet the sums of its documents; headers pass. followers: of hot words, by slice."""
 
-    def work(key: tuple, table: pa.Table) -> pa.Table:
+    def work(key: tuple, table: pa.Table, hot: pa.Table | None = None) -> pa.Table:
         known, part, headers, packets = words.value, key[0].as_py(), *(table.filter(table.column(c).is_valid()) for c in ("header", "data"))
         packets, ngrams = packets.sort_by("block"), part < known.slices
         out = {"block": [*headers.column("block").to_pylist(), *packets.column("block").to_pylist()], "part": [part] * len(table)}
         out |= {"header": headers.column("header").to_pylist() + [None] * len(packets)} | {name: [None] * len(table) for name in ("docs", "steps", "rare")}
         if len(packets):
             opened = [unpack(x.as_py()) for x in packets.column("data")]
-            values = (_gram_steps(opened, known),) if ngrams else _rare_values(opened, known)
+            told = None if hot is None else Hot(known, hot.column("key").to_numpy(), hot.column("c").to_numpy())
+            values = (_gram_steps(opened, known, told),) if ngrams else _rare_values(opened, known)
             a = 0
             for i, packet in enumerate(opened, len(headers)):
                 doc = packet[-1].astype(np.int64)
@@ -447,12 +636,17 @@ def _answers(packets: DataFrame, words) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), kinds)})
 
-    return packets.groupBy("slice").applyInArrow(work, ANSWER)
+    if followers is None:
+        return packets.groupBy("slice").applyInArrow(lambda key, table: work(key, table), ANSWER)
+    empty = pa.schema([(n, pa.int64()) for n in ("block", "part")] + [(n, pa.binary()) for n in ("header", "docs", "steps", "rare")]).empty_table()
+    return packets.groupBy("slice").cogroup(followers.groupBy("slice")).applyInArrow(lambda key, table, hot: work(key, table, hot) if len(table) else empty, ANSWER)
 
 
 def score(docs: DataFrame, slice_tokens: int = SLICE_TOKENS, predicted: int = PREDICTED) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, token_score) of every row; token_score: score by token."""
-    words = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, slice_tokens, predicted))
+    known = vocabulary(docs, slice_tokens, predicted)
+    followers = hot_contexts(docs, known)
+    words = docs.sparkSession.sparkContext.broadcast(known)
     tokens, seen = words.value.tokens, float(np.log10(words.value.tokens + words.value.kinds + 1))
 
     def work(table: pa.Table) -> pa.Table:
@@ -476,7 +670,7 @@ def score(docs: DataFrame, slice_tokens: int = SLICE_TOKENS, predicted: int = PR
         return pa.table([head.column("doc_id"), head.column("held_out"), sizes, known, np.full(n, tokens), base - sizes * seen, score, score / sizes], names=RESULT)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, token_score double"
-    return _answers(_packets(docs, words), words).groupBy("block").applyInArrow(work, schema)
+    return _answers(_packets(docs, words), words, followers).groupBy("block").applyInArrow(work, schema)
 
 
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "token_score"]

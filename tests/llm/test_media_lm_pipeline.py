@@ -258,10 +258,11 @@ def _predicted(documents, use=3):
 PREDICTED = 700
 
 
-def test_scores_are_those_of_the_definition(sample):
+@pytest.mark.parametrize("slice_tokens", [40_000, 3000])
+def test_scores_are_those_of_the_definition(sample, slice_tokens):
     documents = pairs(sample)
     wanted = {i: (n, x) for i, n, x in _predicted(documents)}
-    rows = lm.score(sample, slice_tokens=40_000, predicted=PREDICTED).toPandas()
+    rows = lm.score(sample, slice_tokens=slice_tokens, predicted=PREDICTED).toPandas()
     for r in rows.itertuples():
         n, x = wanted[r.doc_id]
         assert r.n_tokens == n and abs(r.score - x) < 0.001 * n, r
@@ -277,16 +278,38 @@ def test_word_order_matters(spark, sample):
     assert ends[0].keys() == ends[1].keys() and sum(abs(ends[0][i] - ends[1][i]) > 0.5 for i in ends[0]) > len(ends[0]) / 4
 
 
-def test_frequent_contexts_are_told_apart(sample):
-    """Many slices and pieces, also of words that always stand together: all tokens are counted, and slices stay small."""
-    whole = {r.doc_id: r for r in lm.score(sample).collect()}
-    for r in lm.score(sample, slice_tokens=2000, predicted=PREDICTED).collect():
-        assert r.n_known == whole[r.doc_id].n_known and r.n_tokens == whole[r.doc_id].n_tokens and abs(r.base_score - whole[r.doc_id].base_score) < 1e-6
-    symbols, pieces = np.tile([1, 2, 3, 4, 5, 6, 7], 500), np.ones(lm.BEFORE + 1, np.int64)
-    symbols[::7] = np.arange(10, 510)
-    pieces[[1, 2, 3]] = 64
-    near, _ = lm.contexts_of(symbols, np.zeros(len(symbols), np.uint64), np.zeros(1, np.int64), pieces)
-    assert np.unique(near[3::7]).size > 40 and np.unique(near[5::7]).size == 1  # after 3, and after 5
+@pytest.mark.parametrize("slice_tokens", [20_000, 2000, 400])
+def test_scores_do_not_depend_on_slices(spark, sample, slice_tokens):
+    """Hot words and pairs are spread over slices; the scores are those of one slice. A step of a logarithm is 0.0005; sums of floats may differ in their last bits."""
+    docs = sample.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, "same same other " * 60) for i in range(40)], "doc_id long, text string"))
+    wanted = {r.doc_id: r for r in lm.score(docs, predicted=PREDICTED).collect()}
+    rows = lm.score(docs, slice_tokens=slice_tokens, predicted=PREDICTED).collect()
+    assert len(rows) == len(wanted)
+    for r in rows:
+        w = wanted[r.doc_id]
+        assert tuple(r)[:5] == tuple(w)[:5] and abs(r.base_score - w.base_score) < 1e-6 and abs(r.score - w.score) < 1e-6
+    known = lm.vocabulary(docs, slice_tokens, PREDICTED)
+    lm.hot_contexts(docs, known)
+    assert len(known.hot_words) > (0 if slice_tokens > 2000 else 2) and (slice_tokens > 2000 or len(known.hot_pairs) > 1)
+
+
+def test_hot_contexts_are_spread(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"a b w{j % 40} a x{(i * j) % 90}" for j in range(200))) for i in range(20)], "doc_id long, text string")
+    known = lm.vocabulary(docs, 1600, PREDICTED)
+    lm.hot_contexts(docs, known)
+    rng, n = np.random.default_rng(1), 4000
+    word = int(np.argmax(known.pieces))
+    second = rng.integers(0, 50, n)
+    assert np.unique(known.slice_of(np.full(n, word), second, rng.integers(0, 9, n))).size > known.pieces[word] // 3 > 0
+    pair = known.hot_pairs[0]
+    slices = known.slice_of(np.full(n, pair >> lm.SECOND), np.full(n, pair & (1 << lm.SECOND) - 1), rng.integers(0, 99, n))
+    assert 1 < np.unique(slices).size <= known.pair_pieces[0]
+    followers = np.arange(99)
+    rows, to = known.slices_for(np.full(99, pair >> lm.SECOND), followers)
+    held = set(zip(followers[rows].tolist(), to.tolist()))
+    for symbol in range(99):  # wherever an occurrence is dealt, its follower is told
+        for bits in (pair & (1 << lm.SECOND) - 1, 5, 77):
+            assert (symbol, int(known.slice_of(np.array([pair >> lm.SECOND]), np.array([bits]), np.array([symbol]))[0])) in held
 
 
 def _base(documents):
