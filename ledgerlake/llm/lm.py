@@ -65,6 +65,8 @@ KEPT, DISCOUNTS = 2, (1.0, 1.4)
 SLICE_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
 #: Distinct words that a task counts before it hands the counts on.
 HELD_WORDS = 1_000_000
+#: Tokens of a text block, and distinct keys, of the counts of hot contexts in a task.
+COUNTED, HELD_KEYS = 250_000, 500_000
 FOLDS, HELD_OUT = 7, 2
 #: Steps of a quantised log10.
 STEPS = 2048
@@ -318,7 +320,8 @@ class Vocabulary:
         self.rare_slices = max(1, -(-self.rare // slice_tokens))
         self.most = most = max(1, slice_tokens // 8)
         big = np.append(self.count, ends)  # before a text stand as many contexts as there are texts
-        self.hot_words = np.flatnonzero(big > most)
+        self.is_hot = big > most
+        self.hot_words = np.flatnonzero(self.is_hot)
         self.pieces = np.ones(BEFORE + 1, np.int64)
         self.pieces[self.hot_words] = -(-big[self.hot_words] // most)
         self.word_sums = np.zeros((4, len(self.hot_words)))
@@ -330,10 +333,15 @@ class Vocabulary:
         self.hot_pairs, self.pair_pieces = pairs[order], np.maximum(-(-counts[order] // self.most), 1)
         self.pair_sums = np.zeros((4, len(pairs)))
 
+    def hot(self, near: np.ndarray) -> np.ndarray:
+        """Places of the occurrences whose context is a hot word."""
+        some = np.flatnonzero(near <= BEFORE)
+        return some[self.is_hot[near[some]]]
+
     def slice_of(self, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The slice of each occurrence; second: bits of the second word."""
         key = mixed(near.astype(np.uint64))
-        hot = np.flatnonzero(np.where(near <= BEFORE, self.pieces[np.minimum(near, BEFORE)], 1) > 1)
+        hot = self.hot(near)
         pair = near[hot] << SECOND | second[hot]
         key[hot] = self.word_piece(near[hot], mixed(second[hot].astype(np.uint64)) % self.pieces[near[hot]].astype(np.uint64))
         at, there = _places(self.hot_pairs, pair)
@@ -443,7 +451,7 @@ class Tokens:
 
 
 def _hot_counts(docs: DataFrame, words, columns: str, keyed) -> DataFrame:
-    """(key, c) summed over all documents: occurrences in training of what keyed(known, near, second, symbol) gives, a number or -1 for each token."""
+    """(key, c) summed over all documents: occurrences in training of the numbers that keyed(known, near, second, symbol) gives."""
 
     def work(blocks) -> Iterator[pa.RecordBatch]:
         tokens, held, size = Tokens(words.value), [], 0
@@ -455,7 +463,7 @@ def _hot_counts(docs: DataFrame, words, columns: str, keyed) -> DataFrame:
         def taken(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             _, _, symbols, near, second, _ = tokens.placed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
             found = keyed(words.value, near, second, symbols)
-            found, n = np.unique(found[found >= 0], return_counts=True)
+            found, n = np.unique(found, return_counts=True)
             both, which = np.unique(np.concatenate([keys, found]), return_inverse=True)
             return both, np.bincount(which, np.concatenate([counts, n]), len(both)).astype(np.int64)
 
@@ -463,10 +471,10 @@ def _hot_counts(docs: DataFrame, words, columns: str, keyed) -> DataFrame:
             train = in_training(batch.column("doc_id").to_pylist())
             held.append(tokens([t for t, x in zip(texts, train) if x]))
             size += len(held[-1][0])
-            if size >= BLOCK_TOKENS:
+            if size >= COUNTED:
                 keys, counts = taken(keys, counts)
                 held, size = [], 0
-                if len(keys) > HELD_WORDS:
+                if len(keys) > HELD_KEYS:
                     yield handed_on()
                     keys, counts = keys[:0], counts[:0]
         if held:
@@ -478,24 +486,16 @@ def _hot_counts(docs: DataFrame, words, columns: str, keyed) -> DataFrame:
 
 
 def _pair_keys(known: Vocabulary, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return np.where(np.isin(near, known.hot_words), near << SECOND | second, -1)
-
-
-def _follower_keys(known: Vocabulary, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return np.where(np.isin(near, known.hot_words), near << SYMBOL | symbol, -1)
-
-
-def _pair_follower_keys(known: Vocabulary, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Numbers of hot pairs with their followers; behind the followers of words, as pairs are numbered from BEFORE + 1."""
-    some = np.flatnonzero(near <= BEFORE)
-    at, there = _places(known.hot_pairs, near[some] << SECOND | second[some])
-    out = np.full(len(near), -1, np.int64)
-    out[some[there]] = (BEFORE + 1 + at[there]) << SYMBOL | symbol[some[there]]
-    return out
+    hot = known.hot(near)
+    return near[hot] << SECOND | second[hot]
 
 
-def _all_keys(known: Vocabulary, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return np.concatenate([_follower_keys(known, near, second, symbol), _pair_follower_keys(known, near, second, symbol)])
+def _context_keys(known: Vocabulary, near: np.ndarray, second: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hot words with their followers, and numbers of hot pairs with theirs: pairs are numbered from BEFORE + 1."""
+    hot = known.hot(near)
+    near, second, symbol = near[hot], second[hot], symbol[hot]
+    at, there = _places(known.hot_pairs, near << SECOND | second)
+    return np.concatenate([near << SYMBOL | symbol, (BEFORE + 1 + at[there]) << SYMBOL | symbol[there]])
 
 
 def hot_contexts(docs: DataFrame, known: Vocabulary) -> DataFrame | None:
@@ -506,7 +506,7 @@ def hot_contexts(docs: DataFrame, known: Vocabulary) -> DataFrame | None:
     share = min(1.0, PAIR_SAMPLE / known.tokens)
     pairs = _hot_counts(docs.sample(share, 23), context.broadcast(known), "key long, c long", _pair_keys).where(F.col("c") > known.most * share).toArrow()  # an eighth of a slice each, so few
     known.set_pairs(pairs.column("key").to_numpy(), np.ceil(pairs.column("c").to_numpy() / share).astype(np.int64))
-    counts = stored(_hot_counts(docs, context.broadcast(known), "key long, c long", _all_keys), "hot-followers")
+    counts = stored(_hot_counts(docs, context.broadcast(known), "key long, c long", _context_keys), "hot-followers")
     kept = F.col("c") >= KEPT
     totals = counts.groupBy(F.shiftright("key", SYMBOL).alias("context")).agg(F.sum("c"), F.sum(F.when(kept, F.col("c")).otherwise(0)), F.count_if(F.col("c") == KEPT), F.count_if(F.col("c") > KEPT))
     for row in totals.collect():  # hot words and pairs, some eight for each slice
