@@ -53,10 +53,14 @@ def trend(events: DataFrame, start: datetime | None, only_runtime: bool = False)
     return days.join(F.broadcast(peak)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("day", "MM/dd").alias("label"), "tokens", (F.col("tokens") * 100.0 / F.col("peak")).alias("percent_of_peak"))
 
 
-def layers(events: DataFrame, start: datetime | None) -> DataFrame:
-    """Tokens counted by runtimes, by tools, and by unknown collectors."""
+def layers(events: DataFrame, start: datetime | None, observations: DataFrame | None = None) -> DataFrame:
+    """Tokens counted by runtimes, by tools, and by unknown collectors; rows of runtimes, and their observations (observed_at)."""
     rows = events.where(canonical() & since(start)).withColumn("layer", layer())
-    return rows.agg(*(_sum("total_tokens", F.col("layer") == x).alias(f"{x}_tokens") for x in ("runtime", "tool", "unknown")), F.count_if(F.col("layer") == "runtime").alias("runtime_events"))
+    sums = rows.agg(*(_sum("total_tokens", F.col("layer") == x).alias(f"{x}_tokens") for x in ("runtime", "tool", "unknown")), F.count_if(F.col("layer") == "runtime").alias("runtime_events"))
+    if observations is None:
+        return sums
+    seen = observations.where(F.lit(True) if start is None else F.col("observed_at") >= F.lit(start).cast("timestamp_ntz")).agg(F.count(F.lit(1)).alias("runtime_observations"))
+    return sums.join(F.broadcast(seen), F.lit(True))  # a row each
 
 
 #: Columns by which a ledger may be broken down, and the label of their nulls.
@@ -122,10 +126,18 @@ def provider_options(rows: DataFrame, known: tuple[str, ...] = ("codex", "claude
     return rows.select("provider").unionByName(listed).distinct().withColumn("label", provider_label()).orderBy("label", "provider")
 
 
-def day_summary(page: DataFrame) -> DataFrame:
-    """Of an activity list: measured tokens, minutes and observations of each day."""
+def day_summary(page: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Of an activity list: measured tokens, minutes and observations of each local day."""
     measured, kind = F.col("measurement_kind") == "measured", F.col("measurement_kind")
-    return page.groupBy(F.date_format("occurred_at", "yyyy-MM-dd").alias("day")).agg(_sum("total_tokens", measured).alias("tokens"), F.count_if(kind == "activity_only").alias("minutes"), F.count_if(kind == "runtime_status").alias("observations"))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), "occurred_at")
+    return page.groupBy(F.date_format(local, "yyyy-MM-dd").alias("day")).agg(_sum("total_tokens", measured).alias("tokens"), F.count_if(kind == "activity_only").alias("minutes"), F.count_if(kind == "runtime_status").alias("observations"))
+
+
+def activity_options(page: DataFrame) -> DataFrame:
+    """(list, value): the providers, devices, projects and models by which an activity list can be narrowed, those that occur in it."""
+    lists = {"providers": "provider", "devices": "friendly_name", "projects": "project_name", "models": "model"}
+    entries = F.array(*(F.struct(F.lit(n).alias("list"), F.col(c).alias("value")) for n, c in lists.items()))
+    return page.select(F.explode(entries).alias("e")).select("e.list", "e.value").where("value <> ''").distinct().orderBy("list", "value")
 
 
 def insights(events: DataFrame, now: datetime, start: datetime) -> DataFrame:

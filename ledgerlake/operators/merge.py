@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_identifier
+from ..functions.columns import hashed, safe_identifier
 
 
 def keys_of(table: DataFrame) -> list[str]:
@@ -129,6 +129,32 @@ def merge_hourly(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.select(*keys, *(F.coalesce(f"n.{c}", c).alias(c) for c in counters), F.greatest("requests", "_requests").alias("requests"))
 
 
+def hourly_events(buckets: DataFrame) -> DataFrame:
+    """(id, provider, source, source_type, native_session_id, native_event_id, occurred_at, model, counters, device_id, requests): ledger rows of hourly buckets (device_id, model_id, hour, ...).
+
+    A bucket is one event of a session made of its device and model; requests are kept beside the ledger.
+    """
+    second = (F.col("hour") * 3600).cast("string")
+    session = hashed(F.lit("omlx-hour"), F.col("device_id"), F.col("model_id"))
+    zero = F.lit(0).cast("long")
+    return buckets.select(
+        hashed(F.lit("omlx"), session, second).alias("id"), F.lit("omlx").alias("provider"), F.lit("omlx_usage_hourly").alias("source"), F.lit("api").alias("source_type"), session.alias("native_session_id"), second.alias("native_event_id"),
+        F.expr("timestampadd(HOUR, hour, TIMESTAMP_NTZ '1970-01-01')").alias("occurred_at"), F.col("model_id").alias("model"), F.col("prompt_tokens").alias("input_tokens"), F.col("cached_tokens").alias("cached_input_tokens"),
+        zero.alias("cache_write_tokens"), F.col("completion_tokens").alias("output_tokens"), zero.alias("reasoning_tokens"), F.try_add("prompt_tokens", "completion_tokens").alias("total_tokens"), F.lit("measured").alias("measurement_kind"), "device_id", "requests",
+    )
+
+
+#: Rows of a source of hourly history that are read at most, and the version of its schema.
+MOST_HOURLY, HOURLY_VERSION = 250_000, 1
+
+
+def accepted_history(rows: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hourly rows of the sources (source_id, version) whose schema is known and that are not too long, and the others with the reason; rows have source_id."""
+    sizes = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
+    judged = sources.join(sizes, "source_id", "left").withColumn("reason", F.when(F.col("version") != HOURLY_VERSION, "unsupported_version").when(F.col("_n") > MOST_HOURLY, "too_long"))
+    return rows.join(judged.where("reason IS NULL").select("source_id"), "source_id", "left_semi"), judged.where("reason IS NOT NULL").select("source_id", "reason")
+
+
 def valid_hourly(rows: DataFrame, now_hour: int) -> DataFrame:
     """Buckets with a possible hour, non-negative counters that add up, and a plain model id."""
     fine = F.col("hour").between(0, now_hour) & (F.least("requests", "prompt_tokens", "completion_tokens", "cached_tokens") >= 0) & (F.col("cached_tokens") <= F.col("prompt_tokens"))

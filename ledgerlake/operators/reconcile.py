@@ -84,12 +84,13 @@ def unreconciled(events: DataFrame) -> DataFrame:
 
 
 def provider_summary(events: DataFrame) -> DataFrame:
-    """Rows, sessions, turns, tokens, cache use and native cost of each provider's active measured rows."""
+    """Rows, sessions, turns, tokens, cache use and native cost of each provider's active measured rows, and how many of them a former collector wrote."""
     turn = F.concat("native_session_id", F.lit(":"), F.substring_index("native_event_id", ":model:", 1))
     rows = events.where((F.col("measurement_kind") == "measured") & F.col("superseded_by_event_id").isNull())
     return rows.groupBy("provider").agg(
         F.count(F.lit(1)).alias("records"), F.countDistinct("native_session_id").alias("sessions"), F.countDistinct(turn).alias("turns"), F.sum("total_tokens").alias("tokens"),
         F.sum("cached_input_tokens").alias("cache_read"), F.sum("cache_write_tokens").alias("cache_write"), F.sum("native_cost_usd_ticks").alias("native_cost_usd_ticks"), F.max("occurred_at").alias("last_usage"),
+        F.count_if(legacy("claude") | legacy("grok")).alias("unreconciled"),
     )
 
 

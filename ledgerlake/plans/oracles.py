@@ -128,7 +128,6 @@ ORACLES: dict[str, str] = {
 SELECT *, events > 0 AND priced_events = events AS pricing_complete, {_I('least(100, greatest(0, round(priced_tokens * 100.0::DOUBLE / greatest(tokens, 1))))')} AS pricing_coverage_percent FROM h""",
     "dashboard_trend": _trend(""),
     "dashboard_runtime_trend": _trend("AND layer = 'runtime'"),
-    "dashboard_layers": f"WITH {LEDGER} SELECT " + ", ".join(f"{_I(f'''coalesce(sum(total_tokens) FILTER (layer = '{x}'), 0)''')} AS {x}_tokens" for x in ("runtime", "tool", "unknown")) + f", count(*) FILTER (layer = 'runtime') AS runtime_events FROM layered WHERE canon AND {_in30}",
     "breakdown_by_provider": _breakdown("provider", "Unknown provider"),
     "breakdown_by_model": _breakdown("model", "Unknown model"),
     "breakdown_by_project": _breakdown("project_name", "Unknown project"),
@@ -284,11 +283,6 @@ UNION ALL SELECT 'double-' || id, superseded_by_event_id, sync_status FROM c WHE
     "reconcile_hints": f"""WITH {LEDGER} SELECT a.id, coalesce(a.superseded_by_event_id, b.id) AS superseded_by_event_id, CASE WHEN a.superseded_by_event_id IS NULL AND b.id IS NOT NULL THEN {ts(NOW)} ELSE a.updated_at END AS updated_at,
   CASE WHEN a.superseded_by_event_id IS NULL AND b.id IS NOT NULL THEN 'pending' ELSE a.sync_status END AS sync_status FROM ledger a
   LEFT JOIN ledger b ON a.provider = 'claude' AND b.provider = 'claude' AND b.native_event_id = 'event:' || (CAST(split_part(a.native_event_id, ':', 2) AS BIGINT) + 6) WHERE a.provider IN ('claude', 'grok')""",
-    "provider_summary": f"""WITH {LEDGER}, p(provider) AS (VALUES ('codex'), ('claude'), ('grok'), ('gemini')),
-s AS (SELECT provider, count(*) AS records, count(DISTINCT native_session_id) AS sessions, count(DISTINCT native_session_id || native_event_id) AS turns, sum(total_tokens) AS tokens, sum(cached_input_tokens) AS cache_read,
-  sum(cache_write_tokens) AS cache_write, sum(native_cost_usd_ticks) AS native, max(occurred_at) AS last_usage FROM layered WHERE canon AND provider <> 'gemini' GROUP BY provider)
-SELECT provider, coalesce(records, 0) AS records, coalesce(sessions, 0) AS sessions, coalesce(turns, 0) AS turns, {_I('coalesce(tokens, 0)')} AS tokens, {_I('coalesce(cache_read, 0)')} AS cache_read,
-  {_I('coalesce(cache_write, 0)')} AS cache_write, {_I('CASE WHEN records IS NULL THEN 0 ELSE native END')} AS native_cost_usd_ticks, last_usage FROM p LEFT JOIN s USING (provider)""",
     "ledger_validity": f"""WITH {LEDGER}, v AS (SELECT count(*) FILTER (total_tokens % 97 = 1) AS r, count(*) FILTER (total_tokens % 89 = 1) AS i FROM ledger)
 SELECT unnest(['negative_counter', 'unknown_source_type', 'unknown_pricing_status', 'unknown_kind', 'odd_id', 'write_under_split', 'reasoning_over_output', 'identity']) AS rule, unnest([0, 0, 0, 0, 0, 0, r, i]) AS rows FROM v""",
     "account_totals": f"WITH {LEDGER} SELECT account_id, provider, count(*) AS rows, {_I('sum(total_tokens)')} AS tokens FROM ledger WHERE account_id = 'account-1' GROUP BY 1, 2",
@@ -345,8 +339,6 @@ SELECT label, cache_read_tokens, cache_write_tokens, reuse_bps FROM x WHERE cach
     "unreconciled_legacy": f"WITH {LEDGER} SELECT provider, count(*) AS unreconciled FROM ledger WHERE regexp_matches(native_event_id, '^event:[0-9]*[05]$') AND provider IN ('claude', 'grok') AND superseded_by_event_id IS NULL GROUP BY 1",
     "quarantined": f"WITH {LEDGER} SELECT id, 'reasoning_over_output' AS broken FROM ledger WHERE total_tokens % 97 = 1",
     "identity_conflicts": f"WITH {LEDGER} SELECT id, CASE WHEN total_tokens % 13 = 1 THEN 'device-x' ELSE device_id END AS device_id FROM ledger WHERE total_tokens % 13 = 1 OR superseded_by_event_id IS NOT NULL",
-    "day_summary": f"""WITH {LEDGER}, {POLLS}, u AS (SELECT occurred_at, total_tokens, measurement_kind FROM ledger UNION ALL SELECT observed_at, 0, 'runtime_status' FROM trans)
-SELECT strftime(occurred_at, '%Y-%m-%d') AS day, {_I("coalesce(sum(total_tokens) FILTER (measurement_kind = 'measured'), 0)")} AS tokens, count(*) FILTER (measurement_kind = 'activity_only') AS minutes, count(*) FILTER (measurement_kind = 'runtime_status') AS observations FROM u GROUP BY 1""",
     "retained_observations": f"""WITH {POLLS}, r AS (SELECT * FROM trans WHERE observed_at >= {ts(NOW)} - INTERVAL 90 DAY QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY observed_at DESC, provider, state, model NULLS FIRST) <= 10000)
 SELECT device_id, state, count(*) AS rows, min(observed_at) AS first FROM r GROUP BY 1, 2""",
 }
@@ -373,8 +365,6 @@ UNION ALL SELECT 'own', 'i' || n, occurred_at, model, NULL, input_tokens, cached
     "enriched_models": f"""WITH {PRICED}, v AS (SELECT *, (total_tokens % 2 = 0 OR (total_tokens % 7 <> 1 AND superseded_by_event_id IS NULL)) AND model IS NOT NULL AS has FROM priced),
 x AS (SELECT provider, CASE WHEN has THEN pricing_status ELSE 'unavailable' END AS pricing_status, has, CASE WHEN has THEN estimated_api_value_usd_micros END AS value FROM v)
 SELECT provider, pricing_status, count(*) AS "rows", count(*) FILTER (has) AS with_model, {_I('sum(value)')} AS value FROM x GROUP BY ALL""",
-    "provider_options": f"""WITH {LEDGER}, p AS (SELECT DISTINCT provider FROM ledger WHERE provider <> 'codex' UNION SELECT unnest(['codex', 'claude', 'grok', 'gemini']))
-SELECT provider, CASE provider WHEN 'codex' THEN 'Codex' WHEN 'claude' THEN 'Claude Code CLI' WHEN 'grok' THEN 'Grok Build' WHEN 'gemini' THEN 'Gemini CLI' WHEN 'omlx' THEN 'oMLX' WHEN 'ollama' THEN 'Ollama' WHEN 'lmstudio' THEN 'LM Studio' ELSE provider END AS label FROM p""",
     "activity_search": f"""WITH {LEDGER}, {POLLS},
 a AS (SELECT id, occurred_at, provider, model, project_name, friendly_name, layer FROM layered JOIN devices USING (device_id) WHERE superseded_by_event_id IS NULL
   UNION ALL SELECT sha256(device_id || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|' || state || '|' || coalesce(model, '')), observed_at, provider, model, NULL, friendly_name, 'runtime' FROM trans JOIN devices USING (device_id)),
@@ -420,3 +410,53 @@ t AS (SELECT string_agg(day || '=' || tokens, ';' ORDER BY day) AS trend FROM (S
     + "".join(f", b_{by} AS (SELECT string_agg(name || '=' || tokens, ';' ORDER BY tokens DESC, name) AS by_{by} FROM ({_top_of('priced', by, unknown)}))" for by, unknown in _BY.items())
     + " SELECT * FROM headline, l, t, b_provider, b_model, b_project_name",
 }
+
+_HOURLY_OK = "provider = 'omlx' AND model IS NOT NULL AND cached_input_tokens <= input_tokens"
+
+ORACLES |= {
+    "dashboard_layers": f"WITH {LEDGER}, {POLLS} SELECT {_layer_sums}, count(*) FILTER (layer = 'runtime') AS runtime_events, (SELECT count(*) FROM trans WHERE observed_at >= {ts(LAST_30)}) AS runtime_observations FROM layered WHERE canon AND {_in30}",
+    "provider_summary": f"""WITH {LEDGER}, p(provider) AS (VALUES ('codex'), ('claude'), ('grok'), ('gemini')), n0 AS (SELECT *, {_N} AS n FROM layered WHERE canon),
+r AS (SELECT * REPLACE (CASE WHEN provider = 'gemini' THEN 'codex' ELSE provider END AS provider), CASE WHEN n % 4 = 0 THEN native_event_id WHEN provider = 'claude' THEN 'request:' || n ELSE 'turn:' || n // 12 || ':model:' || n END AS native, n % 4 = 0 AND provider IN ('claude', 'grok') AS old FROM n0),
+s AS (SELECT provider, count(*) AS records, count(DISTINCT native_session_id) AS sessions, count(DISTINCT native_session_id || ':' || split_part(native, ':model:', 1)) AS turns, sum(total_tokens) AS tokens, sum(cached_input_tokens) AS cache_read,
+  sum(cache_write_tokens) AS cache_write, sum(native_cost_usd_ticks) AS native, max(occurred_at) AS last_usage, count(*) FILTER (old) AS unreconciled FROM r GROUP BY provider)
+SELECT provider, coalesce(records, 0) AS records, coalesce(sessions, 0) AS sessions, coalesce(turns, 0) AS turns, {_I('coalesce(tokens, 0)')} AS tokens, {_I('coalesce(cache_read, 0)')} AS cache_read,
+  {_I('coalesce(cache_write, 0)')} AS cache_write, {_I('CASE WHEN records IS NULL THEN 0 ELSE native END')} AS native_cost_usd_ticks, last_usage, coalesce(unreconciled, 0) AS unreconciled FROM p LEFT JOIN s USING (provider)""",
+    "provider_options": f"""WITH {LEDGER}, p AS (SELECT DISTINCT CASE WHEN provider = 'codex' THEN 'ollama' ELSE provider END AS provider FROM ledger UNION SELECT unnest(['codex', 'claude', 'grok', 'gemini']))
+SELECT provider, CASE provider WHEN 'codex' THEN 'Codex' WHEN 'claude' THEN 'Claude Code CLI' WHEN 'grok' THEN 'Grok Build' WHEN 'gemini' THEN 'Gemini CLI' WHEN 'omlx' THEN 'oMLX' WHEN 'ollama' THEN 'Ollama' WHEN 'lmstudio' THEN 'LM Studio' ELSE provider END AS label FROM p""",
+    # Central European summer time all along.
+    "day_summary": f"""WITH {LEDGER}, {POLLS}, u AS (SELECT occurred_at, total_tokens, measurement_kind FROM ledger UNION ALL SELECT observed_at, 0, 'runtime_status' FROM trans)
+SELECT strftime(occurred_at + INTERVAL 2 HOUR, '%Y-%m-%d') AS day, {_I("coalesce(sum(total_tokens) FILTER (measurement_kind = 'measured'), 0)")} AS tokens, count(*) FILTER (measurement_kind = 'activity_only') AS minutes, count(*) FILTER (measurement_kind = 'runtime_status') AS observations FROM u GROUP BY 1""",
+    "activity_options": f"""WITH {LEDGER}, {POLLS},
+a AS (SELECT id, occurred_at, provider, model, project_name, friendly_name FROM layered JOIN devices USING (device_id) WHERE superseded_by_event_id IS NULL
+  UNION ALL SELECT sha256(device_id || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') || '|' || state || '|' || coalesce(model, '')), observed_at, provider, model, NULL, friendly_name FROM trans JOIN devices USING (device_id)),
+p AS (SELECT * FROM a ORDER BY occurred_at DESC, id DESC LIMIT 500)
+SELECT DISTINCT * FROM (SELECT 'providers' AS list, provider AS value FROM p UNION ALL SELECT 'devices', friendly_name FROM p UNION ALL SELECT 'projects', project_name FROM p UNION ALL SELECT 'models', model FROM p) WHERE value <> ''""",
+    "activity_keyset": f"WITH {LEDGER} SELECT id, occurred_at, provider, total_tokens FROM ledger ORDER BY occurred_at DESC, id DESC LIMIT 400 OFFSET 200",
+    "scan_claude_hints": """WITH l AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS p, CAST(l_quantity AS BIGINT) AS q, l_suppkey, CAST(l_shipdate AS TIMESTAMP) AS shipped FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, shipped, p, q) AS line FROM l),
+f AS (SELECT *, 'fingerprint:' || sha256(concat_ws(chr(31), 'order-' || l_orderkey, strftime(shipped, '%Y-%m-%d %H:%M:%S'), 'claude-' || l_suppkey % 3, CAST(p + q AS VARCHAR), CAST(line AS VARCHAR))) AS former FROM n)
+SELECT DISTINCT sha256('claude' || chr(31) || 'order-' || l_orderkey || chr(31) || former) AS legacy_event_id, sha256('claude' || chr(31) || 'order-' || l_orderkey || chr(31) || 'request:r' || l_linenumber) AS replacement_event_id FROM f""",
+    "scan_report": f"""WITH {LEDGER}, m AS (SELECT * FROM ledger WHERE measurement_kind = 'measured'),
+c AS (SELECT count(*) AS n, count(DISTINCT native_session_id) AS f FROM m WHERE provider = 'codex'),
+l AS (SELECT count(*) AS n, count(DISTINCT l_orderkey) AS f, count(DISTINCT (l_orderkey, l_linenumber)) AS r FROM lineitem),
+g0 AS (SELECT *, {_N} AS n, CASE WHEN {_N} % 3 = 2 THEN CAST(input_tokens > 0 AS INT) + CAST(output_tokens > 0 AS INT) WHEN {_N} % 3 = 0 THEN CAST(total_tokens > 0 OR input_tokens > 0 OR output_tokens > 0 AS INT) ELSE CAST(input_tokens > 0 OR output_tokens > 0 AS INT) END AS models FROM m WHERE provider = 'grok' AND project_name IS NOT NULL),
+g AS (SELECT count(*) AS n, count(DISTINCT (native_session_id, project_name)) AS f, count(*) FILTER (models > 0) AS used, sum(models) AS r FROM g0),
+g1 AS (SELECT project_name || '/' || native_session_id AS path, row_number() OVER (PARTITION BY native_session_id, project_name ORDER BY occurred_at, native_event_id) + 1 AS line, models = 2 AS open FROM g0),
+g2 AS (SELECT path, line, 'unallocated_native_cost' AS code FROM g1 WHERE open UNION ALL SELECT DISTINCT path, 1, 'malformed_json' FROM g1),
+gd AS (SELECT string_agg(code, ',' ORDER BY path, line, code) AS codes FROM (SELECT * FROM g2 ORDER BY path, line, code LIMIT 20))
+SELECT 'codex' AS provider, f > 0 AS detected, f AS files, 2 * n + 2 * f AS seen, CAST(0 AS BIGINT) AS ignored, n AS inserted, 'warning' AS status, array_to_string(list_transform(range(least(20, f)), lambda i: 'malformed_json'), ',') AS diagnostics FROM c
+UNION ALL SELECT 'claude', true, f, n, n - r, r, 'healthy', '' FROM l
+UNION ALL SELECT 'grok', f > 0, f, n + f, n - used, {_I('r')}, 'warning', codes FROM g, gd
+UNION ALL SELECT 'gemini', false, 0, 0, 0, 0, 'healthy', ''""",
+    "claude_extra_usage": """SELECT c_custkey AS response_id, c_custkey % 2 = 0 AS enabled, CASE WHEN c_custkey % 700 >= 10 THEN CAST(c_custkey % 700 - 10 AS BIGINT) END AS "limit", CAST(round(c_custkey % 300 / 4.0) AS BIGINT) AS used,
+  CASE WHEN c_custkey % 130 <= 100 THEN CAST(c_custkey % 130 * 100 AS INT) END AS utilization_bps, CASE WHEN c_custkey % 3 = 0 THEN 'USD' END AS currency FROM customer WHERE c_custkey % 9 <> 4""",
+    "hourly_events": f"""WITH {LEDGER}, h AS (SELECT device_id, model, {_HOUR} AS hour, sum(input_tokens) AS p, sum(output_tokens) AS c, sum(cached_input_tokens) AS d, count(*) AS r FROM ledger WHERE {_HOURLY_OK} AND NOT ends_with(device_id, '3') GROUP BY 1, 2, 3),
+s AS (SELECT *, sha256('omlx-hour' || chr(31) || device_id || chr(31) || model) AS session FROM h)
+SELECT sha256('omlx' || chr(31) || session || chr(31) || hour * 3600) AS id, session AS native_session_id, CAST(hour * 3600 AS VARCHAR) AS native_event_id, TIMESTAMP '1970-01-01' + to_hours(CAST(hour AS INT)) AS occurred_at, model, {_I('p')} AS input_tokens, {_I('d')} AS cached_input_tokens,
+  {_I('c')} AS output_tokens, {_I('p + c')} AS total_tokens, device_id, r AS requests FROM s""",
+}
+
+ORACLES |= {
+    "session_keyset": f"WITH {_sessions(LAST_30)} SELECT session_key, total_tokens, value_usd_micros FROM sess ORDER BY value_usd_micros DESC NULLS LAST, last_activity_at DESC, native_session_id, source, provider LIMIT 50 OFFSET 50",
+    "session_provider": f"WITH {_sessions(LAST_30)} SELECT session_key, events, total_tokens, models, project FROM sess WHERE provider = 'claude'",
+}

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical, hashed
 from ..functions.ranges import range_start
-from ..operators import cache, dashboard, merge, pricing, quota, reconcile, rollup, runtime, sessions
+from ..operators import cache, dashboard, keyset, merge, pricing, quota, reconcile, rollup, runtime, sessions
 from ..sources import catalogue, derived, logs, responses
 from ..sources.ledger import NOW, devices, ledger
 
@@ -51,7 +52,7 @@ def dashboard_runtime_trend(spark, sf_dir):
 
 @query
 def dashboard_layers(spark, sf_dir):
-    return dashboard.layers(ledger(spark, sf_dir), LAST_30)
+    return dashboard.layers(ledger(spark, sf_dir), LAST_30, runtime.transitions(derived.polls(spark, sf_dir)))
 
 
 @query
@@ -165,6 +166,13 @@ def session_search(spark, sf_dir):
     return sessions.sessions(valued(spark, sf_dir), devices(spark, sf_dir), WEEK, search="Sonnet")
 
 
+@query
+def session_provider(spark, sf_dir):
+    """The sessions of one provider."""
+    found = sessions.sessions(valued(spark, sf_dir), devices(spark, sf_dir), LAST_30, provider="claude")
+    return found.select("session_key", "events", "total_tokens", "models", "project")
+
+
 @query
 def session_page(spark, sf_dir):
     found = sessions.sessions(valued(spark, sf_dir), devices(spark, sf_dir), LAST_30)
@@ -406,7 +414,11 @@ def reconcile_hints(spark, sf_dir):
 
 @query
 def provider_summary(spark, sf_dir):
-    found = reconcile.provider_summary(ledger(spark, sf_dir).where("provider <> 'gemini'"))
+    """Rows of Gemini count as of Codex, so one provider has none; three of four Claude and Grok rows have ids of today's collectors."""
+    n = _number_of()
+    native = F.when(n % 4 == 0, F.col("native_event_id")).when(F.col("provider") == "claude", F.concat(F.lit("request:"), n)).otherwise(F.concat(F.lit("turn:"), F.floor(n / 12), F.lit(":model:"), n))
+    rows = ledger(spark, sf_dir).withColumns({"provider": F.expr("if(provider = 'gemini', 'codex', provider)"), "native_event_id": native})
+    found = reconcile.provider_summary(rows)
     return reconcile.with_all_providers(found, ["codex", "claude", "grok", "gemini"])
 
 
@@ -457,7 +469,8 @@ def enriched_models(spark, sf_dir):
 
 @query
 def provider_options(spark, sf_dir):
-    return dashboard.provider_options(ledger(spark, sf_dir).where("provider <> 'codex'"))
+    """Codex rows count as of Ollama, so one of the providers that are always offered has no row."""
+    return dashboard.provider_options(ledger(spark, sf_dir).withColumn("provider", F.expr("if(provider = 'codex', 'ollama', provider)")))
 
 
 def _activity(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
@@ -472,6 +485,29 @@ def activity_search(spark, sf_dir):
     return found.select("id", "provider", "project_name", "layer")
 
 
+@query
+def activity_options(spark, sf_dir):
+    """What the newest 500 rows can be narrowed by."""
+    return dashboard.activity_options(_activity(spark, sf_dir, 500))
+
+
+@query
+def activity_keyset(spark, sf_dir):
+    """The second and third page of 200 usage rows, each behind the last row of the one before."""
+    rows = ledger(spark, sf_dir).select("id", "occurred_at", "provider", "total_tokens")
+    first = keyset.end_of(keyset.page(rows, keyset.ACTIVITY, 200), keyset.ACTIVITY)
+    second = keyset.page(rows, keyset.ACTIVITY, 200, first)
+    third = keyset.page(rows, keyset.ACTIVITY, 200, keyset.end_of(second, keyset.ACTIVITY))
+    return second.unionByName(third)
+
+
+@query
+def session_keyset(spark, sf_dir):
+    """The second page of 50 sessions by value, those without one last."""
+    rows, order = sessions.sessions(valued(spark, sf_dir), devices(spark, sf_dir), LAST_30), keyset.SESSIONS["value"]
+    return keyset.page(rows, order, 50, keyset.end_of(keyset.page(rows, order, 50), order)).select("session_key", "total_tokens", "value_usd_micros")
+
+
 @query
 def activity_page(spark, sf_dir):
     seen = runtime.transitions(derived.polls(spark, sf_dir)).withColumn("id", F.sha2(F.concat_ws("|", "device_id", F.col("observed_at").cast("string"), "state", F.coalesce("model", F.lit(""))), 256))
@@ -496,6 +532,29 @@ def scan_claude(spark, sf_dir):
     return events.select("native_session_id", "native_event_id", "occurred_at", "model", "input_tokens", "output_tokens", "total_tokens")
 
 
+@query
+def scan_claude_hints(spark, sf_dir):
+    """Of all records, the ids that a former collector gave beside those of requests; records come as splits of two lines."""
+    return logs.claude_hints(logs.split(derived.claude_logs(spark, sf_dir), 2))
+
+
+@query
+def scan_report(spark, sf_dir):
+    """What a scan of three providers' logs saw; Gemini has none."""
+    scans = {"codex": (logs.codex, derived.codex_logs), "claude": (logs.claude, derived.claude_logs), "grok": (logs.grok, derived.grok_logs)}
+    tallies, found, listing, inserted = [], [], [], []
+    for name, (collect, files) in scans.items():
+        rows = logs.split(files(spark, sf_dir))
+        events, odd = collect(rows)
+        tallies.append(logs.tally(rows, events, odd).withColumn("provider", F.lit(name)))
+        found.append(odd)
+        listing.append(rows.select("path").distinct().withColumn("provider", F.lit(name)))
+        inserted.append(events.groupBy().agg(F.count(F.lit(1)).alias("rows")).withColumn("provider", F.lit(name)))
+    whole = [reduce(DataFrame.unionByName, parts) for parts in (tallies, found, listing, inserted)]
+    report = logs.report(*whole, ["codex", "claude", "grok", "gemini"])
+    return report.withColumn("diagnostics", F.array_join("diagnostics", ","))
+
+
 @query
 def scan_grok(spark, sf_dir):
     events, _ = logs.grok(derived.grok_logs(spark, sf_dir))
@@ -547,6 +606,24 @@ def extra_usage(spark, sf_dir):
     return responses.extra_usage(derived.billing_responses(spark, sf_dir))
 
 
+@query
+def claude_extra_usage(spark, sf_dir):
+    return responses.claude_extra_usage(derived.quota_responses(spark, sf_dir))
+
+
+@query
+def hourly_events(spark, sf_dir):
+    """Ledger rows of the hourly buckets of a source of a known version; a source of another version is refused."""
+    events = ledger(spark, sf_dir).where("provider = 'omlx' AND model IS NOT NULL AND cached_input_tokens <= input_tokens").withColumn("source_id", F.col("device_id"))
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01', occurred_at)").alias("hour")
+    rows = events.groupBy("source_id", "device_id", F.col("model").alias("model_id"), hour).agg(
+        F.sum("input_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("completion_tokens"), F.sum("cached_input_tokens").alias("cached_tokens"), F.count(F.lit(1)).alias("requests")
+    )
+    sources = rows.select("source_id").distinct().withColumn("version", F.when(F.col("source_id").endswith("3"), 2).otherwise(1))
+    fine, _ = merge.accepted_history(rows, sources)
+    return merge.hourly_events(merge.valid_hourly(fine, 600_000)).select("id", "native_session_id", "native_event_id", "occurred_at", "model", "input_tokens", "cached_input_tokens", "output_tokens", "total_tokens", "device_id", "requests")
+
+
 @query
 def subscription_total(spark, sf_dir):
     return dashboard.subscriptions_total(derived.subscriptions(spark, sf_dir))
@@ -615,7 +692,7 @@ def day_summary(spark, sf_dir):
     seen = runtime.transitions(derived.polls(spark, sf_dir)).withColumn("id", F.lit("x"))
     usage = ledger(spark, sf_dir).select("occurred_at", "total_tokens", "measurement_kind")
     both = usage.unionByName(seen.select(F.col("observed_at").alias("occurred_at"), F.lit(0).cast("long").alias("total_tokens"), F.lit("runtime_status").alias("measurement_kind")))
-    return dashboard.day_summary(both)
+    return dashboard.day_summary(both, "Europe/Berlin")
 
 
 @query

@@ -138,10 +138,13 @@ def inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quota_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quota response for each customer: a flat window, and a list of limits by nation."""
+    """A quota response for each customer: a flat window, a list of limits by nation, and extra usage."""
     body = F.to_json(F.struct(
         F.struct((F.col("c_custkey") % 1000 / 8.0).alias("utilization"), F.lit("2026-09-06T04:00:00Z").alias("resets_at")).alias("five_hour"),
         F.array(F.struct(F.concat(F.lit("model_"), F.col("c_nationkey")).alias("scope"), (F.col("c_custkey") % 101).cast("double").alias("utilization"))).alias("limits"),
+        F.struct(
+            F.when(F.col("c_custkey") % 9 != 4, F.col("c_custkey") % 2 == 0).alias("is_enabled"), (F.col("c_custkey") % 700 - 10).alias("monthly_limit"), (F.col("c_custkey") % 300 / 4.0).alias("used_credits"),
+            (F.col("c_custkey") % 130 / 1.0).alias("utilization"), F.when(F.col("c_custkey") % 3 == 0, " usd ").otherwise("e2").alias("currency")).alias("extra_usage"),
     ))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("response_id"), F.lit("claude").alias("provider"), body.alias("body"), F.lit(NOW).cast("timestamp_ntz").alias("received_at"))
 

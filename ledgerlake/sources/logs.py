@@ -109,10 +109,11 @@ def tally(files: DataFrame, events: DataFrame, found: DataFrame) -> DataFrame:
     rows = files if "seq" in files.columns else split(files)
     kind = _text("$.type", "_json")
     lines_ = rows.withColumn("_json", F.try_parse_json("text")).groupBy("path").agg(F.count(F.lit(1)).alias("seen"), F.count_if(kind.isin("session_meta", "turn_context")).alias("_context"))
-    used = events.groupBy("path").agg(F.countDistinct("line").alias("used"))
-    odd = found.groupBy("path").agg(F.countDistinct("line").alias("diagnosed"))
-    joined = lines_.join(used, "path", "left").join(odd, "path", "left").fillna(0, ["used", "diagnosed"])
-    return joined.select("path", "seen", "used", "diagnosed", (F.col("seen") - F.col("used") - F.col("diagnosed") - F.col("_context")).alias("ignored"))
+    said = events.select("path", "line", F.lit(1).alias("_used"), F.lit(0).alias("_odd")).unionByName(found.select("path", "line", F.lit(0).alias("_used"), F.lit(1).alias("_odd")))
+    said = said.groupBy("path", "line").agg(F.max("_used").alias("_used"), F.max("_odd").alias("_odd"))  # a line may give rows and have a diagnostic
+    said = said.groupBy("path").agg(F.sum("_used").alias("used"), F.sum("_odd").alias("diagnosed"), F.count(F.lit(1)).alias("_said"))
+    joined = lines_.join(said, "path", "left").fillna(0, ["used", "diagnosed", "_said"])
+    return joined.select("path", "seen", "used", "diagnosed", (F.col("seen") - F.col("_said") - F.col("_context")).alias("ignored"))
 
 
 #: Diagnostics that a report shows of a provider.
@@ -253,8 +254,8 @@ def codex(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _events(rows, "codex", "codex_cli", counters, native), diagnostics(rows, "codex")
 
 
-def claude(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per request, of its most complete record, and diagnostics."""
+def _claude_records(files: DataFrame) -> DataFrame:
+    """Lines with their outcome, counters, native id and the id that a former collector gave."""
     usage = "$.message.usage"
     rows = lines(files).withColumns({"session": _first("$.sessionId", "$.session_id"), "occurred_at": rfc3339(_text("$.timestamp")), "model": _text("$.message.model"), "cwd": _text("$.cwd")})
     other = _text("$.type").isNotNull() & (_text("$.type") != "assistant")
@@ -270,10 +271,24 @@ def claude(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     native = F.coalesce(
         F.concat(F.lit("request:"), _first("$.requestId", "$.request_id")), F.concat(F.lit("message:"), _text("$.message.id")), F.concat(F.lit("uuid:"), _text("$.uuid")), F.concat(F.lit("request_fingerprint:"), F.sha2(print_, 256))
     )
+    former = F.coalesce(_text("$.uuid"), _text("$.message.id"), F.concat(F.lit("fingerprint:"), F.sha2(F.concat_ws(SEPARATOR, F.col("session"), F.col("occurred_at").cast("string"), F.coalesce("model", F.lit("unknown-model")), counters["total_tokens"].cast("string"), F.col("line").cast("string")), 256)))
+    return rows.withColumns(counters | {"_native": native, "_former": former, "_split": saturating_add(w5, w1), "_model": F.col("model").isNotNull(), "_project": F.col("cwd").isNotNull()})
+
+
+def claude(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per request, of its most complete record, and diagnostics."""
+    rows = _claude_records(files)
     best = Window.partitionBy("path", "session", "_native").orderBy(*(F.desc(c) for c in ("total_tokens", "_split", "output_tokens", "_model", "_project", "occurred_at")), "line")
-    ranked = rows.where("outcome = 'event'").withColumns(counters | {"_native": native, "_split": saturating_add(w5, w1), "_model": F.col("model").isNotNull(), "_project": F.col("cwd").isNotNull()})
+    ranked = rows.where("outcome = 'event'")
     chosen = ranked.withColumn("_best", F.row_number().over(best)).where("_best = 1")
-    return _events(chosen.select(*rows.columns), "claude", "claude_code", counters, native), diagnostics(rows, "claude")
+    return _events(chosen.drop("_best"), "claude", "claude_code", {}, F.col("_native")), diagnostics(rows, "claude")
+
+
+def claude_hints(files: DataFrame) -> DataFrame:
+    """(legacy_event_id, replacement_event_id): for each usage record the id of the row that a former collector wrote of it, and that of its request's row."""
+    rows = _claude_records(files).where("outcome = 'event'")
+    ids = rows.select(*(hashed(F.lit("claude"), F.col("session"), F.col(c)).alias(n) for c, n in (("_former", "legacy_event_id"), ("_native", "replacement_event_id"))))
+    return ids.where("legacy_event_id <> replacement_event_id").distinct()
 
 
 def _member(value: Column, *names: str) -> Column:

@@ -148,3 +148,17 @@ def extra_usage(responses: DataFrame) -> DataFrame:
     rows = responses.select("response_id", F.try_variant_get(F.try_parse_json("body"), "$.config", "variant").alias("c")).where("c IS NOT NULL")
     rows = rows.select("response_id", _cents("$.onDemandCap").alias("limit"), _cents("$.onDemandUsed").alias("used"), _cents("$.prepaidBalance").alias("prepaid")).where("coalesce(limit, used, prepaid) IS NOT NULL")
     return rows.withColumns({"enabled": F.expr("coalesce(limit, 0) > 0 OR coalesce(used, 0) > 0"), "utilization_bps": F.expr("CASE WHEN limit > 0 AND used <= limit THEN used * 10000 div limit END")})
+
+
+def claude_extra_usage(responses: DataFrame) -> DataFrame:
+    """(response_id, enabled, limit, used, utilization_bps, currency) of responses that say whether extra use is on; in minor units, currencies of 3 to 8 letters."""
+    rows = responses.select("response_id", F.try_variant_get(F.try_parse_json("body"), "$.extra_usage", "variant").alias("e")).where(F.schema_of_variant("e").startswith("OBJECT"))
+    flag = F.when(F.schema_of_variant(F.try_variant_get("e", "$.is_enabled", "variant")) == "BOOLEAN", F.try_variant_get("e", "$.is_enabled", "boolean"))
+    currency = F.upper(F.trim(F.when(F.schema_of_variant(F.try_variant_get("e", "$.currency", "variant")) == "STRING", F.try_variant_get("e", "$.currency", "string"))))
+
+    def whole(path: str) -> Column:
+        number = _number(F.col("e"), path)
+        return F.when((number >= 0) & (number < 2.0**63), F.round(number).cast("long"))
+
+    found = rows.withColumns({"enabled": flag, "limit": whole("$.monthly_limit"), "used": whole("$.used_credits"), "utilization_bps": percent_to_bps(_number(F.col("e"), "$.utilization")), "currency": F.when(currency.rlike("^[A-Z]{3,8}$"), currency)})
+    return found.where("enabled IS NOT NULL").drop("e")
