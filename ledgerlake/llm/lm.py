@@ -27,7 +27,7 @@ of quantised values are whole numbers, so scores do not depend on any order.
 Hot contexts. The occurrences of a word with more than an eighth of a slice are dealt to
 several slices by the word before it, and those of such a pair by the word after it. What
 a slice then cannot count itself is counted first, over all documents: the followers
-of hot words, by a plain aggregation whose rows each slice of the word gets, and three sums for each hot
+of hot words, by a plain aggregation whose results each slice of the word gets, packed, and four sums for each hot
 context, held by every task. The numbers are those that one slice would find, so
 scores do not depend on ``slice_tokens``. Which pairs are hot is guessed from a sample of about
 ``PAIR_SAMPLE`` tokens; a wrong guess makes a slice larger or smaller. The second context
@@ -499,7 +499,7 @@ def _context_keys(known: Vocabulary, near: np.ndarray, second: np.ndarray, symbo
 
 
 def hot_contexts(docs: DataFrame, known: Vocabulary) -> DataFrame | None:
-    """Complete known with hot pairs and the sums of hot contexts, and return (slice, key, c), the followers of hot words that occur KEPT times or more, for each slice that needs them; None if no word is hot."""
+    """Complete known with hot pairs and the sums of hot contexts, and return (slice, followers), packets of the followers of hot words that occur KEPT times or more, with their counts, for each slice that needs them; None if no word is hot."""
     if not len(known.hot_words):
         return None
     context = docs.sparkSession.sparkContext
@@ -518,13 +518,14 @@ def hot_contexts(docs: DataFrame, known: Vocabulary) -> DataFrame | None:
 
     def dealt(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            for a in range(0, len(keys), 1024):
-                part = keys[a : a + 1024]
-                rows, slices = done.value.slices_for(part >> SYMBOL, part & (1 << SYMBOL) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(slices), pa.array(part[rows]), batch.column("c").slice(a, 1024).take(pa.array(rows))], names=["slice", "key", "c"])
+            keys, c = (np.asarray(batch.column(n)) for n in ("key", "c"))
+            rows, slices = done.value.slices_for(keys >> SYMBOL, keys & (1 << SYMBOL) - 1)  # by slice
+            cuts = [0, *(np.flatnonzero(slices[1:] != slices[:-1]) + 1).tolist(), len(slices)]
+            made = [(int(slices[a]), pack(keys[rows[a:b]], c[rows[a:b]])) for a, b in zip(cuts, cuts[1:]) if b > a]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.binary())], names=["slice", "followers"])
 
-    return counts.where(kept & (F.col("key") < (BEFORE + 1) << SYMBOL)).mapInArrow(dealt, "slice long, key long, c long")
+    return counts.where(kept & (F.col("key") < (BEFORE + 1) << SYMBOL)).mapInArrow(dealt, "slice long, followers binary")
 
 
 def _packets(docs: DataFrame, words) -> DataFrame:
@@ -620,7 +621,8 @@ def _answers(packets: DataFrame, words, followers: DataFrame | None) -> DataFram
         out |= {"header": headers.column("header").to_pylist() + [None] * len(packets)} | {name: [None] * len(table) for name in ("docs", "steps", "rare")}
         if len(packets):
             opened = [unpack(x.as_py()) for x in packets.column("data")]
-            told = None if hot is None else Hot(known, hot.column("key").to_numpy(), hot.column("c").to_numpy())
+            parts = [] if hot is None else [unpack(x) for x in hot.column("followers").to_pylist()]
+            told = None if hot is None else Hot(known, *(np.concatenate([p[i] for p in parts] or [np.zeros(0)]).astype(np.int64) for i in (0, 1)))
             values = (_gram_steps(opened, known, told),) if ngrams else _rare_values(opened, known)
             a = 0
             for i, packet in enumerate(opened, len(headers)):
