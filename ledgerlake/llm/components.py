@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b), a > b; root is the least node of the component, and has no row.
 
     Each round is written to the shared folder, so lineage stays short. The
-    number of rounds grows with the logarithm of the longest path.
+    number of rounds grows with the logarithm of the longest path. Repeated
+    edges count once; ends must not be null; an empty table gives no rows.
     """
     edges = stored(edges.distinct(), "edges")
     while True:
