@@ -343,7 +343,7 @@ SELECT label, cache_read_tokens, cache_write_tokens, reuse_bps FROM x WHERE cach
 SELECT device_id, state, count(*) AS rows, min(observed_at) AS first FROM r GROUP BY 1, 2""",
 }
 
-_GROK = "FROM ledger WHERE provider = 'grok' AND measurement_kind = 'measured' AND project_name IS NOT NULL"
+_GROK = "FROM (SELECT * REPLACE (coalesce(project_name, 'Unfiled') AS project_name) FROM ledger) WHERE provider = 'grok' AND measurement_kind = 'measured'"
 _N = "CAST(split_part(native_event_id, ':', 2) AS BIGINT)"
 _pair = "CASE WHEN {0} > 0 THEN {0} ELSE {1} END"
 
@@ -439,7 +439,7 @@ SELECT DISTINCT sha256('claude' || chr(31) || 'order-' || l_orderkey || chr(31)
     "scan_report": f"""WITH {LEDGER}, m AS (SELECT * FROM ledger WHERE measurement_kind = 'measured'),
 c AS (SELECT count(*) AS n, count(DISTINCT native_session_id) AS f FROM m WHERE provider = 'codex'),
 l AS (SELECT count(*) AS n, count(DISTINCT l_orderkey) AS f, count(DISTINCT (l_orderkey, l_linenumber)) AS r FROM lineitem),
-g0 AS (SELECT *, {_N} AS n, CASE WHEN {_N} % 3 = 2 THEN CAST(input_tokens > 0 AS INT) + CAST(output_tokens > 0 AS INT) WHEN {_N} % 3 = 0 THEN CAST(total_tokens > 0 OR input_tokens > 0 OR output_tokens > 0 AS INT) ELSE CAST(input_tokens > 0 OR output_tokens > 0 AS INT) END AS models FROM m WHERE provider = 'grok' AND project_name IS NOT NULL),
+g0 AS (SELECT *, {_N} AS n, CASE WHEN {_N} % 3 = 2 THEN CAST(input_tokens > 0 AS INT) + CAST(output_tokens > 0 AS INT) WHEN {_N} % 3 = 0 THEN CAST(total_tokens > 0 OR input_tokens > 0 OR output_tokens > 0 AS INT) ELSE CAST(input_tokens > 0 OR output_tokens > 0 AS INT) END AS models FROM (SELECT * REPLACE (coalesce(project_name, 'Unfiled') AS project_name) FROM m) WHERE provider = 'grok'),
 g AS (SELECT count(*) AS n, count(DISTINCT (native_session_id, project_name)) AS f, count(*) FILTER (models > 0) AS used, sum(models) AS r FROM g0),
 g1 AS (SELECT project_name || '/' || native_session_id AS path, row_number() OVER (PARTITION BY native_session_id, project_name ORDER BY occurred_at, native_event_id) + 1 AS line, models = 2 AS open FROM g0),
 g2 AS (SELECT path, line, 'unallocated_native_cost' AS code FROM g1 WHERE open UNION ALL SELECT DISTINCT path, 1, 'malformed_json' FROM g1),

@@ -94,7 +94,7 @@ def claude_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grok_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a log for each Grok session and project of the ledger, whose turns are written in three dialects, and one broken line each."""
-    rows = ledger(spark, sf_dir).where("provider = 'grok' AND measurement_kind = 'measured' AND project_name IS NOT NULL")
+    rows = ledger(spark, sf_dir).where("provider = 'grok' AND measurement_kind = 'measured'").withColumn("project_name", F.coalesce("project_name", F.lit("Unfiled")))
     n = F.substring_index("native_event_id", ":", -1).cast("long")
     at = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     first = F.to_json(F.struct(at.alias("timestamp"), F.struct(
