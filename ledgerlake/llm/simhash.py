@@ -11,10 +11,12 @@ group that it joins; groups that shards share are merged by ``components``.
 
 A radius that covers texts of similarity 0.8 leaves no bound that could prune: their
 64-bit fingerprints differ in up to 17 bits, those of unrelated texts in 32 +- 4. For
-that, ``similar_groups`` takes 1024 bits and meets pairs in bands, keys of bits drawn at
-random, as many as make a pair at similarity 0.8 meet with 99 %; what meets is compared
-in 256 bits, what is near in all bits. Bits only propose: both limits are looser than
-similarity 0.8, and a pair counts if the shared share of its shingles is 0.8 or more.
+that, ``similar_groups`` takes 1024 bits and joins pieces of them, each of bits drawn at
+random: a tree a piece, routed and searched like the above, brings together all rows
+whose pieces lie within ``RADIUS``, and pieces are as many as make a pair at similarity
+0.8 meet with 99 %. What meets is compared in 256 bits, what is near in all bits. Bits
+only propose: both limits are looser than similarity 0.8, and a pair counts if the
+shared share of its shingles is 0.8 or more.
 A row proposes few partners at a time, those already tied to it never again, and rounds
 go on until no pair is left untried, so a large group needs few of its pairs and none is lost.
 
@@ -33,11 +35,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import free_name, map_blocks, stored, text_blocks
@@ -194,10 +198,16 @@ class Groups:
 def _joined(points: np.ndarray, owned: np.ndarray, radius: int) -> np.ndarray:
     """For each point the place of its group's first; pairs of visitors are left to other shards."""
     groups = Groups(len(points))
-    rng = np.random.default_rng(1)
-    tree = Tree(points[owned], LEAF, rng) if owned.any() else None
-    if tree is None:
-        return groups.root
+    for a, b in _near(points, owned, radius):
+        groups.join(a, b)
+    return groups.root
+
+
+def _near(points: np.ndarray, owned: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the points of a shard within radius of each other, each pair in one or both orders; the first is owned."""
+    if not owned.any():
+        return
+    tree = Tree(points[owned], LEAF, np.random.default_rng(1))
     leaves: dict[int, list] = {}
     own = np.flatnonzero(owned)
     for leaf, rows, mine in tree.route(points[own], radius):
@@ -215,8 +225,7 @@ def _joined(points: np.ndarray, owned: np.ndarray, radius: int) -> np.ndarray:
                     near = np.bitwise_count(points[part][:, None] ^ points[other[b : b + (1 << 14)]]) <= radius
                     i, j = np.nonzero(near)
                     if len(i):
-                        groups.join(part[i], other[b + j])
-    return groups.root
+                        yield part[i], other[b + j]
 
 
 def _visits(tree: Tree, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -235,14 +244,19 @@ def _visits(tree: Tree, points: np.ndarray, radius: int) -> Iterator[tuple[int,
         todo.append((outer, rows[d > middle - radius]))
 
 
+def _sample(prints: DataFrame, n: int) -> list[Row]:
+    """Rows of prints (n rows) that fit a tree."""
+    size = min(MOST_SAMPLE, max(SAMPLE, SHARD_SAMPLE * (n // SHARD)))
+    return prints.sample(min(0.25, 1.2 * size / n), 11).limit(size).collect()
+
+
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b), a > b, of distinct fingerprints (column fingerprint); their components are those of all pairs within radius."""
     n = prints.count()
     sample = np.zeros(0, np.uint64)
     own = min(SHARD, max(LEAF, n // SHARDS))
     if n > own:
-        size = min(MOST_SAMPLE, max(SAMPLE, SHARD_SAMPLE * (n // SHARD)))
-        rows = prints.sample(min(0.25, 1.2 * size / n), 11).limit(size).collect()
+        rows = _sample(prints, n)
         sample = np.array([r.fingerprint for r in rows], np.int64).view(np.uint64)
     tree = Tree(sample, max(8, len(sample) * own // max(n, 1)), np.random.default_rng(0))
 
@@ -281,38 +295,79 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return grouped(prints, radius)
 
 
-#: 64-bit words of a wide fingerprint, and of its head, from which bands are drawn.
+#: 64-bit words of a wide fingerprint, and of its head, in which rows that meet are compared first.
 WORDS, HEAD = 16, 4
 #: Least Jaccard similarity of a pair, as a fraction; it decides, on the shingles themselves.
 SIMILAR = (4, 5)
 #: Share of bits in which texts of Jaccard similarity 0.8 differ: arccos(2 * 0.8 / 1.8) / pi = 0.1515, and one
-#: standard deviation of 1024 bits. Bands are drawn for it.
+#: standard deviation of 1024 bits. Pieces are drawn for it.
 SPREAD = 0.165
 #: Share of all bits up to which a pair is proposed, by the shingles of the smaller text at least: of few shingles a lost
 #: one moves more bits (4 of 5 lie at 0.19). Each is three standard deviations above the mean at similarity 0.8.
 LOOSE, LOOSE_FROM = (0.23, 0.20, 0.187), (0, 7, 64)
-#: Partners that a row proposes of a band's key in the first round; GROWTH times as many in each later one.
+#: Partners that a row proposes of those near by a piece in the first round; GROWTH times as many in each later one.
 TRIES, GROWTH = 16, 16
 #: Rows and pairs that one group of the exact comparison should hold; it keeps the shingle hashes of their texts.
 CHUNK_ROWS, CHUNK_PAIRS = 1024, 1 << 15
 #: Share of a head's bits in which similar texts may differ: five standard deviations of 256 bits (unrelated: 0.5 +- 0.03).
 COARSE = 0.28
-#: Fingerprints that a band's key should hold on average; share of the pairs at SPREAD that should meet.
+#: Bits in which the pieces of two fingerprints may differ for the pair to meet. More would need fewer pieces, but leave the tree less to prune.
+RADIUS = 1
+#: Unrelated fingerprints whose piece should lie within RADIUS of a row's on average; share of the pairs at SPREAD that should meet.
 BUCKET, MEET = 256, 0.99
 
 
-def bands_for(n: int) -> np.ndarray:
-    """Bits of each band's key, drawn at random: about n / BUCKET keys a band, and bands enough for MEET."""
-    width = max(4, (max(n, 1) // BUCKET).bit_length())
-    bands = int(np.ceil(np.log(1 - MEET) / np.log(1 - (1 - 1.15 * SPREAD) ** width)))
+def pieces_for(n: int) -> np.ndarray:
+    """Bits of each piece, drawn at random: so many that about BUCKET of n rows lie within RADIUS of a row, and pieces enough for MEET."""
+    width, off = 8, 1.15 * SPREAD
+    while n * sum(comb(width, d) for d in range(RADIUS + 1)) > BUCKET << width:
+        width += 1
+    near = sum(comb(width, d) * off**d * (1 - off) ** (width - d) for d in range(RADIUS + 1))
     rng = np.random.default_rng(5)
-    return np.stack([rng.choice(64 * HEAD, width, replace=False) for _ in range(bands)])
+    return np.stack([rng.choice(64 * WORDS, width, replace=False) for _ in range(int(np.ceil(np.log(1 - MEET) / np.log(1 - near))))])
+
+
+def _values(points: np.ndarray, pieces: np.ndarray) -> Iterator[np.ndarray]:
+    """The numbers that the bits of each piece spell, for all rows."""
+    bits = np.unpackbits(np.ascontiguousarray(points[:, :WORDS]).view(np.uint8), axis=1, bitorder="little")
+    for places in pieces:
+        yield (bits[:, places].astype(np.uint64) << np.arange(len(places), dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    """Rows of a binary column of equal sizes as rows of 64-bit words."""
+def trees_for(prints: DataFrame, n: int, pieces: np.ndarray) -> list[Tree]:
+    """A vantage-point tree for each piece, whose shards own at most about SHARD of the n prints."""
+    sample = np.zeros((0, WORDS), np.uint64)
+    own = min(SHARD, max(LEAF, n // SHARDS))
+    if n > own:
+        sample = _words(pa.array([bytes(r.print) for r in _sample(prints.select("print"), n)], pa.binary()), WORDS)
+    rng = np.random.default_rng(0)
+    return [Tree(values, max(8, len(sample) * own // max(n, 1)), rng) for values in _values(sample, pieces)]
+
+
+def _words(column: pa.Array, none: int = 0) -> np.ndarray:
+    """Rows of a binary column of equal sizes as rows of 64-bit words (a column without rows: none of them)."""
     data = b"".join(column.to_pylist())
-    return np.frombuffer(data, np.uint64).reshape(len(column), -1)
+    return np.frombuffer(data, np.uint64).reshape(len(column), -1 if len(column) else none)
+
+
+class Balls:
+    """For each row its candidates: of rows sorted by key those of its key and of the keys tied to it, by pairs (x, y) of places of distinct keys.
+
+    Candidates lie at ``rows[begin:end]``; with labels they are sorted by them.
+    """
+
+    def __init__(self, keys: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None, labels: np.ndarray | None = None):
+        _, first, at, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        if pairs is None:
+            self.rows, self.begin, self.end = np.arange(len(keys)), first[at], (first + counts)[at]
+            return
+        x, y = np.unique(np.concatenate([np.stack(pairs), np.stack(pairs[::-1])], axis=1), axis=1)  # sorted by x
+        ends = np.cumsum(counts[y])
+        self.rows = np.arange(int(counts[y].sum())) + np.repeat(first[y] - (ends - counts[y]), counts[y])
+        if labels is not None:
+            self.rows = self.rows[np.lexsort((labels[self.rows], np.repeat(x, counts[y])))]
+        bounds = np.concatenate([[0], ends])
+        self.begin, self.end = (bounds[np.searchsorted(x, np.arange(len(first)), side=side)][at] for side in ("left", "right"))
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -320,19 +375,18 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=1)
 
 
-def _touching(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Rows, sorted by key, that are near another row of their key.
+def _touching(keys: np.ndarray, heads: np.ndarray, balls: Balls | None = None) -> np.ndarray:
+    """Rows, sorted by key, that are near another one of their candidates (without balls: the rows of their key).
 
-    A row looks both ways until it has a neighbour, so a large group of near rows costs its size, not its square.
+    A row looks on until it has a neighbour, so a large group of near rows costs its size, not its square.
     """
-    starts, ends = np.searchsorted(keys, keys), np.searchsorted(keys, keys, side="right")
+    balls = balls or Balls(keys)
     found = np.zeros(len(keys), bool)
-    first, step = np.arange(len(keys)), 1
-    while len(first := first[~found[first] & ((first + step < ends[first]) | (first - step >= starts[first]))]):
-        for ahead in (step, -step):
-            some = first[(first + ahead < ends[first]) & (first + ahead >= starts[first])]
-            near = some[_apart(heads[some], heads[some + ahead]) <= 64 * HEAD * COARSE]
-            found[near] = found[near + ahead] = True
+    first, step = np.arange(len(keys)), 0
+    while len(first := first[~found[first] & (balls.begin[first] + step < balls.end[first])]):
+        other = balls.rows[balls.begin[first] + step]
+        near = (other != first) & (_apart(heads[first], heads[other]) <= 64 * HEAD * COARSE)
+        found[first[near]] = found[other[near]] = True
         step += 1
     return np.flatnonzero(found)
 
@@ -343,62 +397,75 @@ def _limits(points: np.ndarray) -> np.ndarray:
     return 64 * WORDS * np.array(LOOSE)[np.searchsorted(LOOSE_FROM, sizes, side="right") - 1]
 
 
-def _proposed(keys: np.ndarray, points: np.ndarray, nodes: np.ndarray, labels: np.ndarray, refused: list, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows, sorted by key and label, of a key that are near and neither of a label nor refused: for each row at most ``tries``
-    of lesser labels, the least first; and the rows that have more.
+def _proposed(
+    keys: np.ndarray, points: np.ndarray, nodes: np.ndarray, labels: np.ndarray, refused: list, tries: int, balls: Balls | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows, sorted by key and label, and their candidates (without balls: the rows of their key) that are near and neither of a label nor
+    refused: for each row at most ``tries`` of lesser labels, the least first; and the rows that have more.
 
-    All rows of a large group so turn to the same few, in every band, and their pairs are few when bands are put together.
+    All rows of a large group so turn to the same few, by every piece, and their pairs are few when pieces are put together.
     """
-    begin, limits = np.searchsorted(keys, keys), _limits(points)
-    turn = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]) | (labels[1:] != labels[:-1])) + 1])
-    own = turn[np.searchsorted(turn, np.arange(len(keys)), side="right") - 1]  # where the row's label begins
+    balls, limits = balls or Balls(keys), _limits(points)
     left, more = np.full(len(keys), tries), np.zeros(len(keys), bool)
     first, step, found = np.arange(len(keys)), 0, [np.zeros((2, 0), np.int64)]
-    while len(first := first[(begin[first] + step < own[first]) & ~more[first]]):
-        near = first[_apart(points[first, :HEAD], points[begin[first] + step, :HEAD]) <= 64 * HEAD * COARSE]
-        near = near[_apart(points[near, :WORDS], points[begin[near] + step, :WORDS]) <= np.maximum(limits[near], limits[begin[near] + step])]
-        other = begin[near] + step
-        near = near[np.array([not (refused[i] and m in refused[i] or refused[j] and n in refused[j]) for i, j, n, m in zip(near.tolist(), other.tolist(), nodes[near].tolist(), nodes[other].tolist())], bool)]
+    while len(first := first[(balls.begin[first] + step < balls.end[first]) & ~more[first]]):
+        other = balls.rows[balls.begin[first] + step]
+        lesser = labels[other] < labels[first]  # those after it are none either
+        first, other = first[lesser], other[lesser]
+        close = _apart(points[first, :HEAD], points[other, :HEAD]) <= 64 * HEAD * COARSE
+        near, other = first[close], other[close]
+        close = _apart(points[near, :WORDS], points[other, :WORDS]) <= np.maximum(limits[near], limits[other])
+        near, other = near[close], other[close]
+        new = np.array([not (refused[i] and m in refused[i] or refused[j] and n in refused[j]) for i, j, n, m in zip(near.tolist(), other.tolist(), nodes[near].tolist(), nodes[other].tolist())], bool)
+        near, other = near[new], other[new]
         more[near[left[near] == 0]] = True
-        near = near[left[near] > 0]
+        some = left[near] > 0
+        near, other = near[some], other[some]
         left[near] -= 1
-        found.append(np.stack([near, begin[near] + step]))
+        found.append(np.stack([near, other]))
         step += 1
     return *np.concatenate(found, axis=1), np.flatnonzero(more)
 
 
-def _in_bands(rows: DataFrame, bands: np.ndarray, order: str, work: Callable[[np.ndarray, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """What work gives for whole keys of bands, with the rows of each key in order."""
+def _met(
+    rows: DataFrame, pieces: np.ndarray, trees: list[Tree], order: str, work: Callable[[np.ndarray, tuple, pa.Table], pa.RecordBatch], schema: str, size: int | None = None
+) -> DataFrame:
+    """What work gives for the shards of each piece's tree: of the values of their rows, sorted by value and order, of the places of distinct values
+    within RADIUS of each other, and of the rows (node, print, of which size bytes are sent, ...)."""
+    most = max(tree.leaves for tree in trees)
 
     def deal(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = np.ascontiguousarray(_words(batch.column("print"))[:, :HEAD])
-            bits = np.unpackbits(heads.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            for i, places in enumerate(bands):
-                key = (bits[:, places] << np.arange(len(places))).sum(axis=1) + (i << len(places))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", *batch.schema.names])
+            columns = [pc.binary_slice(c, 0, size) if size and name == "print" else c for name, c in zip(batch.schema.names, batch.columns)]
+            for i, (values, tree) in enumerate(zip(_values(_words(batch.column("print"), WORDS), pieces), trees)):
+                routed = [(np.full(len(at), i * most + shard), at, owned) for shard, at, owned in tree.route(values, RADIUS)]
+                if routed:
+                    shard, at, owned = (np.concatenate(x) for x in zip(*routed))
+                    dealt = [pa.array(shard), pa.array(values[at].view(np.int64)), pa.array(owned), *(c.take(pa.array(at)) for c in columns)]
+                    yield pa.RecordBatch.from_arrays(dealt, names=["shard", "value", "owned", *batch.schema.names])
+
+    def met(table: pa.Table) -> pa.RecordBatch:
+        values = table.column("value").to_numpy().view(np.uint64)
+        distinct, first = np.unique(values, return_index=True)
+        pairs = [np.zeros((2, 0), np.int64), *map(np.stack, _near(distinct, table.column("owned").to_numpy()[first], RADIUS))]
+        return work(values, tuple(np.concatenate(pairs, axis=1)), table.drop_columns(["shard", "value", "owned"]))
 
     def search(batches) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                held.append(batch)
-                if sum(b.num_rows for b in held) < 1 << 15:
-                    continue
-            if not held:
-                break
-            table = pa.Table.from_batches(held)
-            keys = table.column("key").to_numpy()
-            whole = int(np.searchsorted(keys, keys[-1])) if batch is not None else len(keys)  # the last key may go on
-            held = table.slice(whole).to_batches() if whole < len(keys) else []
-            if whole:
-                yield work(keys[:whole], table.slice(0, whole))
-            if batch is None:
-                break
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            for part in np.split(np.arange(len(shards)), np.flatnonzero(np.diff(shards)) + 1):
+                if len(part):
+                    if held and held[0].column("shard")[0].as_py() != shards[part[0]]:
+                        yield met(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(part[0], len(part)))
+        if held:
+            yield met(pa.Table.from_batches(held))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    dealt = rows.mapInArrow(deal, f"key long, {kinds}").repartition("key").sortWithinPartitions("key", *([order] if order else []))
-    return dealt.mapInArrow(search, schema)
+    dealt = rows.mapInArrow(deal, f"shard long, value long, owned boolean, {kinds}")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "value", *([order] if order else [])).mapInArrow(search, schema)
 
 
 def _lists(node: np.ndarray, a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
@@ -420,21 +487,24 @@ def wide_links(prints: DataFrame, judged: Callable[[DataFrame], DataFrame] = _al
 
     ``judged`` takes rows (a, bs) and gives edges (a, b) and, with b null, the nodes that a is not similar to (refused).
     """
-    bands = bands_for(prints.count())
+    n = prints.count()
+    pieces = pieces_for(n)
+    trees = trees_for(prints, n, pieces)
 
-    def touch(keys, table) -> pa.RecordBatch:
-        nodes = table.column("node").to_numpy()[_touching(keys, _words(table.column("print")))]
+    def touch(values, pairs, table) -> pa.RecordBatch:
+        nodes = table.column("node").to_numpy()[_touching(values, _words(table.column("print")), Balls(values, pairs))]
         return pa.RecordBatch.from_arrays([pa.array(np.unique(nodes), pa.int64())], names=["node"])
 
-    touched = _in_bands(prints.select("node", F.substring("print", 1, 8 * HEAD).alias("print")), bands, "", touch, "node long")
+    touched = _met(prints.select("node", "print"), pieces, trees, "", touch, "node long", size=8 * HEAD)
     nodes = stored(prints.join(stored(touched.distinct(), "touched"), "node", "left_semi"), "near-prints")
 
     def proposals(rows: DataFrame, tries: int) -> DataFrame:
-        def propose(keys, table) -> pa.RecordBatch:
+        def propose(values, pairs, table) -> pa.RecordBatch:
             node, label = (table.column(c).to_numpy() for c in ("node", "label"))
-            return _lists(node, *_proposed(keys, _words(table.column("print")), node, label, [x and set(x) for x in table.column("refused").to_pylist()], tries))
+            refused = [x and set(x) for x in table.column("refused").to_pylist()]
+            return _lists(node, *_proposed(values, _words(table.column("print")), node, label, refused, tries, Balls(values, pairs, label)))
 
-        dealt = _in_bands(rows, bands, "label", propose, "a long, bs array<bigint>, more boolean")
+        dealt = _met(rows, pieces, trees, "label", propose, "a long, bs array<bigint>, more boolean")
         return stored(dealt.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"), F.max("more").alias("more")), "proposals")
 
     rows, tries, tried = nodes.withColumn("label", F.col("node")).withColumn("refused", F.expr("cast(NULL AS array<bigint>)")), TRIES, None

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 
+import corpus_pipeline
 from ledgerlake.llm import components, lines, quality, sharding, simhash, substrings
 from ledgerlake.llm.oracles import ORACLES
 from ledgerlake.llm.queries import QUERIES
@@ -275,6 +276,49 @@ def test_hot_keys_do_not_cost_their_square(monkeypatch):
     assert rows < 40 * n
 
 
+def test_trees_bring_together_all_rows_with_a_near_piece():
+    rng = np.random.default_rng(14)
+    points = rng.integers(0, 2**63, (900, simhash.WORDS)).astype(np.uint64)
+    points = np.concatenate([points, points[:400] ^ np.bitwise_and.reduce(rng.integers(0, 2**63, (3, 400, simhash.WORDS)).astype(np.uint64))])
+    pieces, met = simhash.pieces_for(200_000)[:3], Counter()
+    for piece in pieces:
+        values = next(simhash._values(points, [piece]))
+        assert values.tolist() == [sum(int(p[b // 64]) >> int(b % 64) & 1 and 1 << i for i, b in enumerate(piece)) for p in points]
+        tree = simhash.Tree(values[::3], 40, rng)
+        for _, rows, owned in tree.route(values, simhash.RADIUS):
+            rows, owned = rows[order := np.argsort(values[rows], kind="stable")], owned[order]
+            distinct, first = np.unique(values[rows], return_index=True)
+            pairs = [np.stack(x) for x in simhash._near(distinct, owned[first], simhash.RADIUS)]
+            balls = simhash.Balls(values[rows], np.concatenate(pairs, axis=1), rows)
+            for i, begin, end in zip(rows, balls.begin, balls.end):
+                ball = rows[balls.rows[begin:end]].tolist()
+                assert ball == sorted(set(ball))
+                met |= Counter((int(i), j) for j in ball)
+        near = np.bitwise_count(values[:, None] ^ values) <= simhash.RADIUS
+        assert tree.leaves > 8 and set(met) == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
+        met.clear()
+
+
+def test_near_dedup_joins_fingerprints_by_trees(spark, monkeypatch):
+    """The pipeline's stage, with many shards a tree, against brute force."""
+    rng = np.random.default_rng(15)
+    texts = [" ".join(f"n{x}" for x in rng.integers(0, 1 << 40, 120)) for _ in range(300)]
+    for text in texts[:60]:
+        words = text.split()
+        for p in rng.choice(120, rng.integers(1, 5), replace=False):
+            words[p] = "other"
+        texts.append(" ".join(words))
+    trees, made = [], simhash.Tree.__init__
+    monkeypatch.setattr(simhash.Tree, "__init__", lambda tree, *args: (made(tree, *args), trees.append(tree))[0])
+    monkeypatch.setattr(simhash, "SHARD", 32)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    first = {}
+    for i, g in enumerate(_similar_groups(texts)):
+        first.setdefault(g, i)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+    assert len(trees) > 1 and all(tree.leaves > 4 for tree in trees)
+
+
 def test_wide_fingerprints_follow_jaccard():
     rng = np.random.default_rng(9)
     base = [f"v{i}" for i in range(600)]
