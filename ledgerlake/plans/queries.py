@@ -541,17 +541,9 @@ def scan_claude_hints(spark, sf_dir):
 @query
 def scan_report(spark, sf_dir):
     """What a scan of three providers' logs saw; Gemini has none."""
-    scans = {"codex": (logs.codex, derived.codex_logs), "claude": (logs.claude, derived.claude_logs), "grok": (logs.grok, derived.grok_logs)}
-    tallies, found, listing, inserted = [], [], [], []
-    for name, (collect, files) in scans.items():
-        rows = logs.split(files(spark, sf_dir))
-        events, odd = collect(rows)
-        tallies.append(logs.tally(rows, events, odd).withColumn("provider", F.lit(name)))
-        found.append(odd)
-        listing.append(rows.select("path").distinct().withColumn("provider", F.lit(name)))
-        inserted.append(events.groupBy().agg(F.count(F.lit(1)).alias("rows")).withColumn("provider", F.lit(name)))
-    whole = [reduce(DataFrame.unionByName, parts) for parts in (tallies, found, listing, inserted)]
-    report = logs.report(*whole, ["codex", "claude", "grok", "gemini"])
+    files = {"codex": derived.codex_logs, "claude": derived.claude_logs, "grok": derived.grok_logs}
+    tallies, found = zip(*(logs.scanned(logs.split(read(spark, sf_dir)), name) for name, read in files.items()))
+    report = logs.scan_report(reduce(DataFrame.unionByName, tallies), reduce(DataFrame.unionByName, found), [*files, "gemini"])
     return report.withColumn("diagnostics", F.array_join("diagnostics", ","))
 
 

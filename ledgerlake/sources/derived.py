@@ -81,15 +81,14 @@ def codex_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claude_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a log for each order of ``lineitem``, whose repeated lines are revisions of a request."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_shipdate").cast("timestamp_ntz").alias("at"), F.floor("l_extendedprice").cast("long").alias("input_tokens"), F.col("l_quantity").cast("long").alias("output_tokens")
-    )
-    line = F.to_json(F.struct(
-        F.lit("assistant").alias("type"), F.concat(F.lit("order-"), "l_orderkey").alias("sessionId"), F.concat(F.lit("r"), "l_linenumber").alias("requestId"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
-        F.struct(F.concat(F.lit("claude-"), F.col("l_suppkey") % 3).alias("model"), F.struct("input_tokens", "output_tokens").alias("usage")).alias("message"),
+    record = F.struct("l_linenumber", "l_suppkey", F.col("l_shipdate").cast("timestamp_ntz").alias("at"), F.floor("l_extendedprice").cast("long").alias("input_tokens"), F.col("l_quantity").cast("long").alias("output_tokens"))
+    # Texts are made after records have met: they are several times as large.
+    line = lambda r: F.to_json(F.struct(
+        F.lit("assistant").alias("type"), F.concat(F.lit("order-"), "l_orderkey").alias("sessionId"), F.concat(F.lit("r"), r["l_linenumber"]).alias("requestId"), F.date_format(r["at"], "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.struct(F.concat(F.lit("claude-"), r["l_suppkey"] % 3).alias("model"), F.struct(r["input_tokens"].alias("input_tokens"), r["output_tokens"].alias("output_tokens")).alias("usage")).alias("message"),
     ))
-    lines = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "at", "input_tokens", "output_tokens", line.alias("text")))).alias("l"))
-    return lines.select(F.concat(F.lit("/logs/"), "l_orderkey", F.lit(".jsonl")).alias("path"), F.array_join("l.text", "\n").alias("content"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(record)).alias("l"))
+    return lines.select(F.concat(F.lit("/logs/"), "l_orderkey", F.lit(".jsonl")).alias("path"), F.array_join(F.transform("l", line), "\n").alias("content"))
 
 
 def grok_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
